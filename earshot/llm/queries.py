@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from earshot.llm.common import read_table
 from earshot.llm.mixing import mix
+from earshot.llm.packing import pack
 from earshot.llm.token_counts import context_limits, length_histogram, token_lengths
 from earshot.llm.urls import judge_urls
 
@@ -32,6 +33,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_limits(length_histogram(lengths, "lang")).withColumnRenamed("grp", "lang")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -45,6 +50,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_token_counts": op4_token_counts,
+    "op6_packing": op6_packing,
     "op7_mixing": op7_mixing,
     "op8_url_filter": op8_url_filter,
 }
