@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from earshot.llm.common import read_table
 from earshot.llm.mixing import mix
 from earshot.llm.packing import pack
+from earshot.llm.quality import quality
 from earshot.llm.token_counts import context_limits, length_histogram, token_lengths
+from earshot.llm.toxicity import toxicity
 from earshot.llm.urls import judge_urls
 
 
@@ -27,6 +29,11 @@ URL_RULES = [
 ]
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity(docs, read_table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     lengths = token_lengths(docs, vocabulary("byte_bpe_50k.tiktoken"), keep=("lang",))
@@ -48,10 +55,17 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return quality(docs, read_table(spark, sf_dir, "labels")).select("doc_id", "quality_score", "keep")
+
+
 QUERIES = {
+    "op3_toxicity": op3_toxicity,
     "op4_token_counts": op4_token_counts,
     "op6_packing": op6_packing,
     "op7_mixing": op7_mixing,
     "op8_url_filter": op8_url_filter,
+    "op10_quality": op10_quality,
 }
 ORACLES: dict[str, str] = {}
