@@ -8,6 +8,7 @@ from earshot.llm.common import read_table
 from earshot.llm.mixing import mix
 from earshot.llm.packing import pack
 from earshot.llm.quality import quality
+from earshot.llm.syncmers import fingerprint_edits
 from earshot.llm.token_counts import context_limits, length_histogram, token_lengths
 from earshot.llm.toxicity import toxicity
 from earshot.llm.urls import judge_urls
@@ -55,6 +56,10 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_edits(read_table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return quality(docs, read_table(spark, sf_dir, "labels")).select("doc_id", "quality_score", "keep")
@@ -66,6 +71,7 @@ QUERIES = {
     "op6_packing": op6_packing,
     "op7_mixing": op7_mixing,
     "op8_url_filter": op8_url_filter,
+    "op9_fingerprints": op9_fingerprints,
     "op10_quality": op10_quality,
 }
 ORACLES: dict[str, str] = {}
