@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from earshot.llm.common import read_table
+from earshot.llm.html import extract
 from earshot.llm.mixing import mix
 from earshot.llm.packing import pack
 from earshot.llm.quality import quality
@@ -30,6 +31,10 @@ URL_RULES = [
 ]
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(read_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity(docs, read_table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
@@ -66,6 +71,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_html_extraction": op2_html_extraction,
     "op3_toxicity": op3_toxicity,
     "op4_token_counts": op4_token_counts,
     "op6_packing": op6_packing,
