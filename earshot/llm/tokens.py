@@ -9,19 +9,25 @@ import re
 
 import numpy as np
 
-#: Entries of a worker's caches; one is emptied when it is full.
-CHUNKS, WORDS = 400_000, 300_000
+#: Entries of each of the two generations of a worker's cache.
+ENTRIES = 250_000
 
 
 class _Memo(dict):
-    def __init__(self, make, most: int):
+    """What `make` gives, remembered; when full it becomes the old generation, whose entries come back when used."""
+
+    def __init__(self, make):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.old = make, {}
 
     def __missing__(self, key):
-        if len(self) >= self.most:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= ENTRIES:
+            self.old = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        self[key] = value
         return value
 
 
@@ -30,35 +36,34 @@ class WordTokenizer:
 
     Text is encoded by chunks between white space, each remembered. That gives the ids of the whole text, as such a
     vocabulary's normalizer and splits never look across white space; control characters that Python takes for white
-    space and the vocabulary doesn't are left to the tokenizer itself. A chunk of Latin letters with or without one
-    full stop or comma is put together from the remembered ids of the lower-cased word and of the mark.
+    space and the vocabulary doesn't are left to the tokenizer itself. In text of Latin-1 characters alone, which no
+    normal form changes, chunks are lower-cased and marks after a word are chunks of their own, as the vocabulary
+    does both too; so far fewer chunks differ.
     """
 
-    _plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)").fullmatch
-    _odd = re.compile("[\x1c-\x1f]").search
+    _marks = re.compile(r"(?<=[a-zß-öø-ÿ])([^\w\s]+)(?=\s|\Z)").sub
+    _odd = re.compile("[\x1c-\x1f]|<\\|").search
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self._tokenizer = Tokenizer.from_file(path)
-        self._words = _Memo(self._slow, WORDS)
-        self._chunks = _Memo(self._chunk, CHUNKS)
+        self._chunks = _Memo(self._slow)
 
     def _slow(self, text: str) -> bytes:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _chunk(self, chunk: str) -> bytes:
-        m = self._plain(chunk)
-        if not m:
-            return self._slow(chunk)
-        return self._words[m[1].lower()] + (self._words[m[2]] if m[2] else b"")
-
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
         if self._odd(text):
             return self._slow(text)
+        try:
+            text.encode("latin-1")
+            text = self._marks(r" \1", text.lower())
+        except UnicodeEncodeError:
+            pass
         return b"".join(map(self._chunks.__getitem__, text.split()))
 
 
