@@ -63,3 +63,23 @@ def hash_uniform(*cols: Column) -> Column:
     """A number in (0, 1) that depends only on the values, the same in other SQL engines: 52 bits of md5."""
     text = F.concat_ws("|", *(F.coalesce(c.cast("string"), F.lit("")) for c in cols))
     return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+
+
+#: Rows of a join's larger side with one key from which that key is joined by broadcast, apart from the others.
+HOT_ROWS = 10_000
+
+
+def weighted_join(left: DataFrame, right: DataFrame, key: str, weight: str, how: str = "inner") -> DataFrame:
+    """left joined to right, which has one row for each key and in `weight` how many rows of left have it.
+
+    Keys with more than HOT_ROWS rows, at most one for each HOT_ROWS rows of left, are broadcast; the others are
+    shuffled. So no task gets all rows of a frequent key. If there are none, as is usual, it is one plain join.
+    """
+    right = right.withColumnRenamed(weight, "_w")
+    hot = right.filter(F.col("_w") > HOT_ROWS).drop("_w")
+    n = hot.count()
+    if n == 0 or n > BROADCAST_ROWS:
+        return left.join(right.drop("_w"), key, how)
+    cold = right.filter(F.col("_w") <= HOT_ROWS).drop("_w")
+    keys = F.broadcast(hot.select(key))
+    return left.join(F.broadcast(hot), key, "inner").unionByName(left.join(keys, key, "left_anti").join(cold, key, how))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from earshot.llm.common import read_table
+from earshot.llm.forest import near_vectors
 from earshot.llm.html import extract
 from earshot.llm.mixing import mix
 from earshot.llm.packing import pack
@@ -46,6 +47,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_limits(length_histogram(lengths, "lang")).withColumnRenamed("grp", "lang")
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -74,6 +79,7 @@ QUERIES = {
     "op2_html_extraction": op2_html_extraction,
     "op3_toxicity": op3_toxicity,
     "op4_token_counts": op4_token_counts,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op6_packing": op6_packing,
     "op7_mixing": op7_mixing,
     "op8_url_filter": op8_url_filter,
