@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from earshot.llm.common import read_table
 from earshot.llm.forest import near_vectors
 from earshot.llm.html import extract
+from earshot.llm.jaccard import jaccard_join
 from earshot.llm.mixing import mix
 from earshot.llm.packing import pack
 from earshot.llm.quality import quality
@@ -32,6 +33,10 @@ URL_RULES = [
 ]
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(read_table(spark, sf_dir, "documents"))
+
+
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(read_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
@@ -76,6 +81,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_html_extraction": op2_html_extraction,
     "op3_toxicity": op3_toxicity,
     "op4_token_counts": op4_token_counts,
