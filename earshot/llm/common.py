@@ -17,14 +17,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder and read back, so that lost executors cost no more than one stage.
-
-    The folder is spark.checkpoint.dir. A folder of this machine is taken only where that is unset, as in tests.
-    """
-    sc = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder for intermediate results: spark.checkpoint.dir; one of this machine only if unset, as in tests."""
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="earshot-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the shared checkpoint folder and read back, so that lost executors cost no more than one stage."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

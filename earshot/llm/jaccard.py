@@ -107,8 +107,8 @@ def jaccard_links(similarity: float):
     return linked
 
 
-def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, class_id, n_links) of each row of docs.
+def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text", with_hash: bool = False) -> DataFrame:
+    """(doc_id, class_id, n_links) of each row of docs; with_hash adds text_hash, xxhash64 of the text.
 
     Two texts are linked if their sets of word n-grams have a Jaccard similarity of at least `similarity`; n_links counts
     the other rows that a row is linked to, class_id is the least doc_id that links lead to, its own included. Texts
@@ -128,7 +128,7 @@ def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, words: int = W
     runs = runs_for(similarity, recall)
     coordinates = runs + FAN * ROUNDS
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    slim = slim.withColumn("row", F.coalesce("doc_id", F.xxhash64(F.coalesce("text", F.lit("")))))
+    slim = slim.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("row", F.coalesce("doc_id", "text_hash"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Shingles(words)
@@ -139,9 +139,9 @@ def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, words: int = W
                 keys.append(int.from_bytes(hashlib.blake2b(s.astype("<u8").tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None)
                 sizes.append(8 * len(s))
                 sampled.append(samples(s, coordinates) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sampled, pa.list_(pa.int64()))], ["doc_id", "row", "rep", "bytes", "samples"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sampled, pa.list_(pa.int64()))], ["doc_id", "text_hash", "row", "rep", "bytes", "samples"])
 
-    described = checkpointed(slim.mapInArrow(describe, "doc_id long, row long, rep long, bytes long, samples array<long>"))
+    described = checkpointed(slim.mapInArrow(describe, "doc_id long, text_hash long, row long, rep long, bytes long, samples array<long>"))
     items = checkpointed(described.filter("rep is not null").groupBy("rep").agg(F.min("doc_id").alias("first"), F.min("row").alias("row"), F.count("*").alias("cnt"), F.any_value("bytes").alias("bytes"), F.any_value("samples").alias("samples")))
     first = F.array(*(F.xxhash64(F.lit(r), F.col("samples")[r]) for r in range(runs)))
     paths = items.select(F.explode(F.array_distinct(first)).alias("leaf"), "rep", "bytes")
@@ -174,22 +174,34 @@ def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, words: int = W
     least = classes.groupBy("component").agg(F.min("first").alias("class_id"), F.count("*").alias("w"))
     classed = weighted_join(classes, checkpointed(least), "component", "w")
     of_item = checkpointed(classed.select("rep", F.col("cnt").alias("w"), (F.col("cnt") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "class_id"))
-    linked = weighted_join(described.filter("rep is not null").select("doc_id", "rep"), of_item, "rep", "w").select("doc_id", "class_id", "n_links")
-    alone = described.filter("rep is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    columns = ["doc_id", "class_id", "n_links", *["text_hash"] * with_hash]
+    linked = weighted_join(described.filter("rep is not null").select("doc_id", "text_hash", "rep"), of_item, "rep", "w").select(*columns)
+    alone = described.filter("rep is null").select("doc_id", "text_hash", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")).select(*columns)
     return linked.unionByName(alone)
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs without those linked to another class member of a smaller id: one document of each class stays.
+    """docs with one document of each class: the one of the smallest id; documents without links all stay.
 
-    Of repeated rows of that id one stays; classes of null ids alone, and rows of null id, stay as they are unless a
-    member of their class has an id.
+    Repeated rows (equal id and text) are a class, of which one row stays. A null id counts as a large one made of the
+    text. Otherwise ids are taken to be unique: two texts of one id that both lead a class are told apart by their hash
+    only if the classes differ in id. Texts aren't moved unless over 100,000 rows go or repeat.
     """
-    joined = jaccard_join(docs, id_col=id_col, text_col=text_col, **how)
-    kept = joined.filter("doc_id = class_id").select(F.col("doc_id").alias(id_col)).distinct()
-    (n,) = unused(docs, "n")
-    stays = docs.join(kept, id_col, "left_semi")
-    order = Window.partitionBy(id_col).orderBy(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    stays = stays.withColumn(n, F.row_number().over(order)).filter(F.col(n) == 1).drop(n)
-    lone = joined.filter("doc_id is null and class_id is null").limit(1).count()
-    return stays if not lone else stays.unionByName(docs.filter(F.col(id_col).isNull()))
+    tid, th, n = unused(docs, "tid", "th", "n")
+    text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    large = F.shiftrightunsigned(text_hash, 2) + F.lit(1 << 62)
+    docs = docs.withColumns({tid: F.coalesce(F.col(id_col).cast("long"), large), th: text_hash})
+    joined = checkpointed(jaccard_join(docs.select(tid, text_col), id_col=tid, text_col=text_col, with_hash=True, **how).filter("n_links > 0"))
+    lead = joined.filter("doc_id = class_id").groupBy("class_id").agg(F.min("text_hash").alias("lead"), F.count("*").alias("copies"))
+    told = weighted_join(joined, lead.join(joined.groupBy("class_id").agg(F.count("*").alias("w")), "class_id"), "class_id", "w")
+    leads = (F.col("doc_id") == F.col("class_id")) & (F.col("text_hash") == F.col("lead"))
+    gone = checkpointed(told.filter(~leads).select(F.col("doc_id").alias(tid), F.col("text_hash").alias(th)).distinct())
+    n_gone = gone.count()
+    stays = docs.join(F.broadcast(gone) if n_gone <= 100_000 else gone, [tid, th], "left_anti")
+    again = checkpointed(lead.filter("copies > 1").select(F.col("class_id").alias(tid), F.col("lead").alias(th)))
+    n_again = again.count()
+    if n_again:
+        repeated = F.broadcast(again) if n_again <= 100_000 else again
+        one = stays.join(repeated, [tid, th], "left_semi").withColumn(n, F.row_number().over(Window.partitionBy(tid, th).orderBy(th))).filter(F.col(n) == 1)
+        stays = stays.join(repeated, [tid, th], "left_anti").unionByName(one.drop(n))
+    return stays.drop(tid, th)
