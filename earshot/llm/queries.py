@@ -92,4 +92,43 @@ QUERIES = {
     "op9_fingerprints": op9_fingerprints,
     "op10_quality": op10_quality,
 }
-ORACLES: dict[str, str] = {}
+_RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+#: What the others compute (tokenizers, trained models, random trees and paths, fingerprints) is beyond SQL.
+ORACLES: dict[str, str] = {
+    "op7_mixing": r"""
+WITH sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+    (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u FROM documents),
+totals AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS n FROM sized GROUP BY source),
+weighed AS (SELECT *, [5, 2, 1][(n - 1) % 3 + 1]::DOUBLE AS weight, (source_size * 3)::DOUBLE AS bound FROM totals),
+levels AS (
+  SELECT *, (sum(source_size::DOUBLE) OVER () - coalesce(sum(bound) OVER w, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0)) AS level FROM weighed
+  WINDOW w AS (ORDER BY bound / weight, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+one AS (SELECT level FROM levels WHERE level * weight <= bound ORDER BY bound / weight, n LIMIT 1),
+targets AS (SELECT source, source_size, least(bound, weight * (SELECT level FROM one)) AS target FROM weighed),
+due AS (SELECT *, least(floor(coalesce(target / nullif(source_size, 0), 0) + 1e-9), 3)::BIGINT AS base FROM targets),
+rests AS (SELECT *, CASE WHEN base >= 3 THEN 0::DOUBLE ELSE greatest(target - base * source_size, 0) END AS rest FROM due),
+ranked AS (
+  SELECT s.doc_id, s.size, r.*, coalesce(rest / nullif(source_size, 0), 0) AS p, s.u FROM sized s JOIN rests r ON s.source IS NOT DISTINCT FROM r.source),
+odds AS (SELECT *, CASE WHEN p >= 1 THEN 0 WHEN p <= 0 THEN NULL ELSE u / (1 - u) * (1 - p) / p END AS q FROM ranked),
+summed AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q NULLS LAST RANGE UNBOUNDED PRECEDING) AS upto FROM odds),
+cut AS (SELECT source, coalesce(max(upto) FILTER (upto <= rest AND q IS NOT NULL), 0) AS words FROM summed GROUP BY source),
+chosen AS (SELECT s.*, c.words, s.upto <= s.rest AND s.q IS NOT NULL AS first FROM summed s JOIN cut c ON s.source IS NOT DISTINCT FROM c.source),
+extra AS (
+  SELECT source, q, size FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY abs(rest - words - size), q NULLS LAST, size) AS k
+    FROM chosen WHERE NOT first AND size > 0 AND abs(rest - words - size) < rest - words) WHERE k = 1)
+SELECT c.doc_id, c.size, c.source_size, c.target, (least(base + (first OR e.size IS NOT NULL)::BIGINT, 3) * c.size)::BIGINT AS taken
+FROM chosen c LEFT JOIN extra e ON c.source IS NOT DISTINCT FROM e.source AND c.q = e.q AND c.size = e.size""",
+    "op8_url_filter": f"""
+WITH rules(rh, rp, v) AS (VALUES {_RULES}),
+rest AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') AS host,
+    regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM rest),
+fits AS (SELECT host, path, rh || rp AS rule, v, row_number() OVER (PARTITION BY host, path ORDER BY length(rh || rp) DESC, length(rh) DESC) AS k
+  FROM (SELECT DISTINCT host, path FROM parts) p JOIN rules r ON (p.host = rh OR ends_with(p.host, '.' || rh)) AND starts_with(p.path, rp))
+SELECT page_id, p.host, p.path, f.rule, coalesce(f.v, 'allow') AS verdict
+FROM parts p LEFT JOIN fits f ON p.host = f.host AND p.path = f.path AND f.k = 1""",
+}
