@@ -174,6 +174,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, pool_rows:
     Labels of held-out documents (crc32 of the id leaves 2 modulo 4) are never used. Their number bounds what reaches
     the driver: (rows + pool_rows) * 90 numbers.
     """
+    docs = docs.select(id_col, text_col, lang_col, source_col, chars_col)
     known = labels.select(F.col("doc_id").alias("_id"), F.col(label_col).cast("int").alias("_label")).dropna().filter(~held_out_split(F.col("_id")))
     n, n_docs = known.count(), docs.count()
     if n > rows:

@@ -82,10 +82,10 @@ def judge_urls(urls: DataFrame, rules: DataFrame, url_col: str = "url", default:
         F.max_by(F.struct(F.col("key").alias("rule"), F.col("verdict").alias("v")), F.struct(F.length("key"), F.length("rh"), F.col("key"))).alias("best")
     )
     # A URL path may be that of many rows; rows without a host match nothing and are spread by another hash.
-    (salt,) = unused(page, "salt")
+    salt, won = unused(page, "salt", "won")
     spread = page.withColumn(salt, F.when(F.col("host") == "", F.pmod(F.xxhash64(*urls.columns), F.lit(1 << 20)) + SALTS).otherwise(F.pmod(F.xxhash64(*urls.columns), F.lit(SALTS))))
-    copies = best.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    copies = best.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))).withColumnRenamed("best", won)
     return (
         spread.join(copies, ["host", "path", salt], "left")
-        .select(*urls.columns, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.v", F.lit(default)).alias("verdict"))
+        .select(*urls.columns, "host", "path", F.col(f"{won}.rule").alias("rule"), F.coalesce(f"{won}.v", F.lit(default)).alias("verdict"))
     )
