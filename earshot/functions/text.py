@@ -60,11 +60,11 @@ class Lexicon:
 
 
 def normalize_text(text: Column) -> Column:
-    """Compatibility-normalised (NFKC), with white space squeezed and trimmed; a broken no-break space counts as one."""
+    """Compatibility-normalised (NFKC, which makes no-break spaces spaces), with white space squeezed and trimmed."""
 
     @F.pandas_udf("string")
     def nfkc(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).replace("Â ", " "))
+        return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
     return squeeze(nfkc(text))
 

@@ -33,7 +33,7 @@ PARSED = (
 
 
 def clean(text: str) -> str:
-    return " ".join(unicodedata.normalize("NFKC", text).replace("Â ", " ").split())
+    return " ".join(unicodedata.normalize("NFKC", text).split())
 
 
 class Node:
