@@ -33,6 +33,8 @@ HEDGE_PHRASES = (
 SOFT_PHRASES = ("we believe", "we think", "i think", "i believe", "i guess", "we feel")
 NOT_HEDGES = ("nearly", "almost", "approximately", "roughly", "approximate")
 LABELS = ("low", "neutral", "high")
+#: Words up to which a class is counted by one pattern.
+FEW_WORDS = 40
 # Seed words of our own, for use without a dictionary file: modal 1 strong, 2 moderate, 3 weak; or uncertainty alone.
 SEED_STRONG = ("will", "must", "always", "never", "definitely", "clearly", "undoubtedly", "best", "highest", "strongly")
 SEED_MODERATE = ("should", "would", "can", "likely", "generally", "often", "usually", "probable", "probably")
@@ -123,21 +125,26 @@ def _total(parts: list[Column]) -> Column:
     return out
 
 
-def _hits(tokens: Column, among) -> Column:
+def _hits(lower: Column, among) -> Column:
+    """How many words of lower-case text are among these. A few are one pattern, counted in one pass; many are looked up."""
     among = sorted(among)
-    return F.size(F.filter(tokens, lambda t: t.isin(among))).cast("double") if among else F.lit(0.0)
+    if not among:
+        return F.lit(0.0)
+    if len(among) <= FEW_WORDS:
+        return F.regexp_count(lower, F.lit("(?<![a-z'])(?:" + "|".join(map(re.escape, among)) + ")(?![a-z'])")).cast("double")
+    return F.size(F.filter(words(lower), lambda t: t.isin(among))).cast("double")
 
 
 def certainty(sentence: Column, lexicon: Lexicon = Lexicon()) -> Column:
-    s, t = F.lower(sentence), words(sentence)
-    plain = _hits(t, set(lexicon.strong) - set(lexicon.strong_weights))
-    weighted = [_hits(t, [w]) * x for w, x in sorted(lexicon.strong_weights.items()) if w in lexicon.strong]
+    s = F.lower(sentence)
+    plain = _hits(s, set(lexicon.strong) - set(lexicon.strong_weights))
+    weighted = [_hits(s, [w]) * x for w, x in sorted(lexicon.strong_weights.items()) if w in lexicon.strong]
     return _total([plain, *weighted, *(phrase_count(s, p) for p in lexicon.certainty_phrases)])
 
 
 def hedging(sentence: Column, lexicon: Lexicon = Lexicon()) -> Column:
-    s, t = F.lower(sentence), words(sentence)
-    tokens = _hits(t, {*lexicon.weak, *lexicon.uncertainty}) + _hits(t, lexicon.moderate) * lexicon.moderate_weight
+    s = F.lower(sentence)
+    tokens = _hits(s, {*lexicon.weak, *lexicon.uncertainty}) + _hits(s, lexicon.moderate) * lexicon.moderate_weight
     return _total([tokens, *(phrase_count(s, p) for p in lexicon.hedge_phrases), *(phrase_count(s, p) * lexicon.soft_weight for p in lexicon.soft_phrases)])
 
 

@@ -35,12 +35,13 @@ def asof_forward(left: DataFrame, bars: DataFrame, by: str, left_date: str, bar_
     """left with `bar`, the first row of bars (a struct) of its key on or after left_date, or after it unless same_day.
 
     Rows are put in one order with the bars (key, date, then rows that may take the same day, bars, and the other rows),
-    and each takes the next bar: linear, with one shuffle, and no range join.
+    and each takes the next bar: linear, with one shuffle, and no range join. The order is read backwards, as only frames
+    that end at the row run along.
     """
     l_ = left.select(F.col(by).alias("_k"), F.to_date(left_date).alias("_d"), F.when(same_day, 0).otherwise(2).alias("_tag"), F.struct(*left.columns).alias("_l"), F.lit(None).cast(bars.schema).alias("_b"))
     b_ = bars.select(F.col(by).alias("_k"), F.to_date(bar_date).alias("_d"), F.lit(1).alias("_tag"), F.lit(None).cast(left.schema).alias("_l"), F.struct(*bars.columns).alias("_b"))
-    w = Window.partitionBy("_k").orderBy("_d", "_tag").rowsBetween(1, Window.unboundedFollowing)
-    found = l_.unionByName(b_).withColumn("bar", F.first("_b", ignorenulls=True).over(w)).filter("_tag <> 1")
+    w = Window.partitionBy("_k").orderBy(F.desc("_d"), F.desc("_tag")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = l_.unionByName(b_).withColumn("bar", F.last("_b", ignorenulls=True).over(w)).filter("_tag <> 1")
     return found.select("_l.*", "bar")
 
 

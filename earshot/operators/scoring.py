@@ -101,7 +101,7 @@ def roc_auc(scored: DataFrame, score: str, positive: Column) -> DataFrame:
 def context_check(sentences: DataFrame, scorer: Scorer, lexicon: T.Lexicon = T.Lexicon(), token: str = "[MASK]") -> DataFrame:
     """One row (n, auc, neutral_share): low against high sentences scored again with all cues masked."""
     masked = sentences.filter(F.col("weak_label").isin("low", "high")).withColumn("sentence", T.squeeze(T.mask_cues(F.col("sentence"), token, lexicon)))
-    scored = with_confidence(scorer(masked))
+    scored = with_confidence(scorer(masked)).select("weak_label", "confidence", "pred").cache()  # read for ranks, counts and shares
     neutral = scored.agg(F.avg((F.col("pred") == "neutral").cast("double")).alias("neutral_share"))
     return roc_auc(scored, "confidence", F.col("weak_label") == "high").crossJoin(neutral)
 

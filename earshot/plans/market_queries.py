@@ -33,7 +33,7 @@ def rsql(*names: str, digits: int = 6) -> str:
 
 
 def study(spark, d):
-    return E.event_returns(A.price_signals(spark, d), A.prices(spark, d), A.benchmark(spark, d), min_dollar_volume=A.MIN_DOLLAR_VOLUME)
+    return E.event_returns(A.price_signals(spark, d), A.prices(spark, d), A.benchmark(spark, d), min_dollar_volume=A.MIN_DOLLAR_VOLUME).cache()  # several statistics read it
 
 
 @query(f"WITH {A.PRICES_SQL} SELECT ticker, date, {rsql('open', 'close', 'volume')} FROM prices")
@@ -142,7 +142,7 @@ def lot_tables(spark, d):
 
 
 def log(spark, d):
-    return I.trade_log(*lot_tables(spark, d), gap_days=1)
+    return I.trade_log(*lot_tables(spark, d), gap_days=1).cache()  # the book and the summaries read it
 
 
 def book(spark, d):

@@ -184,7 +184,7 @@ def sampling_fractions(spark, d):
 
 @query(f"WITH {FRAC_SQL} SELECT doc_id, pos::INT AS pos, weak_label FROM labelled JOIN fractions ON weak_label = label WHERE ('0x' || substr(md5(doc_id || '|' || pos), 1, 8))::BIGINT / 4294967296.0 < frac")
 def stratified_hash_sample(spark, d):
-    x = labelled(spark, d)
+    x = labelled(spark, d).select("doc_id", "pos", "weak_label").cache()  # read for the fractions and for the sample
     return sentences.stratified_sample(x, sentences.sampling_fractions(x, 1.0, 5000), ["doc_id", "pos"]).select("doc_id", "pos", "weak_label")
 
 
@@ -264,8 +264,8 @@ def roc_auc(spark, d):
 
 @query()
 def mllib_scores(spark, d):
-    x = labelled(spark, d).filter("weak_label is not null").withColumn("label", T.label_index(F.col("weak_label")))
-    model = scoring.train_mllib(x.select("sentence", "weak_label", "label"), features=1 << 14, iterations=20)
+    x = labelled(spark, d).filter("weak_label is not null").withColumn("label", T.label_index(F.col("weak_label"))).select("doc_id", "pos", "sentence", "weak_label", "label").cache()
+    model = scoring.train_mllib(x.select("sentence", "weak_label", "label"), features=1 << 14, iterations=10)
     return scoring.with_confidence(scoring.mllib_scorer(model)(x.select("doc_id", "pos", "sentence", "weak_label"))).groupBy("weak_label", "pred").agg(F.count("*").alias("n"))
 
 
