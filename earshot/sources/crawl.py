@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import time
 import urllib.error
 import urllib.request
@@ -21,6 +22,12 @@ def months(spark: SparkSession, start: str, end: str) -> DataFrame:
     return one.select(F.explode(F.expr("sequence(a, b, interval 1 month)")).alias("month"))
 
 
+def sitemaps_to_fetch(wanted: DataFrame, cached: DataFrame, today: datetime.date) -> DataFrame:
+    """Months of wanted without a cached sitemap, and always the current one."""
+    done = cached.select("month").distinct().filter(F.col("month") < F.trunc(F.lit(today), "month"))
+    return wanted.join(done, "month", "left_anti")
+
+
 def discover(sitemaps: DataFrame, pattern: str, xml_col: str = "xml", order: str = "seq") -> DataFrame:
     """(url, published) of all URLs in sitemaps that match pattern, whose groups 1 to 3 are year, month and day; the first sight counts."""
     found = sitemaps.select(F.col(order).alias("_o"), F.posexplode(F.regexp_extract_all(xml_col, F.lit(pattern), 0)).alias("_p", "url"))
