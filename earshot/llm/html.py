@@ -31,8 +31,11 @@ OUT_ROLES = frozenset("navigation banner contentinfo complementary search form a
 OUT_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion promotions banner cookie cookies consent gdpr notice notices alert popup modal overlay "
     "newsletter subscribe subscription signup paywall comment comments commentlist disqus respond replies sidebar sidenav menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar "
-    "share sharing social related recommended recommendations widget widgets pagination pager login copyright disclaimer skip".split()
+    "share sharing social related recommended recommendations widget widgets pagination pager login copyright disclaimer skip discussion responses announcement announcements "
+    "notification notifications aside rail trending".split()
 )
+#: Beginnings of such words, as they are also written together with others.
+OUT_STARTS = ("cookie", "advert", "sidebar", "newsletter", "popup", "sponsor", "breadcrumb", "commentlist", "commentform", "commentsection", "commentsarea", "navbar", "adbanner", "adslot")
 #: Elements whose class or id does not put them out, and those that may be the article's own heading.
 KEPT = frozenset("html body main article".split())
 HEADER_WORDS = frozenset(("header", "head"))
@@ -44,7 +47,7 @@ _TAG = re.compile(
     re.S,
 )
 _ATTR = re.compile(r"([a-zA-Z:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-_NAME = re.compile(r"[A-Za-z]+")
+_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -141,7 +144,7 @@ class _Page:
                 return True
         if re.search(r"(?:^|\s)hidden(?:\s|$)", re.sub(r"=\s*(?:\"[^\"]*\"|'[^']*'|\S+)", "", attributes)):
             return True
-        if name not in KEPT and (words & OUT_WORDS or words & HEADER_WORDS):
+        if name not in KEPT and (words & OUT_WORDS or words & HEADER_WORDS or any(w.startswith(OUT_STARTS) for w in words)):
             return 1
         return 1 if name == "article" and words & {"comment", "comments", "reply"} else found
 

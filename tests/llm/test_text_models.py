@@ -31,6 +31,15 @@ def test_html_layouts(wrap):
     assert html.main_text(page) == "\n".join(["Head line", *(prose(i, 25) for i in range(3)), "one item", "two items", "Said so."])
 
 
+@pytest.mark.parametrize("name", ["cookiebar", "adBanner", "left-sidebar", "Comments_List", "site-header", "SIDEBAR", "newsletterBox", "user_responses"])
+def test_html_names_of_parts(name):
+    article = "<div class=story><h1>Head</h1><p>" + prose(1, 40) + "</p><p>" + prose(2, 40) + "</p></div>"
+    part = f'<div class="{name}"><p>' + prose(3, 60) + "</p></div>"
+    want = "\n".join(["Head", prose(1, 40), prose(2, 40)])
+    assert html.main_text(f"<body>{part}{article}</body>") == html.main_text(f"<body>{article}{part}</body>") == want
+    assert html.main_text("<body>" + article.replace("</div>", part + "</div>") + "</body>") == want
+
+
 def test_html_odd(spark):
     odd = [None, "", "  ", "plain &lt;text", "<p>a<p>b", "<div><script>x", "<<<>>>", "<a title=\"x>y</a><p>q", "<p>" * 3000 + "deep" + "</div>" * 10, "<b>" * 2000 + "x", "<html></html>", "<p>" + "word " * 200_000 + "</p>", "<![CDATA[raw]]>", "<!-- open", "</p></p>z"]
     want = [html.main_text(x) for x in odd]
