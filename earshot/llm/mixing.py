@@ -47,7 +47,49 @@ def source_targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, most:
     )
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, preference: str | None = None) -> DataFrame:
+def _cut(ranked: DataFrame, room: str, n: int) -> tuple[DataFrame, DataFrame]:
+    """Border (skey, bucket, before) and cut (skey, c.q, c.upto) of the longest run by q whose words fit into `room`.
+
+    No border: everything fits. No cut: nothing of the border's bucket does; before it are `before` words. n: sources.
+    """
+    by_bucket = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = ranked.groupBy("skey", "bucket", room).agg(F.sum("size").alias("words")).withColumn("upto", F.sum("words").over(by_bucket))
+    border = sums.filter(F.col("upto") > F.col(room)).groupBy("skey").agg(F.min(F.struct("bucket", F.col("upto") - F.col("words"))).alias("b"))
+    border = checkpointed(border.select("skey", F.col("b.bucket").alias("bucket"), F.col("b.col2").alias("before")))
+    at_border = small_join(ranked, border, ["skey", "bucket"], "inner", n)
+    in_order = Window.partitionBy("skey").orderBy("q").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    fits = at_border.withColumn("upto", F.col("before") + F.sum("size").over(in_order)).filter(F.col("upto") <= F.col(room))
+    return border, fits.groupBy("skey").agg(F.max(F.struct("q", "upto")).alias("c"))
+
+
+def _in_rounds(rounds: Column, size: Column, q: Column) -> Column:
+    return F.exists(rounds, lambda x: (size > 0) & (size <= x["upper"]) & (q > x["lo"]) & F.coalesce(q <= x["hi"], F.lit(False)))
+
+
+def _fill(left: DataFrame, n: int) -> DataFrame:
+    """(skey, rounds, used): going on in the order of q past what is larger than the room left, until nothing fits.
+
+    left: skey, size, q, bucket, room. A round is (upper, lo, hi): taken are sizes up to upper with lo < q <= hi. Each
+    round takes the longest run that fits, passes over the rank that did not, and goes on with what still fits.
+    """
+    done = None
+    left = checkpointed(left.filter("size > 0 and size <= room").withColumn("lo", F.lit(-1.0)))
+    while not left.isEmpty():
+        border, cut = _cut(left, "room", n)
+        marks = checkpointed(border.select("skey", F.col("bucket").alias("b")).join(cut.select("skey", F.col("c.q").alias("q_cut")), "skey", "left"))
+        run = F.col("b").isNull() | (F.col("bucket") < F.col("b")) | ((F.col("bucket") == F.col("b")) & F.coalesce(F.col("q") <= F.col("q_cut"), F.lit(False)))
+        judged = small_join(left, marks, ["skey"], "left", n).withColumn("run", run).drop("b", "q_cut")
+        ends = judged.groupBy("skey", "room", "lo").agg(F.max(F.when(F.col("run"), F.col("q"))).alias("hi"), F.coalesce(F.sum(F.when(F.col("run"), F.col("size"))), F.lit(0)).alias("words"), F.min(F.when(~F.col("run"), F.col("q"))).alias("passed"))
+        ends = checkpointed(ends)
+        done = ends if done is None else done.unionByName(ends)
+        going = small_join(judged.filter(~F.col("run")).drop("room", "lo"), ends.select("skey", (F.col("room") - F.col("words")).alias("room"), F.col("passed").alias("lo")), ["skey"], "inner", n)
+        left = checkpointed(going.drop("run").filter((F.col("q") > F.col("lo")) & (F.col("size") <= F.col("room"))))
+    if done is None:
+        return left.select("skey", F.array(F.struct(F.col("room").alias("upper"), "lo", F.col("q").alias("hi"))).alias("rounds"), F.col("size").alias("used"))
+    return checkpointed(done.groupBy("skey").agg(F.collect_list(F.struct(F.col("room").alias("upper"), "lo", "hi")).alias("rounds"), F.sum("words").alias("used")))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, preference: str | None = None, tolerance: float = 0.0) -> DataFrame:
     """docs with size, source_size, target (its source's), copies and taken (size * copies) of each row.
 
     A source is due target / source_size copies of each document. The whole copies are certain; for the rest, r words,
@@ -55,8 +97,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     probability r / (words left to draw from). `preference`, a column of positive numbers, makes p unequal within a
     source: p is multiplied by it over its mean per word, and p of 1 or more is certain (q = 0). Documents are taken in
     the order of q up to the last rank at which the words still fit into r; then the one document not taken whose size
-    comes closest to the rest, where it lowers the difference. So a source's taken words differ from its target by less
-    than its smallest documents, or by what a repeated id adds: equal ids have one rank and go together.
+    comes closest to the rest, where it lowers the difference. Where documents left out would still fit after that, as
+    behind a very long one, the order of q is followed to its end past all that is larger than the room left (`_fill`),
+    then the closest one is added, and this is taken if it is not farther from r. So a source's taken words differ from
+    its target by less than its smallest document left out or by less than that way, or by what a repeated id adds:
+    equal ids have one rank and go together. With a tolerance the first cut stands where it misses at most this share
+    of the target and at most the mean size left out.
 
     Null text has size 0; a null source is a source, the last; documents of size 0 have taken 0. An empty table gives an
     empty table. Columns of docs named like a result are replaced. The same rows give the same mix.
@@ -94,15 +140,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     due_now = small_join(slim, targets.select("skey", "rest", "per_pref", "buckets"), ["skey"], "inner", n)
     ranked = due_now.select("skey", "size", "rest", pareto(F.col("u"), F.col("pref")).alias("q"), "buckets")
     ranked = ranked.withColumn("bucket", F.when(F.col("q") == float("inf"), F.col("buckets")).otherwise(F.floor(F.col("q") / (1 + F.col("q")) * F.col("buckets"))).cast("long"))
-    by_bucket = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = ranked.groupBy("skey", "bucket", "rest").agg(F.sum("size").alias("words")).withColumn("upto", F.sum("words").over(by_bucket))
-    border = sums.filter(F.col("upto") > F.col("rest")).groupBy("skey").agg(F.min(F.struct("bucket", F.col("upto") - F.col("words"))).alias("b"))
-    border = border.select("skey", F.col("b.bucket").alias("bucket"), F.col("b.col2").alias("before"))
-    border = checkpointed(border)
-    at_border = small_join(ranked, border, ["skey", "bucket"], "inner", n)
-    in_order = Window.partitionBy("skey").orderBy("q").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    fits = at_border.withColumn("upto", F.col("before") + F.sum("size").over(in_order)).filter(F.col("upto") <= F.col("rest"))
-    cut = fits.groupBy("skey").agg(F.max(F.struct("q", "upto")).alias("c"))
+    border, cut = _cut(ranked, "rest", n)
     # Taken are all below the border's bucket, and in it those up to q_cut; without a border everything fits.
     cuts = (
         targets.select("skey", "source_size", "target", "base", "rest", "per_pref", "buckets").join(border, "skey", "left").join(cut, "skey", "left")
@@ -111,15 +149,29 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     )
     cuts = checkpointed(cuts.select("skey", "source_size", "target", "base", "rest", "per_pref", "buckets", "bucket", "q_cut", "taken_words"))
     first = (F.col("bucket").isNull()) | (F.col("b") < F.col("bucket")) | ((F.col("b") == F.col("bucket")) & F.coalesce(F.col("q") <= F.col("q_cut"), F.lit(False)))
-    left_out = (
+    left = (
         small_join(ranked.withColumnRenamed("bucket", "b").drop("rest", "buckets"), cuts.select("skey", "rest", "bucket", "q_cut", "taken_words"), ["skey"], "inner", n)
-        .filter(F.col("bucket").isNotNull() & ~first)
-        .withColumn("gap", F.abs(F.col("rest") - F.col("taken_words") - F.col("size")))
-        .filter((F.col("size") > 0) & (F.col("gap") < F.col("rest") - F.col("taken_words")))
-        .groupBy("skey").agg(F.min(F.struct("gap", "q", "size")).alias("extra"))
+        .filter(F.col("bucket").isNotNull() & ~first & (F.col("size") > 0))
+        .select("skey", "size", "q", F.col("b").alias("bucket"), (F.col("rest") - F.col("taken_words")).alias("room"))
     )
-    ends = checkpointed(cuts.join(left_out, "skey", "left").select(F.col("skey").alias(skey), "source_size", "target", F.col("base").alias(base), "per_pref", "buckets", "bucket", F.col("q_cut").alias(q_cut), F.col("extra.q").alias(extra), F.col("extra.size").alias("extra_size")))
-    names = dict(zip(("per_pref", "buckets", "bucket", "extra_size", "b"), unused(docs, "m_per_pref", "m_buckets", "m_bucket", "m_extra_size", "m_b")))
+    gap, drawn = F.abs(F.col("room") - F.col("size")), F.when(F.col("q") < float("inf"), F.col("size"))
+    extra_of = F.min(F.when(gap < F.col("room"), F.struct(gap.alias("gap"), "q", "size"))).alias("extra")
+    left_out = left.groupBy("skey").agg(extra_of, F.min(drawn).alias("least"), F.avg(drawn).alias("mean"))
+    miss = F.abs(F.col("rest") - F.col("taken_words") - F.coalesce(F.col("extra.size"), F.lit(0)))
+    ends = cuts.join(left_out, "skey", "left").withColumn("miss", miss).withColumn("short", F.coalesce((F.col("least") <= F.col("rest") - F.col("taken_words")) & (miss >= F.col("least")) & ((miss > F.col("target") * tolerance) | (miss > F.col("mean"))), F.lit(False)))
+    ends = checkpointed(ends.select("skey", "source_size", "target", "base", "per_pref", "buckets", "bucket", "q_cut", "extra", "miss", "short"))
+    short = checkpointed(ends.filter("short").select("skey", "miss"))
+    ends = ends.withColumn("rounds", F.lit(None).cast("array<struct<upper:double,lo:double,hi:double>>"))
+    if n_short := short.count():
+        behind = checkpointed(small_join(left, short.select("skey"), ["skey"], "inner", n_short))
+        filled = _fill(behind.filter(F.col("q") < float("inf")), n_short)
+        after = small_join(behind, filled, ["skey"], "left", n_short).withColumn("room", F.col("room") - F.coalesce(F.col("used"), F.lit(0)))
+        is_left = ~F.coalesce(_in_rounds(F.col("rounds"), F.col("size"), F.col("q")), F.lit(False))
+        again = after.groupBy("skey").agg(F.min(F.when(is_left & (gap < F.col("room")), F.struct(gap.alias("gap"), "q", "size"))).alias("extra_after"), F.any_value("room").alias("room_after"))
+        nearer = checkpointed(again.join(short, "skey").filter(F.coalesce("extra_after.gap", "room_after") <= F.col("miss")).join(filled.select("skey", F.col("rounds").alias("r")), "skey"))
+        ends = ends.join(nearer.drop("miss"), "skey", "left").withColumn("extra", F.when(F.col("r").isNull(), F.col("extra")).otherwise(F.col("extra_after"))).withColumn("rounds", F.col("r"))
+    ends = checkpointed(ends.select(F.col("skey").alias(skey), "source_size", "target", F.col("base").alias(base), "per_pref", "buckets", "bucket", F.col("q_cut").alias(q_cut), F.col("extra.q").alias(extra), F.col("extra.size").alias("extra_size"), "rounds"))
+    names = dict(zip(("per_pref", "buckets", "bucket", "extra_size", "rounds", "b"), unused(docs, "m_per_pref", "m_buckets", "m_bucket", "m_extra_size", "m_rounds", "m_b")))
     ends = ends.withColumnsRenamed({k: v for k, v in names.items() if k != "b"})
     out = small_join(keyed, ends, [skey], "left", n)
     p = F.col(odds) * F.col(names["per_pref"])
@@ -130,6 +182,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sampled = (
         (F.col(q) < float("inf"))
         & (bucket.isNull() | (b < bucket) | ((b == bucket) & F.coalesce(F.col(q) <= F.col(q_cut), F.lit(False))))
+        | (F.col(q) < float("inf")) & F.coalesce(_in_rounds(F.col(names["rounds"]), F.col("size"), F.col(q)), F.lit(False))
         | F.coalesce((F.col(q) == F.col(extra)) & (F.col("size") == F.col(names["extra_size"])), F.lit(False))
     )
     copies = F.least(F.col(base) + sampled.cast("long"), F.lit(most)).cast("long")

@@ -61,6 +61,19 @@ def test_mix_is_near_targets_and_repeats(spark):
     assert all(abs(t - target) <= 3 for (_, target), t in by.items())
 
 
+@pytest.mark.parametrize("tolerance", [0, 0.15])
+def test_long_document_does_not_end_the_draw(spark, tolerance):
+    """Sources with documents larger than the words due: short ones behind them in the order are still drawn."""
+    rows = [(1000 * k + i, " ".join(["w"] * (n if i % 200 == 0 else 20)), s) for k, (s, n) in enumerate([("a", 30_000), ("b", 9_000), ("c", 19_000)]) for i in range(1000)]
+    rows += [(9000 + i, "w " * 100, "rest") for i in range(5000)]
+    got = mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(1, 1, 1, 60), **({"tolerance": tolerance} if tolerance else {})).collect()
+    by = defaultdict(int)
+    for r in got:
+        by[r["source"], r["target"]] += r["taken"]
+    assert min(t for _, t in by) < 19_000
+    assert all(abs(t - target) <= max(20, tolerance * target) for (s, target), t in by.items() if s != "rest"), dict(by)
+
+
 def test_preference_makes_inclusion_unequal(spark):
     df = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), F.when(F.col("id") < 2000, "a").otherwise("b").alias("source"), F.when(F.col("id") % 2 == 0, 3.0).otherwise(1.0).alias("w"))
     got = mix(df, weights=(1, 3), preference="w").filter("source = 'a'").groupBy((F.col("doc_id") % 2).alias("odd")).agg(F.avg("copies").alias("c")).collect()
