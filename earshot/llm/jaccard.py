@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -18,8 +20,9 @@ from earshot.llm.leafjoin import link_leaves, split_large
 
 #: Words of a shingle, least similarity, and the probability with which a pair just as similar is to be met.
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.9999
-#: Members of a bucket that is not split further, and the samples by which larger ones are split in a round.
-SMALL, FAN, ROUNDS = 256, 3, 4
+#: Members of a bucket that is not split further; for each round that splits larger ones, its further samples and how
+#: many of them each bucket draws. More of both for other similarities and recalls: see pools_for.
+SMALL, POOLS = 256, ((10, 4), (8, 3), (8, 3), (8, 3))
 #: Words whose hashes a worker remembers.
 CACHE = 400_000
 
@@ -31,6 +34,34 @@ def runs_for(similarity: float = SIMILARITY, recall: float = RECALL) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - similarity)))
 
 
+def split_loss(similarity: float, runs: int, pools: tuple[tuple[int, int], ...]) -> float:
+    """Probability that a pair just as similar never meets if all its buckets are split in all rounds.
+
+    The pair shares g samples of a round's pool, the same ones in each of its buckets; a bucket draws its own few.
+    """
+    chances = [[math.comb(n, g) * similarity**g * (1 - similarity) ** (n - g) for g in range(n + 1)] for n, _ in pools]
+    total = 0.0
+    for shared in itertools.product(*(range(n + 1) for n, _ in pools)):
+        weight = math.prod(c[g] for c, g in zip(chances, shared))
+        if weight < 1e-9:
+            total += weight
+            continue
+        lost = 0.0  # in one bucket
+        for g, (n, few) in reversed([*zip(shared, pools)]):
+            lost = sum(math.comb(g, j) * math.comb(n - g, few - j) / math.comb(n, few) * lost**j for j in range(few + 1))
+        total += weight * (1 - similarity * (1 - lost)) ** runs
+    return total
+
+
+@functools.cache
+def pools_for(similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[tuple[int, int], ...]:
+    """POOLS, enlarged until splitting leaves the recall."""
+    pools = POOLS
+    while pools and split_loss(similarity, runs_for(similarity, recall), pools) > max(1 - recall, 1.5 * (1 - similarity) ** runs_for(similarity, recall)):
+        pools = tuple((n + 2, few + 1) for n, few in pools)
+    return pools
+
+
 class Shingles:
     """The set of a text's word n-grams as ascending 64-bit hashes; of all its words if there are fewer.
 
@@ -68,11 +99,15 @@ class Shingles:
 def samples(tokens: np.ndarray, k: int) -> np.ndarray:
     """For each of k random orders of all tokens the first one in the set: two sets share it with their similarity."""
     out = np.empty(k, np.int64)
+    step = max(1, (1 << 14) // len(tokens))
     with np.errstate(over="ignore"):
-        for i in range(k):
-            x = (tokens ^ np.uint64((i * 0x9E3779B97F4A7C15 + 0x2545F4914F6CDD1D) & 0xFFFFFFFFFFFFFFFF)) * _B
+        order = np.arange(k, dtype=np.uint64)[:, None] * _A + np.uint64(0x2545F4914F6CDD1D)
+        for i in range(0, k, step):
+            x = tokens ^ order[i : i + step]
+            x *= _B
             x ^= x >> np.uint64(32)
-            out[i] = np.int64((x * _A).min() >> np.uint64(1))
+            x *= _A
+            out[i : i + step] = (x.min(1) >> np.uint64(1)).astype(np.int64)
     return out
 
 
@@ -117,8 +152,8 @@ def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, words: int = W
     empty table stays empty; other columns are left out.
 
     Equal sets are one item with a count. In each of runs_for() runs a set goes to the bucket of one sampled token;
-    two sets share it with their similarity. Buckets of over SMALL sets are split by FAN further samples, each set going
-    along with all of them, round by round, so that buckets of a token that many texts share come apart while similar
+    two sets share it with their similarity. Buckets of over SMALL sets are split by further samples, each bucket by a few
+    drawn for it from the round's pool (pools_for), each set going along with all of them, round by round, so that buckets of a token that many texts share come apart while similar
     sets stay together; copies too alike to come apart are compared in blocks. Within a bucket similarities are exact. Only
     ids, counts and samples are shuffled for that; the sets themselves, once for each bucket with company, are made
     again for the documents that have any. (Items are known by 64 bits of a hash of their set.)
@@ -126,7 +161,8 @@ def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, words: int = W
     spark = docs.sparkSession
     python_batches(spark)
     runs = runs_for(similarity, recall)
-    coordinates = runs + FAN * ROUNDS
+    pools = pools_for(similarity, recall)
+    coordinates = runs + sum(n for n, _ in pools)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     slim = slim.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("row", F.coalesce("doc_id", "text_hash"))
 
@@ -148,10 +184,14 @@ def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, words: int = W
 
     def split(large: DataFrame, step: int) -> DataFrame:
         rows = large.join(items.select("rep", "samples"), "rep")
-        more = F.array(*(F.xxhash64("leaf", F.lit(k), F.col("samples")[runs + FAN * step + k]) for k in range(FAN)))
+        n, few = pools[step]
+        begin = runs + sum(m for m, _ in pools[:step])
+        # The bucket's own draw: the few of least hash, so that a pair lost in one bucket is not lost in all of them.
+        drawn = F.slice(F.array_sort(F.array(*(F.struct(F.xxhash64("leaf", F.lit(k)).alias("h"), F.lit(k).alias("k"), F.col("samples")[begin + k].alias("x")) for k in range(n)))), 1, few)
+        more = F.transform(drawn, lambda d: F.xxhash64("leaf", d["k"], d["x"]))
         return rows.select("leaf", "rep", "bytes", F.explode(F.array_distinct(more)).alias("child"))
 
-    paths = split_large(paths, SMALL, split, ROUNDS)
+    paths = split_large(paths, SMALL, split, len(pools))
 
     def payloads(reps: DataFrame) -> DataFrame:
         # any one row of an item gives its set; rows of the same id with another text are told by the set's key

@@ -195,3 +195,21 @@ def test_leaf_links_are_counted_once():
             for r in part.itertuples():
                 total[r.rep] += r.links
     assert total == Counter({i: int((want[i] * np.arange(1, n + 1)).sum()) for i in range(n) if want[i].any()})
+
+
+def test_recall_of_buckets_split_in_all_rounds(spark, monkeypatch):
+    """Pairs of similarity just over 0.8 whose shared tokens are nearly all in many sets."""
+    monkeypatch.setattr(jaccard, "SMALL", 4)
+    rng = random.Random(3)
+    passages = [" ".join(f"p{i}x{k}" for k in range(60)) for i in range(40)]
+    texts = []
+    for pair in range(700):
+        base = " ".join(rng.sample(passages, 4))
+        texts += [base + "".join(f" own{pair}y{side}z{k}" for k in range(28)) for side in range(2)]
+    make = jaccard.Shingles()
+    want = jaccard.jaccard_links(0.8)(sets := [make(t).astype("<u8").tobytes() for t in texts], sets).sum(1) - 1
+    assert want.min() >= 1
+    got = {r["doc_id"]: r["n_links"] for r in jaccard.jaccard_join(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()}
+    missed = sum(int(n) - got[i] for i, n in enumerate(want))
+    assert missed == 0, missed
+    assert jaccard.split_loss(0.8, jaccard.runs_for(), jaccard.pools_for()) <= 1 - jaccard.RECALL
