@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from earshot.llm.common import python_batches
 
-#: Code points of a k-mer and of the inner substrings of which the minimum decides; anchors of a fingerprint.
-K, S, ANCHORS = 16, 6, 64
+#: Code points of a k-mer and of the inner substrings of which the minimum decides.
+K, S = 16, 6
 #: Code points that are worked on together.
 CHUNK = 1_000_000
 #: Rows of a bucket of neighbouring ids, about, and most buckets.
@@ -58,7 +58,7 @@ def closed_syncmers(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fingerprints(texts: list[str]) -> list[str]:
-    """For each text its ANCHORS least anchors by hash in text order, 8 hexadecimal digits each.
+    """For each text all its anchors in text order, repeated ones too, 8 hexadecimal digits each.
 
     A text without an anchor (mostly one shorter than K) has a single one, of the whole text; the empty text has "".
     """
@@ -78,39 +78,44 @@ def _some(texts: list[str]) -> list[str]:
     at, h = closed_syncmers(points)
     doc = np.searchsorted(ends, at, "right")
     inside = at + K <= ends[doc] if len(at) else np.zeros(0, bool)
-    at, doc, h = at[inside], doc[inside].astype(np.uint64), h[inside] >> np.uint64(32)
-    key, first = np.unique((doc << np.uint64(32)) | h, return_index=True)
-    doc = (key >> np.uint64(32)).astype(np.int64)
-    starts = np.searchsorted(doc, np.arange(len(texts) + 1))
-    least = np.arange(len(key)) - starts[doc] < ANCHORS
-    first, doc, h = first[least], doc[least], (key[least] & np.uint64(0xFFFFFFFF))
-    order = np.argsort(first, kind="stable")
-    digits = h[order].astype(">u4").tobytes().hex()
-    bounds = np.searchsorted(doc[order], np.arange(len(texts) + 1)) * 8
+    digits = (h[inside] >> np.uint64(32)).astype(">u4").tobytes().hex()
+    bounds = np.searchsorted(doc[inside], np.arange(len(texts) + 1)) * 8
     return [digits[a:b] if b > a else f"{_whole(t):08x}" if t else "" for t, a, b in zip(texts, bounds[:-1].tolist(), bounds[1:].tolist())]
 
 
 def likeness(a: str, b: str) -> float:
-    """Estimated share of the anchors of two texts that match in the same order: 1 for equal fingerprints.
+    """Share of the anchors of two texts that match in the same order: 1 for equal fingerprints.
 
-    Of the ANCHORS least hashes of both together, those in both are counted as far as they follow one another in both
-    texts (the longest such chain). With j of n matched the share is 2 j / (n + j), Dice's coefficient.
+    The first occurrence of an anchor in one text is matched with the first in the other, the second with the second,
+    and so on; of these matches the longest chain that goes on in both texts is counted, which is linear in the length
+    but for a logarithm. With j matched of n and m anchors the share is 2 j / (n + m), Dice's coefficient.
     """
     if a == b:
         return 1.0
     if not a or not b:
         return 0.0
-    x, y = [a[i : i + 8] for i in range(0, len(a), 8)], {b[i : i + 8]: i for i in range(0, len(b), 8)}
-    both = sorted(y.keys() | x)
-    if len(both) > ANCHORS and max(len(x), len(y)) >= ANCHORS:
-        both = both[:ANCHORS]
-    last = both[-1]
+    x, y = (np.frombuffer(bytes.fromhex(t), ">u4").astype(np.uint64) for t in (a, b))
+    n = min(len(x), len(y))
+    differ = np.flatnonzero(x[:n] != y[:n])
+    same = int(differ[0]) if len(differ) else n  # a common beginning matches as it is
+    _, at, to = np.intersect1d(_occurrences(x[same:]), _occurrences(y[same:]), assume_unique=True, return_indices=True)
     chain: list[int] = []
-    for h in x:
-        if h <= last and (i := y.get(h)) is not None:
-            k = bisect_left(chain, i)
-            chain[k : k + 1] = [i]
-    return 2 * len(chain) / (len(both) + len(chain))
+    for i in to[np.argsort(at)].tolist():
+        if not chain or i > chain[-1]:
+            chain.append(i)
+        else:
+            chain[bisect_left(chain, i)] = i
+    return 2 * (same + len(chain)) / (len(x) + len(y))
+
+
+def _occurrences(h: np.ndarray) -> np.ndarray:
+    """h (below 2^32) with, in the upper half, how often the value was there before."""
+    order = np.argsort(h, kind="stable")
+    ordered = h[order]
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(h) else np.zeros(0, np.int64)
+    out = np.empty(len(h), np.uint64)
+    out[order] = ordered | (np.arange(len(h)) - np.repeat(first, np.diff(np.append(first, len(h))))).astype(np.uint64) << np.uint64(32)
+    return out
 
 
 def fingerprint_column(text: Column) -> Column:

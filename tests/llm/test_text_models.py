@@ -178,6 +178,19 @@ def test_fingerprints_and_likeness(monkeypatch):
         assert abs(syncmers.likeness(x, y) - share) < 0.2 and syncmers.likeness(x, y) == syncmers.likeness(y, x)
 
 
+def test_shared_passage_of_long_texts():
+    """All anchors count: a passage of 50 words shows in long texts, and so does one changed word."""
+    a, b, passage = prose(200, 20_000), prose(201, 20_000), prose(202, 50)
+    half = len(a) // 2
+    x, y, changed = syncmers.fingerprints([a[:half] + passage + a[half:], passage + b, a[:half] + "zyxwvutsrqponmlkjihgfedcba" + a[half:]])
+    plain = syncmers.fingerprints([a, b])
+    shared = (syncmers.likeness(x, y) * (len(x) + len(y)) - syncmers.likeness(*plain) * (len(plain[0]) + len(plain[1]))) / 16
+    assert shared > 0.1 * len(passage), shared
+    assert 0.99 < syncmers.likeness(plain[0], changed) < 1
+    at, _ = syncmers.closed_syncmers(np.array([ord(c) for c in a], np.uint64))
+    assert len(plain[0]) == 8 * len(at)
+
+
 def edits(rows: list[tuple]) -> dict:
     order = sorted(rows, key=lambda r: -r[0])
     out = {}
