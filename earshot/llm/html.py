@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -36,8 +37,14 @@ OUT_WORDS = frozenset(
 )
 #: Beginnings of such words, as they are also written together with others.
 OUT_STARTS = ("cookie", "advert", "sidebar", "newsletter", "popup", "sponsor", "breadcrumb", "commentlist", "commentform", "commentsection", "commentsarea", "navbar", "adbanner", "adslot")
+#: Those of the words that an article's own sections are also named by.
+SECTION_WORDS = frozenset(
+    "notice notices alert promotion promotions related recommended recommendations social share sharing discussion responses replies respond announcement announcements notification notifications "
+    "navigation advertising subscription copyright disclaimer menu trending rail banner overlay header head".split()
+)
 #: Elements whose class or id does not put them out, and those that may be the article's own heading.
-KEPT = frozenset("html body main article".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+KEPT = frozenset("html body main article p".split()) | HEADINGS
 HEADER_WORDS = frozenset(("header", "head"))
 #: Names of elements that hold an article.
 HOLDERS = frozenset("article main".split())
@@ -127,17 +134,21 @@ class _Page:
 
     @staticmethod
     def _is_out(name: str, attributes: str):
-        """True: out whatever it holds. 1: out unless it holds the article or its heading."""
+        """True: out whatever it holds. 1: out unless it holds the article or its heading. 2: or is a section of text."""
         if name in OUT_TAGS:
             return True
         found = 1 if name == "header" else False
         if not attributes:
             return found
         words: set[str] = set()
+        classes: list[str] = []
         for m in _ATTR.finditer(attributes):
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if key in ("class", "id"):
-                words.update(w.lower() for w in _NAME.findall(value))
+                found_words = [w.lower() for w in _NAME.findall(value)]
+                words.update(found_words)
+                if key == "class":
+                    classes += found_words
             elif key == "role" and value.lower() in OUT_ROLES:
                 found = 1
             elif key == "style" and _HIDDEN.search(value) or key == "aria-hidden" and value.lower() == "true":
@@ -145,10 +156,35 @@ class _Page:
         if re.search(r"(?:^|\s)hidden(?:\s|$)", re.sub(r"=\s*(?:\"[^\"]*\"|'[^']*'|\S+)", "", attributes)):
             return True
         if name not in KEPT and (words & OUT_WORDS or words & HEADER_WORDS or any(w.startswith(OUT_STARTS) for w in words)):
-            return 1
+            named = words & (OUT_WORDS | HEADER_WORDS)
+            clear = named - SECTION_WORDS or any(w.startswith(OUT_STARTS) for w in words) or found
+            by_class = name != "section" and len(classes) > 1 and named & set(classes)
+            return 1 if clear or by_class else 2
         return 1 if name == "article" and words & {"comment", "comments", "reply"} else found
 
 
+def _sections(p: _Page, end: list[int]) -> set[int]:
+    """Nodes named like a part that is no article (2) which are sections of text: a section or with a heading of its
+    own, or in the article with a paragraph, and no more than half of its characters in links."""
+    n = len(p.tag)
+    link, inside, sums = [False] * n, [False] * n, [[0] * (n + 1) for _ in range(3)]
+    for i in range(1, n):
+        link[i] = p.tag[i] == "a" or link[p.parent[i]]
+        inside[i] = p.tag[i] in HOLDERS and not p.out[i] or inside[p.parent[i]]
+        sums[2][i + 1] = p.tag[i] in HEADINGS or p.tag[i] == "p" and inside[i]
+    for i, text in p.pieces:
+        if text and p.out[i] is not True:
+            c = len(text.strip())
+            sums[0][i + 1] += c
+            sums[1][i + 1] += c * link[i]
+    chars, links, headings = (list(itertools.accumulate(x)) for x in sums)
+    return {
+        i for i in range(1, n)
+        if p.out[i] == 2 and (p.tag[i] == "section" or headings[end[i]] > headings[i])
+        and chars[end[i]] > chars[i] and 2 * (links[end[i]] - links[i]) <= chars[end[i]] - chars[i]
+    }
+
+
 def _main_nodes(p: _Page) -> tuple[list[bool], list[tuple[int, int]]]:
     """Which nodes are left out, and the ranges of nodes that hold the main text."""
     n, parent, tag = len(p.tag), p.parent, p.tag
@@ -160,8 +196,9 @@ def _main_nodes(p: _Page) -> tuple[list[bool], list[tuple[int, int]]]:
         if end[i] > end[parent[i]]:
             end[parent[i]] = end[i]
     out = [False] * n
+    texts = _sections(p, end) if 2 in p.out else ()
     for i in range(1, n):
-        out[i] = out[parent[i]] or p.out[i] is True or (p.out[i] == 1 and not holds[i])
+        out[i] = out[parent[i]] or p.out[i] is True or (p.out[i] in (1, 2) and not holds[i] and i not in texts)
 
     chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
     for i, text in p.pieces:
@@ -228,7 +265,8 @@ def main_text(source: str | None) -> str:
     """Main text of a page's whole html: its blocks in page order, one a line; "" if there is none.
 
     What is never an article (by tag, role, or a word of class or id) is left out first, unless it holds the page's
-    heading or article. Each node's density is its characters per tag, lowered by the share of links; the subtree whose
+    heading or article; headings and paragraphs never go by a word, and a section of text not by one that an article's
+    own sections have, too. Each node's density is its characters per tag, lowered by the share of links; the subtree whose
     children's densities have the largest sum is the main one. The least density on its path to the body is the
     threshold for sections beside it; an enclosing article or main element is taken whole.
     """

@@ -40,6 +40,16 @@ def test_html_names_of_parts(name):
     assert html.main_text("<body>" + article.replace("</div>", part + "</div>") + "</body>") == want
 
 
+@pytest.mark.parametrize("wrap", ["<article>%s</article>", "<div class=post>%s</div>"])
+def test_html_sections_named_like_parts(wrap):
+    parts = ['<h1 class="page-header">Head line</h1><p class="notice">' + prose(1, 30) + "</p>", f'<h2 id="related-work">Related work</h2><p>{prose(2, 40)}</p>']
+    parts += [f'<section id="discussion"><h2 class="head">Discussion</h2><p>{prose(3, 40)}</p></section>', f'<div id="social-share"><h3 id="share">Share of costs</h3><p>{prose(4, 40)}</p></div>']
+    out = '<div id="related"><h3>Read on</h3><ul><li><a href=/a>Another story of ours</a><li><a href=/b>One more story of ours</a></ul></div><section id="comments"><p>I disagree</p></section><div class="share">Share this</div>'
+    page = f"<body><nav><a href=/>Home</a></nav>{wrap % (''.join(parts) + out)}{out}<footer>foot</footer></body>"
+    want = ["Head line", prose(1, 30), "Related work", prose(2, 40), "Discussion", prose(3, 40), "Share of costs", prose(4, 40)]
+    assert html.main_text(page) == "\n".join(want)
+
+
 def test_html_odd(spark):
     odd = [None, "", "  ", "plain &lt;text", "<p>a<p>b", "<div><script>x", "<<<>>>", "<a title=\"x>y</a><p>q", "<p>" * 3000 + "deep" + "</div>" * 10, "<b>" * 2000 + "x", "<html></html>", "<p>" + "word " * 200_000 + "</p>", "<![CDATA[raw]]>", "<!-- open", "</p></p>z"]
     want = [html.main_text(x) for x in odd]
