@@ -223,7 +223,7 @@ def speaker_type(spark, d):
 
 @query(r"SELECT doc_id, regexp_matches(split_part(text, chr(10), 1), '^\s*(\[.*?\]|duration:.*)\s*$', 'is') AS noise, trim(regexp_replace(text, '\s+', ' ', 'g')) = text AS clean FROM documents")
 def noise_and_space(spark, d):
-    return docs(spark, d).select("doc_id", T.is_noise(F.split_part("text", F.lit("\n"), F.lit(1))).alias("noise"), (T.squeeze(F.col("text")) == F.col("text")).alias("clean"))
+    return docs(spark, d).select("doc_id", F.exists(F.split("text", "\n"), T.is_noise).alias("noise"), (T.squeeze(F.col("text")) == F.col("text")).alias("clean"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS label, o_custkey || '_' || o_orderdate::DATE AS call_id, translate('BRK.A/' || o_custkey, './', '--') AS symbol FROM lineitem JOIN orders ON l_orderkey = o_orderkey")

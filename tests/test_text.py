@@ -126,3 +126,12 @@ def test_tables_round_trip(spark, tmp_path):
     assert files.count() == 20
     tables.write_splits(parts.withColumn("split", T.split_of(F.col("call_id"))), f"{tmp_path}/s")
     assert spark.read.parquet(f"{tmp_path}/s").count() == 400
+
+
+def test_noise_is_judged_on_every_line(spark, tmp_path):
+    from earshot.plans import catalog
+
+    texts = ["Good morning.\n[Music]\nThank you.", "Good morning.\nDuration: 60 minutes", "[Operator Instructions]\nHi.", "We [the firm] grew.\nFine.", "", None]
+    spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["noise"] for r in catalog.QUERIES["noise_and_space"](spark, str(tmp_path)).collect()}
+    assert got == {0: True, 1: True, 2: True, 3: False, 4: False, 5: None}
