@@ -115,7 +115,7 @@ def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np
     """A model from labelled rows (both views and y) and a pool without labels.
 
     A fifth of the labelled rows is kept for calibration. In each round the calibrated view v labels the rows of the pool
-    that it is surest of, at most `share` of the pool and in the proportion of y, none below `sure`; they join the
+    without a label yet that it is surest of, at most `share` of the pool and in the proportion of y, none below `sure`; they join the
     training rows of the other view. Then both are calibrated and combined on the rows kept back, so a view that
     knows nothing gets no weight.
     """
@@ -142,9 +142,10 @@ def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np
         for m, c, v in zip(fitted, calibrated, pool):
             p = 1 / (1 + np.exp(-c.logit(m.logit(v)[:, None]))) if len(v) else np.zeros(0)
             most = int(share * len(v))
-            good = np.argsort(-p, kind="stable")[: int(most * positive)]
-            bad = np.argsort(p, kind="stable")[: int(most * (1 - positive))]
-            good, bad = good[(p[good] >= sure) & left[good]], bad[(p[bad] <= 1 - sure) & left[bad]]
+            free = np.flatnonzero(left)
+            good = free[np.argsort(-p[free], kind="stable")][: int(most * positive)]
+            bad = free[np.argsort(p[free], kind="stable")][: int(most * (1 - positive))]
+            good, bad = good[p[good] >= sure], bad[p[bad] <= 1 - sure]
             given.append((np.concatenate([good, bad]), np.concatenate([np.ones(len(good)), np.zeros(len(bad))])))
         for v, (rows, labels) in enumerate(given):
             other = 1 - v
