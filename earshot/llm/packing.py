@@ -18,8 +18,9 @@ from pyspark.sql.window import Window
 from earshot.llm.common import checkpointed, python_batches
 from earshot.llm.tokens import word_tokenizer
 
-#: Completions tried for one largest length, and decisions made in all, before the best packing so far is taken.
-BRANCHES, NODES = 4, 4_000
+#: Decisions of the search, and twice the number of different lengths more, before the best packing so far is taken; and
+#: fillings that are looked at for each of these decisions, on the whole.
+NODES, LOOKS = 4_000, 20
 #: Pieces of one length that are numbered in one window, about.
 BUCKET_ROWS = 50_000
 
@@ -41,16 +42,14 @@ def lower_bound(hist: dict[int, int], capacity: int) -> int:
     size = np.zeros(capacity + 1, np.int64)
     for length, n in hist.items():
         size[length] = n
-    words = size * np.arange(capacity + 1)
-    n_upto, w_upto, half = np.cumsum(size), np.cumsum(words), capacity // 2
-    best = -(-int(w_upto[-1]) // capacity)
-    for k in range(1, half + 1):
-        alone = n_upto[-1] - n_upto[capacity - k]
-        large = n_upto[capacity - k] - n_upto[half]
-        room = large * capacity - (w_upto[capacity - k] - w_upto[half])
-        more = w_upto[half] - w_upto[k - 1] - room
-        best = max(best, int(alone + large + max(0, -(-int(more) // capacity))))
-    return best
+    n_upto, w_upto, half = np.cumsum(size), np.cumsum(size * np.arange(capacity + 1)), capacity // 2
+    k = np.arange(1, half + 1)
+    alone = n_upto[-1] - n_upto[capacity - k]
+    large = n_upto[capacity - k] - n_upto[half]
+    room = large * capacity - (w_upto[capacity - k] - w_upto[half])
+    more = w_upto[half] - w_upto[k - 1] - room
+    each = alone + large + np.maximum(0, -(-more // capacity))
+    return max(-(-int(w_upto[-1]) // capacity), int(each.max(initial=0)))
 
 
 def best_fit(hist: dict[int, int], capacity: int) -> list[Pattern]:
@@ -88,129 +87,151 @@ def best_fit(hist: dict[int, int], capacity: int) -> list[Pattern]:
     return [Pattern(items, bins) for room in open_.values() for items, bins in room]
 
 
-def _completions(lengths: np.ndarray, counts: np.ndarray, room: int) -> list[tuple[int, ...]]:
-    """Undominated sets of pieces for `room`, least waste first: more pieces only where they waste less than fewer do.
+class _Fillings:
+    """The undominated multisets of the pieces left that fit into `room`, least waste first, made one at a time.
 
-    lengths: ascending, those that are left; counts: how many of each.
+    reach[i] holds, as the bits of one number, the sums up to `room` that pieces of the i shortest lengths give. So for
+    each waste the walk from the longest length down enters no path that does not end in a filling of just that sum.
     """
-    n = int(np.searchsorted(lengths, room, "right"))
-    if not n:
-        return [()]
-    fit, have = lengths[:n], counts[:n]
-    found = [(room - int(fit[-1]), (int(fit[-1]),))]
-    least = found[0][0]
-    if least:
-
-        def second(rest: np.ndarray, first_at: np.ndarray) -> np.ndarray:
-            """Where in fit the largest piece for rest stands that isn't above the first and is left beside it; -1: none."""
-            j = np.minimum(np.searchsorted(fit, rest, "right") - 1, first_at)
-            return np.where((j == first_at) & (have[np.maximum(j, 0)] < 2), j - 1, j)
-
-        at = np.arange(n)
-        j = second(room - fit, at)
-        waste = np.where(j >= 0, room - fit - fit[np.maximum(j, 0)], room)
-        for i in np.lexsort((-fit, waste))[:BRANCHES]:
-            if waste[i] < least:
-                found.append((int(waste[i]), (int(fit[i]), int(fit[j[i]]))))
-        least = min(least, int(waste.min()))
-        if least:
-            for i in range(n - 1, max(-1, n - 33), -1):
-                rest = room - int(fit[i])
-                m = min(int(np.searchsorted(fit, rest, "right")), i + 1)
-                if m < 1:
-                    continue
-                b = np.arange(m)
-                if have[i] < 2 and m == i + 1:
-                    b = b[:-1]
-                k = np.minimum(np.searchsorted(fit, rest - fit[b], "right") - 1, b)
-                k = np.where((k == b) & (have[b] < 2 + (b == i)), k - 1, k)
-                ok = k >= 0
-                if ok.any():
-                    w = np.where(ok, rest - fit[b] - fit[np.maximum(k, 0)], room)
-                    t = int(w.argmin())
-                    if w[t] < least:
-                        least = int(w[t])
-                        found.append((least, (int(fit[i]), int(fit[b[t]]), int(fit[k[t]]))))
-                        if not least:
-                            break
-        if least:  # many small pieces: the largest that fits, again and again
-            rest, left, chosen = room, dict(zip(fit.tolist(), have.tolist())), []
-            for x in fit[::-1].tolist():
-                take = min(rest // x, left[x])
-                chosen += [x] * take
-                rest -= take * x
-            if rest < least:
-                found.append((rest, tuple(chosen)))
-    found.sort(key=lambda f: (f[0], len(f[1])))
-    return [s for _, s in found[:BRANCHES]]
-
-
-def bin_completion(hist: dict[int, int], capacity: int, nodes: int = NODES) -> list[Pattern]:
+
+    def __init__(self, lengths: list[int], counts: list[int], room: int):
+        n = bisect_right(lengths, room)
+        self.lengths, self.counts, self.room, self.every = lengths[:n], counts[:n], room, (1 << room + 1) - 1
+        self.reach = [1]
+        for length, have in zip(self.lengths, self.counts):
+            sums, have, step = self.reach[-1], min(have, room // length), 1
+            while have > 0:  # 1, 2, 4, ... pieces together, and the rest
+                step = min(step, have)
+                sums |= sums << step * length & self.every
+                have, step = have - step, 2 * step
+            self.reach.append(sums)
+
+    def upto(self, waste: int, looks: list[int]) -> Iterator[tuple[int, tuple[tuple[int, int], ...]]]:
+        """(waste, ((length, how many), ...)) of undominated fillings that waste this much at most.
+
+        looks: how many fillings may still be looked at, counted down here.
+        """
+        for w in range(min(waste, self.room) + 1):
+            if self.reach[-1] >> self.room - w & 1:
+                for items in self._exact(len(self.lengths), self.room - w):
+                    looks[0] -= 1
+                    if looks[0] < 0:
+                        return
+                    if not self.dominated(items, w):
+                        yield w, items
+
+    def _exact(self, n: int, total: int) -> Iterator[tuple[tuple[int, int], ...]]:
+        if not total:
+            yield ()
+            return
+        for i in range(min(n, bisect_right(self.lengths, total)) - 1, -1, -1):
+            if not self.reach[i + 1] >> total & 1:
+                return  # nor do fewer lengths give it
+            length = self.lengths[i]
+            for k in range(min(self.counts[i], total // length), 0, -1):
+                if self.reach[i] >> total - k * length & 1:
+                    for rest in self._exact(i, total - k * length):
+                        yield ((length, k), *rest)
+
+    def dominated(self, items: tuple[tuple[int, int], ...], waste: int) -> bool:
+        """Whether a piece left out can take the place of some of the pieces, or of none, that are no longer together.
+
+        Then the filling with that piece is as good in any packing, as the pieces go where it was. A piece in the place
+        of one as long changes nothing and does not count.
+        """
+        used = dict(items)
+        sums, several = 1, 0  # of any pieces; of two at least
+        single = 0
+        for length, k in items:
+            for _ in range(k):
+                several |= (several | single) << length
+                single |= 1 << length
+                sums |= sums << length
+        below, have = (sums << 1, 1) if waste else (0, 0)  # sums and up to `waste` more, at least one
+        while have < waste:
+            step = min(have, waste - have)
+            below, have = below | below << step, have + step
+        for length, have in zip(self.lengths, self.counts):
+            if have > used.get(length, 0) and (below | several) >> length & 1:
+                return True
+        return False
+
+
+def bin_completion(hist: dict[int, int], capacity: int, nodes: int | None = None) -> list[Pattern]:
     """Few sequences of at most `capacity` for hist (length to count): the fewest, or the best found in `nodes` decisions.
 
-    The largest piece left is completed to a bin, and the bin repeated as often as its pieces are left. Completions are
-    tried by waste; a branch ends when its waste exceeds what the best packing so far allows. The first such packing is
-    best-fit decreasing, and so is the end of each branch. The lower bound ends the search.
+    The largest piece left is completed to a bin by each undominated filling in turn, least waste first, the bin made as
+    often as its pieces are left, and on the way back once. A branch ends where its waste, or the lower bound of what it
+    leaves, forbids fewer bins than the best packing so far has, or where the same pieces were left after as few bins
+    before. The first such packing is best-fit decreasing, and now and then a branch is ended by it. The lower bound
+    ends the search, so without the limits (`nodes`, None: NODES and twice the number of lengths; LOOKS) it is exact.
     """
     hist = {k: n for k, n in hist.items() if n}
     if not hist:
         return []
+    nodes = NODES + 2 * len(hist) if nodes is None else nodes
     total = sum(k * n for k, n in hist.items())
     bound = lower_bound(hist, capacity)
     best = best_fit(hist, capacity)
     bins_of = lambda p: sum(x.bins for x in p)
     fewest = bins_of(best)
-    counts = np.zeros(capacity + 1, np.int64)
-    for k, n in hist.items():
-        counts[k] = n
+    if fewest == bound:
+        return best
+    left = dict(sorted(hist.items()))
     path: list[Pattern] = []
+    seen: dict[int, int] = {}
+    wasted, used, made = 0, 0, 0
+    looks = [LOOKS * nodes]
 
     def branches() -> Iterator[Pattern]:
-        lengths = np.flatnonzero(counts)
-        largest = int(lengths[-1])
-        counts[largest] -= 1
-        lengths = np.flatnonzero(counts)
-        sets = _completions(lengths, counts[lengths], capacity - largest)
-        counts[largest] += 1
-        for s in sets:
-            items = Counter((largest, *s))
-            yield Pattern(tuple(sorted(items.items(), reverse=True)), min(int(counts[k]) // n for k, n in items.items()))
-
-    def room_of(p: Pattern) -> int:
-        return (capacity - sum(k * n for k, n in p.items)) * p.bins
+        """Bins of the largest piece left; what may be wasted is asked again after each, as `fewest` falls."""
+        lengths = [k for k, n in left.items() if n]
+        largest = lengths[-1]
+        counts = [left[k] for k in lengths]
+        counts[-1] -= 1
+        allowed = (fewest - 1) * capacity - total - wasted
+        if allowed < 0:
+            return
+        for w, items in _Fillings(lengths, counts, capacity - largest).upto(allowed, looks):
+            mine = dict(items)
+            mine[largest] = mine.get(largest, 0) + 1
+            whole = tuple(sorted(mine.items(), reverse=True))
+            often = min(left[k] // n for k, n in whole)
+            for bins in {often: 0, 1: 0}:
+                yield Pattern(whole, bins)
+            if w > (fewest - 1) * capacity - total - wasted:
+                return
 
     def change(p: Pattern, sign: int) -> None:
+        nonlocal wasted, used
         for k, n in p.items:
-            counts[k] += sign * n * p.bins
+            left[k] += sign * n * p.bins
+        wasted -= sign * (capacity - sum(k * n for k, n in p.items)) * p.bins
+        used -= sign * p.bins
 
-    wasted, used, made = 0, 0, 0
-    stack = [branches()] if fewest > bound else []
+    stack = [branches()]
     while stack and made < nodes and fewest > bound:
         p = next(stack[-1], None)
         if p is None:
             stack.pop()
             if path:
-                last = path.pop()
-                change(last, 1)
-                wasted, used = wasted - room_of(last), used - last.bins
-            continue
-        if wasted + room_of(p) > (fewest - 1) * capacity - total:
+                change(path.pop(), 1)
             continue
         made += 1
         change(p, -1)
         path.append(p)
-        wasted, used = wasted + room_of(p), used + p.bins
-        if not counts.any():
-            if used < fewest:
-                best, fewest = list(path), used
-            last = path.pop()
-            change(last, 1)
-            wasted, used = wasted - room_of(last), used - last.bins
+        rest = {k: n for k, n in left.items() if n}
+        if not rest and used < fewest:
+            best, fewest = list(path), used
+        state = hash(tuple(left.values()))
+        if not rest or wasted > (fewest - 1) * capacity - total or seen.get(state, used + 1) <= used or used + lower_bound(rest, capacity) >= fewest:
+            change(path.pop(), 1)
             continue
-        if made % 64 == 0:
-            rest = best_fit({int(k): int(counts[k]) for k in np.flatnonzero(counts)}, capacity)
-            if used + bins_of(rest) < fewest:
-                best, fewest = [*path, *rest], used + bins_of(rest)
+        seen[state] = used
+        if made % 64 == 1:
+            filled = best_fit(rest, capacity)
+            if used + bins_of(filled) < fewest:
+                best, fewest = [*path, *filled], used + bins_of(filled)
         stack.append(branches())
     return best
 
@@ -232,7 +253,7 @@ def slots(patterns: list[Pattern]) -> dict[int, np.ndarray]:
 
 def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Pieces (doc_id, piece, start, length, ids_crc32) of each document's ids and then end_id; with_ids adds ids, 32 bit each."""
-    python_batches(docs.sparkSession)
+    python_batches(docs.sparkSession, rows=4000)
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = dict(slim.dtypes)["doc_id"]
     last = np.array([end_id], "<u4").tobytes()
@@ -241,8 +262,8 @@ def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int = 1,
         tokenizer = word_tokenizer(vocabulary)
         for b in batches:
             rows, piece, start, length, crc, parts = [], [], [], [], [], []
-            for i, text in enumerate(b.column(1).to_pylist()):
-                ids = tokenizer.ids(text) + last
+            for i, encoded in enumerate(tokenizer.encode(b.column(1))):
+                ids = bytes(encoded) + last
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append(i), piece.append(k), start.append(at // 4), length.append(len(part) // 4), crc.append(zlib.crc32(part))
@@ -258,7 +279,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int = 1,
     return slim.mapInArrow(encode, f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
-def pack_pieces(pieces: DataFrame, capacity: int, nodes: int = NODES) -> DataFrame:
+def pack_pieces(pieces: DataFrame, capacity: int, nodes: int | None = None) -> DataFrame:
     """pieces with sequence_id and offset. pieces: doc_id, piece, length (1 to capacity), and more.
 
     Pieces of one length are interchangeable, so the search sees only how many there are of each length: at most

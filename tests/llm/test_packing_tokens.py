@@ -1,16 +1,21 @@
+import itertools
+import json
+import operator
 import random
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from earshot.llm.packing import best_fit, bin_completion, lower_bound, pack, slots
+from earshot.llm import tokens
+from earshot.llm.packing import _Fillings, best_fit, bin_completion, lower_bound, pack, slots
 from earshot.llm.token_counts import at_limit, context_limits, length_histogram, token_lengths
-from earshot.llm.tokens import byte_tokenizer, word_tokenizer
+from earshot.llm.tokens import WordTokenizer, byte_tokenizer, word_tokenizer
 
 WORD, BYTE = str(public_tokenizers.path("word_bpe_49k.json")), str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
@@ -55,6 +60,42 @@ def test_few_items_by_brute_force(items):
     assert n == best
 
 
+def test_completion_gains_where_best_fit_misses_the_bound():
+    rng, n, gained = np.random.default_rng(0), 0, 0
+    while n < 300:
+        items = rng.integers(2, 31, rng.integers(8, 13)).tolist()
+        hist = dict(Counter(items))
+        by_best_fit = valid(hist, best_fit(hist, 30), 30)
+        if by_best_fit > lower_bound(hist, 30):
+            n += 1
+            found = valid(hist, bin_completion(hist, 30), 30)
+            assert found == fewest(sorted(items, reverse=True), 30)
+            gained += found < by_best_fit
+    assert gained > 30
+    hist = dict(Counter(rng.integers(1000, 1700, 3000).tolist()))
+    assert valid(hist, bin_completion(hist, 4096), 4096) < 0.95 * valid(hist, best_fit(hist, 4096), 4096)
+
+
+def test_fillings_are_the_undominated_ones():
+    rng = np.random.default_rng(1)
+    for _ in range(60):
+        lengths = sorted(rng.choice(np.arange(1, 14), 5, replace=False).tolist())
+        counts, room = rng.integers(1, 3, 5).tolist(), int(rng.integers(1, 25))
+        sets = [s for s in itertools.product(*(range(c + 1) for c in counts)) if sum(map(operator.mul, s, lengths)) <= room]
+
+        def parts(s, t):  # whether the pieces of s can be put into bins as large as those of t, each at most once
+            items = [x for x, k in zip(lengths, s) for _ in range(k)][::-1]
+
+            def go(i, bins):
+                return i == len(items) or any(bins[j] >= items[i] and go(i + 1, bins[:j] + [bins[j] - items[i]] + bins[j + 1 :]) for j in range(len(bins)))
+
+            return go(0, [x for x, k in zip(lengths, t) for _ in range(k)])
+
+        want = {s for s in sets if not any(t != s and parts(s, t) for t in sets)}
+        got = [tuple(dict(items).get(x, 0) for x in lengths) for _, items in _Fillings(lengths, counts, room).upto(room, [10**6])]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_many_items_reach_the_bound():
     rng = np.random.default_rng(0)
     for draw in (lambda: rng.integers(1000, 4000, 20_000), lambda: np.clip(np.exp(rng.normal(5.8, 1.1, 20_000)).astype(int) + 1, 1, 4096)):
@@ -134,6 +175,27 @@ def test_word_ids_of_any_text(x):
     assert np.frombuffer(t.ids(x), "<u4").tolist() == t._tokenizer.encode(x, add_special_tokens=False).ids
 
 
+def test_word_ids_with_little_memory_and_long_texts(monkeypatch):
+    monkeypatch.setattr(tokens, "MEMO_BYTES", 2000)
+    monkeypatch.setattr(tokens, "SEGMENT", 400)
+    rng = random.Random(4)
+    t = WordTokenizer(WORD)
+    texts = [*ODD, None, " ".join("".join(rng.choice("abcdé,.Z") for _ in range(rng.randint(1, 9))) for _ in range(3000)), "x" * 3000, "y" * 70 + " a\x1cb " + "z " * 500]
+    for _ in range(2):
+        for x, ids in zip(texts, t.encode(pa.array(texts, pa.string()))):
+            assert np.frombuffer(ids, "<u4").tolist() == t._tokenizer.encode(x or "", add_special_tokens=False).ids
+    assert t.encode(pa.array([], pa.string())) == []
+
+
+def test_another_vocabulary_goes_by_its_own_rules(tmp_path):
+    described = json.load(open(WORD, encoding="utf-8"))
+    described["normalizer"]["normalizers"].pop()  # keeps upper case
+    path = tmp_path / "v.json"
+    path.write_text(json.dumps(described))
+    t = WordTokenizer(str(path))
+    assert np.frombuffer(t.ids("The Cat, a DOG"), "<u4").tolist() == Tokenizer.from_file(str(path)).encode("The Cat, a DOG", add_special_tokens=False).ids
+
+
 def test_token_counts_by_brute_force(odd_docs, no_docs):
     bpe = byte_tokenizer(BYTE)
     lengths = token_lengths(odd_docs, BYTE, keep=("lang", "doc_id"))
