@@ -46,6 +46,8 @@ SECTION_WORDS = frozenset(
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 KEPT = frozenset("html body main article p".split()) | HEADINGS
 HEADER_WORDS = frozenset(("header", "head"))
+#: Elements that end what is open as blocks do, but begin no block.
+CELLS = frozenset(("td", "th"))
 #: Names of elements that hold an article.
 HOLDERS = frozenset("article main".split())
 
@@ -53,88 +55,122 @@ _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)[^>]*>",
     re.S,
 )
+_OPEN_END = re.compile(r"<!--.*\Z|<!\[CDATA\[.*\Z", re.S)
 _ATTR = re.compile(r"([a-zA-Z:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+class _Open:
+    """The open elements. Where the last one of a name, or the last block, is found at once, so that any end tag, also
+    one of many without a begin, costs no more than what it closes."""
+
+    def __init__(self):
+        self.nodes, self.names, self.blocks = [0], ["#"], []
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, node: int, name: str) -> None:
+        place = len(self.nodes)
+        self.nodes.append(node)
+        self.names.append(name)
+        self.places.setdefault(name, []).append(place)
+        if name in BLOCK or name in CELLS:
+            self.blocks.append(place)
+
+    def last(self, names) -> int:
+        """The place of the last open element of one of these names; 0 without any."""
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=0)
+
+    def last_block(self, but: str | None = None) -> int:
+        i = len(self.blocks) - 1
+        while i >= 0 and self.names[self.blocks[i]] == but:
+            i -= 1
+        return self.blocks[i] if i >= 0 else 0
+
+    def cut(self, place: int) -> None:
+        """Closes the element at this place and all in it."""
+        while len(self.nodes) > place:
+            at = len(self.nodes) - 1
+            self.nodes.pop()
+            self.places[self.names.pop()].pop()
+            if self.blocks and self.blocks[-1] == at:
+                self.blocks.pop()
+
+
 class _Page:
     """Nodes in page order, so that a subtree is a range; node 0 is the root. pieces: (node, text), text None: a new block."""
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, by_words: bool = True):
         self.tag, self.parent, self.out, self.pieces = ["#"], [-1], [False], []
-        stack = [0]
-        at, find = 0, _TAG.search
+        self.by_words, self.open = by_words, _Open()
+        stack = self.open
+        at, find, last = 0, _TAG.search, source.rfind(">")
         while True:
-            m = find(source, at)
+            # After the last > only an open comment, declaration or CDATA section can begin something.
+            m = find(source, at) if at <= last else _OPEN_END.search(source, at)
             text = source[at : m.start()] if m else source[at:]
             if text:
-                self.pieces.append((stack[-1], html.unescape(text) if "&" in text else text))
+                self.pieces.append((stack.nodes[-1], html.unescape(text) if "&" in text else text))
             if not m:
                 break
             at = m.end()
-            name = m[2] or m[5]
+            name = (m[2] or m[5]) if m.re is _TAG else None
             if not name:
                 if m[0].startswith("<![CDATA["):
-                    self.pieces.append((stack[-1], m[0][9:].removesuffix("]]>")))
+                    self.pieces.append((stack.nodes[-1], m[0][9:].removesuffix("]]>")))
                 continue
             name = name.lower()
             if m[1] or m[4]:
-                self._close(stack, name)
+                self._end(name)
                 continue
-            self._open(stack, name, m[3] or "")
+            self._begin(name, m[3] or "")
             if name in RAW:
                 end = re.compile(rf"</{name}\b[^>]*>?", re.I).search(source, at)
                 at = end.end() if end else len(source)
                 self.out[-1] = True
-                stack.pop()
+                stack.cut(len(stack.nodes) - 1)
             elif name in VOID:
-                self.pieces.append((stack[-1], " "))
-                stack.pop()
+                self.pieces.append((self.parent[-1], " "))
+                stack.cut(len(stack.nodes) - 1)
 
-    def _open(self, stack: list[int], name: str, attributes: str) -> None:
-        tag = self.tag
+    def _begin(self, name: str, attributes: str) -> None:
+        stack = self.open
         if name in ENDS:
             ends, stop = ENDS[name]
-            for i in range(len(stack) - 1, 0, -1):
-                if tag[stack[i]] in ends:
-                    del stack[i:]
-                    break
-                if tag[stack[i]] in stop:
-                    break
-        if name in BLOCK:
-            for i in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph, and what is open inside it
-                if tag[stack[i]] == "p":
-                    del stack[i:]
-                    break
-                if tag[stack[i]] in BLOCK or tag[stack[i]] in ("td", "th"):
-                    break
-        if name in ("body", "html") and name in (tag[i] for i in stack):
+            place = stack.last(ends)
+            if place > stack.last(stop):
+                stack.cut(place)
+        if name in BLOCK:  # a block ends an open paragraph, and what is open inside it
+            place = stack.last(("p",))
+            if place > stack.last_block(but="p"):
+                stack.cut(place)
+        if name in ("body", "html") and stack.last((name,)):
             name = "span"
-        tag.append(name)
-        self.parent.append(stack[-1])
-        self.out.append(self._is_out(name, attributes))
-        stack.append(len(tag) - 1)
+        node = len(self.tag)
+        self.tag.append(name)
+        self.parent.append(stack.nodes[-1])
+        self.out.append(self._is_out(name, attributes, self.by_words))
+        stack.push(node, name)
+        if name in BLOCK:
+            self.pieces.append((node, None))
+        elif name in CELLS:
+            self.pieces.append((node, " "))
+
+    def _end(self, name: str) -> None:
+        stack = self.open
+        place = stack.last((name,))
+        inline = name not in BLOCK and name not in CELLS
+        if not place or inline and place < stack.last_block():
+            return
         if name in BLOCK:
-            self.pieces.append((stack[-1], None))
-        elif name in ("td", "th"):
-            self.pieces.append((stack[-1], " "))
-
-    def _close(self, stack: list[int], name: str) -> None:
-        inline = name not in BLOCK and name not in ("td", "th", "table")
-        for i in range(len(stack) - 1, 0, -1):
-            t = self.tag[stack[i]]
-            if t == name:
-                if name in BLOCK:
-                    self.pieces.append((self.parent[stack[i]], None))
-                del stack[i:]
-                return
-            if inline and t in BLOCK:
-                return
+            self.pieces.append((self.parent[stack.nodes[place]], None))
+        stack.cut(place)
 
     @staticmethod
-    def _is_out(name: str, attributes: str):
-        """True: out whatever it holds. 1: out unless it holds the article or its heading. 2: or is a section of text."""
+    def _is_out(name: str, attributes: str, by_words: bool):
+        """True: out whatever it holds. 1: out unless it holds the article or its heading. 2: or is a section of text.
+
+        by_words False: words of class and id count for nothing."""
         if name in OUT_TAGS:
             return True
         found = 1 if name == "header" else False
@@ -155,6 +191,8 @@ class _Page:
                 return True
         if re.search(r"(?:^|\s)hidden(?:\s|$)", re.sub(r"=\s*(?:\"[^\"]*\"|'[^']*'|\S+)", "", attributes)):
             return True
+        if not by_words:
+            return found
         if name not in KEPT and (words & OUT_WORDS or words & HEADER_WORDS or any(w.startswith(OUT_STARTS) for w in words)):
             named = words & (OUT_WORDS | HEADER_WORDS)
             clear = named - SECTION_WORDS or any(w.startswith(OUT_STARTS) for w in words) or found
@@ -165,22 +203,27 @@ class _Page:
 
 def _sections(p: _Page, end: list[int]) -> set[int]:
     """Nodes named like a part that is no article (2) which are sections of text: a section or with a heading of its
-    own, or in the article with a paragraph, and no more than half of its characters in links."""
+    own, or in the article with a paragraph, or with more than half of the page's characters outside links; and no more
+    than half of its characters in links."""
     n = len(p.tag)
+    gone = [False] * n  # in what is out whatever it holds
+    for i in range(1, n):
+        gone[i] = p.out[i] is True or gone[p.parent[i]]
     link, inside, sums = [False] * n, [False] * n, [[0] * (n + 1) for _ in range(3)]
     for i in range(1, n):
         link[i] = p.tag[i] == "a" or link[p.parent[i]]
         inside[i] = p.tag[i] in HOLDERS and not p.out[i] or inside[p.parent[i]]
         sums[2][i + 1] = p.tag[i] in HEADINGS or p.tag[i] == "p" and inside[i]
     for i, text in p.pieces:
-        if text and p.out[i] is not True:
+        if text and not gone[i]:
             c = len(text.strip())
             sums[0][i + 1] += c
             sums[1][i + 1] += c * link[i]
     chars, links, headings = (list(itertools.accumulate(x)) for x in sums)
+    half = (chars[n] - links[n]) / 2
     return {
         i for i in range(1, n)
-        if p.out[i] == 2 and (p.tag[i] == "section" or headings[end[i]] > headings[i])
+        if p.out[i] == 2 and (p.tag[i] == "section" or headings[end[i]] > headings[i] or chars[end[i]] - chars[i] - links[end[i]] + links[i] > half)
         and chars[end[i]] > chars[i] and 2 * (links[end[i]] - links[i]) <= chars[end[i]] - chars[i]
     }
 
@@ -240,6 +283,13 @@ def _main_nodes(p: _Page) -> tuple[list[bool], list[tuple[int, int]]]:
             up.append(parent[up[-1]])
         return up
 
+    children: list[list[int]] = [[] for _ in range(n)]
+    for i in range(1, n):
+        children[parent[i]].append(i)
+
+    def as_dense(up: int) -> list[int]:
+        return [i for i in children[up] if i != top and not out[i] and tag[i] in BLOCK and density[i] >= threshold and chars[i] > 2 * link_chars[i]]
+
     threshold = min(density[i] for i in path(best))
     holders = [i for i in path(best) if tag[i] in HOLDERS]
     if holders:  # the outermost article, or else main
@@ -249,15 +299,17 @@ def _main_nodes(p: _Page) -> tuple[list[bool], list[tuple[int, int]]]:
     top = best
     while top != body:  # sections beside the best one that are as dense as its path to the body
         up = parent[top]
-        beside = [i for i in range(up + 1, end[up]) if parent[i] == up and i != top and not out[i] and tag[i] in BLOCK and density[i] >= threshold and chars[i] > 2 * link_chars[i]]
-        if up == body or not beside:
+        if up == body or not as_dense(up):
             break
         top = up
     if tag[top] in ("p", "b", "i", "em", "strong", "span", "blockquote", "li", "ul", "ol") and parent[top] > 0 and top != body:
         top = parent[top]
     ranges = [(top, end[top])]
     if top != body and parent[top] == body:
-        ranges += [(i, end[i]) for i in range(body + 1, end[body]) if parent[i] == body and i != top and not out[i] and tag[i] in BLOCK and density[i] >= threshold and chars[i] > 2 * link_chars[i]]
+        ranges += [(i, end[i]) for i in as_dense(body)]
+    titles = [i for i in range(body, end[body]) if tag[i] == "h1" and not out[i] and chars[i] > 2 * link_chars[i]]
+    if len(titles) == 1 and not any(a <= titles[0] < b for a, b in ranges):  # the page's heading, where it stands apart
+        ranges.append((titles[0], end[titles[0]]))
     return out, sorted(ranges)
 
 
@@ -265,21 +317,31 @@ def main_text(source: str | None) -> str:
     """Main text of a page's whole html: its blocks in page order, one a line; "" if there is none.
 
     What is never an article (by tag, role, or a word of class or id) is left out first, unless it holds the page's
-    heading or article; headings and paragraphs never go by a word, and a section of text not by one that an article's
-    own sections have, too. Each node's density is its characters per tag, lowered by the share of links; the subtree whose
+    heading or article; headings and paragraphs never go by a word, and a section of text, or what has most of the
+    page's text, not by one that an article's own sections have, too. Where nothing is left, words count for nothing. Each node's density is its characters per tag, lowered by the share of links; the subtree whose
     children's densities have the largest sum is the main one. The least density on its path to the body is the
-    threshold for sections beside it; an enclosing article or main element is taken whole.
+    threshold for sections beside it; an enclosing article or main element is taken whole. The page's one h1 is added.
     """
     if not source or source.isspace():
         return ""
-    p = _Page(source)
+    page = _Page(source)
+    text = _text(page)
+    if not text and any(type(x) is int for x in page.out):
+        text = _text(_Page(source, by_words=False))
+    return text
+
+
+def _text(p: _Page) -> str:
     out, ranges = _main_nodes(p)
+    inside = [False] * len(p.tag)
+    for a, b in ranges:
+        inside[a:b] = [True] * (b - a)
     blocks, now = [], []
     for i, text in p.pieces:
         if text is None:
             blocks.append(now)
             now = []
-        elif not out[i] and any(a <= i < b for a, b in ranges):
+        elif inside[i] and not out[i]:
             now.append(text)
     blocks.append(now)
     lines = (" ".join("".join(b).split()) for b in blocks if b)

@@ -1,12 +1,15 @@
 import hashlib
+import itertools
 import random
+import time
 import zlib
 
 import numpy as np
 import pytest
 from conftest_llm import prose
+from pyspark.sql import functions as F
 
-from earshot.llm import html, quality, syncmers, toxicity
+from earshot.llm import common, html, quality, syncmers, toxicity
 
 PAGE = """<html><head><title>T</title><style>p{margin:0}</style><script>var t="</p><p>no</p>";</script></head><body class="home">
 <header><div>My Site</div><ul><li><a href=/>Home</a><li><a href=/b>Blog</a></ul></header><nav><a href=/x>Menu entry</a></nav><div id="cookie-notice">We use cookies, ok?</div>
@@ -60,6 +63,72 @@ def test_html_odd(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, html string")).count() == 0
 
 
+def test_html_text_in_a_part_named_like_no_article():
+    talk = "".join(f"<p>Sentence number {i} of what the page is about.</p>" for i in range(30))
+    want = [f"Sentence number {i} of what the page is about." for i in range(30)]
+    assert html.main_text(f'<body><h1>T</h1><p>short</p><div class="discussion">{talk}</div></body>').split("\n")[-30:] == want
+    assert html.main_text(f'<body><h1>T</h1><div class="discussion">{talk}</div></body>') == "\n".join(["T", *want])
+    assert html.main_text('<body><div class="sidebar"><p>All there is.</p></div><script>x</script></body>') == "All there is."
+    assert html.main_text(f'<body><div class=story><h1>T</h1>{talk}</div><div class="comments">{talk}{talk}</div></body>') == "\n".join(["T", *want])
+
+
+@pytest.mark.parametrize("begin, again", [("", "</i>"), ("<i><div>", "</i>"), ("<div>", "<li>x</li>"), ("<p>", "<div>x</div>"), ("", "<a <b "), ("", "</td>"), ("<table>", "</tr><td>")])
+def test_html_of_many_tags_is_linear(begin, again):
+    def seconds(n):
+        page = begin + "<b>" * n + again * n + "end"
+        t = time.process_time()
+        assert html.main_text(page)
+        return time.process_time() - t
+
+    seconds(2000)
+    assert seconds(40_000) < 100 * max(0.01, seconds(2000))
+
+
+def slow_tree(source: str) -> list[tuple[str, str]]:
+    """(path, text) of a well-formed page by the standard library's parser."""
+    from html.parser import HTMLParser
+
+    out: list[tuple[str, str]] = []
+
+    class P(HTMLParser):
+        path: list[str] = []
+
+        def handle_starttag(self, tag, attrs):
+            if tag not in html.VOID:
+                self.path = [*self.path, tag]
+
+        def handle_endtag(self, tag):
+            self.path = self.path[:-1]
+
+        def handle_data(self, data):
+            out.append(("/".join(self.path), data))
+
+    P().feed(source)
+    return out
+
+
+def test_tree_equals_a_plain_parser():
+    """Random well-formed trees: each text is in the same path of elements as another parser has it in."""
+    rng = random.Random(6)
+
+    def tree(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return rng.choice(["one &amp; two", "x", "&lt;y&gt; z", "<!-- c -->w<br>v"])
+        name = rng.choice(["div", "span", "section", "b", "a", "blockquote", "em"])
+        return f'<{name} class="k{rng.randint(0, 9)}">' + "".join(tree(depth - 1) for _ in range(rng.randint(1, 4))) + f"</{name}>"
+
+    for _ in range(200):
+        source = f"<html><body>{tree(6)}</body></html>"
+        page = html._Page(source)
+
+        def path(i, page=page):
+            return [] if i <= 0 else [*path(page.parent[i]), page.tag[i]]
+
+        got, want = [("/".join(path(i)), t) for i, t in page.pieces if t and t != " "], slow_tree(source)
+        join = lambda rows: [(k, "".join(t for _, t in g)) for k, g in itertools.groupby(rows, key=lambda r: r[0])]
+        assert join(got) == join(want)
+
+
 def toxic_docs(n=1600):
     rng, rows, labels = random.Random(5), [], []
     for i in range(n):
@@ -145,7 +214,7 @@ def test_co_training_helps_the_other_view():
     few = np.arange(3000) < 60
     accuracy = {}
     for rounds in (0, 3):
-        m = quality.co_train((a[few], b[few]), y[few], (a[~few], b[~few]), rounds, share=0.3, sure=0.95)
+        m = quality.co_train((a[few], b[few]), y[few], (a[~few], b[~few]), rounds, share=0.3)
         accuracy[rounds] = np.mean((m.views[1].logit(b[~few]) > 0) == y[~few])
     assert accuracy[3] > accuracy[0] + 0.02
     useless = quality.co_train((rng.normal(size=(400, 3)), a[:400]), y[:400], (rng.normal(size=(9, 3)), a[:9]))
@@ -164,6 +233,45 @@ def test_co_training_labels_other_rows_each_round(monkeypatch):
     assert len(other) == 4 and all(b - a >= 195 for a, b in zip(other, other[1:])), other
 
 
+def test_both_views_teach():
+    """Each of two independent views knows something; both give labels, which are mostly right, and the model gains."""
+    rng = np.random.default_rng(8)
+    y = rng.integers(0, 2, 6000)
+    views = [rng.normal(0, 1, (6000, 12)) + y[:, None] * 0.7 for _ in range(2)]
+    few, rest = np.arange(6000) < 500, np.arange(6000) >= 3000
+    pool = ~few & ~rest
+    right = {}
+    for rounds in (0, 3):
+        m = quality.co_train(tuple(v[few] for v in views), y[few], tuple(v[pool] for v in views), rounds, share=0.3)
+        right[rounds] = np.mean((m.score(views[0][rest], views[1][rest]) > 0.5) == y[rest])
+    assert len(m.taught) == 3 and all(sum(t) > 300 for t in zip(*m.taught)), m.taught
+    assert right[3] >= right[0] - 0.002 and right[3] > 0.95, right
+
+
+def test_words_decide_where_shapes_are_alike(spark):
+    """The text view knows words: two classes with the same surface, told by their vocabulary."""
+    rng, rows, labels = random.Random(12), [], []
+    for i in range(1500):
+        good = i % 3 != 0
+        text = " ".join(rng.choice(["reason", "letter", "garden", "wonder"] if good else ["casino", "payday", "lotter", "prizes"]) if rng.random() < 0.3 else rng.choice(["common", "anyone", "little"]) for _ in range(60))
+        rows.append((i, text, "en", "a", len(text)))
+        labels.append((i, int(good), 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = quality.quality(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    held = [r for r in got if zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2]
+    assert np.mean([r["keep"] == (r["doc_id"] % 3 != 0) for r in held]) > 0.98
+
+
+def test_sample_by_hash_holds_at_any_size(spark):
+    df = spark.range(20_000).select(F.xxhash64("id").alias("h"))
+    for rows in (1, 100, 19_999):
+        assert abs(common.sample_by_hash(df, "h", rows, 20_000).count() - rows) <= 6 * rows**0.5 + 6
+    assert common.sample_by_hash(df, "h", 20_000, 20_000).count() == 20_000
+    plan = common.sample_by_hash(df, "h", 16_000, 10**15)  # one of 6e10 rows stays: far from none and from all
+    assert plan.count() == 0
+    assert (16_000 << 64) // 10**15 > 10**8
+
+
 def slow_syncmers(text: str) -> list[int]:
     p = np.array([ord(c) for c in text], np.uint64)
     out = []
