@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,10 +19,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder for intermediate results: spark.checkpoint.dir; one of this machine only if unset, as in tests."""
+    """The shared folder for intermediate results: spark.checkpoint.dir; one of this machine only if unset and the master
+    is local, as in tests. On a cluster it must be set: executors share no other folder."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="earshot-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {sc.master} share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="earshot-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -45,6 +50,10 @@ def small_join(left: DataFrame, small: DataFrame, on: list[str], how: str = "lef
     n = small.count() if rows is None else rows
     if n <= BROADCAST_ROWS:
         return left.join(F.broadcast(small), on, how)
+    return _salted_join(left, small, on, how)
+
+
+def _salted_join(left: DataFrame, small: DataFrame, on: list[str], how: str) -> DataFrame:
     (salt,) = unused(left, "salt")
     salted = left.withColumn(salt, F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)))
     copies = small.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
@@ -68,6 +77,17 @@ def hash_uniform(*cols: Column) -> Column:
     return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
+def sample_by_hash(df: DataFrame, hash_col: str, rows: int, n: int) -> DataFrame:
+    """Those of df's n rows with the least 64-bit hashes, about `rows` of them; all if there are no more.
+
+    The threshold is exact at any n. The number varies as a hash does, by a few times its root; rows of one hash stay or
+    go together, so whoever needs a strict bound must cut what repeats.
+    """
+    if n <= rows:
+        return df
+    return df.filter(F.col(hash_col) < F.lit((rows << 64) // n - (1 << 63)))
+
+
 #: Rows of a join's larger side with one key from which that key is joined by broadcast, apart from the others.
 HOT_ROWS = 10_000
 
@@ -76,13 +96,16 @@ def weighted_join(left: DataFrame, right: DataFrame, key: str, weight: str, how:
     """left joined to right, which has one row for each key and in `weight` how many rows of left have it.
 
     Keys with more than HOT_ROWS rows, at most one for each HOT_ROWS rows of left, are broadcast; the others are
-    shuffled. So no task gets all rows of a frequent key. If there are none, as is usual, it is one plain join.
+    shuffled. So no task gets all rows of a frequent key. If there are none, as is usual, it is one plain join; if there
+    are more than BROADCAST_ROWS of them, all keys are salted.
     """
     right = right.withColumnRenamed(weight, "_w")
     hot = right.filter(F.col("_w") > HOT_ROWS).drop("_w")
     n = hot.count()
-    if n == 0 or n > BROADCAST_ROWS:
+    if n == 0:
         return left.join(right.drop("_w"), key, how)
+    if n > BROADCAST_ROWS:
+        return _salted_join(left, right.drop("_w"), [key], how)
     cold = right.filter(F.col("_w") <= HOT_ROWS).drop("_w")
     keys = F.broadcast(hot.select(key))
     return left.join(F.broadcast(hot), key, "inner").unionByName(left.join(keys, key, "left_anti").join(cold, key, how))

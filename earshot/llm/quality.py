@@ -5,7 +5,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from operator import eq
 
 import numpy as np
@@ -13,20 +13,25 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from earshot.llm.common import python_batches, unused
+from earshot.llm.common import python_batches, sample_by_hash, unused
 from earshot.llm.toxicity import held_out_split
 
 #: Labelled rows, and rows without a label, that the classifiers are fitted to, about: those with the smallest hashes.
 TRAIN_ROWS, POOL_ROWS = 16_000, 16_000
-#: Rounds of co-training; in each a view labels at most this share of the pool, and only what it is so sure of.
-ROUNDS, SHARE, SURE = 3, 0.1, 0.97
+#: Rounds of co-training; in each a view labels at most this share of the pool, and of each class only rows whose
+#: probability of another class is at most this part of that class' share among the labels.
+ROUNDS, SHARE, DOUBT = 3, 0.1, 0.25
 
 TEXT_FEATURES = (
     "log_words", "word_chars", "upper", "digit", "space", "mark", "symbol", "bar", "other", "capital_words", "all_capital_words",
     "word_repeats_next", "most_frequent", "distinct", "ends_in_symbol", "lines", "line_chars", "lines_twice", "lines_with_end", "no_letters", "empty",
 )
-#: Buckets of the metadata's names (language and source).
-NAMES = 32
+#: Buckets of a text's words by hash, and words whose buckets a worker remembers.
+WORDS, KNOWN_WORDS = 128, 200_000
+#: Buckets of the metadata's names (language and source), steps of the length (four for each doubling), and buckets of
+#: language and step together.
+NAMES, STEPS, CROSSED = 32, 64, 128
+TEXT_WIDTH, METADATA_WIDTH = len(TEXT_FEATURES) + WORDS, 3 + 2 * NAMES + STEPS + CROSSED
 
 _KIND = np.full(0x250, 8, np.int8)  # 0 lower, 1 upper, 2 digit, 3 space, 4 mark, 5 symbol, 6 bar, 7 line end, 8 other
 for _c in range(0x250):
@@ -34,12 +39,32 @@ for _c in range(0x250):
     _KIND[_c] = 1 if _s.isupper() else 0 if _s.isalpha() else 2 if _s.isdigit() else 7 if _s == "\n" else 3 if _s.isspace() else 6 if _s == "|" else 4 if _s in ".,;:?'\"-()" else 5
 
 
-def text_features(text: str | None) -> list[float]:
-    """TEXT_FEATURES of a whole text: shares of kinds of characters, words and lines. Null counts as empty."""
+_bucket_of: dict[str, int] = {}
+
+
+def word_features(counts: Counter) -> np.ndarray:
+    """A text's words (lower case) by hashed buckets with signs, each by the root of its count; of length 1 in all."""
+    if len(_bucket_of) > KNOWN_WORDS:
+        _bucket_of.clear()
+    at = np.empty(len(counts), np.int64)
+    for i, word in enumerate(counts):
+        h = _bucket_of.get(word)
+        if h is None:
+            h = zlib.crc32(word.lower().encode("utf-8", "replace")) & 0xFFFF
+            if len(word) < 40:
+                _bucket_of[word] = h
+        at[i] = h
+    weight = np.sqrt(np.fromiter(counts.values(), float, len(counts))) * np.where(at & 0x8000, -1.0, 1.0)
+    out = np.bincount(at % WORDS, weight, WORDS)
+    return out / max(np.sqrt(out @ out), 1e-9)
+
+
+def text_features(text: str | None) -> np.ndarray:
+    """TEXT_FEATURES of a whole text, shares of kinds of characters, words and lines, and its words. Null counts as empty."""
     text = text or ""
     words = text.split()
     if not words:
-        return [0.0] * (len(TEXT_FEATURES) - 1) + [1.0]
+        return np.array([0.0] * (len(TEXT_FEATURES) - 1) + [1.0] + [0.0] * WORDS)
     n, w = len(text), len(words)
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     kinds = np.bincount(_KIND[np.minimum(points, 0x24F)], minlength=9) / n
@@ -49,20 +74,28 @@ def text_features(text: str | None) -> list[float]:
     shouted = sum(x.isupper() and len(x) > 1 for x in counts)
     odd = sum(c for x, c in counts.items() if not x[-1].isalnum() and x[-1] not in ".,;:?'\"-)")
     sure = min(w, 200)  # in a longer text fewer words are new
-    return [
+    shape = [
         np.log1p(w), (n - w) / w, kinds[1], kinds[2], kinds[3], kinds[4], kinds[5], kinds[6], kinds[8], capitals / len(counts), shouted / len(counts),
         sum(map(eq, words, words[1:])) / w, max(counts.values()) / w, len(counts) / w * np.sqrt(w / sure), odd / w,
         np.log1p(len(lines)), np.log1p(n / len(lines)), 1 - len(set(lines)) / len(lines), sum(x.rstrip()[-1] in ".!?" for x in lines) / len(lines), float(kinds[0] + kinds[1] < 0.3), 0.0,
     ]
+    return np.concatenate([shape, word_features(counts)])
 
 
-def metadata_features(lang: str | None, source: str | None, n_chars: float | None) -> list[float]:
-    """Length on record and hashed names of language and source; what is missing has its own place."""
-    out = [0.0] * (2 * NAMES + 3)
+def metadata_features(lang: str | None, source: str | None, n_chars: float | None) -> np.ndarray:
+    """Length on record, smooth and by steps, hashed names of language and source, and language with the step.
+
+    What is missing has its own place.
+    """
+    out = np.zeros(METADATA_WIDTH)
     known = n_chars is not None and n_chars == n_chars
-    out[0], out[1], out[2] = (np.log1p(max(0.0, n_chars)), np.log1p(max(0.0, n_chars)) ** 2 / 10, 0.0) if known else (0.0, 0.0, 1.0)
+    size = np.log1p(max(0.0, min(n_chars, 1e300))) if known else 0.0
+    step = min(STEPS - 2, int(4 * size / np.log(2))) if known else STEPS - 1
+    out[:3] = (size, size**2 / 10, 0.0) if known else (0.0, 0.0, 1.0)
     out[3 + zlib.crc32(f"lang {lang}".encode()) % NAMES] = 1.0
     out[3 + NAMES + zlib.crc32(f"source {source}".encode()) % NAMES] = 1.0
+    out[3 + 2 * NAMES + step] = 1.0
+    out[3 + 2 * NAMES + STEPS + zlib.crc32(f"{lang} {step}".encode()) % CROSSED] = 1.0
     return out
 
 
@@ -103,6 +136,7 @@ class Model:
     calibration: list[Logistic]
     combine: Logistic | None
     constant: float = 0.5
+    taught: list[tuple[int, ...]] = field(default_factory=list)
 
     def score(self, text: np.ndarray, metadata: np.ndarray) -> np.ndarray:
         if self.combine is None:
@@ -111,13 +145,20 @@ class Model:
         return 1 / (1 + np.exp(-self.combine.logit(logits)))
 
 
-def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray], rounds: int = ROUNDS, share: float = SHARE, sure: float = SURE) -> Model:
+def confirmed(p: np.ndarray, wrong: np.ndarray, most: float) -> bool:
+    """Whether of rows with a probability p of being wrong of at most `most` no larger part is (with half an error added)."""
+    sure = p <= most
+    return bool((wrong[sure].sum() + 0.5) / (sure.sum() + 1) <= most)
+
+
+def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray], rounds: int = ROUNDS, share: float = SHARE, doubt: float = DOUBT) -> Model:
     """A model from labelled rows (both views and y) and a pool without labels.
 
-    A fifth of the labelled rows is kept for calibration. In each round the calibrated view v labels the rows of the pool
-    without a label yet that it is surest of, at most `share` of the pool and in the proportion of y, none below `sure`; they join the
-    training rows of the other view. Then both are calibrated and combined on the rows kept back, so a view that
-    knows nothing gets no weight.
+    A fifth of the labelled rows is kept for calibration. In each round each calibrated view labels the rows of the pool
+    without a label yet that it is surest of, at most `share` of the pool and in the proportion of y, and of a class only
+    rows that are of another one with at most `doubt` times that one's share in y, if the rows kept back confirm it; they
+    join the training rows of the other view. So of a view that knows little no wrong labels are taken. Then both are calibrated and combined on the rows
+    kept back, where such a view gets no weight. `taught` of the model counts the labels that each view gave a round.
     """
     if len(y) == 0 or y.min() == y.max():
         return Model([], [], None, constant=float(y[0]) if len(y) else 0.5)
@@ -131,6 +172,7 @@ def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np
     ys = [y[fit_on].astype(float)] * 2
     left = np.ones(len(pool[0]), bool)
     positive = y.mean()
+    taught: list[tuple[int, ...]] = []
 
     def now() -> tuple[list[Logistic], list[Logistic]]:
         fitted = [fit_logistic(x, t) for x, t in zip(xs, ys)]
@@ -139,14 +181,19 @@ def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np
     for _ in range(rounds):
         fitted, calibrated = now()
         given: list[tuple[np.ndarray, np.ndarray]] = []
-        for m, c, v in zip(fitted, calibrated, pool):
-            p = 1 / (1 + np.exp(-c.logit(m.logit(v)[:, None]))) if len(v) else np.zeros(0)
+        for m, c, v, known in zip(fitted, calibrated, pool, views):
+            p, p_held = (1 / (1 + np.exp(-c.logit(m.logit(x)[:, None]))) if len(x) else np.zeros(0) for x in (v, known[hold]))
             most = int(share * len(v))
             free = np.flatnonzero(left)
             good = free[np.argsort(-p[free], kind="stable")][: int(most * positive)]
             bad = free[np.argsort(p[free], kind="stable")][: int(most * (1 - positive))]
-            good, bad = good[p[good] >= sure], bad[p[bad] <= 1 - sure]
+            # of both classes in the proportion of y, or none
+            good = good[1 - p[good] <= doubt * (1 - positive)][: confirmed(1 - p_held, 1 - y[hold], doubt * (1 - positive)) * len(p)]
+            bad = bad[p[bad] <= doubt * positive][: confirmed(p_held, y[hold], doubt * positive) * len(p)]
+            n = min(len(good) / positive, len(bad) / (1 - positive))
+            good, bad = good[: round(n * positive)], bad[: round(n * (1 - positive))]
             given.append((np.concatenate([good, bad]), np.concatenate([np.ones(len(good)), np.zeros(len(bad))])))
+        taught.append(tuple(len(rows) for rows, _ in given))
         for v, (rows, labels) in enumerate(given):
             other = 1 - v
             xs[other] = np.vstack([xs[other], pool[other][rows]])
@@ -154,39 +201,41 @@ def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np
             left[rows] = False
     fitted, calibrated = now()
     logits = np.column_stack([c.logit(m.logit(v[hold])[:, None]) for m, c, v in zip(fitted, calibrated, views)])
-    return Model(fitted, calibrated, fit_logistic(logits, y[hold].astype(float), 0.1))
+    return Model(fitted, calibrated, fit_logistic(logits, y[hold].astype(float), 0.1), taught=taught)
 
 
-def _features(docs: DataFrame, text_col: str, lang_col: str, source_col: str, chars_col: str, keep: list) -> DataFrame:
+def _features(docs: DataFrame, text_col: str, keep: list) -> DataFrame:
     python_batches(docs.sparkSession)
-    slim = docs.select(*keep, F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), F.col(chars_col).cast("double").alias("n_chars"), F.col(text_col).alias("text"))
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf("array<float>")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for t in texts:
-            yield pd.Series([text_features(x) for x in t], dtype=object)
+            yield pd.Series([text_features(x).astype(np.float32) for x in t], dtype=object)
 
-    return slim.withColumn("x", of("text")).drop("text")
+    return docs.select(*keep, of(F.col(text_col)).alias("x"))
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, pool_rows: int = POOL_ROWS, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", chars_col: str = "n_chars") -> Model:
     """Fits both views to about `rows` labelled and `pool_rows` unlabelled documents, chosen by the id's hash.
 
-    Labels of held-out documents (crc32 of the id leaves 2 modulo 4) are never used. Their number bounds what reaches
-    the driver: (rows + pool_rows) * 90 numbers.
+    Labels of held-out documents (crc32 of the id leaves 2 modulo 4) are never used. All documents of a repeated id share
+    its label, the largest one given. What reaches the driver is at most (rows + pool_rows) * 1.1 rows of 150 numbers,
+    also where an id repeats or is null in a large part of the rows.
     """
     docs = docs.select(id_col, text_col, lang_col, source_col, chars_col)
     known = labels.select(F.col("doc_id").alias("_id"), F.col(label_col).cast("int").alias("_label")).dropna().filter(~held_out_split(F.col("_id")))
-    n, n_docs = known.count(), docs.count()
-    if n > rows:
-        known = known.filter(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(1e6 * rows / n))
+    known = sample_by_hash(known.withColumn("_h", F.xxhash64("_id")), "_h", rows, known.count())
     known = known.groupBy("_id").agg(F.max("_label").alias("_label"))
-    taken = F.pmod(F.xxhash64(F.col(id_col), F.lit("pool")), F.lit(1_000_000)) < int(1e6 * min(1.0, pool_rows / max(1, n_docs)))
-    chosen = docs.join(F.broadcast(known), F.col(id_col) == F.col("_id"), "left").filter(F.col("_label").isNotNull() | taken)
-    got = _features(chosen, text_col, lang_col, source_col, chars_col, [F.xxhash64(id_col).alias("h"), F.col("_label").alias("y")])
-    data = got.toPandas().sort_values(["h", "n_chars", "source"], kind="stable")
-    text = np.array(data["x"].tolist(), float).reshape(len(data), len(TEXT_FEATURES))
-    metadata = np.array([metadata_features(a, b, c) for a, b, c in zip(data["lang"], data["source"], data["n_chars"])], float).reshape(len(data), 2 * NAMES + 3)
+    names = [F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), F.col(chars_col).cast("double").alias("n_chars")]
+    pool_hash = F.xxhash64(F.col(id_col), F.lit("pool"))
+    n_docs = docs.count()
+    pool = sample_by_hash(docs.withColumn("_h", pool_hash), "_h", pool_rows, n_docs).drop("_h")
+    pool = pool.join(F.broadcast(known), F.col(id_col) == F.col("_id"), "left_anti").withColumn("_label", F.lit(None).cast("int"))
+    labelled = docs.join(F.broadcast(known), F.col(id_col) == F.col("_id"), "inner").drop("_id")
+    parts = [_features(part, text_col, [F.xxhash64(id_col).alias("h"), F.col("_label").alias("y"), *names]).limit(most + most // 10) for part, most in ((labelled, rows), (pool, pool_rows))]
+    data = parts[0].unionByName(parts[1]).toPandas().sort_values(["h", "n_chars", "source"], kind="stable")
+    text = np.array(data["x"].tolist(), np.float32).reshape(len(data), TEXT_WIDTH)
+    metadata = np.array([metadata_features(a, b, c) for a, b, c in zip(data["lang"], data["source"], data["n_chars"])], np.float32).reshape(len(data), METADATA_WIDTH)
     has = data["y"].notna().to_numpy()
     return co_train((text[has], metadata[has]), data["y"].to_numpy()[has].astype(int), (text[~has], metadata[~has]))
 
@@ -200,8 +249,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     @F.pandas_udf("double")
     def of(rows: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for text, lang, source, chars in rows:
-            x = np.array([text_features(t) for t in text], float).reshape(len(text), len(TEXT_FEATURES))
-            m = np.array([metadata_features(a, b, c) for a, b, c in zip(lang, source, chars)], float).reshape(len(text), 2 * NAMES + 3)
+            x = np.array([text_features(t) for t in text], float).reshape(len(text), TEXT_WIDTH)
+            m = np.array([metadata_features(a, b, c) for a, b, c in zip(lang, source, chars)], float).reshape(len(text), METADATA_WIDTH)
             yield pd.Series(sent.value.score(x, m))
 
     (s,) = unused(docs, "s")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from earshot.llm.common import python_batches
+from earshot.llm.common import checkpointed, python_batches
 from earshot.llm.tokens import byte_tokenizer
 
 #: Lengths that share a block of the suffix sums.
@@ -47,9 +47,10 @@ def context_limits(histogram: DataFrame) -> DataFrame:
     group. For a limit L between the lengths a < L < b: tokens_truncated(L) = tokens_truncated(a) + (L - a) * docs_over(a).
 
     Suffix sums go by blocks of BLOCK lengths and then over the blocks' sums, so no task holds more than BLOCK lengths
-    of a group or one row for each of a group's blocks.
+    of a group or one row for each of a group's blocks. The histogram is checkpointed, as it is read twice and made of
+    all texts.
     """
-    h = histogram.withColumn("tokens", F.col("docs") * F.col("n_tokens")).withColumn("block", F.floor(F.col("n_tokens") / BLOCK))
+    h = checkpointed(histogram).withColumn("tokens", F.col("docs") * F.col("n_tokens")).withColumn("block", F.floor(F.col("n_tokens") / BLOCK))
     later = Window.partitionBy("grp").orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("grp").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     blocks = (

@@ -14,10 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from earshot.llm.common import python_batches, unused
+from earshot.llm.common import python_batches, sample_by_hash, unused
 
-#: Rows of labels that the weights are fitted to, about: those with the smallest hashes of the id.
-TRAIN_ROWS = 16_000
+#: Rows of labels that the weights are fitted to, about: those with the smallest hashes of the id; and coordinates of
+#: all of them together: rows after the one that reaches this number are left out, in the order of the hashes.
+TRAIN_ROWS, TRAIN_COORDINATES = 16_000, 1 << 26
 #: Words whose hashes a worker remembers.
 WORDS = 500_000
 
@@ -131,12 +132,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, rows: in
     """(text columns of docs, _label) for about `rows` labelled documents that aren't held out, by the id's hash.
 
     Labels without id or value are left out; of several for an id the largest counts. The labels kept are about `rows`,
-    which bounds what is broadcast, so the texts of other documents are never moved.
+    which bounds what is broadcast, so the texts of other documents are never moved. All documents of a repeated id
+    share its label.
     """
     known = labels.select(F.col(label_id).alias("_id"), F.col(label_col).cast("int").alias("_label")).dropna().filter(~held_out_split(F.col("_id")))
-    n = known.count()
-    if n > rows:
-        known = known.filter(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(1e6 * rows / n))
+    known = sample_by_hash(known.withColumn("_h", F.xxhash64("_id")), "_h", rows, known.count())
     known = known.groupBy("_id").agg(F.max("_label").alias("_label"))
     return docs.join(F.broadcast(known), F.col(id_col) == F.col("_id"), "inner").drop("_id")
 
@@ -156,12 +156,16 @@ def train(docs: DataFrame, labels: DataFrame, params: Ftrl = Ftrl(), rows: int =
     def in_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x: list[np.ndarray] = []
         y: list[int] = []
-        for b in batches:
-            y += [1 if v else 0 for v in b.column(1).to_pylist()]
-            x += [np.frombuffer(v, "<i4") for v in b.column(2).to_pylist()]
+        size = 0
+        for b in batches:  # read to the end, kept up to the bounds
+            for label, v in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                if size < TRAIN_COORDINATES and len(x) < 2 * rows:
+                    size += len(v) // 4
+                    x.append(np.frombuffer(v, "<i4")), y.append(1 if label else 0)
         m = fit(x, y, params)
         yield pa.RecordBatch.from_arrays([pa.array([m.at.astype("<i4").tobytes()], pa.binary()), pa.array([m.w.astype("<f4").tobytes()], pa.binary()), pa.array([m.bias])], ["at", "w", "bias"])
 
+    # Two times `rows` and TRAIN_COORDINATES bound the one task, whatever repeats and however long the texts are.
     made = sample.mapInArrow(coordinates, "h long, y int, x binary")
     row = made.repartition(1).sortWithinPartitions("h", "y", "x").mapInArrow(in_one, "at binary, w binary, bias double").collect()
     if not row:
