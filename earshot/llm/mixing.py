@@ -89,23 +89,30 @@ def _fill(left: DataFrame, n: int) -> DataFrame:
     return checkpointed(done.groupBy("skey").agg(F.collect_list(F.struct(F.col("room").alias("upper"), "lo", "hi")).alias("rounds"), F.sum("words").alias("used")))
 
 
+#: Preferences count in steps of one over this number, so that their sums are exact.
+STEP = 1024
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, preference: str | None = None, tolerance: float = 0.0) -> DataFrame:
     """docs with size, source_size, target (its source's), copies and taken (size * copies) of each row.
 
     A source is due target / source_size copies of each document. The whole copies are certain; for the rest, r words,
-    documents are ranked by Pareto's q = odds(u) / odds(p): u is a hash of the id in (0, 1), p the inclusion
-    probability r / (words left to draw from). `preference`, a column of positive numbers, makes p unequal within a
-    source: p is multiplied by it over its mean per word, and p of 1 or more is certain (q = 0). Documents are taken in
-    the order of q up to the last rank at which the words still fit into r; then the one document not taken whose size
-    comes closest to the rest, where it lowers the difference. Where documents left out would still fit after that, as
-    behind a very long one, the order of q is followed to its end past all that is larger than the room left (`_fill`),
-    then the closest one is added, and this is taken if it is not farther from r. So a source's taken words differ from
-    its target by less than its smallest document left out or by less than that way, or by what a repeated id adds:
-    equal ids have one rank and go together. With a tolerance the first cut stands where it misses at most this share
-    of the target and at most the mean size left out.
-
-    Null text has size 0; a null source is a source, the last; documents of size 0 have taken 0. An empty table gives an
-    empty table. Columns of docs named like a result are replaced. The same rows give the same mix.
+    documents are ranked by Pareto's q = odds(u) / odds(p): u is a hash of id and text in (0, 1), p the inclusion
+    probability r / (words left to draw from). `preference`, SQL for a positive number of docs' columns and `size`, makes
+    p unequal within a source: p is multiplied by it over its mean per word, and p of 1 or more is certain (q = 0).
+    Documents are taken in the order of q up to the last rank at which the words still fit into r; then the one document
+    not taken whose size comes closest to the rest, where it lowers the difference. Where documents left out would still
+    fit after that, as behind a very long one, the order of q is followed to its end past all that is larger than the
+    room left (`_fill`), then the closest one is added, and this is taken if it is not farther from r. So a source's
+    taken words differ from its target by less than its smallest document left out or by less than that way. With a
+    tolerance the first cut stands where it misses at most this share of the target and at most the mean size left out.
+
+    Rows of equal id, text and source have one rank. They are taken together if they all fit; as the closest document
+    as many of them are taken as fit best, one at least.
+
+    Null text has size 0; a null source is a source, the last; documents of size 0 have taken 0; null ids differ by their
+    texts. An empty table gives an empty table. Columns of docs named like a result are replaced. The same rows give the
+    same mix.
 
     No window holds a whole source: sizes are summed by (source, bucket of q), buckets are accumulated, and only the
     bucket at the border is ordered by q. The id, source, size and u of all documents are checkpointed once, so texts
@@ -113,15 +120,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     made = ["size", "source_size", "target", "copies", "taken"]
     docs = docs.drop(*made)
-    skey, q, q_cut, extra, base, odds = unused(docs, "skey", "q", "q_cut", "extra", "base", "left_odds")
+    skey, q, q_cut, base, pref, part = unused(docs, "skey", "q", "q_cut", "base", "pref", "part")
     keyed = docs.withColumns({
         "size": size_of(F.col(text_col)),
         skey: F.when(F.col(source_col).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(source_col).cast("string"))),
-        q: hash_uniform(F.col(id_col)),
-        odds: F.lit(1.0) if preference is None else F.greatest(F.coalesce(F.col(preference).cast("double"), F.lit(0.0)), F.lit(0.0)),
+        q: hash_uniform(F.col(id_col), F.md5(F.coalesce(F.col(text_col), F.lit("")))),
+        part: F.spark_partition_id(),
     })
-    slim = checkpointed(keyed.select(F.col(skey).alias("skey"), F.col(source_col).cast("string").alias("source"), "size", F.col(q).alias("u"), F.col(odds).alias("pref")))
-    totals = slim.groupBy("skey", "source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("pref")).alias("preferred"), F.count("*").alias("docs"))
+    steps = F.lit(STEP) if preference is None else F.greatest(F.coalesce(F.round(F.expr(preference).cast("double") * STEP), F.lit(0.0)), F.lit(0.0))
+    keyed = keyed.withColumn(pref, steps.cast("long"))
+    slim = checkpointed(keyed.select(F.col(skey).alias("skey"), F.col(source_col).cast("string").alias("source"), "size", F.col(q).alias("u"), F.col(pref).alias("pref")))
+    totals = slim.groupBy("skey", "source").agg(F.sum("size").alias("source_size"), (F.sum(F.col("size") * F.col("pref")) / STEP).alias("preferred"), F.count("*").alias("docs"))
     targets = source_targets(totals.select("skey", "source", "source_size"), weights, most).join(totals.select("skey", "preferred", "docs"), "skey")
     due = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
     targets = (
@@ -133,13 +142,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     targets = checkpointed(targets)
     n = targets.count()
 
-    def pareto(u: Column, pref: Column) -> Column:
-        p = pref * F.col("per_pref")
+    def pareto(u: Column, pref: Column, per_pref: Column) -> Column:
+        p = pref / STEP * per_pref
         return F.when(p >= 1, F.lit(0.0)).when(p <= 0, F.lit(float("inf"))).otherwise(u / (1 - u) * (1 - p) / p)
 
+    def bucket_of(q: Column, buckets: Column) -> Column:
+        return F.when(q == float("inf"), buckets).otherwise(F.floor(q / (1 + q) * buckets)).cast("long")
+
     due_now = small_join(slim, targets.select("skey", "rest", "per_pref", "buckets"), ["skey"], "inner", n)
-    ranked = due_now.select("skey", "size", "rest", pareto(F.col("u"), F.col("pref")).alias("q"), "buckets")
-    ranked = ranked.withColumn("bucket", F.when(F.col("q") == float("inf"), F.col("buckets")).otherwise(F.floor(F.col("q") / (1 + F.col("q")) * F.col("buckets"))).cast("long"))
+    ranked = due_now.select("skey", "size", "rest", pareto(F.col("u"), F.col("pref"), F.col("per_pref")).alias("q"), "buckets")
+    ranked = ranked.withColumn("bucket", bucket_of(F.col("q"), F.col("buckets")))
     border, cut = _cut(ranked, "rest", n)
     # Taken are all below the border's bucket, and in it those up to q_cut; without a border everything fits.
     cuts = (
@@ -156,10 +168,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     )
     gap, drawn = F.abs(F.col("room") - F.col("size")), F.when(F.col("q") < float("inf"), F.col("size"))
     extra_of = F.min(F.when(gap < F.col("room"), F.struct(gap.alias("gap"), "q", "size"))).alias("extra")
-    left_out = left.groupBy("skey").agg(extra_of, F.min(drawn).alias("least"), F.avg(drawn).alias("mean"))
-    miss = F.abs(F.col("rest") - F.col("taken_words") - F.coalesce(F.col("extra.size"), F.lit(0)))
-    ends = cuts.join(left_out, "skey", "left").withColumn("miss", miss).withColumn("short", F.coalesce((F.col("least") <= F.col("rest") - F.col("taken_words")) & (miss >= F.col("least")) & ((miss > F.col("target") * tolerance) | (miss > F.col("mean"))), F.lit(False)))
-    ends = checkpointed(ends.select("skey", "source_size", "target", "base", "per_pref", "buckets", "bucket", "q_cut", "extra", "miss", "short"))
+    left_out = left.groupBy("skey").agg(extra_of, F.min(drawn).alias("least"), F.avg(drawn).alias("mean"), F.any_value("room").alias("room"))
+    miss = F.abs(F.col("room") - F.coalesce(F.col("extra.size"), F.lit(0)))
+    ends = cuts.join(left_out, "skey", "left").withColumn("miss", miss).withColumn("short", F.coalesce((F.col("least") <= F.col("room")) & (miss >= F.col("least")) & ((miss > F.col("target") * tolerance) | (miss > F.col("mean"))), F.lit(False)))
+    ends = checkpointed(ends.select("skey", "source_size", "target", "base", "per_pref", "buckets", "bucket", "q_cut", "extra", "room", "miss", "short"))
     short = checkpointed(ends.filter("short").select("skey", "miss"))
     ends = ends.withColumn("rounds", F.lit(None).cast("array<struct<upper:double,lo:double,hi:double>>"))
     if n_short := short.count():
@@ -169,21 +181,37 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         is_left = ~F.coalesce(_in_rounds(F.col("rounds"), F.col("size"), F.col("q")), F.lit(False))
         again = after.groupBy("skey").agg(F.min(F.when(is_left & (gap < F.col("room")), F.struct(gap.alias("gap"), "q", "size"))).alias("extra_after"), F.any_value("room").alias("room_after"))
         nearer = checkpointed(again.join(short, "skey").filter(F.coalesce("extra_after.gap", "room_after") <= F.col("miss")).join(filled.select("skey", F.col("rounds").alias("r")), "skey"))
-        ends = ends.join(nearer.drop("miss"), "skey", "left").withColumn("extra", F.when(F.col("r").isNull(), F.col("extra")).otherwise(F.col("extra_after"))).withColumn("rounds", F.col("r"))
-    ends = checkpointed(ends.select(F.col("skey").alias(skey), "source_size", "target", F.col("base").alias(base), "per_pref", "buckets", "bucket", F.col("q_cut").alias(q_cut), F.col("extra.q").alias(extra), F.col("extra.size").alias("extra_size"), "rounds"))
-    names = dict(zip(("per_pref", "buckets", "bucket", "extra_size", "rounds", "b"), unused(docs, "m_per_pref", "m_buckets", "m_bucket", "m_extra_size", "m_rounds", "m_b")))
-    ends = ends.withColumnsRenamed({k: v for k, v in names.items() if k != "b"})
-    out = small_join(keyed, ends, [skey], "left", n)
-    p = F.col(odds) * F.col(names["per_pref"])
-    q_now = F.when(p >= 1, F.lit(0.0)).when(p <= 0, F.lit(float("inf"))).otherwise(F.col(q) / (1 - F.col(q)) * (1 - p) / p)
-    out = out.withColumn(q, q_now)
-    out = out.withColumn(names["b"], F.when(F.col(q) == float("inf"), F.col(names["buckets"])).otherwise(F.floor(F.col(q) / (1 + F.col(q)) * F.col(names["buckets"]))).cast("long"))
-    b, bucket = F.col(names["b"]), F.col(names["bucket"])
-    sampled = (
-        (F.col(q) < float("inf"))
-        & (bucket.isNull() | (b < bucket) | ((b == bucket) & F.coalesce(F.col(q) <= F.col(q_cut), F.lit(False))))
-        | (F.col(q) < float("inf")) & F.coalesce(_in_rounds(F.col(names["rounds"]), F.col("size"), F.col(q)), F.lit(False))
-        | F.coalesce((F.col(q) == F.col(extra)) & (F.col("size") == F.col(names["extra_size"])), F.lit(False))
-    )
-    copies = F.least(F.col(base) + sampled.cast("long"), F.lit(most)).cast("long")
-    return out.select(*docs.columns, "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast(T.LongType()).alias("taken"))
+        by_rounds = F.col("r").isNotNull()
+        ends = ends.join(nearer.drop("miss"), "skey", "left").withColumns({"extra": F.when(by_rounds, F.col("extra_after")).otherwise(F.col("extra")), "room": F.when(by_rounds, F.col("room_after")).otherwise(F.col("room")), "rounds": F.col("r")})
+    ends = checkpointed(ends.select("skey", "source_size", "target", "base", "per_pref", "buckets", "bucket", "q_cut", F.col("extra.q").alias("extra"), F.col("extra.size").alias("extra_size"), "room", "rounds"))
+    # How many rows the closest document stands for, and how many of them are taken.
+    twins = small_join(ranked.select("skey", "size", "q"), ends.filter("extra is not null").select("skey", "extra", "extra_size"), ["skey"], "inner", n)
+    twins = twins.filter((F.col("q") == F.col("extra")) & (F.col("size") == F.col("extra_size"))).groupBy("skey").agg(F.count("*").alias("rows"))
+    of_rows = F.least(F.col("rows"), F.greatest(F.floor(F.col("room") / F.col("extra_size") + 0.5), F.lit(1)))
+    ends = checkpointed(ends.join(twins, "skey", "left").withColumn("of_rows", of_rows).drop("room"))
+    n_parted = ends.filter("of_rows < rows").count()
+
+    names = dict(zip(ends.columns, unused(docs.select(*docs.columns, *(F.lit(0).alias(x) for x in ("size", skey, q, q_cut, base, pref, part))), *ends.columns)))
+    names |= {"skey": skey, "source_size": "source_size", "target": "target"}
+    c = {k: F.col(v) for k, v in names.items()}
+    out = small_join(keyed, ends.withColumnsRenamed(names), [skey], "left", n).withColumn(q, pareto(F.col(q), F.col(pref), c["per_pref"]))
+    b, drawn = bucket_of(F.col(q), c["buckets"]), F.col(q) < float("inf")
+    upto = c["bucket"].isNull() | (b < c["bucket"]) | ((b == c["bucket"]) & F.coalesce(F.col(q) <= c["q_cut"], F.lit(False)))
+    twin = F.coalesce((F.col(q) == c["extra"]) & (F.col("size") == c["extra_size"]), F.lit(False))
+    sampled = drawn & (upto | F.coalesce(_in_rounds(c["rounds"], F.col("size"), F.col(q)), F.lit(False))) | twin
+
+    def taken(rows: DataFrame, sampled: Column) -> DataFrame:
+        copies = F.least(c["base"] + sampled.cast("long"), F.lit(most)).cast("long")
+        return rows.select(*docs.columns, "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast(T.LongType()).alias("taken"))
+
+    if not n_parted:
+        return taken(out, sampled)
+    # Equal rows of which some are taken: so many of each part of the input, in the order of the parts.
+    parted = twin & (c["of_rows"] < c["rows"])
+    few = out.filter(parted)
+    by_part = checkpointed(few.groupBy(skey, part).agg(F.count("*").alias("here"), F.any_value(c["of_rows"]).alias("all")))
+    before = F.coalesce(F.sum("here").over(Window.partitionBy(skey).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    due_here, number = unused(out, "due_here", "number")
+    by_part = by_part.select(skey, part, F.greatest(F.least(F.col("here"), F.col("all") - before), F.lit(0)).alias(due_here))
+    few = few.withColumn(number, F.row_number().over(Window.partitionBy(skey, part).orderBy(q))).join(by_part, [skey, part])
+    return taken(out.filter(~parted), sampled).unionByName(taken(few, F.col(number) <= F.col(due_here)))

@@ -32,9 +32,8 @@ URL_RULES = [
     ("com", "/de/", "block"),
 ]
 
-#: op7's SQL ends at the first document that does not fit and one more; where it misses at most this share of a
-#: source's target (0.13 at most on the given tables, and there less than the mean document left out), its result stands.
-SQL_TOLERANCE = 0.15
+#: How much likelier a document is to be in the drawn part of its source: by the binary digits of its size.
+PREFERENCE = "length(bin(size))"
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +65,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mix(docs, tolerance=SQL_TOLERANCE).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(docs, preference=PREFERENCE).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,29 +101,52 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What the others compute (tokenizers, trained models, random trees and paths, fingerprints) is beyond SQL.
 ORACLES: dict[str, str] = {
     "op7_mixing": r"""
-WITH sized AS (
+WITH RECURSIVE sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-    (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u FROM documents),
-totals AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS n FROM sized GROUP BY source),
+    (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u FROM documents),
+totals AS (SELECT source, sum(size)::BIGINT AS source_size, sum(size * length(bin(size)))::DOUBLE AS preferred, row_number() OVER (ORDER BY source NULLS LAST) AS n FROM sized GROUP BY source),
 weighed AS (SELECT *, [5, 2, 1][(n - 1) % 3 + 1]::DOUBLE AS weight, (source_size * 3)::DOUBLE AS bound FROM totals),
 levels AS (
   SELECT *, (sum(source_size::DOUBLE) OVER () - coalesce(sum(bound) OVER w, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0)) AS level FROM weighed
   WINDOW w AS (ORDER BY bound / weight, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 one AS (SELECT level FROM levels WHERE level * weight <= bound ORDER BY bound / weight, n LIMIT 1),
-targets AS (SELECT source, source_size, least(bound, weight * (SELECT level FROM one)) AS target FROM weighed),
+targets AS (SELECT source, source_size, preferred, least(bound, weight * (SELECT level FROM one)) AS target FROM weighed),
 due AS (SELECT *, least(floor(coalesce(target / nullif(source_size, 0), 0) + 1e-9), 3)::BIGINT AS base FROM targets),
 rests AS (SELECT *, CASE WHEN base >= 3 THEN 0::DOUBLE ELSE greatest(target - base * source_size, 0) END AS rest FROM due),
 ranked AS (
-  SELECT s.doc_id, s.size, r.*, coalesce(rest / nullif(source_size, 0), 0) AS p, s.u FROM sized s JOIN rests r ON s.source IS NOT DISTINCT FROM r.source),
+  SELECT s.doc_id, s.size, r.*, length(bin(s.size)) * coalesce(rest / nullif(preferred, 0), 0) AS p, s.u FROM sized s JOIN rests r ON s.source IS NOT DISTINCT FROM r.source),
 odds AS (SELECT *, CASE WHEN p >= 1 THEN 0 WHEN p <= 0 THEN NULL ELSE u / (1 - u) * (1 - p) / p END AS q FROM ranked),
 summed AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q NULLS LAST RANGE UNBOUNDED PRECEDING) AS upto FROM odds),
 cut AS (SELECT source, coalesce(max(upto) FILTER (upto <= rest AND q IS NOT NULL), 0) AS words FROM summed GROUP BY source),
-chosen AS (SELECT s.*, c.words, s.upto <= s.rest AND s.q IS NOT NULL AS first FROM summed s JOIN cut c ON s.source IS NOT DISTINCT FROM c.source),
+chosen AS (SELECT s.*, s.rest - c.words AS room, s.upto <= s.rest AND s.q IS NOT NULL AS first FROM summed s JOIN cut c ON s.source IS NOT DISTINCT FROM c.source),
+closest AS (
+  SELECT source, q, size, room, gap FROM (SELECT *, abs(room - size) AS gap, row_number() OVER (PARTITION BY source ORDER BY abs(room - size), q NULLS LAST, size) AS k
+    FROM chosen WHERE NOT first AND size > 0 AND abs(room - size) < room) WHERE k = 1),
+ends AS (SELECT c.source, any_value(room) AS room, min(c.size) FILTER (NOT first AND c.q IS NOT NULL AND c.size > 0) AS least FROM chosen c GROUP BY c.source),
+missed AS (SELECT e.source, e.least, e.room, abs(e.room - coalesce(c.size, 0)) AS miss FROM ends e LEFT JOIN closest c ON e.source IS NOT DISTINCT FROM c.source),
+line AS (SELECT source, doc_id, q, size, row_number() OVER (PARTITION BY source ORDER BY q, doc_id) AS n FROM odds WHERE q IS NOT NULL AND size > 0),
+walk(source, n, room, took, doc_id) AS (
+  SELECT source, 0::BIGINT, rest, false, NULL::BIGINT FROM rests
+  UNION ALL SELECT w.source, l.n, CASE WHEN l.size <= w.room THEN w.room - l.size ELSE w.room END, l.size <= w.room, l.doc_id::BIGINT
+  FROM walk w JOIN line l ON l.source IS NOT DISTINCT FROM w.source AND l.n = w.n + 1),
+walked AS (SELECT source, min(room) AS room FROM walk GROUP BY source),
+behind AS (SELECT c.* EXCLUDE (room, first), w.room, t.doc_id IS NOT NULL AS first FROM chosen c JOIN walked w ON c.source IS NOT DISTINCT FROM w.source
+  LEFT JOIN (SELECT source, doc_id FROM walk WHERE took) t ON c.source IS NOT DISTINCT FROM t.source AND c.doc_id = t.doc_id),
+closest_behind AS (
+  SELECT source, q, size, room, gap FROM (SELECT *, abs(room - size) AS gap, row_number() OVER (PARTITION BY source ORDER BY abs(room - size), q NULLS LAST, size) AS k
+    FROM behind WHERE NOT first AND size > 0 AND abs(room - size) < room) WHERE k = 1),
+by_walk AS (
+  SELECT m.source, coalesce(m.least <= m.room AND m.miss >= m.least AND coalesce(c.gap, w.room) <= m.miss, false) AS yes
+  FROM missed m JOIN walked w ON m.source IS NOT DISTINCT FROM w.source LEFT JOIN closest_behind c ON m.source IS NOT DISTINCT FROM c.source),
+drawn AS (
+  SELECT c.* FROM chosen c JOIN by_walk b ON c.source IS NOT DISTINCT FROM b.source AND NOT b.yes
+  UNION ALL BY NAME SELECT c.* FROM behind c JOIN by_walk b ON c.source IS NOT DISTINCT FROM b.source AND b.yes),
 extra AS (
-  SELECT source, q, size FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY abs(rest - words - size), q NULLS LAST, size) AS k
-    FROM chosen WHERE NOT first AND size > 0 AND abs(rest - words - size) < rest - words) WHERE k = 1)
+  SELECT c.* FROM closest c JOIN by_walk b ON c.source IS NOT DISTINCT FROM b.source AND NOT b.yes
+  UNION ALL BY NAME SELECT c.* FROM closest_behind c JOIN by_walk b ON c.source IS NOT DISTINCT FROM b.source AND b.yes),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY source, q, size) AS k FROM drawn)
 SELECT c.doc_id, c.size, c.source_size, c.target, (least(base + (first OR e.size IS NOT NULL)::BIGINT, 3) * c.size)::BIGINT AS taken
-FROM chosen c LEFT JOIN extra e ON c.source IS NOT DISTINCT FROM e.source AND c.q = e.q AND c.size = e.size""",
+FROM numbered c LEFT JOIN extra e ON c.source IS NOT DISTINCT FROM e.source AND c.q IS NOT DISTINCT FROM e.q AND c.size = e.size AND c.k <= greatest(floor(e.room / e.size + 0.5), 1)""",
     "op8_url_filter": f"""
 WITH rules(rh, rp, v) AS (VALUES {_RULES}),
 rest AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),

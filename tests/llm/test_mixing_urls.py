@@ -7,7 +7,7 @@ from oracle import connect, difference
 from pyspark.sql import functions as F
 
 from earshot.llm.mixing import mix, source_targets
-from earshot.llm.queries import ORACLES, QUERIES, URL_RULES
+from earshot.llm.queries import ORACLES, PREFERENCE, QUERIES, URL_RULES
 from earshot.llm.urls import bloom_blocks, judge_urls
 
 
@@ -81,6 +81,33 @@ def test_preference_makes_inclusion_unequal(spark):
     assert 0.6 < c[0] <= 0.9 and 0.15 < c[1] < 0.4
 
 
+@pytest.mark.parametrize("texts, words", [(["w " * 10], 10), (["w " * 10, "v " * 10, "u " * 11], 11), ([f"w{i} " * 10 for i in range(500)], 10)])
+def test_repeated_and_null_ids_miss_by_one_document(spark, texts, words):
+    """500 rows of one source without an id, of one text or many: one document too many or few at most, all rows there."""
+    rows = [(None, texts[i % len(texts)], "few") for i in range(500)] + [(i, "x " * 20, "rest") for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    got = mix(df, preference=PREFERENCE).collect()
+    assert len(got) == len(rows)
+    by = defaultdict(int)
+    for r in got:
+        assert r["taken"] == r["copies"] * r["size"] and 0 <= r["copies"] <= 3
+        by[r["source"], r["target"]] += r["taken"]
+    assert all(abs(t - target) <= (words if s == "few" else 20) for (s, target), t in by.items()), dict(by)
+
+
+def test_query_prefers_within_a_source(spark):
+    """op7's inclusion differs within a source: of its drawn part longer documents are taken more often."""
+    rng = random.Random(3)
+    rows = [(i, "w " * (4 if i % 2 else 400), f"s{i % 4}") for i in range(4000)]
+    rng.shuffle(rows)
+    got = mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), preference=PREFERENCE).filter("source = 's0' or source = 's1'")
+    share = {r["size"]: r["c"] for r in got.groupBy("size").agg(F.avg(F.col("copies") - F.floor(F.col("target") / F.col("source_size"))).alias("c")).collect()}
+    assert set(share) == {4, 400}
+    one = mix(spark.createDataFrame([(i, "w " * (4 if i % 2 else 400), "a" if i < 3000 else "b") for i in range(4000)], "doc_id long, text string, source string"), weights=(2, 3), preference=PREFERENCE)
+    by = {r["size"]: r["c"] for r in one.filter("source = 'a'").groupBy("size").agg(F.avg("copies").alias("c")).collect()}
+    assert 1.5 * by[4] < by[400] < 1, by
+
+
 def test_mix_odd_and_empty(spark, odd_docs, no_docs):
     got = mix(odd_docs)
     assert got.count() == odd_docs.count() and got.filter("taken > 3 * size or taken < 0").count() == 0
