@@ -12,7 +12,7 @@ from earshot.llm.jaccard import one_of_each
 from earshot.llm.mixing import mix
 from earshot.llm.packing import pack
 from earshot.llm.quality import quality
-from earshot.llm.queries import vocabulary
+from earshot.llm.queries import PREFERENCE, vocabulary
 from earshot.llm.toxicity import toxicity
 
 
@@ -33,7 +33,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: each document as many times as it is taken."""
-    taken = mix(docs)
+    taken = mix(docs, preference=PREFERENCE)
     return taken.filter("copies > 0").withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
 
 
