@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -138,36 +139,63 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Ids are cut into buckets at approximate quantiles, at most MOST_BUCKETS numbers on the driver. The greatest id of a
     bucket is a quantile itself, and its row is also sent, as a mere next one, to the bucket before. So texts are moved
-    once, compressed, each bucket is read in order as a stream, and no task needs more than a batch in memory.
+    once, compressed, each bucket is read in order as a stream, and no task needs more than a batch in memory. Rows of
+    an id that is several quantiles, and of null ids, are cut further by ranges of the hash of their texts.
     """
     spark = docs.sparkSession
     python_batches(spark, rows=1000, mb=4)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     ids = slim.select("doc_id")
-    n, nulls, least_null = ids.count(), ids.filter("doc_id is null").count(), None
-    if nulls:
-        least_null = slim.filter("doc_id is null").agg(F.min("tie").alias("t")).first()["t"]
+    n, nulls = ids.count(), ids.filter("doc_id is null").count()
+    if not n:
+        nothing = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+        return spark.createDataFrame([], nothing)
     buckets = max(1, min(MOST_BUCKETS, (n - nulls) // BUCKET_ROWS))
     cuts: list[float] = []
     if n > nulls:
-        most = ids.agg(F.max("doc_id").alias("m")).first()["m"]
-        cuts = sorted({*ids.dropna().approxQuantile("doc_id", [i / buckets for i in range(1, buckets)], 0.1 / buckets), float(most)}) if buckets > 1 else [float(most)]
+        most = float(ids.agg(F.max("doc_id").alias("m")).first()["m"])
+        cuts = [*ids.dropna().approxQuantile("doc_id", [i / buckets for i in range(1, buckets)], 0.1 / buckets), most] if buckets > 1 else [most]
+    times = Counter(cuts)
+    # Above 2^53 several ids have one double, so a quantile does not name one.
+    parts_of: dict = {c: k for c, k in times.items() if k > 1 and abs(c) < 1 << 53}
+    if nulls:
+        parts_of[None] = max(1, min(MOST_BUCKETS, nulls // BUCKET_ROWS))
+    segments = [(c, 0) for c in sorted(times, reverse=True)]  # in the order of reading: (greatest id, part of its rows)
+    least: dict = {}
+    if parts_of:  # the parts that there are, and the hash that each begins with
+        repeated = [int(c) for c in parts_of if c is not None]
+        rows, many = slim.filter(F.col("doc_id").isNull() | F.col("doc_id").isin(repeated)), F.lit(parts_of.get(None, 1))
+        if repeated:
+            table = F.create_map(*(F.lit(x).cast("long") for c in repeated for x in (c, parts_of[c])))
+            many = F.when(F.col("doc_id").isNull(), many).otherwise(table[F.col("doc_id")])
+        # as in spread: the upper 32 bits of the hash, from 0 on, times the number of parts
+        part = F.shiftright((F.shiftright("tie", 32) + F.lit(1 << 31)) * many, 32)
+        for r in rows.groupBy(F.col("doc_id").cast("double").alias("c"), part.cast("int").alias("part")).agg(F.min("tie").alias("t")).collect():
+            least[r["c"], r["part"]] = r["t"]
+        segments = [s for c in [*sorted(times, reverse=True), *[None] * bool(nulls)] for s in (sorted(k for k in least if k[0] == c) if c in parts_of else [(c, 0)])]
+    place = {s: i for i, s in enumerate(segments)}
+    last_part = {c: i for (c, _), i in place.items()}  # ids below a repeated one follow its last part
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        pack, heads = zstandard.ZstdCompressor(3), np.array(cuts)
+        pack, heads = zstandard.ZstdCompressor(3), np.array(sorted(times))
+        of_head = np.array([last_part[c] for c in heads.tolist()], np.int64)
         for b in batches:
             known = np.array(b.column(0).is_valid())
-            value = b.column(0).fill_null(0).to_numpy().astype(np.float64)
-            bucket = np.where(known, np.searchsorted(heads, value, "left"), -1)
-            tie = b.column(2).to_numpy()
-            top = len(heads) - 1
-            is_head = known & (heads[np.clip(bucket, 0, top)] == value) if top >= 0 else np.zeros(len(known), bool)
-            if nulls:
-                is_head = is_head | (~known & (tie == least_null))
-            # The bucket before bucket j in the order of reading, which goes down, is j + 1; the first follows the last.
-            before = np.where(bucket == top, -1 if nulls else 0, bucket + 1)
+            value, tie = b.column(0).fill_null(0).to_numpy().astype(np.float64), b.column(2).to_numpy()
+            bucket, is_head = np.zeros(len(known), np.int64), np.zeros(len(known), bool)
+            if len(heads):
+                at = np.minimum(np.searchsorted(heads, value, "left"), len(heads) - 1)
+                bucket, is_head = of_head[at], known & (heads[at] == value)
+            if parts_of:
+                for i in np.flatnonzero(~known | is_head).tolist():
+                    c = float(value[i]) if known[i] else None
+                    if c in parts_of:
+                        s = (c, ((int(tie[i]) >> 32) + (1 << 31)) * parts_of[c] >> 32)
+                        bucket[i], is_head[i] = place[s], int(tie[i]) == least[s]
+            # The first row of a segment is the next one of the segment before; the first segment follows the last.
+            before = (bucket - 1) % len(segments)
             text = [pack.compress(t.encode()) for t in b.column(1).to_pylist()]
             rows = np.concatenate([np.arange(len(known)), np.flatnonzero(is_head)])
             take = pa.array(rows)

@@ -356,3 +356,19 @@ def test_edits_odd_and_empty(spark, odd_docs, no_docs):
     assert one["edited_sha256"] == hashlib.sha256(b"abcdab").hexdigest() and one["near_next"] == 1
     null = syncmers.fingerprint_edits(spark.createDataFrame([(None, "abcdef"), (3, "xyz")], "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["edited_sha256"] for r in null} == {None: hashlib.sha256(b"abcdxy").hexdigest(), 3: hashlib.sha256(b"xya").hexdigest()}
+
+
+@pytest.mark.parametrize("bucket", [4, 2000])
+def test_edits_of_null_and_repeated_ids(spark, monkeypatch, bucket):
+    """A third of the rows has no id and a third one id: they are cut by the hash of their texts, in the order told."""
+    monkeypatch.setattr(syncmers, "BUCKET_ROWS", bucket)
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i - 40, prose(i, 1 + i % 40)) for i in range(150)] + [(None, prose(0, 1)), (2**60 + 1, "a b c"), (2**60 + 2, "d e f g h i")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    tied = {r["text"]: r["h"] for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), tied[r[1]]))
+    want = []
+    for (i, t), (_, after) in zip(order, order[1:] + order[:1]):
+        m = len(t) // 3
+        want.append((i, len(t), hashlib.sha256((t[: len(t) - m] + after[:m]).encode()).hexdigest()))
+    got = [(r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in syncmers.fingerprint_edits(df).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
