@@ -12,6 +12,8 @@ from earshot.llm.common import BROADCAST_ROWS, SALTS, small_join, unused
 #: A block holds WORDS words of 64 bits and a key sets one bit in each. The filter has at most MAX_BLOCKS blocks
 #: (about 10 MB), which is the bound of what is broadcast; a longer list raises false positives, which the join removes.
 WORDS, BITS_PER_KEY, MAX_BLOCKS = 4, 16, 1 << 18
+#: Shapes of rules (host labels, path length) up to which a URL is looked up by each of them.
+MAX_SHAPES = 64
 
 
 def canonical_parts(url: Column) -> tuple[Column, Column]:
@@ -47,7 +49,9 @@ def judge_urls(urls: DataFrame, rules: DataFrame, url_col: str = "url", default:
     Repeated rules count once (the smallest verdict); rules with a null are left out.
 
     Only the parts of a URL as long as some rule's are looked up: each distinct (number of host labels, path length) of
-    the list, of which there are few. Distinct (host, path) give the keys, so a host with a third of all rows is
+    the list. If these are over MAX_SHAPES, the rules' paths are looked up by their beginnings of 1, 2, 4, 8, ... characters,
+    the longest that fits, and compared to the whole path after the join. So the rows that a URL makes are bounded by the
+    labels of a host and the logarithm of the longest path, however many rules there are. Distinct (host, path) give the keys, so a host with a third of all rows is
     aggregated on the map side first. Keys that pass the Bloom filter are joined to the rules exactly; the rules are
     broadcast if there are at most BROADCAST_ROWS of them, and else salted and shuffled.
     """
@@ -59,13 +63,18 @@ def judge_urls(urls: DataFrame, rules: DataFrame, url_col: str = "url", default:
         .dropna()
         .groupBy("rh", "rp")
         .agg(F.min("verdict").alias("verdict"))
-        .withColumn("key", F.concat("rh", "rp"))
+        .withColumn("rule", F.concat("rh", "rp"))
     )
-    shapes = rules.select(F.size(F.split("rh", r"\.")).alias("labels"), F.length("rp").alias("chars")).distinct().collect()
+    n_labels, shape = F.size(F.split("rh", r"\.")), lambda chars: rules.select(n_labels.alias("labels"), chars.alias("chars")).distinct()
+    chars = F.length("rp")
+    if len(shape(chars).limit(MAX_SHAPES + 1).collect()) > MAX_SHAPES:
+        chars = F.when(chars == 0, F.lit(0)).otherwise(F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(chars, F.lit(1)).cast("double")) + 1e-9))).cast("int")
+    shapes = shape(chars).collect()
+    rules = rules.withColumn("key", F.concat("rh", F.substr("rp", F.lit(1), chars)))
     if not shapes:
         return page.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
     n_rules = rules.count()
-    blocks, n_blocks = bloom_blocks(rules, "key", n_rules)
+    blocks, n_blocks = bloom_blocks(rules.select("key").distinct(), "key", n_rules)
 
     labels = F.split("host", r"\.")
     prefixes = [
@@ -78,8 +87,9 @@ def judge_urls(urls: DataFrame, rules: DataFrame, url_col: str = "url", default:
     for i, mask in enumerate(_masks(F.col("key"))):
         possible = possible.filter(F.col(f"w{i}").bitwiseAND(mask) == mask)
     exact = small_join(possible.select("host", "path", "key"), rules, ["key"], "inner", n_rules)
+    exact = exact.filter(F.startswith("path", "rp") & ((F.col("host") == F.col("rh")) | F.endswith("host", F.concat(F.lit("."), "rh"))))
     best = exact.groupBy("host", "path").agg(
-        F.max_by(F.struct(F.col("key").alias("rule"), F.col("verdict").alias("v")), F.struct(F.length("key"), F.length("rh"), F.col("key"))).alias("best")
+        F.max_by(F.struct("rule", F.col("verdict").alias("v")), F.struct(F.length("rule"), F.length("rh"), F.col("rule"))).alias("best")
     )
     # A URL path may be that of many rows; rows without a host match nothing and are spread by another hash.
     salt, won = unused(page, "salt", "won")

@@ -140,6 +140,18 @@ def test_urls_by_brute_force(spark):
         assert (r["host"], r["path"], r["rule"], r["verdict"]) == brute(r["url"], rules), r["url"]
 
 
+def test_urls_by_rules_of_many_shapes(spark):
+    """So many lengths that paths are looked up by their beginnings; several rules share one."""
+    rng = random.Random(5)
+    rules = [(h, "/" + "ab"[k % 2] * k, "block" if k % 3 else "allow") for h in ("x.org", "a.x.org", "org") for k in range(0, 60)] + [("x.org", "/aab", "block"), ("q.net", "", "block")]
+    rows = [(i, f"http://{rng.choice(['x.org', 'a.x.org', 'b.a.x.org', 'y.org', 'q.net', 'bq.net', 'com'])}/{rng.choice('ab') * rng.randint(0, 70)}{rng.choice(['', 'c', '/d'])}") for i in range(600)]
+    rows += [(9000, "http://q.net")]
+    got = judge_urls(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(rules, "host string, path string, verdict string")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r["host"], r["path"], r["rule"], r["verdict"]) == brute(r["url"], rules), r["url"]
+
+
 def test_urls_empty(spark):
     df = spark.createDataFrame([], "page_id long, url string")
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
