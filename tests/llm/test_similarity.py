@@ -171,7 +171,22 @@ def test_vectors_odd_and_empty(spark):
     assert forest.near_vectors(df.limit(0)).count() == 0
     assert forest.near_vectors(df.filter("vec_id < 7")).filter("n_links > 0").count() == 0
     null = forest.near_vectors(spark.createDataFrame([(None, [1.0, 2.0]), (4, [1.0, 2.0]), (None, [5.0, -2.0])], "vec_id long, embedding array<float>")).collect()
-    assert sorted((r["vec_id"] or -1, r["n_links"]) for r in null) == [(-1, 0), (-1, 1), (4, 1)]
+    assert sorted((r["vec_id"] or -1, r["n_links"], r["component_id"], r["kept"]) for r in null) == [(-1, 0, None, True), (-1, 1, 4, False), (4, 1, 4, True)]
+
+
+def test_vectors_of_null_and_repeated_ids_keep_one_of_each_class(spark):
+    rows = [(5, [1.0, 0.0, 0.02]), (None, [1.0, 0.01, 0.0]), (9, [1.0, 0.0, 0.0]), (9, [0.0, 1.0, 0.0]), (9, [0.0, 1.0, 0.01]), (None, [0.0, 0.0, 1.0]), (None, [0.0, 0.0, 1.0])]
+    got = forest.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got), key=str) == sorted(
+        [(5, 2, 5, True), (None, 2, 5, False), (9, 2, 5, False), (9, 1, 9, True), (9, 1, 9, True), (None, 1, None, True), (None, 1, None, True)], key=str
+    )
+
+
+def test_vectors_of_any_size_are_compared_by_direction(spark):
+    rows = [(i, [x * s, y * s]) for i, (x, y, s) in enumerate([(1.0, 2.0, 1e200), (1.0, 2.0, 1e-200), (1.0, 2.0, 1.0), (1.0, 2.0, 8e307), (5e-324, 5e-324, 1.0), (1.0, 1.0, 1.0), (-2.0, 1.0, 1e250)])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in forest.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    # the diagonal has a cosine of 0.949 with the first four
+    assert got == {0: (5, 0), 1: (5, 0), 2: (5, 0), 3: (5, 0), 4: (5, 0), 5: (5, 0), 6: (0, 6)}
 
 
 def test_leaf_links_are_counted_once():
