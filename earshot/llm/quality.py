@@ -10,6 +10,8 @@ from operator import eq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +28,8 @@ TEXT_FEATURES = (
     "log_words", "word_chars", "upper", "digit", "space", "mark", "symbol", "bar", "other", "capital_words", "all_capital_words",
     "word_repeats_next", "most_frequent", "distinct", "ends_in_symbol", "lines", "line_chars", "lines_twice", "lines_with_end", "no_letters", "empty",
 )
-#: Buckets of a text's words by hash, and words whose buckets a worker remembers.
-WORDS, KNOWN_WORDS = 128, 200_000
+#: Buckets of a text's words by hash.
+WORDS = 128
 #: Buckets of the metadata's names (language and source), steps of the length (four for each doubling), and buckets of
 #: language and step together.
 NAMES, STEPS, CROSSED = 32, 64, 128
@@ -39,32 +41,38 @@ for _c in range(0x250):
     _KIND[_c] = 1 if _s.isupper() else 0 if _s.isalpha() else 2 if _s.isdigit() else 7 if _s == "\n" else 3 if _s.isspace() else 6 if _s == "|" else 4 if _s in ".,;:?'\"-()" else 5
 
 
-_bucket_of: dict[str, int] = {}
+def word_features(texts: list[str | None]) -> np.ndarray:
+    """Each text's words by hashed buckets with signs, the root of what a bucket adds up to; of length 1 in all.
 
-
-def word_features(counts: Counter) -> np.ndarray:
-    """A text's words (lower case) by hashed buckets with signs, each by the root of its count; of length 1 in all."""
-    if len(_bucket_of) > KNOWN_WORDS:
-        _bucket_of.clear()
-    at = np.empty(len(counts), np.int64)
-    for i, word in enumerate(counts):
-        h = _bucket_of.get(word)
-        if h is None:
-            h = zlib.crc32(word.lower().encode("utf-8", "replace")) & 0xFFFF
-            if len(word) < 40:
-                _bucket_of[word] = h
-        at[i] = h
-    weight = np.sqrt(np.fromiter(counts.values(), float, len(counts))) * np.where(at & 0x8000, -1.0, 1.0)
-    out = np.bincount(at % WORDS, weight, WORDS)
-    return out / max(np.sqrt(out @ out), 1e-9)
-
-
-def text_features(text: str | None) -> np.ndarray:
-    """TEXT_FEATURES of a whole text, shares of kinds of characters, words and lines, and its words. Null counts as empty."""
+    A word's hash is of its length and its first and last eight bytes, with the bit that tells ASCII's cases apart set.
+    """
+    chunks = pc.utf8_split_whitespace(pa.array([t or "" for t in texts], pa.large_string()))
+    numbered = chunks.values.dictionary_encode()
+    words = numbered.dictionary
+    ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int64)
+    raw = np.append(np.frombuffer(words.buffers()[2] or b"", np.uint8), np.zeros(8, np.uint8)) | 0x20
+    begin, size = ends[:-1], np.diff(ends)
+    h = size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    with np.errstate(over="ignore"):
+        for at in (begin, np.maximum(begin, ends[1:] - 8)):
+            for k in range(8):
+                h = (h ^ np.where(k < size, raw[at + k], 0).astype(np.uint64)) * np.uint64(0x100000001B3)
+        h ^= h >> np.uint64(31)
+    of_word = (h % np.uint64(WORDS)).astype(np.int64)
+    sign = np.where(size == 0, 0.0, np.where(h >> np.uint64(20) & np.uint64(1), -1.0, 1.0))
+    index, n = numbered.indices.to_numpy(), len(texts)
+    doc = np.repeat(np.arange(n), np.diff(chunks.offsets.to_numpy()))
+    out = np.bincount(doc * WORDS + of_word[index], sign[index], n * WORDS).reshape(n, WORDS)
+    out = np.sign(out) * np.sqrt(np.abs(out))
+    return out / np.maximum(np.sqrt((out * out).sum(1, keepdims=True)), 1e-9)
+
+
+def shape_features(text: str | None) -> list[float]:
+    """TEXT_FEATURES of a whole text: shares of kinds of characters, words and lines. Null counts as empty."""
     text = text or ""
     words = text.split()
     if not words:
-        return np.array([0.0] * (len(TEXT_FEATURES) - 1) + [1.0] + [0.0] * WORDS)
+        return [0.0] * (len(TEXT_FEATURES) - 1) + [1.0]
     n, w = len(text), len(words)
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     kinds = np.bincount(_KIND[np.minimum(points, 0x24F)], minlength=9) / n
@@ -74,12 +82,18 @@ def text_features(text: str | None) -> np.ndarray:
     shouted = sum(x.isupper() and len(x) > 1 for x in counts)
     odd = sum(c for x, c in counts.items() if not x[-1].isalnum() and x[-1] not in ".,;:?'\"-)")
     sure = min(w, 200)  # in a longer text fewer words are new
-    shape = [
+    return [
         np.log1p(w), (n - w) / w, kinds[1], kinds[2], kinds[3], kinds[4], kinds[5], kinds[6], kinds[8], capitals / len(counts), shouted / len(counts),
         sum(map(eq, words, words[1:])) / w, max(counts.values()) / w, len(counts) / w * np.sqrt(w / sure), odd / w,
         np.log1p(len(lines)), np.log1p(n / len(lines)), 1 - len(set(lines)) / len(lines), sum(x.rstrip()[-1] in ".!?" for x in lines) / len(lines), float(kinds[0] + kinds[1] < 0.3), 0.0,
     ]
-    return np.concatenate([shape, word_features(counts)])
+
+
+def text_features(texts: list[str | None]) -> np.ndarray:
+    """The text view of each text: its shape and its words."""
+    if not len(texts):
+        return np.zeros((0, TEXT_WIDTH))
+    return np.hstack([np.array([shape_features(t) for t in texts]), word_features(texts)])
 
 
 def metadata_features(lang: str | None, source: str | None, n_chars: float | None) -> np.ndarray:
@@ -111,16 +125,20 @@ class Logistic:
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 30) -> Logistic:
-    """Ridge logistic regression by Newton steps on standardised columns."""
-    mean, scale = x.mean(0), x.std(0)
+    """Ridge logistic regression by Newton steps on standardised columns, 4,096 rows at a time."""
+    mean, scale = x.mean(0, dtype=np.float64), x.std(0, dtype=np.float64)
     scale = np.where(scale > 1e-9, scale, 1.0)
-    z = np.hstack([np.clip((x - mean) / scale, -8, 8), np.ones((len(x), 1))])
-    w = np.zeros(z.shape[1])
+    w = np.zeros(x.shape[1] + 1)
     penalty = np.full(len(w), l2)
     penalty[-1] = 1e-3
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(penalty), z.T @ (p - y) + penalty * w)
+        square, slope = np.diag(penalty), penalty * w
+        for i in range(0, len(x), 4096):
+            z = np.hstack([np.clip((x[i : i + 4096] - mean) / scale, -8, 8), np.ones((len(x[i : i + 4096]), 1))])
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+            square += (z * (p * (1 - p))[:, None]).T @ z
+            slope += z.T @ (p - y[i : i + 4096])
+        step = np.linalg.solve(square, slope)
         size = np.abs(step).max()
         w = w - step * min(1.0, 4 / max(size, 1e-9))
         if size < 1e-6:
@@ -210,7 +228,7 @@ def _features(docs: DataFrame, text_col: str, keep: list) -> DataFrame:
     @F.pandas_udf("array<float>")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for t in texts:
-            yield pd.Series([text_features(x).astype(np.float32) for x in t], dtype=object)
+            yield pd.Series(list(text_features(t.tolist()).astype(np.float32)), dtype=object)
 
     return docs.select(*keep, of(F.col(text_col)).alias("x"))
 
@@ -236,8 +254,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, pool_rows:
     data = parts[0].unionByName(parts[1]).toPandas().sort_values(["h", "n_chars", "source"], kind="stable")
     text = np.array(data["x"].tolist(), np.float32).reshape(len(data), TEXT_WIDTH)
     metadata = np.array([metadata_features(a, b, c) for a, b, c in zip(data["lang"], data["source"], data["n_chars"])], np.float32).reshape(len(data), METADATA_WIDTH)
-    has = data["y"].notna().to_numpy()
-    return co_train((text[has], metadata[has]), data["y"].to_numpy()[has].astype(int), (text[~has], metadata[~has]))
+    y, has = data["y"].to_numpy(), data["y"].notna().to_numpy()
+    del data
+    return co_train((text[has], metadata[has]), y[has].astype(int), (text[~has], metadata[~has]))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", chars_col: str = "n_chars", threshold: float = 0.5) -> DataFrame:
@@ -249,7 +268,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     @F.pandas_udf("double")
     def of(rows: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for text, lang, source, chars in rows:
-            x = np.array([text_features(t) for t in text], float).reshape(len(text), TEXT_WIDTH)
+            x = text_features(text.tolist())
             m = np.array([metadata_features(a, b, c) for a, b, c in zip(lang, source, chars)], float).reshape(len(text), METADATA_WIDTH)
             yield pd.Series(sent.value.score(x, m))
 

@@ -29,7 +29,7 @@ def test_every_stage_by_brute_force(spark, sf_dir, tmp_path):
             got = key(out.collect())
         if name == "quality classifier":
             m = quality.train(docs, labels)
-            s = m.score(np.array([quality.text_features(r["text"]) for r in before]), np.array([quality.metadata_features(r["lang"], r["source"], r["n_chars"]) for r in before]))
+            s = m.score(np.vstack([quality.text_features([r["text"]]) for r in before]), np.array([quality.metadata_features(r["lang"], r["source"], r["n_chars"]) for r in before]))
             assert got == key([r for r, x in zip(before, s) if x >= 0.5]) and 0 < sum(got.values()) < len(before)
         elif name == "toxicity":
             w = toxicity.train(docs, labels)
