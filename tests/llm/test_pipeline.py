@@ -3,6 +3,7 @@ from collections import Counter
 import corpus_pipeline
 import duckdb
 import numpy as np
+import pytest
 from test_packing_tokens import check_pack
 from test_similarity import brute_join
 
@@ -56,3 +57,21 @@ def test_run_equals_the_stages(spark, sf_dir):
         docs = stage(spark, docs, sf_dir)
     row = lambda df: Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in df.collect())
     assert row(corpus_pipeline.run(spark, sf_dir)) == row(docs)
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stage_odd_and_empty(spark, sf_dir, odd_docs, no_docs, name, stage):
+    """Nulls, blanks, long texts, repeats, clashing columns: every row is judged, none is lost but by the stage's rule."""
+    out = stage(spark, odd_docs, sf_dir)
+    got, rows = out.collect(), odd_docs.collect()
+    if name == "best-fit packing":
+        assert check_pack(out, rows, 4096)[0] >= 1
+    else:
+        assert out.columns == odd_docs.columns
+        assert not Counter((r["doc_id"], r["text"]) for r in got) - Counter({k: 3 * n for k, n in Counter((r["doc_id"], r["text"]) for r in rows).items()})
+    if name == "n-gram Jaccard join":
+        assert sorted((r["doc_id"] or -1) for r in got) == [-1, -1, 1, 2, 3, 4, 5, 6, 8, 9]
+    if name == "toxicity":
+        assert sum(not (r["text"] or "").strip() for r in got) == sum(not (r["text"] or "").strip() for r in rows)
+    empty = stage(spark, no_docs, sf_dir)
+    assert empty.count() == 0 and (name == "best-fit packing" or empty.columns == no_docs.columns)
