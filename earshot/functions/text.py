@@ -83,7 +83,9 @@ def name_key(name: Column) -> Column:
 
 
 def looks_like_name(label: Column) -> Column:
-    return F.length(F.trim(label)).between(1, 10_000) & (word_count(label) <= 7) & ~label.rlike(r"\d|[.!?]\s")
+    """One to seven words, no digit and no end of a sentence; the white space that separates is Unicode's."""
+    words = F.regexp_count(label, F.lit(r"(?U)[^\s\x1c-\x1f]+"))
+    return words.between(1, 7) & ~label.rlike(r"(?U)\d|[.!?][\s\x1c-\x1f]")
 
 
 def speaker_type(name: Column, role: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from earshot.functions import text as T
+from earshot.sources.pages import TRANSCRIPT_ID
 
 # Cues of the questions' start, and limits in words.
 QNA_CUE = (
@@ -14,6 +15,7 @@ QNA_CUE = (
     r"(?:move|turn|go|get) (?:over |on )?(?:to |into )?(?:the )?(?:investor |analyst )?(?:q(?:&| and )a\b|questions)|"
     r"(?:start|begin|open) (?:our |the )?(?:analyst |investor )?(?:q(?:&| and )a\b|questions from)|\[operator instructions\]"
 )
+SEPARATOR = r"\s+[-–—]+\s+"
 FIRST_QUESTION = r"(?i)first question|question-and-answer session|question and answer session"
 HANDOFF_WORDS, MONOLOGUE_WORDS, REMARKS_WORDS = 80, 300, 150
 UNLISTED, HOST = "Executive (unlisted)", "Investor Relations (unlisted)"
@@ -69,15 +71,57 @@ def split_qna(turns: DataFrame, call: str = "call", cue: str = QNA_CUE, remarks:
     return x.drop("_w", "_kind", "_first", "_cue", "_analyst", "_start", "_key")
 
 
+def raw_turns(rows: DataFrame, call: str = "url") -> DataFrame:
+    """Turns (call, turn, section, speaker, listed_as, text) of blocks: call, layout, pos and the fields of a block.
+
+    Headings set the section and the end by running windows over a call's blocks; a paragraph that opens with a strong
+    name begins a turn, and what follows up to the next such is its text. Pages with headings have the role beside the
+    name; in the others a name ends with a colon, section and role come later, and the text may begin beside the name.
+    """
+    line, headed = Window.partitionBy(call).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow), F.col("layout") == "legacy"
+    h2, p, title = F.col("kind") == "h2", F.col("kind") == "p", F.lower("tight")
+    section = F.when(h2 & title.startswith("prepared remarks"), "prepared").when(h2 & title.startswith("questions"), "qna")
+    x = rows.withColumns({
+        "section": F.last(F.when(headed, section), ignorenulls=True).over(line),
+        "_over": F.coalesce(F.max(h2 & title.startswith("call participants")).over(line), F.lit(False)),
+        "_begun": F.coalesce(F.max(h2 & (F.col("id") == TRANSCRIPT_ID)).over(line), F.lit(False)),
+    })
+    # the transcript's heading is the first one counted, and the next ends it
+    x = x.withColumn("_headings", F.sum(F.when(h2 & F.col("_begun"), 1).otherwise(0)).over(line))
+    x = x.filter(p & F.when(headed, F.col("section").isNotNull() & ~F.col("_over")).otherwise(F.col("_headings") == 1))
+    strong, text = F.col("strong"), F.col("text")
+    begins = (strong != "") & text.startswith(strong)
+    label = F.expr("substring(strong, 1, length(strong) - 1)")
+    opens = F.when(headed, begins & ((text == strong) | text.contains(" -- "))).otherwise(begins & strong.endswith(":") & T.looks_like_name(label))
+    x = x.withColumn("_opens", opens).filter(~(headed & F.col("_opens") & F.lower("strong").startswith("duration")))
+    x = x.withColumn("turn", (F.sum(F.col("_opens").cast("int")).over(line) - 1).cast("int")).filter("turn >= 0")
+    said = F.when(~F.col("_opens"), text).when(~headed, F.trim(F.expr("substring(text, length(strong) + 1)")))
+    x = x.withColumn("_said", F.when((said != "") & ~T.is_noise(said), F.struct("pos", said.alias("s"))))
+    role = F.coalesce("em", F.when(F.lower("strong") == "operator", "Operator").otherwise(""))
+    first = lambda c: F.max(F.when(F.col("_opens"), c))
+    return x.groupBy(call, "turn").agg(
+        first(F.col("section")).alias("section"), first(F.when(headed, strong).otherwise(F.trim(label))).alias("speaker"), first(F.when(headed, role)).alias("listed_as"),
+        F.array_join(F.transform(F.array_sort(F.collect_list("_said")), lambda s: s["s"]), " ").alias("text"),
+    )
+
+
+def listed_people(rows: DataFrame, call: str = "url") -> DataFrame:
+    """(call, pos, name, role) of blocks in the list of participants: after the last spaced dash the name, the role before."""
+    parts = F.split("tight", SEPARATOR)
+    found = rows.filter("listed").withColumn("_p", parts).filter(F.size("_p") >= 2)
+    return found.select(call, "pos", F.element_at("_p", -1).alias("name"), F.array_join(F.slice("_p", F.lit(1), F.size("_p") - 1), " ").alias("role"))
+
+
 def speaker_turns(parsed: DataFrame, call: str = "url") -> DataFrame:
     """All turns with text of parsed pages: parsed's own columns, call_date, call_time_et, layout and section, speaker, speaker_type, role, text, turn.
 
     parsed has one row per call and a column `parsed`. Pages with headings keep their sections, unless all are prepared.
     """
     own = [c for c in parsed.columns if c not in ("parsed", "html", "call_date", "call_time_et")]
-    flat = parsed.select(*own, "parsed.call_date", "parsed.call_time_et", "parsed.layout", F.explode("parsed.turns").alias("t")).select("*", "t.*").drop("t")
-    people = parsed.select(F.col(call), F.posexplode("parsed.participants").alias("pos", "p")).select(call, "pos", "p.name", "p.role")
-    current = lookup_roles(flat.filter("layout = 'current'"), people, call)
+    rows = parsed.select(F.col(call), "parsed.layout", F.posexplode("parsed.blocks").alias("pos", "b")).select(call, "layout", "pos", "b.*")
+    calls = parsed.filter("parsed.error is null").select(*own, "parsed.call_date", "parsed.call_time_et", "parsed.layout")
+    flat = raw_turns(rows, call).join(calls, call)
+    current = lookup_roles(flat.filter("layout = 'current'"), listed_people(rows, call), call)
     operator = F.lower("speaker").startswith("operator")
     current = current.withColumn("role", F.coalesce("listed_role", F.when(operator, "Operator").otherwise("Analyst"))).drop("listed_role")
     current = split_qna(unlisted_management(current.drop("section"), call), call)
@@ -115,5 +159,3 @@ def parse_summary(stats: DataFrame) -> DataFrame:
 
 def drop_reasons(stats: DataFrame) -> DataFrame:
     return stats.filter(~F.col("ok")).groupBy(F.coalesce("error", F.lit("short section or no date/ticker")).alias("reason")).agg(F.count("*").alias("n"))
-
-

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from earshot.functions import text as T
 from earshot.operators import turns as U
 from earshot.plans import analogues as A
 from earshot.sources import crawl, lexicon, pages
+from earshot.streaming import incremental
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -144,25 +147,103 @@ def lexicon_classes(spark, d):
     return lexicon.classify(words)
 
 
-@query(r"SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) <> '' AS has_title, '' AS ticker, '' AS fiscal_quarter FROM pages")
-def html_metadata(spark, d):
-    x = pages.extract_metadata(A.table(spark, d, "pages").select("page_id", "html"))
-    return x.select("page_id", (F.col("title") != "").alias("has_title"), "ticker", "fiscal_quarter")
+#: Heads made of a page's id, in place of downloaded ones: tickers and companies, some without, and a quarter in most titles.
+HEAD = "<html><head><meta name='primary_tickers' content=' t{id}, other'><meta name='primary_tickers_companies' content='Firm {id} Ltd, Other'><title>Firm {id} q{q} {fy}{y} results | Wire</title></head><body>x</body></html>"
 
 
-#: A transcript made of each page's url and id, with headings or without, in place of downloaded pages.
-LEGACY = '<html><body><div class="article-body"><p>{u} earnings call, Feb. 8, 2018, 9:00 a.m. ET</p><h2>Prepared Remarks:</h2><p><strong>Pat Exec</strong> -- <em>Chief Executive Officer</em></p><p>We will do {u}.</p><h2>Questions &amp; Answers:</h2><p><strong>Lee Ray</strong> -- <em>Analyst</em></p><p>How about {u}?</p></div></body></html>'
+def filled(template: str, **by) -> F.Column:
+    """template with {name} replaced by columns."""
+    out = F.lit(template)
+    for name, c in by.items():
+        out = F.replace(out, F.lit("{" + name + "}"), c.cast("string"))
+    return out
 
 
-@query("""SELECT page_id, 'prepared' AS section, 'Pat Exec' AS speaker, 'executive' AS speaker_type, 'We will do ' || page_id || '.' AS text, '2018-02-08' AS call_date, '09:00' AS call_time_et FROM pages
-UNION ALL SELECT page_id, 'qna', 'Lee Ray', 'analyst', 'How about ' || page_id || '?', '2018-02-08', '09:00' FROM pages""")
+@query("""SELECT page_id, CASE WHEN page_id % 5 = 0 THEN '' ELSE 'T' || page_id END AS ticker, CASE WHEN page_id % 5 = 0 THEN '' ELSE 'Firm ' || page_id || ' Ltd' END AS company,
+CASE WHEN page_id % 5 = 0 THEN regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '^\\s+|\\s+$', '', 'g') ELSE 'Firm ' || page_id || ' q' || (1 + page_id % 5) || ' ' || CASE WHEN page_id % 2 = 0 THEN 'FY ' ELSE '' END || (1990 + page_id % 40) || ' results' END AS title,
+CASE WHEN page_id % 5 IN (0, 4) THEN '' ELSE 'Q' || (1 + page_id % 5) || ' ' || (1990 + page_id % 40) END AS fiscal_quarter FROM pages""")
+def html_metadata(spark, d):
+    k = F.col("page_id")
+    made = filled(HEAD, id=k, q=1 + k % 5, fy=F.when(k % 2 == 0, "FY ").otherwise(""), y=1990 + k % 40)
+    x = A.table(spark, d, "pages").select("page_id", F.when(k % 5 == 0, F.col("html")).otherwise(made).alias("html"))
+    return pages.extract_metadata(x, title_suffix="| Wire").select("page_id", "ticker", "company", "title", "fiscal_quarter")
+
+
+#: Transcripts made of a page's id, in place of downloaded ones: with a heading for each section, and with a list of people.
+HEADED = (
+    "<html><body><p>Wire</p><div class='x article-body'><p>Northwind {id} results call<br>{date} at 7:{m} p.m. ET</p><h2>Contents</h2><p><strong>Nobody</strong> -- <em>none</em></p>"
+    "<h2>Prepared <i>remarks</i></h2><p><strong>Ona Vik</strong> -- <em>Treasurer</em></p><p>Plan {id} goes on.</p><p>[music]</p><p>It is funded.</p><h2>Questions and answers</h2>"
+    "<p><strong>Ivo Tam</strong> -- <em>Lead Analyst</em></p><p>Is {id} enough?</p><p><strong>Operator</strong></p><p>One more.</p><p><strong>Duration: 9 minutes</strong></p><p>Bye.</p>"
+    "<h2>Call participants</h2><p><strong>Ona Vik</strong> -- <em>Treasurer</em></p></div></body></html>"
+)
+LISTED = (
+    "<html><body><div id='article-body-transcript'><span id='date'>{date}</span> <em id='time'>8 a.m.</em><h2 id='call-participants'>Who spoke</h2><ul><li>Treasurer of all — Una Q. Vale</li><li>Nobody</li></ul>"
+    "<p>Head of Sales - Odd Nord</p><h2 id='full-conference-call-transcript'>All of it</h2><p>Before.</p><p><strong>Una Vale:</strong> Good day from {id}.</p><p>Costs fell.</p>"
+    "<p><strong>Operator:</strong> The first question, please.</p><p><strong>Kit Oz:</strong> Why {id}?</p><p><strong>Erik Nord:</strong> <strong>As</strong> planned.</p><p><strong>No name. At all:</strong> so.</p>"
+    "<h2 id='more'>More</h2><p><strong>Ad:</strong> no</p></div></body></html>"
+)
+_MONTH = "['Jan', 'Feb', 'Mar', 'Apr', 'May', 'June', 'July', 'Aug', 'Sept', 'Oct', 'Nov', 'December'][1 + page_id % 12]"
+_DAY = "'2021-' || lpad((1 + page_id % 12)::VARCHAR, 2, '0') || '-' || lpad((1 + page_id % 28)::VARCHAR, 2, '0')"
+
+
+def dated(template: str) -> F.Column:
+    k = F.col("page_id")
+    names = F.array(*map(F.lit, ("Jan", "Feb", "Mar", "Apr", "May", "June", "July", "Aug", "Sept.", "Oct", "Nov.", "December")))
+    day = F.concat(F.element_at(names, (1 + k % 12).cast("int")), F.lit(" "), (1 + k % 28).cast("string"), F.lit(", 2021"))
+    return filled(template, id=k, date=day, m=10 + k % 50)
+
+
+@query(f"""WITH p AS (SELECT page_id AS id, {_DAY} AS day, '19:' || (10 + page_id % 50) AS clock FROM pages)
+SELECT id AS page_id, turn, section, speaker, speaker_type, role, text, day AS call_date, call_time_et FROM (
+SELECT id, day, clock AS call_time_et, unnest([
+  {{turn: 0, section: 'prepared', speaker: 'Ona Vik', speaker_type: 'executive', role: 'Treasurer', text: 'Plan ' || id || ' goes on. It is funded.'}},
+  {{turn: 1, section: 'qna', speaker: 'Ivo Tam', speaker_type: 'analyst', role: 'Lead Analyst', text: 'Is ' || id || ' enough?'}},
+  {{turn: 2, section: 'qna', speaker: 'Operator', speaker_type: 'operator', role: 'Operator', text: 'One more. Bye.'}}], recursive := true) FROM p WHERE id % 2 = 0
+UNION ALL SELECT id, day, '08:00', unnest([
+  {{turn: 0, section: 'prepared', speaker: 'Una Vale', speaker_type: 'executive', role: 'Treasurer of all', text: 'Good day from ' || id || '. Costs fell.'}},
+  {{turn: 1, section: 'qna', speaker: 'Operator', speaker_type: 'operator', role: 'Operator', text: 'The first question, please.'}},
+  {{turn: 2, section: 'qna', speaker: 'Kit Oz', speaker_type: 'analyst', role: 'Analyst', text: 'Why ' || id || '?'}},
+  {{turn: 3, section: 'qna', speaker: 'Erik Nord', speaker_type: 'executive', role: 'Head of Sales', text: 'As planned. No name. At all: so.'}}], recursive := true) FROM p WHERE id % 2 = 1)""")
 def html_extract(spark, d):
-    html = F.replace(F.lit(LEGACY), F.lit("{u}"), F.col("page_id").cast("string"))
+    html = F.when(F.col("page_id") % 2 == 0, dated(HEADED)).otherwise(dated(LISTED))
     p = pages.with_parsed(A.table(spark, d, "pages").select("page_id", html.alias("html")))
-    return U.speaker_turns(p, "page_id").select("page_id", "section", "speaker", "speaker_type", "text", "call_date", "call_time_et")
+    return U.speaker_turns(p, "page_id").select("page_id", "turn", "section", "speaker", "speaker_type", "role", "text", "call_date", "call_time_et")
 
 
-@query("SELECT page_id, 'ValueError' AS error, 0 AS turns FROM pages")
+@query(f"""SELECT page_id, CASE WHEN page_id % 7 IN (1, 5) THEN NULL ELSE 'ValueError' END AS error, CASE page_id % 7 WHEN 1 THEN 'legacy' WHEN 5 THEN 'current' END AS layout,
+CASE WHEN page_id % 7 = 1 THEN {_DAY} END AS call_date, CASE page_id % 7 WHEN 1 THEN 17 WHEN 5 THEN 14 ELSE 0 END AS blocks FROM pages""")
 def html_robustness(spark, d):
-    p = pages.with_parsed(A.table(spark, d, "pages").select("page_id", "html"))
-    return p.select("page_id", "parsed.error", F.size("parsed.turns").alias("turns"))
+    """Pages as they are (without an article), whole ones, none, impossible days, unknown months, no date, no transcript."""
+    k, day = F.col("page_id") % 7, lambda x: F.replace(F.lit(HEADED), F.lit("{date}"), F.lit(x))
+    html = (
+        F.when(k == 0, F.col("html")).when(k == 1, dated(HEADED)).when(k == 3, day("Feb. 29, 2021")).when(k == 4, day("Mai 3, 2021"))
+        .when(k == 5, F.replace(F.lit(LISTED), F.lit("{date}"), F.lit("a day in June"))).when(k == 6, "<div class='article-body'><h2>Remarks</h2><p>x</p></div>")
+    )
+    p = pages.with_parsed(A.table(spark, d, "pages").select("page_id", html.alias("html")))
+    return p.select("page_id", "parsed.error", "parsed.layout", "parsed.call_date", F.coalesce(F.size("parsed.blocks"), F.lit(0)).alias("blocks"))
+
+
+@query(f"""WITH {INDEX_SQL}, l AS (SELECT url, arg_max(status, seq) AS status FROM idx GROUP BY 1) SELECT c_custkey, url, CASE WHEN c_nationkey IN (3, 7) THEN 'ok' ELSE 'skipped' END AS status FROM
+(SELECT c_custkey, 'u/' || c_custkey AS url, c_nationkey FROM customer) WHERE url NOT IN (SELECT url FROM l WHERE status <> 'error')""")
+def ticker_filter(spark, d):
+    c = A.table(spark, d, "customer").select("c_custkey", F.concat(F.lit("u/"), F.col("c_custkey").cast("string")).alias("url"), F.col("c_nationkey").cast("string").alias("published"))
+    todo = crawl.pending(c, index(spark, d)).withColumns({"status": F.lit("ok"), "ticker": F.concat(F.lit("N"), "published")})
+    return crawl.only_tickers(todo, ["N3", "n7"]).select("c_custkey", "url", "status")
+
+
+@query("""WITH m AS (SELECT unnest(generate_series(DATE '1992-01-01', DATE '1998-12-01', INTERVAL 1 MONTH))::DATE AS month) SELECT month FROM m
+WHERE month >= DATE '1998-03-01' OR month NOT IN (SELECT date_trunc('month', o_orderdate)::DATE FROM orders WHERE o_orderkey % 97 = 0)""")
+def sitemap_cache(spark, d):
+    cached = A.table(spark, d, "orders").filter("o_orderkey % 97 = 0").select(F.trunc("o_orderdate", "month").alias("month"))
+    return crawl.sitemaps_to_fetch(crawl.months(spark, "1992-01", "1998-12"), cached, datetime.date(1998, 3, 9))
+
+
+@query("""WITH parts AS (SELECT 'p' || l_orderkey AS path, max(l_shipdate) AS modified FROM lineitem GROUP BY 1),
+done AS (SELECT 'p' || o_orderkey AS path, o_orderdate + INTERVAL 60 DAY AS scored_at, CASE WHEN o_orderstatus = 'P' THEN o_orderdate + INTERVAL 90 DAY ELSE o_orderdate END AS model_at FROM orders WHERE o_orderkey % 3 <> 0)
+SELECT path, modified::DATE AS modified FROM parts WHERE path NOT IN (SELECT p.path FROM parts p JOIN done d ON p.path = d.path WHERE p.modified <= d.scored_at AND d.model_at <= d.scored_at)""")
+def stale_parts(spark, d):
+    path = lambda c: F.concat(F.lit("p"), F.col(c).cast("string")).alias("path")
+    parts = A.table(spark, d, "lineitem").groupBy(path("l_orderkey")).agg(F.max(F.to_date("l_shipdate")).alias("modified"))
+    o = A.table(spark, d, "orders").filter("o_orderkey % 3 <> 0").withColumn("day", F.to_date("o_orderdate"))
+    manifest = o.select(path("o_orderkey"), F.date_add("day", 60).alias("scored_at"), F.when(F.col("o_orderstatus") == "P", F.date_add("day", 90)).otherwise(F.col("day")).alias("model_at"))
+    return incremental.stale_parts(parts, manifest)

@@ -210,9 +210,12 @@ def name_key(spark, d):
     return A.table(spark, d, "customer").select("c_custkey", T.name_key(F.col("c_name")).alias("name_key"))
 
 
-@query(r"SELECT p_partkey, length(trim(p_name)) > 0 AND len(regexp_extract_all(p_name, '\S+')) <= 7 AND NOT regexp_matches(p_name, '\d|[.!?]\s') AS is_name FROM part")
+@query(r"""WITH l AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN p_name WHEN 1 THEN chr(10) || chr(9) WHEN 2 THEN ' ' WHEN 3 THEN p_name || chr(9) || 'a b' || chr(10) || 'c d e' WHEN 4 THEN 'x. y ' || p_name ELSE p_name || chr(10) || '7' END AS label FROM part)
+SELECT p_partkey, len(regexp_extract_all(label, '\S+')) BETWEEN 1 AND 7 AND NOT regexp_matches(label, '\d|[.!?]\s') AS is_name FROM l""")
 def looks_like_name(spark, d):
-    return A.table(spark, d, "part").select("p_partkey", T.looks_like_name(F.col("p_name")).alias("is_name"))
+    k, n = F.col("p_partkey") % 6, F.col("p_name")
+    label = F.when(k == 0, n).when(k == 1, "\n\t").when(k == 2, " ").when(k == 3, F.concat(n, F.lit("\ta b\nc d e"))).when(k == 4, F.concat(F.lit("x. y "), n)).otherwise(F.concat(n, F.lit("\n7")))
+    return A.table(spark, d, "part").select("p_partkey", T.looks_like_name(label).alias("is_name"))
 
 
 @query("SELECT conv_id, turn, CASE WHEN starts_with(lower(role), 'operator') THEN 'operator' WHEN contains(lower(role), 'user') THEN 'executive' ELSE 'executive' END AS kind, CASE WHEN contains(lower(replace(role, 'user', 'Sell-side Analyst')), 'analyst') THEN 'analyst' ELSE 'executive' END AS speaker_type FROM conversations")

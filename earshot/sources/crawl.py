@@ -46,13 +46,22 @@ def latest_records(index: DataFrame, key: str = "url", order: str = "seq") -> Da
     return index.withColumns({"_rn": F.row_number().over(w), "first_seq": F.min(order).over(Window.partitionBy(key))}).filter("_rn = 1").drop("_rn")
 
 
-def pending(urls: DataFrame, index: DataFrame, tickers: list[str] | None = None) -> DataFrame:
+def pending(urls: DataFrame, index: DataFrame) -> DataFrame:
     """urls (url, published) to fetch, newest first: those without a record or with one of status error. missing is final."""
     done = latest_records(index).filter("status <> 'error'").select("url")
-    out = urls.join(done, "url", "left_anti")
-    if tickers is not None:
-        out = out.filter(F.col("ticker").isin(tickers))
-    return out.orderBy(F.desc("published"), "url")
+    return urls.join(done, "url", "left_anti").orderBy(F.desc("published"), "url")
+
+
+def only_tickers(records: DataFrame, tickers: list[str] | None) -> DataFrame:
+    """records with status skipped in place of ok for tickers that aren't wanted; None or none named: all are.
+
+    A ticker is known only once the page is read, so this comes after extraction. Skipped pages are neither stored nor
+    logged, so a later crawl without the filter fetches them.
+    """
+    if not tickers:
+        return records
+    unwanted = (F.col("status") == "ok") & ~F.coalesce(F.upper("ticker").isin([t.upper() for t in tickers]), F.lit(False))
+    return records.withColumn("status", F.when(unwanted, F.lit("skipped")).otherwise(F.col("status")))
 
 
 def append_index(records: DataFrame, path: str) -> None:

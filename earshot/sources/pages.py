@@ -1,35 +1,33 @@
-"""Transcript pages: reading them, their metadata and their raw turns. The DOM needs Python; all else is relational."""
+"""Transcript pages: reading them, their metadata and their blocks. The DOM needs Python; all else is relational."""
 
 from __future__ import annotations
 
 import gzip
-import re
 import unicodedata
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Patterns and names in transcript pages.
 BODY_ID, BODY_CLASS = "article-body-transcript", "article-body"
 PARTICIPANTS_ID, TRANSCRIPT_ID = "call-participants", "full-conference-call-transcript"
-DATE = re.compile(r"([A-Z][a-z]{2,8})\.? (\d{1,2}), (\d{4})")
-TIME = re.compile(r"(\d{1,2})(?::(\d{2}))? ?([ap])\.?m", re.I)
-QUARTER = re.compile(r"\b(Q[1-4])\s+(?:FY\s*)?((?:19|20)\d{2})\b", re.I)
-NOISE = re.compile(r"^\s*(\[.*?\]|duration:.*)\s*$", re.I)
-SEPARATOR = re.compile(r"\s+[-–—]+\s+")
+DATE = r"([A-Z][a-z]{2,8})\.? (\d{1,2}), (\d{4})"
+TIME = r"(?i)(\d{1,2})(?::(\d{2}))? ?([ap])\.?m"
+QUARTER = r"(?iU)\b(Q[1-4])\s+(?:FY\s*)?((?:19|20)\d{2})\b"
 MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
+#: Years that a date may have.
+FIRST_YEAR, LAST_YEAR = 1678, 2261
 
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _BLOCKS = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
-TURN = "struct<turn: int, section: string, speaker: string, listed_as: string, text: string>"
-PARSED = (
-    "error string, layout string, call_date string, call_time_et string, "
-    f"participants array<struct<name: string, role: string>>, turns array<{TURN}>"
-)
+#: A heading, paragraph or list item of the article in page order: its id, its text with a space between elements and
+#: without, its first strong and em text, and whether it stands in the list of participants.
+BLOCK = "struct<kind: string, id: string, text: string, tight: string, strong: string, em: string, listed: boolean>"
+READ = f"struct<error: string, stamps: array<string>, blocks: array<{BLOCK}>>"
 
 
 def clean(text: str) -> str:
@@ -128,119 +126,88 @@ def article_body(page: Node) -> Node:
     return body
 
 
-def call_datetime(page: Node) -> tuple[str | None, str | None]:
-    """Day and 24-hour time of the call: from #date (and #time), else one of the first six paragraphs that mentions a call."""
-    node = page.by_id("date")
-    if node is not None:
-        beside = node.after() if node.tag == "h2" else []
-        text = (beside[0] if beside else node).text()
-        if node.tag == "span" and (t := page.by_id("time")) is not None:
-            text += " " + t.text("")
-    else:
-        heads = [n for n in page.walk() if n.tag == "p"][:6]
-        text = next((p.text() for p in heads if "call" in p.text("").lower() and DATE.search(p.text())), "")
-    m = DATE.search(text)
-    if not m or m[1][:3] not in MONTHS:
-        return None, None
-    day = f"{m[3]}-{MONTHS.index(m[1][:3]) + 1:02d}-{int(m[2]):02d}"
-    t = TIME.search(text)
-    return day, f"{int(t[1]) % 12 + 12 * (t[3].lower() == 'p'):02d}:{t[2] or '00'}" if t else None
-
-
-def _turn(section: str | None, speaker: str, listed_as: str | None) -> dict:
-    return {"section": section, "speaker": speaker, "listed_as": listed_as, "paragraphs": []}
-
-
-def _headed(body: Node) -> list[dict]:
-    """Turns of a page whose sections have headings; a speaker's line is a strong name with or without an em role."""
-    turns: list[dict] = []
-    section = None
+def stamps(page: Node) -> list[str]:
+    """Texts that may tell the call's day and time, the likeliest first."""
+    marked = page.by_id("date")
+    if marked is None:
+        early = [n for n in page.walk() if n.tag == "p"][:6]
+        return [n.text() for n in early if "call" in n.text("").lower()]
+    if marked.tag == "h2":  # a heading: the date is in what follows it
+        return [(marked.after() or [marked])[0].text()]
+    apart = page.by_id("time") if marked.tag == "span" else None
+    return [" ".join([marked.text(), *([apart.text("")] if apart is not None else [])])]
+
+
+def blocks(body: Node) -> Iterator[dict]:
+    """The article's headings, paragraphs and list items as BLOCKs."""
+    lists: set[int] = set()
     for n in body.walk():
-        if n.tag == "h2":
-            heading = n.text("").lower()
-            if heading.startswith("call participants"):
-                break
-            section = "prepared" if heading.startswith("prepared remarks") else "qna" if heading.startswith("questions") else section
-        elif n.tag == "p" and section:
-            strong, text = n.first("strong"), n.text()
-            name = strong.text("") if strong is not None else ""
-            if name and text.startswith(name) and (text == name or " -- " in text):
-                if not name.lower().startswith("duration"):
-                    em = n.first("em")
-                    turns.append(_turn(section, name, em.text("") if em is not None else "Operator" if name.lower() == "operator" else ""))
-            elif turns and text and not NOISE.match(text):
-                turns[-1]["paragraphs"].append(text)
-    return turns
-
-
-def _listed(body: Node) -> list[dict]:
-    """(name, role) of the participants' list: the last part after a spaced dash is the name."""
-    out: list[dict] = []
-    head = next((n for n in body.walk() if n.tag == "h2" and n.attrs.get("id") == PARTICIPANTS_ID), None)
-    for n in head.after() if head is not None else []:
-        if n.tag == "h2":
-            break
-        for item in [x for x in n.walk() if x.tag == "li"] if n.tag == "ul" else [n] if n.tag == "p" else []:
-            parts = SEPARATOR.split(item.text(""))
-            if len(parts) >= 2:
-                out.append({"name": parts[-1], "role": " ".join(parts[:-1])})
-    return out
-
-
-def _labelled(body: Node) -> list[dict]:
-    """Turns of one long section, each begun by a strong name with a colon; the role is left to the participants' list."""
-    nodes = list(body.walk())
-    start = next((i for i, n in enumerate(nodes) if n.tag == "h2" and n.attrs.get("id") == TRANSCRIPT_ID), None)
-    if start is None:
-        raise ValueError("no transcript section")
-    turns: list[dict] = []
-    for n in nodes[start + 1 :]:
-        if n.tag == "h2":
-            break
-        if n.tag != "p":
-            continue
-        strong, text = n.first("strong"), n.text()
-        label = strong.text("") if strong is not None else ""
-        name = label[:-1]
-        if label.endswith(":") and text.startswith(label) and 0 < len(name.split()) <= 7 and not re.search(r"\d|[.!?]\s", name):
-            turns.append(_turn(None, name.strip(), None))
-            text = text[len(label) :].strip()
-        if turns and text and not NOISE.match(text):
-            turns[-1]["paragraphs"].append(text)
-    return turns
-
-
-def parse_page(source: str) -> dict:
-    """PARSED of one page; turns without text are kept, as rules count them. Raises ValueError without a transcript."""
+        if n.tag == "h2" and n.attrs.get("id") == PARTICIPANTS_ID and not lists:
+            for beside in n.after():
+                if beside.tag == "h2":
+                    break
+                lists.add(id(beside))
+        if n.tag in ("h2", "p", "li"):
+            inside = n
+            while n.tag == "li" and inside is not None and not (inside.tag == "ul" and id(inside) in lists):
+                inside = inside.up
+            strong, em = n.first("strong"), n.first("em")
+            listed = inside is not None and id(inside) in lists and n.tag != "h2"
+            yield {
+                "kind": n.tag, "id": n.attrs.get("id"), "text": n.text(), "tight": n.text("") if listed or n.tag == "h2" else None,
+                "strong": strong.text("") if strong is not None else "", "em": em.text("") if em is not None else None, "listed": listed,
+            }
+
+
+def read_page(source: str | bytes | None) -> dict:
+    """READ of one page, packed by gzip or not. Raises ValueError if there is none or it has no article."""
+    if isinstance(source, (bytes, bytearray)):
+        source = gzip.decompress(source).decode()
+    if source is None:
+        raise ValueError("no page")
     page = tree(source)
-    body = article_body(page)
-    headed = any(n.tag == "h2" and n.text("").lower().startswith("prepared remarks") for n in body.walk())
-    turns = _headed(body) if headed else _labelled(body)
-    day, time = call_datetime(page)
-    return {
-        "error": None, "layout": "legacy" if headed else "current", "call_date": day, "call_time_et": time, "participants": [] if headed else _listed(body),
-        "turns": [{"turn": i, "section": t["section"], "speaker": t["speaker"], "listed_as": t["listed_as"], "text": " ".join(t["paragraphs"]).strip()} for i, t in enumerate(turns)],
-    }
+    return {"error": None, "stamps": stamps(page), "blocks": list(blocks(article_body(page)))}
+
+
+def _parsed(read: Column) -> Column:
+    """error, layout, call_date, call_time_et and blocks of what was read.
+
+    The first stamp with a date counts. A date that isn't one, as of an unknown month or a 31st of February, makes the
+    page unreadable (ValueError), as does a page without the headings of either layout. Without a date both are null.
+    """
+    stamp = F.try_element_at(F.filter(read["stamps"], lambda s: s.rlike(DATE)), F.lit(1))
+    month = F.array_position(F.array(*map(F.lit, MONTHS)), F.substring(F.regexp_extract(stamp, DATE, 1), 1, 3)).cast("int")
+    day, year = F.regexp_extract(stamp, DATE, 2).try_cast("int"), F.regexp_extract(stamp, DATE, 3).try_cast("int")
+    first = F.when((month > 0) & year.between(FIRST_YEAR, LAST_YEAR), F.make_date(year, month, F.lit(1)))
+    date = F.when(first.isNotNull() & day.between(1, F.day(F.last_day(first))), F.date_add(first, day - 1).cast("string"))
+    hour = F.pmod(F.regexp_extract(stamp, TIME, 1).try_cast("int"), F.lit(12)) + F.when(F.lower(F.regexp_extract(stamp, TIME, 3)) == "p", 12).otherwise(0)
+    minute = F.regexp_extract(stamp, TIME, 2)
+    clock = F.when(stamp.rlike(TIME), F.concat(F.lpad(hour.cast("string"), 2, "0"), F.lit(":"), F.when(minute == "", "00").otherwise(minute)))
+    heading = lambda test: F.exists(read["blocks"], lambda b: (b["kind"] == "h2") & test(b))
+    headed = heading(lambda b: F.lower(b["tight"]).startswith("prepared remarks"))
+    whole = headed | heading(lambda b: F.coalesce(b["id"] == TRANSCRIPT_ID, F.lit(False)))
+    error = F.coalesce(read["error"], F.when(~whole | (stamp.isNotNull() & date.isNull()), F.lit("ValueError")))
+    good = lambda c: F.when(error.isNull(), c)
+    return F.struct(
+        error.alias("error"), good(F.when(headed, "legacy").otherwise("current")).alias("layout"), good(date).alias("call_date"), good(F.when(date.isNotNull(), clock)).alias("call_time_et"),
+        good(read["blocks"]).alias("blocks"),
+    )
 
 
 def with_parsed(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """pages with `parsed`; pages that can't be read have an error and no turns. Gzipped bytes are unpacked."""
+    """pages with `parsed`; pages that can't be read have an error and no blocks. Gzipped bytes are unpacked."""
 
-    @F.pandas_udf(f"struct<{', '.join(': '.join(f.strip().split(' ', 1)) for f in PARSED.split(', ', 4))}>")
-    def parse(html: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf(READ)
+    def read(html: pd.Series) -> pd.DataFrame:
         rows = []
         for h in html:
             try:
-                if isinstance(h, (bytes, bytearray)):
-                    h = gzip.decompress(h).decode()
-                if h is None:
-                    raise ValueError("no page")
-                rows.append(parse_page(h))
+                rows.append(read_page(h))
             except (ValueError, OSError, AttributeError, EOFError) as e:
-                rows.append({"error": type(e).__name__, "layout": None, "call_date": None, "call_time_et": None, "participants": [], "turns": []})
-        return pd.DataFrame(rows, columns=["error", "layout", "call_date", "call_time_et", "participants", "turns"])
+                rows.append({"error": type(e).__name__, "stamps": [], "blocks": []})
+        return pd.DataFrame(rows, columns=["error", "stamps", "blocks"])
 
-    return pages.withColumn("parsed", parse(html_col))
+    return pages.withColumn("_read", read(html_col)).withColumn("parsed", _parsed(F.col("_read"))).drop("_read")
 
 
 def read_gzip_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -263,5 +230,5 @@ def extract_metadata(pages: DataFrame, html_col: str = "html", title_suffix: str
         return pd.DataFrame(rows, columns=["ticker", "company", "title"])
 
     out = pages.withColumn("_m", meta(html_col)).withColumns({c: F.col(f"_m.{c}") for c in ("ticker", "company", "title")}).drop("_m")
-    found = r"(?i)\b(Q[1-4])\s+(?:FY\s*)?((?:19|20)\d{2})\b"
-    return out.withColumn("fiscal_quarter", F.when(F.col("title").rlike(found), F.concat(F.upper(F.regexp_extract("title", found, 1)), F.lit(" "), F.regexp_extract("title", found, 2))).otherwise(""))
+    quarter = F.concat(F.upper(F.regexp_extract("title", QUARTER, 1)), F.lit(" "), F.regexp_extract("title", QUARTER, 2))
+    return out.withColumn("fiscal_quarter", F.when(F.col("title").rlike(QUARTER), quarter).otherwise(""))
