@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from earshot.functions.statistics import spearman_p, t_test_p
 from earshot.operators.prices import asof_forward, is_premarket, with_bars
+from earshot.operators.ranks import average_ranks, quantiles
 
 HORIZONS = (1, 5, 20, 60)
 FEATURES = ("confidence", "gap", "conf_qna", "conf_prepared")
@@ -41,8 +42,8 @@ def event_returns(signals: DataFrame, prices: DataFrame, benchmark: DataFrame, h
 def winsorized(events: DataFrame, column: str, q: float = 0.01) -> DataFrame:
     """Events with a value in column, clipped to its q and 1 - q quantiles (linear between values) over all of them."""
     there = events.filter(F.col(column).isNotNull())
-    bounds = there.agg(F.percentile(column, F.array(F.lit(q), F.lit(1 - q))).alias("_b"))
-    return there.crossJoin(F.broadcast(bounds)).withColumn(column, F.greatest(F.least(F.col(column), F.col("_b")[1]), F.col("_b")[0])).drop("_b")
+    bounds = F.broadcast(quantiles(there.select(column), column, [q, 1 - q]))
+    return there.crossJoin(bounds).withColumn(column, F.greatest(F.least(F.col(column), F.col("q1")), F.col("q0"))).drop("q0", "q1")
 
 
 def by_signal(events: DataFrame, column: str) -> DataFrame:
@@ -50,8 +51,9 @@ def by_signal(events: DataFrame, column: str) -> DataFrame:
     spine = events.sparkSession.createDataFrame([(s, i) for i, s in enumerate(ORDER)], "signal string, _o int")
     x = F.col(column)
     hit = F.when(F.col("signal") == "SELL", x < 0).otherwise(x > 0)
-    got = events.groupBy("signal").agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.median(x).alias("median"), F.avg(hit.cast("double")).alias("hit_rate"))
-    return F.broadcast(spine).join(got, "signal", "left").select("signal", F.coalesce("n", F.lit(0)).alias("n"), "mean", "median", "hit_rate")
+    got = events.groupBy("signal").agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.avg(hit.cast("double")).alias("hit_rate"))
+    middle = quantiles(events.select("signal", column).dropna(), column, [0.5], ["signal"]).withColumnRenamed("q0", "median")
+    return F.broadcast(spine).join(got, "signal", "left").join(middle, "signal", "left").select("signal", F.coalesce("n", F.lit(0)).alias("n"), "mean", "median", "hit_rate")
 
 
 def quintile(value: Column, order: list, by: list[Column], least: int = 25) -> Column:
@@ -84,25 +86,12 @@ def clustered_spread(events: DataFrame, column: str, long: Column, short: Column
     return m.groupBy(*by).agg(F.count("*").alias("months"), F.when(enough, F.avg("spread")).alias("spread"), F.when(enough & (sd > 0), F.avg("spread") / (sd / F.sqrt(F.count("*").cast("double")))).alias("t_stat"))
 
 
-def average_rank(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Adds the rank of column among all rows, ties at their mean: from counts of distinct values."""
-    counts = df.groupBy(column).agg(F.count("*").alias("_n"))
-    upto = Window.orderBy(column).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranks = counts.withColumn(name, F.sum("_n").over(upto) - (F.col("_n") - 1) / 2).drop("_n")
-    return df.join(ranks, column)
-
-
 def rank_ic(events: DataFrame, column: str, features: tuple[str, ...] = FEATURES, least: int = 10) -> DataFrame:
     """(feature, n, spearman) for features with at least `least` values; all features in one pass over the events."""
     pairs = F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("_x"), F.col(column).alias("_y")) for f in features))
     d = events.select(F.inline(pairs)).dropna()
 
-    def ranks(value: str, name: str) -> DataFrame:
-        upto = Window.partitionBy("feature").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        n = d.groupBy("feature", value).agg(F.count("*").alias("_n"))
-        return n.select("feature", value, (F.sum("_n").over(upto) - (F.col("_n") - 1) / 2).alias(name))
-
-    ranked = d.join(ranks("_x", "_rx"), ["feature", "_x"]).join(ranks("_y", "_ry"), ["feature", "_y"])
+    ranked = d.join(average_ranks(d, "_x", "_rx", ["feature"]), ["feature", "_x"]).join(average_ranks(d, "_y", "_ry", ["feature"]), ["feature", "_y"])
     return ranked.groupBy("feature").agg(F.count("*").alias("n"), F.corr("_rx", "_ry").alias("spearman")).filter(F.col("n") >= least)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from earshot.functions import text as T
-from earshot.operators.events import average_rank
+from earshot.operators.ranks import with_before
 from earshot.operators.sentences import class_weights
 
 PROBABILITIES = ("p_low", "p_neutral", "p_high")
@@ -91,11 +91,12 @@ def overall(counts: DataFrame, truth: str = "weak_label", pred: str = "pred") ->
 
 
 def roc_auc(scored: DataFrame, score: str, positive: Column) -> DataFrame:
-    """One row (n, auc): the share of pairs that score puts in order, ties half, from average ranks."""
-    r = average_rank(scored.select(F.col(score).alias("_s"), positive.cast("int").alias("_y")).dropna(), "_s", "_r")
-    n1, n = F.sum("_y"), F.count("*")
-    u = F.sum(F.col("_r") * F.col("_y")) - n1 * (n1 + 1) / 2
-    return r.agg(n.alias("n"), F.try_divide(u, (n1 * (n - n1)).cast("double")).alias("auc"))
+    """One row (n, auc): the share of pairs that score puts in order, ties half, from counts of each score's values."""
+    y = scored.select(F.col(score).alias("_s"), positive.cast("int").alias("_y")).dropna()
+    counts = y.groupBy("_s").agg(F.sum("_y").alias("_pos"), F.sum(1 - F.col("_y")).alias("_neg"))
+    pos, neg = F.sum("_pos"), F.sum("_neg")
+    u = F.sum(F.col("_pos") * (F.col("_neg_before") + F.col("_neg") / 2))
+    return with_before(counts, "_s", ["_neg"], []).agg((pos + neg).alias("n"), F.try_divide(u, (pos * neg).cast("double")).alias("auc")).withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def context_check(sentences: DataFrame, scorer: Scorer, lexicon: T.Lexicon = T.Lexicon(), token: str = "[MASK]") -> DataFrame:

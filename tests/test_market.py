@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from earshot.operators import events as E
 from earshot.operators import inventory as I
 from earshot.operators import prices as P
+from earshot.operators import ranks as R
 from earshot.operators import report, signals
 
 DAY = datetime.date
@@ -17,10 +18,18 @@ def calls(spark, rows):
     return spark.createDataFrame([(t, DAY(2026, 1, d), p, q, 10, 30) for t, d, p, q in rows], "ticker string, call_date date, conf_prepared double, conf_qna double, n_prepared long, n_qna long")
 
 
-def test_z_sees_strictly_earlier_days(spark):
-    df = spark.createDataFrame([(DAY(2026, 1, d), float(x)) for d, x in ((1, 0), (2, 1), (3, 2), (4, 100), (4, -100))], "call_date date, confidence double")
-    got = sorted(((r["confidence"], r["confidence_z"]) for r in signals.expanding_z(df, min_history=3).collect()))
-    assert got == [(-100.0, pytest.approx(-101.0)), (0.0, None), (1.0, None), (2.0, None), (100.0, pytest.approx(99.0))]
+def test_z_by_search(spark):
+    """Each value against the mean and spread of all of strictly earlier days, once there are enough."""
+    import statistics
+
+    rng = random.Random(31)
+    rows = [(DAY(2025, 3, 1) + datetime.timedelta(rng.randrange(25)), rng.choice([0.5, -0.25, rng.random()])) for _ in range(70)]
+    got = signals.expanding_z(spark.createDataFrame(rows, "call_date date, confidence double"), min_history=8).collect()
+    assert len(got) == 70
+    for r in got:
+        past = [x for d, x in rows if d < r["call_date"]]
+        want = (r["confidence"] - statistics.mean(past)) / statistics.stdev(past) if len(past) >= 8 else None
+        assert r["confidence_z"] == (want if want is None else pytest.approx(want, rel=1e-9, abs=1e-9))
 
 
 def test_z_of_large_means(spark):
@@ -34,18 +43,19 @@ def test_z_of_large_means(spark):
     assert got[DAY(2026, 1, 1) + datetime.timedelta(50)] == pytest.approx((x[50] - m) / sd, rel=1e-3)
 
 
-def test_signals(spark):
-    rows = [("X", d, c, c) for d, c in enumerate((0.0, 0.1, 0.2, 0.9, 0.1, -0.9), 1)]
-    got = signals.make_signals(calls(spark, rows), min_history=3).orderBy("call_date").collect()
-    assert [r["signal"] for r in got] == ["HOLD", "HOLD", "HOLD", "BUY", "HOLD", "SELL"] and [r["warmup"] for r in got] == [True] * 3 + [False] * 3
-    rows[-3] = ("X", 4, 1.5, 0.7)
-    last = signals.make_signals(calls(spark, rows[:4]), min_history=3).orderBy("call_date").collect()[-1]
-    assert (last["confidence"], last["signal"], last["gap"]) == (pytest.approx(0.9), "BUY", pytest.approx(-0.8))
-    one = calls(spark, [("X", 1, 1.0, 0.0)]).withColumn("c", signals.weighted_confidence()).first()
-    assert one["c"] == 0.25
-    change = signals.make_signals(calls(spark, [("X", 1, 0.1, 0.1), ("X", 2, 0.3, 0.3), ("Y", 1, 0.5, 0.5), ("Y", 3, 0.2, 0.2)]))
-    assert [r["confidence_change"] for r in change.orderBy("ticker", "call_date").collect()] == [None, pytest.approx(0.2), None, pytest.approx(-0.3)]
-    assert signals.output_columns(change).columns == list(signals.OUTPUT)
+def test_signals_by_search(spark):
+    """Signals follow the z of the weighted confidence alone, whatever the gap; changes are by ticker."""
+    rng = random.Random(32)
+    rows = [(t, d, rng.uniform(-1, 1), rng.uniform(-1, 1)) for t in ("KST", "RVN") for d in sorted(rng.sample(range(1, 29), 20))]
+    weighted = {(t, d): (10 * p + 30 * q) / 40 for t, d, p, q in rows}
+    for r in signals.make_signals(calls(spark, rows), min_history=5, buy_z=0.8, sell_z=-0.3).collect():
+        t, d = r["ticker"], r["call_date"].day
+        assert r["confidence"] == pytest.approx(weighted[t, d]) and r["warmup"] == (r["confidence_z"] is None)
+        z = r["confidence_z"]
+        assert r["signal"] == ("HOLD" if z is None or -0.3 < z < 0.8 else "BUY" if z > 0 else "SELL")
+        before = [weighted[x] for x in sorted(weighted) if x[0] == t and x[1] < d][-1:]
+        assert r["confidence_change"] == (pytest.approx(weighted[t, d] - before[0]) if before else None)
+    assert signals.output_columns(signals.make_signals(calls(spark, rows))).columns == list(signals.OUTPUT)
 
 
 def test_call_features_need_both_sections(spark):
@@ -76,7 +86,7 @@ def sig(spark, day, time, signal="BUY"):
     return spark.createDataFrame([("T", "", day, time, signal, 1.0, 0.0, 0.5, 0.5)], "ticker string, company string, call_date date, call_time_et string, signal string, confidence double, gap double, conf_qna double, conf_prepared double")
 
 
-@pytest.mark.parametrize("day, time, entry", [((2024, 2, 1), "08:00", (2024, 2, 1)), ((2024, 2, 1), "16:30", (2024, 2, 2)), ((2024, 2, 1), None, (2024, 2, 2)), ((2024, 2, 1), "", (2024, 2, 2)), ((2024, 2, 3), "08:00", (2024, 2, 5)), ((2024, 2, 3), "16:30", (2024, 2, 5))])
+@pytest.mark.parametrize("day, time, entry", [((2024, 1, 18), "09:29", (2024, 1, 18)), ((2024, 1, 18), "09:30", (2024, 1, 19)), ((2024, 1, 19), None, (2024, 1, 22)), ((2024, 1, 21), "06:00", (2024, 1, 22)), ((2024, 1, 20), "", (2024, 1, 22)), ((2023, 6, 1), "20:00", (2024, 1, 1))])
 def test_entry_day(spark, day, time, entry):
     got = P.asof_forward(sig(spark, DAY(*day), time), history(spark), "ticker", "call_date", "date", P.is_premarket()).first()
     assert got["bar"]["date"] == DAY(*entry)
@@ -98,22 +108,47 @@ def test_asof_by_search(spark):
 
 
 def test_excess_return(spark):
-    bench = history(spark, ticker="B").drop("ticker")
-    got = E.event_returns(sig(spark, DAY(2024, 2, 1), "16:30"), history(spark, drift=0.01), bench).first()
-    assert got["entry_date"] == DAY(2024, 2, 2) and got["excess_5d"] == pytest.approx(1.01**4 - 1) and got["ret_1d"] == pytest.approx(0) and got["excess_60d"] is None
-    for odd in (history(spark, price=2.0), history(spark, volume=100.0), history(spark, n=29)):
-        assert E.event_returns(sig(spark, DAY(2024, 2, 1), "16:30"), odd, bench).count() == 0
-    assert E.event_returns(sig(spark, DAY(2024, 1, 10), "16:30"), history(spark), bench).count() == 0  # too few bars before
-
-
-def test_clustered_spread(spark):
-    rows = list(zip([1, 1, 1, 2, 2, 3, 3], [3, 3, 1, 0, 2, 2, 0], "LLSLSLS"))
-    df = spark.createDataFrame([(DAY(2024, m, 1), float(x), s) for m, x, s in [(1, 3, "L"), (1, 3, "L"), (1, 3, "S"), (2, 1, "L"), (2, 0, "S"), (3, 2, "L"), (3, 0, "S")]], "month date, x double, side string")
-    assert len(rows) == 7
+    bench = history(spark, ticker="B", drift=-0.002).drop("ticker")
+    got = E.event_returns(sig(spark, DAY(2024, 2, 8), "07:15"), history(spark, drift=0.003), bench).first()
+    assert got["entry_date"] == DAY(2024, 2, 8) and got["excess_60d"] is None
+    for h in (1, 5, 20):
+        assert got[f"ret_{h}d"] == pytest.approx(1.003 ** (h - 1) - 1) and got[f"excess_{h}d"] == pytest.approx(1.003 ** (h - 1) - 0.998 ** (h - 1))
+    at = lambda day, bars: E.event_returns(sig(spark, day, "07:15"), bars, bench).count()
+    assert [at(DAY(2024, 2, 8), x) for x in (history(spark, price=4.9), history(spark, volume=9e3), history(spark, n=29))] == [0, 0, 0]
+    assert (at(DAY(2024, 1, 26), history(spark)), at(DAY(2024, 1, 29), history(spark))) == (0, 1)  # 19 and 20 bars before
+
+
+def test_spread_by_months(spark):
+    import statistics
+
+    rng = random.Random(33)
+    rows = [(DAY(2023, rng.randint(1, 9), 1), rng.gauss(0, 1), rng.choice("LSN")) for _ in range(80)]
+    rows = [r for r in rows if not (r[0].month == 4 and r[2] == "S")]  # a month without a short side
+    df = spark.createDataFrame(rows, "month date, x double, side string")
     got = E.clustered_spread(df, "x", F.col("side") == "L", F.col("side") == "S").first()
-    assert (got["months"], got["spread"]) == (3, pytest.approx(1.0)) and got["t_stat"] == pytest.approx(1 / (1 / 3**0.5))
-    few = E.clustered_spread(df.filter("month < '2024-03-01'"), "x", F.col("side") == "L", F.col("side") == "S").first()
-    assert (few["months"], few["spread"], few["t_stat"]) == (2, None, None)
+    of = lambda m, side: [x for d, x, s in rows if d.month == m and s == side]
+    spreads = [statistics.mean(of(m, "L")) - statistics.mean(of(m, "S")) for m in range(1, 10) if of(m, "L") and of(m, "S")]
+    assert got["months"] == len(spreads) and got["spread"] == pytest.approx(statistics.mean(spreads))
+    assert got["t_stat"] == pytest.approx(statistics.mean(spreads) / (statistics.stdev(spreads) / len(spreads) ** 0.5))
+    two = E.clustered_spread(df.filter("month < '2023-03-01'"), "x", F.col("side") == "L", F.col("side") == "S").first()
+    assert (two["months"], two["spread"], two["t_stat"]) == (2, None, None)
+
+
+def test_ranks_and_quantiles_by_sorting(spark):
+    import numpy as np
+
+    rng = random.Random(34)
+    rows = [(g, rng.choice([rng.random(), 0.5, -1.0, float(rng.randrange(9))])) for g in ("a", "b", "c") for _ in range({"a": 700, "b": 1, "c": 42}[g])]
+    df = spark.createDataFrame(rows, "g string, x double")
+    shares = [0.0, 0.01, 0.37, 0.5, 0.99, 1.0]
+    for r in R.quantiles(df, "x", shares, ["g"]).collect():
+        assert [r[f"q{i}"] for i in range(6)] == pytest.approx(np.quantile([x for g, x in rows if g == r["g"]], shares).tolist())
+    whole = R.quantiles(df, "x", shares).first()
+    assert [whole[f"q{i}"] for i in range(6)] == pytest.approx(np.quantile([x for _, x in rows], shares).tolist())
+    for r in R.average_ranks(df, "x", "rank", ["g"]).collect():
+        mine = [x for g, x in rows if g == r["g"]]
+        assert r["rank"] == sum(x < r["x"] for x in mine) + (sum(x == r["x"] for x in mine) + 1) / 2
+    assert R.quantiles(df.limit(0), "x", [0.5]).first()["q0"] is None
 
 
 @pytest.mark.parametrize("n", [24, 25, 26, 33, 101])
@@ -173,18 +208,21 @@ def lot_case(spark, signals_, n=80, drift=0.01, bench_drift=None, prices_n=None)
 
 
 def test_sell_closes_all_lots(spark):
-    args = lot_case(spark, [("T", DAY(2024, 2, 1), "BUY"), ("T", DAY(2024, 2, 15), "BUY"), ("T", DAY(2024, 3, 1), "SELL")], bench_drift=0.0)
+    days = business(60)
+    args = lot_case(spark, [("T", days[3], "BUY"), ("T", days[10], "BUY"), ("T", days[12], "BUY"), ("T", days[31], "SELL")], n=60, drift=-0.004, bench_drift=0.0)
     log = I.trade_log(*args).orderBy("date", F.desc("lots_after")).collect()
-    assert [(r["action"], r["lots_after"], r["days_held"]) for r in log] == [("BUY", 1, None), ("BUY", 2, None), ("SELL", 1, 21), ("SELL", 0, 11)]
-    assert all(r["pnl"] > 0 and r["spy_pnl"] == pytest.approx(0) for r in log[2:]) and I.lots(*args).filter("closed is null").count() == 0
+    assert [(r["action"], r["lots_after"], r["days_held"]) for r in log] == [("BUY", 1, None), ("BUY", 2, None), ("BUY", 3, None), ("SELL", 2, 28), ("SELL", 1, 21), ("SELL", 0, 19)]
+    assert [r["pnl"] for r in log[3:]] == [pytest.approx(1000 * (0.996**k - 1)) for k in (28, 21, 19)] and all(r["spy_pnl"] == pytest.approx(0) for r in log[3:])
+    assert I.lots(*args).filter("closed is null").count() == 0
 
 
 def test_nothing_held_and_cap(spark):
-    log = I.trade_log(*lot_case(spark, [("T", DAY(2024, 2, 1), "SELL"), ("T", DAY(2024, 2, 5), "HOLD")])).orderBy("date").collect()
-    assert [(r["action"], r["reason"], r["shares"]) for r in log] == [("SELL (no trade)", "nothing held", 0.0), ("HOLD", "hold", 0.0)]
-    args = lot_case(spark, [("T", d, "BUY") for d in business(26)[20:]])
+    days = business(40)
+    log = I.trade_log(*lot_case(spark, [("T", days[2], "HOLD"), ("T", days[7], "SELL"), ("U", days[9], "SELL")])).orderBy("date").collect()
+    assert [(r["action"], r["reason"], r["shares"]) for r in log] == [("HOLD", "hold", 0.0), ("SELL (no trade)", "nothing held", 0.0), ("SELL (no trade)", "nothing held", 0.0)]
+    args = lot_case(spark, [("T", d, "BUY") for d in days[5:13]])
     log = I.trade_log(*args).orderBy("date").collect()
-    assert [r["action"] for r in log] == ["BUY"] * 5 + ["BUY (no trade)"] and I.holdings(I.lots(*args), *args[1:]).first()["lots"] == 5
+    assert [r["action"] for r in log] == ["BUY"] * 5 + ["BUY (no trade)"] * 3 and I.holdings(I.lots(*args), *args[1:]).first()["lots"] == 5
 
 
 def test_history_that_ends(spark):

@@ -1,4 +1,6 @@
 import hashlib
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,41 +16,60 @@ def one(spark, value, column):
 
 
 @pytest.mark.parametrize("sentence, label", [
-    ("We are very confident we will deliver double-digit growth this year.", "high"),
-    ("It is probably too early to say, and demand could soften depending on the macro.", "low"),
-    ("Revenue was $94 billion, up 10% year over year.", "neutral"),
-    ("We have nearly 600,000 customers on the platform today.", "neutral"),
-    ("I think margins were solid in the quarter overall.", None),
+    ("Our plants will always run and we are proud of that.", "high"),
+    ("Orders might slip, and it remains to be seen by how much.", "low"),
+    ("The board met twice in Lyon in the third quarter.", "neutral"),
+    ("Roughly a third of the fleet is approximately new.", "neutral"),
+    ("I guess the new site opened in May of last year or so.", "low"),
+    ("We feel the mix was what we planned for the period.", None),
+    ("We will grow but volumes could fall and might stay so.", "low"),
 ])
 def test_weak_labels(spark, sentence, label):
     assert one(spark, sentence, lambda x: T.weak_label(T.certainty(x), T.hedging(x))) == label
 
 
 def test_scores_add_up(spark):
-    s = "We're confident; uncertainty will, will should. I think so."
-    assert one(spark, s, lambda x: T.certainty(x)) == 3.0  # confident, we're confident, twice half of will
-    assert one(spark, s, lambda x: T.hedging(x)) == 3.0  # uncertainty and uncertain, should 0.5, i think 0.5
+    s = "No doubt, no doubt: we must win, and we will. We think perhaps; it depends, should it?"
+    assert one(spark, s, lambda x: T.certainty(x)) == 3.5  # no doubt twice, must, half of will
+    assert one(spark, s, lambda x: T.hedging(x)) == 6.0  # perhaps, depends, it depends, half of should and of we think, and doubt twice
 
 
 def test_masking(spark):
-    got = one(spark, "We think demand may soften, but we are confident. Dismay.", lambda x: T.mask_cues(x, "[MASK]"))
-    assert got == "[MASK] demand [MASK] soften, but we are [MASK]. Dismay."
-    assert one(spark, "a $1 may", lambda x: T.mask_cues(x, "$0\\")) == "a $1 $0\\"
+    got = one(spark, "Perhaps it is hard to say; the maybelle is firmly moored, or might be. Mustard.", lambda x: T.mask_cues(x, "<c>"))
+    assert got == "<c> it is <c>; the maybelle is <c> moored, or <c> be. Mustard."
+    assert one(spark, "7 $2 \\1 could", lambda x: T.mask_cues(x, "\\1$0")) == "7 $2 \\1 \\1$0"
 
 
-def test_sentences(spark):
-    assert one(spark, "[Operator instructions] First one. Second one.", T.split_sentences) == ["First one.", "Second one."]
-    assert one(spark, "U.S. sales. and more! \"Quoted\" it? $5 is 3.5 x", T.split_sentences) == ["U.S. sales. and more!", '"Quoted" it?', "$5 is 3.5 x"]
-    assert one(spark, " [x] ", T.split_sentences) == [] and one(spark, None, T.split_sentences) is None
+def slow_sentences(text: str) -> list[str]:
+    import re
+
+    text, out, at = re.sub(r"\[[^\]]*\]", " ", text), [], 0
+    for i in range(1, len(text)):
+        if text[i].isspace() and text[i - 1] in ".!?":
+            j = i
+            while j < len(text) and text[j].isspace():
+                j += 1
+            if j < len(text) and (text[j] in "\"'([$" or text[j].isascii() and (text[j].isupper() or text[j].isdigit())):
+                out.append(text[at:i])
+                at = j
+    return [x.strip() for x in [*out, text[at:]] if x.strip()]
+
+
+def test_sentences_by_search(spark):
+    rng = random.Random(21)
+    texts = ["".join(rng.choice(["a", "B", ". ", "! ", "?  ", ".", " ", "(", "[x. Y] ", "\n", "4", "$", "é", "É", '"', "'"]) for _ in range(rng.randint(0, 40))) for _ in range(400)]
+    got = spark.createDataFrame([(t,) for t in texts], "x string").select("x", T.split_sentences(F.col("x")).alias("s")).collect()
+    assert all(r["s"] == slow_sentences(r["x"]) for r in got)
+    assert one(spark, None, T.split_sentences) is None
 
 
 def test_names(spark):
-    assert one(spark, "Amy E. Hood", T.name_key) == one(spark, "Amy Hood", T.name_key) == "amy hood"
-    assert one(spark, " Cher ", T.name_key) == "cher" and one(spark, "123", T.name_key) == ""
-    ok = ["Jane Doe", "A B C D E F G"]
-    bad = ["", "Revenue grew 5", "Wow. Great", "A B C D E F G H"]
-    assert [one(spark, x, T.looks_like_name) for x in ok + bad] == [True] * 2 + [False] * 4
-    assert one(spark, "Operator", lambda x: T.speaker_type(x, F.lit("Analyst"))) == "operator"
+    assert one(spark, "Runa K. van Dahl-Moe", T.name_key) == one(spark, "RUNA DahlMoe", T.name_key) == "runa dahlmoe"
+    assert one(spark, "\u00c5se 7", T.name_key) == "se" and one(spark, "4.5", T.name_key) == ""
+    ok = ["Odd Lie", "a b c d e f g", "x.y z", "Who?", "\u00a0Mads\u00a0Berg"]
+    bad = ["", "\n", "\t \n", "\u00a0", "Gate 4", "So! Then", "Yes.\nNo", "a b c d e f g h"]
+    assert [one(spark, x, T.looks_like_name) for x in ok + bad] == [True] * len(ok) + [False] * len(bad)
+    assert one(spark, "operator 2", lambda x: T.speaker_type(x, F.lit("Lead analyst"))) == "operator" and one(spark, "The operator", lambda x: T.speaker_type(x, F.lit("Lead ANALYST"))) == "analyst"
 
 
 def test_normalize(spark):
@@ -64,11 +85,12 @@ def test_hash_split(spark, key):
 
 def test_management_sentences(spark):
     rows = [
-        ("X", "2024-01-01", "executive", "These are forward-looking statements you should not rely on. Our pipeline has never been stronger today."),
-        ("X", "2024-01-01", "analyst", "How should we think about the margins for the next year?"),
+        ("KST", "2020-11-11", "executive", "Thank you all for your time this early day. The shaft at Brenna reached its full depth. It paid."),
+        ("KST", "2020-11-11", "analyst", "What would you say of the second shaft by then?"),
+        ("KST", "2020-11-11", "operator", "We are ready for all of your lines to open."),
     ]
     got = sentences.to_sentences(spark.createDataFrame(rows, "ticker string, call_date string, speaker_type string, text string")).collect()
-    assert [(r["call_id"], r["pos"], r["sentence"]) for r in got] == [("X_2024-01-01", 1, "Our pipeline has never been stronger today.")]
+    assert [(r["call_id"], r["pos"], r["sentence"]) for r in got] == [("KST_2020-11-11", 1, "The shaft at Brenna reached its full depth.")]
 
 
 def test_sampling_and_weights(spark):
@@ -89,9 +111,14 @@ def test_dictionary(spark, tmp_path):
 
 
 def test_p_values():
-    assert t_test_p(0.331, 17) == pytest.approx(0.7447, abs=3e-4) and t_test_p(-0.829, 17) == pytest.approx(0.4186, abs=3e-4)
-    assert t_test_p(2.0, 10) == pytest.approx(0.07338803, abs=1e-7) and incomplete_beta(2, 3, 0.5) == pytest.approx(0.6875)
-    assert spearman_p(1.0, 5) == 0 and spearman_p(0.5, 20) == pytest.approx(t_test_p(2.44949, 18), abs=1e-6)
+    for t in (0.0, 0.3, -1.7, 2.0, 40.0):  # closed forms for one, two and four degrees of freedom
+        assert t_test_p(t, 1) == pytest.approx(1 - 2 / math.pi * math.atan(abs(t)), abs=1e-9)
+        assert t_test_p(t, 2) == pytest.approx(1 - abs(t) / math.sqrt(2 + t * t), abs=1e-9)
+        u = abs(t) / math.sqrt(4 + t * t)
+        assert t_test_p(t, 4) == pytest.approx(1 - u * (3 - u * u) / 2, abs=1e-9)
+    assert all(incomplete_beta(a, 1, x) == pytest.approx(x**a) for a in (1, 2.5, 9) for x in (0.1, 0.9))
+    r = 0.3
+    assert spearman_p(-1.0, 9) == 0 and spearman_p(r, 30) == pytest.approx(t_test_p(r * math.sqrt(28 / (1 - r * r)), 28))
 
 
 def test_metrics(spark):
