@@ -11,6 +11,10 @@ class Scrape:
     start_month: str = "2017-01"
     requests_per_second: float = 1.5
     workers: int = 3
+    batch: int = 500
+    end_month: str = ""
+    tickers: list[str] = field(default_factory=list)
+    pauses: str = ""
     sitemap_url: str = ""
     url_pattern: str = r"https://[^<\s\"]+/(\d{4})/(\d{2})/(\d{2})/[^<\s\"]+"
 
@@ -36,6 +40,11 @@ class Train:
     iterations: int = 50
 
 
+@dataclass
+class Score:
+    sentiment: bool = False
+
+
 @dataclass
 class Signals:
     min_history: int = 20
@@ -74,6 +83,7 @@ class Config:
     parse: Parse = field(default_factory=Parse)
     label: Label = field(default_factory=Label)
     train: Train = field(default_factory=Train)
+    score: Score = field(default_factory=Score)
     signals: Signals = field(default_factory=Signals)
     report: Report = field(default_factory=Report)
     inventory: Inventory = field(default_factory=Inventory)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, NGram, RegexTokenizer, SQLTransformer
@@ -38,6 +41,35 @@ def with_confidence(scored: DataFrame, sentiment: Column | None = None) -> DataF
     })
 
 
+def python_scorer(load: Callable[[], Callable[[list[str]], np.ndarray]], batch: int = 256) -> Scorer:
+    """A model of Python's behind a pandas UDF: load() gives, once a task, a function from sentences to their rows of
+    probabilities. Of each Arrow batch it gets `batch` sentences at a time in the order of their lengths, so that a
+    transformer pads little; the order of the rows stays."""
+
+    @F.pandas_udf("array<double>")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load()
+        for s in parts:
+            texts = [t or "" for t in s]
+            order = np.argsort([len(t) for t in texts], kind="stable")
+            out = np.zeros((len(texts), len(PROBABILITIES)))
+            for i in range(0, len(texts), batch):
+                at = order[i : i + batch]
+                out[at] = model([texts[k] for k in at])
+            yield pd.Series(list(out))
+
+    def add(sentences: DataFrame) -> DataFrame:
+        return sentences.withColumn("_p", run(F.col("sentence"))).withColumns({c: F.col("_p")[i] for i, c in enumerate(PROBABILITIES)}).drop("_p")
+
+    return add
+
+
+def lexicon_sentiment(lexicon: T.Lexicon = T.Lexicon()) -> Column:
+    """A sentiment of a column sentence between -1 and 1 where no model is plugged in: certainty less hedging, over both and one."""
+    up, down = T.certainty(F.col("sentence"), lexicon), T.hedging(F.col("sentence"), lexicon)
+    return (up - down) / (up + down + 1)
+
+
 def lexicon_scorer(lexicon: T.Lexicon = T.Lexicon()) -> Scorer:
     """Softmax of (hedging, 0.5, certainty)."""
 

@@ -3,64 +3,81 @@
 from __future__ import annotations
 
 import datetime
-import os
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from earshot.config import Config
 from earshot.functions import text as T
 from earshot.operators import events, inventory, report, scoring, sentences, signals, turns
 from earshot.sources import crawl, pages, tables
 from earshot.sources.lexicon import load_lexicon, read_dictionary
+from earshot.streaming import incremental
 
 _INDEX, _PAGES, _TURNS, _STATS = "raw/index", "raw", "interim/turns", "interim/parse_stats"
 _SENTENCES, _SPLITS, _MODEL, _SCORED, _CALLS = "processed/sentences", "processed/splits", "models/scorer", "processed/scored", "processed/calls"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    """Whether any store that Spark reads has this path."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 def _lexicon(spark: SparkSession, cfg: Config) -> T.Lexicon:
     return load_lexicon(read_dictionary(spark, cfg.label.lexicon)) if cfg.label.lexicon else T.Lexicon()
 
 
-def scrape(spark: SparkSession, cfg: Config, today: datetime.date | None = None) -> DataFrame:
-    """Fetches sitemaps of all months and pending pages, and appends both to the raw folder. Needs a network."""
+def scrape(spark: SparkSession, cfg: Config, today: datetime.date | None = None, fetched=None) -> DataFrame:
+    """Fetches sitemaps of all months and pending pages, batch by batch, into the raw folder; counts by status.
+
+    Pages without an article count as missing; those of tickers that aren't asked for are neither stored nor logged.
+    fetched: url, status and body of a list of URLs, by default over the network.
+    """
     spark.dataSource.register(crawl.PageSource)
     today = today or datetime.date.today()
     raw = f"{cfg.data}/{_PAGES}"
-    fetch = lambda urls: spark.read.format("pages_http").option("urls", "\n".join(urls)).option("rate", str(cfg.scrape.requests_per_second)).option("workers", str(cfg.scrape.workers)).load()
-    months = crawl.months(spark, cfg.scrape.start_month, f"{today:%Y-%m}")
+
+    def by_http(urls: list[str]) -> DataFrame:
+        options = {"urls": "\n".join(urls), "rate": str(cfg.scrape.requests_per_second), "workers": str(cfg.scrape.workers), "pauses": cfg.scrape.pauses}
+        return spark.read.format("pages_http").options(**options).load()
+
+    fetched = fetched or by_http
+    months = crawl.months(spark, cfg.scrape.start_month, cfg.scrape.end_month or f"{today:%Y-%m}")
     sitemap = lambda m: cfg.scrape.sitemap_url.format(year=m.year, month=m.month)
-    cached = spark.read.parquet(f"{raw}/sitemaps") if _exists(spark, f"{raw}/sitemaps") else spark.createDataFrame([], "month date, xml string")
-    wanted = [r["month"] for r in crawl.sitemaps_to_fetch(months, cached, today).collect()]
-    by_url = spark.createDataFrame([(sitemap(m), m) for m in wanted], "url string, month date")
-    fetch([sitemap(m) for m in wanted]).filter("status = 'ok'").join(by_url, "url").select("month", F.col("body").cast("string").alias("xml")).write.mode("append").parquet(f"{raw}/sitemaps")
-    maps = spark.read.parquet(f"{raw}/sitemaps").groupBy("month").agg(F.last("xml").alias("xml"))
+    cached = spark.read.parquet(f"{raw}/sitemaps") if tables.exists(spark, f"{raw}/sitemaps") else spark.createDataFrame([], "month date, xml string, read timestamp")
+    wanted = [r["month"] for r in crawl.sitemaps_to_fetch(months, cached, today).orderBy("month").collect()]  # a row a month
+    if wanted:
+        by_url = spark.createDataFrame([(sitemap(m), m) for m in wanted], "url string, month date")
+        maps = fetched([sitemap(m) for m in wanted]).filter("status = 'ok'").join(by_url, "url")
+        maps.select("month", F.col("body").cast("string").alias("xml"), F.current_timestamp().alias("read")).write.mode("append").parquet(f"{raw}/sitemaps")
+    maps = spark.read.parquet(f"{raw}/sitemaps").groupBy("month").agg(F.max_by("xml", "read").alias("xml"))
     urls = crawl.discover(maps, cfg.scrape.url_pattern, order="month")
     index_path = f"{cfg.data}/{_INDEX}"
-    index = crawl.read_index(spark, index_path) if _exists(spark, index_path) else spark.createDataFrame([], crawl.INDEX)
-    todo = crawl.pending(urls, index)
-    got = fetch([r["url"] for r in todo.select("url").collect()]).join(urls, "url").withColumn("file", T.page_path(F.col("url"))).cache()
-    got.filter("status = 'ok'").select("file", "body").write.mode("append").parquet(f"{raw}/bodies")
-    info = pages.extract_metadata(got.withColumn("html", F.col("body").cast("string")), title_suffix=cfg.parse.title_suffix)
-    seq = F.lit(int(datetime.datetime.now().timestamp() * 1e6)) + F.monotonically_increasing_id()
-    crawl.append_index(info.select(seq.alias("seq"), "url", "published", "status", "ticker", "company", "title", "fiscal_quarter", "file"), index_path)
-    return crawl.status_counts(info)
+    index = crawl.read_index(spark, index_path) if tables.exists(spark, index_path) else spark.createDataFrame([], crawl.INDEX)
+    seen = index.agg(F.max("seq")).first()[0] or 0
+    counts: dict[str, int] = {}
+
+    def store(got: DataFrame) -> None:
+        nonlocal seen
+        info = pages.extract_metadata(got.withColumn("html", F.col("body").cast("string")), title_suffix=cfg.parse.title_suffix)
+        empty = (F.col("status") == "ok") & ~F.col("has_article")
+        info = info.withColumns({"status": F.when(empty, "missing").otherwise(F.col("status")), "error": F.when(empty, "ValueError").when(F.col("status") != "ok", F.col("status"))})
+        info = crawl.only_tickers(info, cfg.scrape.tickers).withColumn("file", T.page_path(F.col("url"))).persist()
+        info.filter("status = 'ok'").select("file", "body", F.current_timestamp().alias("read")).write.mode("append").parquet(f"{raw}/bodies")
+        order = Window.orderBy(F.desc("published"), "url")  # of one batch
+        crawl.append_index(info.select((F.row_number().over(order) + seen).cast("long").alias("seq"), "url", "published", "status", "ticker", "company", "title", "fiscal_quarter", "file", "error"), index_path)
+        seen += cfg.scrape.batch
+        for r in crawl.status_counts(info).collect():
+            counts[r["status"]] = counts.get(r["status"], 0) + r["n"]
+        info.unpersist()
+
+    crawl.crawl_pages(crawl.pending(urls, index), fetched, store, cfg.scrape.batch)
+    return spark.createDataFrame([*counts.items()], "status string, n long")
 
 
 def parse(spark: SparkSession, cfg: Config) -> DataFrame:
     """Index and pages to speaker turns of kept calls, and statistics of all pages. Pages are gzipped files at the index's paths."""
     records = crawl.latest_records(crawl.read_index(spark, f"{cfg.data}/{_INDEX}")).filter("status = 'ok'")
     raw = f"{cfg.data}/{_PAGES}"
-    if _exists(spark, f"{raw}/bodies"):
-        files = spark.read.parquet(f"{raw}/bodies").groupBy("file").agg(F.last("body").cast("string").alias("html"))
+    if tables.exists(spark, f"{raw}/bodies"):
+        files = spark.read.parquet(f"{raw}/bodies").groupBy("file").agg(F.max_by("body", "read").cast("string").alias("html"))
         parsed = pages.with_parsed(records.join(files, "file", "left"))
     else:
         files = pages.read_gzip_pages(spark, f"{raw}/pages").withColumn("file", F.concat(F.lit("pages/"), F.regexp_extract("path", r"pages/(.*)$", 1)))
@@ -98,17 +115,23 @@ def train(spark: SparkSession, cfg: Config) -> dict:
         counts = scoring.confusion(scoring.with_confidence(run(part(s)))).cache()
         out[s] = scoring.overall(counts).first().asDict() | {"confusion": [r.asDict() for r in counts.collect()], "report": [r.asDict() for r in scoring.classification_report(counts).collect()]}
     out["context_check"] = scoring.context_check(part("test"), run, _lexicon(spark, cfg)).first().asDict()
-    os.makedirs(cfg.results, exist_ok=True)
-    tables.write_json(out, f"{cfg.results}/metrics.json")
+    tables.write_json(spark, out, f"{cfg.results}/metrics.json")
     return out
 
 
 def score(spark: SparkSession, cfg: Config) -> DataFrame:
-    """Scores all sentences and sums them up by call."""
-    run = scoring.mllib_scorer(PipelineModel.load(f"{cfg.data}/{_MODEL}"))
-    scored = scoring.with_confidence(run(spark.read.parquet(f"{cfg.data}/{_SENTENCES}"))).drop("speaker", "role", "turn_id")
-    scored.write.mode("overwrite").parquet(f"{cfg.data}/{_SCORED}")
-    calls = signals.call_features(spark.read.parquet(f"{cfg.data}/{_SCORED}"))
+    """Scores sentences and sums them up by call: only files of sentences that this model hasn't scored yet.
+
+    The files scored are remembered beside the scores, in a folder for this model and these sentences, so a stopped run
+    goes on where it was; a new model, or sentences labelled anew, start anew. With sentiment set, scores have it too.
+    """
+    model = f"{cfg.data}/{_MODEL}"
+    run = scoring.mllib_scorer(PipelineModel.load(model))
+    sentences_path = f"{cfg.data}/{_SENTENCES}"
+    of = f"{tables.modified(spark, f'{model}/metadata')}-{tables.modified(spark, f'{sentences_path}/_SUCCESS')}"
+    scored, seen = f"{cfg.data}/{_SCORED}/{of}", f"{cfg.data}/{_SCORED}_files/{of}"
+    incremental.score_new_files(spark, sentences_path, spark.read.parquet(sentences_path).schema, run, scored, seen, scoring.lexicon_sentiment(_lexicon(spark, cfg)) if cfg.score.sentiment else None)
+    calls = signals.call_features(spark.read.parquet(scored).drop("speaker", "role", "turn_id"))
     signals.lag_change(calls, "conf_qna", "delta_qoq").write.mode("overwrite").parquet(f"{cfg.data}/{_CALLS}")
     return scoring.score_summary(spark.read.parquet(f"{cfg.data}/{_CALLS}"))
 
@@ -141,7 +164,7 @@ def backtest(spark: SparkSession, cfg: Config) -> dict:
         tables.write_csv(df, f"{cfg.results}/{name}", digits=6, gzip=True)
     tables.write_csv(held, f"{cfg.results}/inventory", digits=4)
     out = {"events": events.summarize(ev, b.horizons, b.winsorize), "inventory": inventory.summarize(log, book, held)}
-    tables.write_json(out, f"{cfg.results}/evaluation.json")
+    tables.write_json(spark, out, f"{cfg.results}/evaluation.json")
     return out
 
 

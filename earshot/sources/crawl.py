@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import datetime
+import itertools
+import pathlib
 import time
 import urllib.error
 import urllib.request
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,46 +76,88 @@ def status_counts(records: DataFrame) -> DataFrame:
     return records.groupBy("status").agg(F.count("*").alias("n"))
 
 
-def fetch(url: str, tries: int = 4, wait: float = 5.0, open_=urllib.request.urlopen, sleep=time.sleep) -> tuple[str, bytes | None]:
-    """(status, body): ok; missing at once for 404 and 410; error after `tries`, waiting longer each time, most when throttled."""
+class Limiter:
+    """Seconds between a worker's requests, shared with the other workers through a folder.
+
+    A worker that is throttled writes until when all are to wait into a file of its own; before each request every worker
+    waits for the latest of these. Without a folder, or where it can't be read, a worker knows its own pauses only.
+    """
+
+    def __init__(self, interval: float, folder: str = "", clock=time.time, sleep=time.sleep):
+        self.interval, self.folder, self.clock, self.sleep = interval, folder, clock, sleep
+        self.next_at, self.name = 0.0, f"{uuid.uuid4().hex}.until"
+
+    def _until(self) -> float:
+        latest = 0.0
+        try:
+            for f in pathlib.Path(self.folder).glob("*.until") if self.folder else ():
+                latest = max(latest, float(f.read_text() or 0))
+        except (OSError, ValueError):
+            pass  # being written; the next request reads it
+        return latest
+
+    def wait(self) -> None:
+        now = self.clock()
+        at = max(self.next_at, self._until(), now)
+        if at > now:
+            self.sleep(at - now)
+        self.next_at = at + self.interval
+
+    def penalize(self, seconds: float) -> None:
+        until = max(self.next_at, self._until(), self.clock()) + seconds
+        self.next_at = until
+        if self.folder:
+            pathlib.Path(self.folder).mkdir(parents=True, exist_ok=True)
+            new = pathlib.Path(self.folder, f"{self.name}.new")
+            new.write_text(str(until))
+            new.replace(pathlib.Path(self.folder, self.name))
+
+
+def fetch(url: str, limiter: Limiter, tries: int = 4, wait: float = 5.0, open_=urllib.request.urlopen, sleep=time.sleep) -> tuple[str, bytes | None]:
+    """(status, body): ok; missing at once for 404 and 410; error after `tries`, with a longer pause after each.
+
+    Throttled (403, 429, 503), all workers pause, six times as long.
+    """
     for k in range(tries):
+        limiter.wait()
         try:
             with open_(url, timeout=30) as r:
                 return "ok", r.read()
         except urllib.error.HTTPError as e:
             if e.code in (404, 410):
                 return "missing", None
-            pause = 6 * wait if e.code in (403, 429, 503) else wait
+            if e.code in (403, 429, 503):
+                limiter.penalize(6 * wait * 2**k)
         except OSError:
-            pause = wait
-        if k < tries - 1:
-            sleep(pause * 2**k)
+            pass
+        sleep(wait * 2**k)
     return "error", None
 
 
 class _Share(InputPartition):
-    def __init__(self, urls: list[str], rate: float):
-        self.urls, self.rate = urls, rate
+    def __init__(self, urls: list[str], interval: float, folder: str):
+        self.urls, self.interval, self.folder = urls, interval, folder
 
 
 class _PageReader(DataSourceReader):
+    opener = staticmethod(urllib.request.urlopen)
+
     def __init__(self, options: dict):
         self.urls = [u for u in options.get("urls", "").split("\n") if u]
-        self.n, self.rate = int(options.get("workers", 3)), float(options.get("rate", 1.5))
+        self.n, self.rate, self.folder = int(options.get("workers", 3)), float(options.get("rate", 1.5)), options.get("pauses", "")
 
     def partitions(self) -> list[InputPartition]:
-        # each worker has its share of the rate, so no limiter is shared
-        return [_Share(self.urls[i :: self.n], self.rate / self.n) for i in range(self.n)]
+        # each worker has its share of the rate; pauses are shared
+        return [_Share(self.urls[i :: self.n], self.n / self.rate, self.folder) for i in range(self.n)]
 
     def read(self, partition: _Share) -> Iterator[tuple]:
+        limiter = Limiter(partition.interval, partition.folder)
         for u in partition.urls:
-            began = time.time()
-            yield (u, *fetch(u))
-            time.sleep(max(0.0, 1 / partition.rate - (time.time() - began)))
+            yield (u, *fetch(u, limiter, open_=self.opener))
 
 
 class PageSource(DataSource):
-    """Batch source "pages_http": options urls (one a line), rate (requests a second in all) and workers."""
+    """Batch source "pages_http": options urls (one a line), rate (requests a second in all), workers and pauses (a shared folder)."""
 
     @classmethod
     def name(cls) -> str:
@@ -123,3 +168,15 @@ class PageSource(DataSource):
 
     def reader(self, schema) -> DataSourceReader:
         return _PageReader(self.options)
+
+
+def crawl_pages(todo: DataFrame, fetched: Callable[[list[str]], DataFrame], store: Callable[[DataFrame], None], batch: int) -> None:
+    """Fetches todo (url, published, in order) in batches and stores each batch before the next is asked for.
+
+    So a crawl that stops loses one batch at most. fetched: url, status, body of a list of URLs; store: writes them with
+    `published`. The URLs left stream to the driver a partition at a time; only a batch of them is held.
+    """
+    left = todo.select("url", "published").toLocalIterator(prefetchPartitions=True)
+    while rows := list(itertools.islice(left, batch)):
+        published = todo.sparkSession.createDataFrame([tuple(r) for r in rows], "url string, published string")
+        store(fetched([r["url"] for r in rows]).join(F.broadcast(published), "url"))

@@ -119,8 +119,12 @@ def tree(source: str) -> Node:
     return b.root
 
 
+def _article(page: Node) -> Node | None:
+    return page.by_id(BODY_ID) or next((n for n in page.walk() if BODY_CLASS in n.attrs.get("class", "").split()), None)
+
+
 def article_body(page: Node) -> Node:
-    body = page.by_id(BODY_ID) or next((n for n in page.walk() if BODY_CLASS in n.attrs.get("class", "").split()), None)
+    body = _article(page)
     if body is None:
         raise ValueError("no article body")
     return body
@@ -216,9 +220,10 @@ def read_gzip_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def extract_metadata(pages: DataFrame, html_col: str = "html", title_suffix: str = "") -> DataFrame:
-    """pages with ticker, company, title and fiscal_quarter ("Q1 2024" or "") from head and meta elements; "" where missing."""
+    """pages with ticker, company, title and fiscal_quarter ("Q1 2024" or "") from head and meta elements, "" where missing,
+    and has_article, whether there is an article."""
 
-    @F.pandas_udf("struct<ticker: string, company: string, title: string>")
+    @F.pandas_udf("struct<ticker: string, company: string, title: string, has_article: boolean>")
     def meta(html: pd.Series) -> pd.DataFrame:
         rows = []
         for h in html:
@@ -226,9 +231,9 @@ def extract_metadata(pages: DataFrame, html_col: str = "html", title_suffix: str
             tags = {n.attrs.get("name", ""): n.attrs.get("content", "").strip() for n in page.walk() if n.tag == "meta"}
             title = page.first("title")
             text = " ".join(s.strip() for s in title.strings()).strip() if title is not None else ""
-            rows.append((tags.get("primary_tickers", "").split(",")[0].strip().upper(), tags.get("primary_tickers_companies", "").split(",")[0].strip(), text.removesuffix(title_suffix).strip()))
-        return pd.DataFrame(rows, columns=["ticker", "company", "title"])
+            rows.append((tags.get("primary_tickers", "").split(",")[0].strip().upper(), tags.get("primary_tickers_companies", "").split(",")[0].strip(), text.removesuffix(title_suffix).strip(), _article(page) is not None))
+        return pd.DataFrame(rows, columns=["ticker", "company", "title", "has_article"])
 
-    out = pages.withColumn("_m", meta(html_col)).withColumns({c: F.col(f"_m.{c}") for c in ("ticker", "company", "title")}).drop("_m")
+    out = pages.withColumn("_m", meta(html_col)).withColumns({c: F.col(f"_m.{c}") for c in ("ticker", "company", "title", "has_article")}).drop("_m")
     quarter = F.concat(F.upper(F.regexp_extract("title", QUARTER, 1)), F.lit(" "), F.regexp_extract("title", QUARTER, 2))
     return out.withColumn("fiscal_quarter", F.when(F.col("title").rlike(QUARTER), quarter).otherwise(""))

@@ -14,6 +14,23 @@ SIGNALS = (
 )
 
 
+def _path(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether any store that Spark reads has this path."""
+    p, store = _path(spark, path)
+    return store.exists(p)
+
+
+def modified(spark: SparkSession, path: str) -> int:
+    """When this path of any store was written, in milliseconds."""
+    p, store = _path(spark, path)
+    return store.getFileStatus(p).getModificationTime()
+
+
 def read_columns(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     df = spark.read.parquet(path)
     return df if columns is None else df.select(*columns)
@@ -44,7 +61,11 @@ def read_signals(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).schema(SIGNALS).csv(path)
 
 
-def write_json(value: dict, path: str) -> None:
-    """A small result of the driver's as JSON."""
-    with open(path, "w") as f:
-        json.dump(value, f, indent=2, default=str)
+def write_json(spark: SparkSession, value: dict, path: str) -> None:
+    """A small result of the driver's as one JSON file, in any store that Spark writes."""
+    p, store = _path(spark, path)
+    out = store.create(p, True)
+    try:
+        out.write(bytearray(json.dumps(value, indent=2, default=str).encode()))
+    finally:
+        out.close()

@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from earshot.operators.scoring import Scorer, with_confidence
 
 
-def score_new_files(spark: SparkSession, source: str, schema: StructType | str, scorer: Scorer, out: str, checkpoint: str) -> None:
+def score_new_files(spark: SparkSession, source: str, schema: StructType | str, scorer: Scorer, out: str, checkpoint: str, sentiment: Column | None = None, files: int = 64) -> None:
     """Scores files of source that no earlier run with this checkpoint has scored, and appends them to out.
 
-    The checkpoint remembers the files, so a stopped run goes on where it was and no file is scored twice. With a new
+    The checkpoint remembers the files, `files` at a time, so a stopped run goes on where it was and no file is scored twice. With a new
     model take a new checkpoint and a new output.
     """
-    new = spark.readStream.schema(schema).parquet(source)
-    query = with_confidence(scorer(new)).writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", out).outputMode("append").trigger(availableNow=True).start()
+    new = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
+    query = with_confidence(scorer(new), sentiment).writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", out).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
 
 

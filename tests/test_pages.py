@@ -165,23 +165,3 @@ def test_crawl_index(spark, tmp_path):
     assert index.count() == 5
     urls = spark.createDataFrame([(u, f"2024-01-0{i}") for i, u in enumerate("abcd", 1)], "url string, published string")
     assert [r["url"] for r in crawl.pending(urls, index).collect()] == ["d", "c"]
-
-
-def test_fetch_tries(spark):
-    import io
-    import urllib.error
-
-    waits: list[float] = []
-
-    def opener(codes):
-        def open_(url, timeout):
-            code = codes.pop(0)
-            if code == 200:
-                return io.BytesIO(b"ok")
-            raise urllib.error.HTTPError(url, code, "", {}, None) if code else OSError()
-
-        return open_
-
-    assert crawl.fetch("u", open_=opener([404]), sleep=waits.append) == ("missing", None) and waits == []
-    assert crawl.fetch("u", open_=opener([503, 0, 200]), sleep=waits.append) == ("ok", b"ok") and waits == [30.0, 10.0]
-    assert crawl.fetch("u", open_=opener([500] * 4), sleep=waits.append) == ("error", None) and waits[2:] == [5.0, 10.0, 20.0]
