@@ -155,12 +155,30 @@ def weak_label(certain: Column, hedged: Column) -> Column:
     return F.when((certain == 0) & (hedged == 0), "neutral").when(certain - hedged >= 1, "high").when(certain - hedged <= -1, "low")
 
 
+def _together(phrases: list[str]) -> list[list[str]]:
+    """phrases, in the order in which they are replaced, in groups that one pattern replaces just as one after another.
+
+    A pattern takes what begins first. So a phrase starts a new group if it can begin before one of the group and reach
+    into it, that is, if an end of it is a beginning of that one.
+    """
+    groups: list[list[str]] = []
+    for p in phrases:
+        if groups and not any(q.startswith(p[-k:]) for q in groups[-1] for k in range(1, len(p))):
+            groups[-1].append(p)
+        else:
+            groups.append([p])
+    return groups
+
+
 def mask_cues(sentence: Column, token: str, lexicon: Lexicon = Lexicon()) -> Column:
     """sentence with every cue phrase, longest first, and then every cue word replaced by token."""
     mask = re.sub(r"([\\$])", r"\\\1", token)
     out = sentence
-    for p in sorted([*lexicon.certainty_phrases, *lexicon.hedge_phrases, *lexicon.soft_phrases], key=len, reverse=True):
-        out = F.regexp_replace(out, "(?i)" + re.escape(p), mask)
+    phrases = sorted([*lexicon.certainty_phrases, *lexicon.hedge_phrases, *lexicon.soft_phrases], key=len, reverse=True)
+    t = token.lower()
+    alone = not any(p in t or t in p or any(p.startswith(t[-k:]) or t.startswith(p[-k:]) for k in range(1, min(len(p), len(t)))) for p in phrases)  # no phrase reaches into a mask
+    for group in _together(phrases) if alone else [[p] for p in phrases]:
+        out = F.regexp_replace(out, "(?i)(?:" + "|".join(map(re.escape, group)) + ")", mask)
     if lexicon.cue_words():
         out = F.regexp_replace(out, "(?i)(?<![A-Za-z'])(?:" + "|".join(map(re.escape, lexicon.cue_words())) + ")(?![A-Za-z'])", mask)
     return out

@@ -7,7 +7,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, NGram, RegexTokenizer, SQLTransformer
 from pyspark.ml.functions import vector_to_array
@@ -81,15 +81,21 @@ def lexicon_scorer(lexicon: T.Lexicon = T.Lexicon()) -> Scorer:
 
 
 def train_mllib(training: DataFrame, features: int = 1 << 16, regularization: float = 1e-4, iterations: int = 50) -> PipelineModel:
-    """Multinomial logistic regression on words and pairs of words, weighted by class. training: sentence, weak_label, label."""
+    """Multinomial logistic regression on words and pairs of words, weighted by class. training: sentence, weak_label, label.
+
+    Sentences become counts of hashed terms once; these, not the sentences, are kept while the rest is fitted.
+    """
     weights = class_weights(training).select(F.col("label").alias("weak_label"), "weight")
-    rows = training.join(F.broadcast(weights), "weak_label")
-    stages = [
+    rows = training.join(F.broadcast(weights), "weak_label").select("sentence", "weight", F.col("label").cast("double").alias("label"))
+    counted = [
         RegexTokenizer(inputCol="sentence", outputCol="w1", pattern="[a-z']+", gaps=False), NGram(n=2, inputCol="w1", outputCol="w2"),
         SQLTransformer(statement="SELECT *, concat(w1, w2) AS terms FROM __THIS__"), HashingTF(inputCol="terms", outputCol="tf", numFeatures=features),
-        IDF(inputCol="tf", outputCol="features", minDocFreq=2), LogisticRegression(family="multinomial", weightCol="weight", regParam=regularization, maxIter=iterations),
     ]
-    return Pipeline(stages=stages).fit(rows.select("sentence", "weight", F.col("label").cast("double").alias("label")))
+    tf = PipelineModel(counted).transform(rows).select("tf", "weight", "label").persist()
+    idf = IDF(inputCol="tf", outputCol="features", minDocFreq=2).fit(tf)
+    fitted = LogisticRegression(family="multinomial", weightCol="weight", regParam=regularization, maxIter=iterations).fit(idf.transform(tf))
+    tf.unpersist()
+    return PipelineModel([*counted, idf, fitted])
 
 
 def mllib_scorer(model: PipelineModel) -> Scorer:

@@ -265,13 +265,42 @@ def roc_auc(spark, d):
     return scoring.roc_auc(quality_scores(spark, d), "net", F.col("quality") == 1).select("n", *r("auc"))
 
 
-@query()
-def mllib_scores(spark, d):
-    x = labelled(spark, d).filter("weak_label is not null").withColumn("label", T.label_index(F.col("weak_label"))).select("doc_id", "pos", "sentence", "weak_label", "label").cache()
-    model = scoring.train_mllib(x.select("sentence", "weak_label", "label"), features=1 << 14, iterations=10)
-    return scoring.with_confidence(scoring.mllib_scorer(model)(x.select("doc_id", "pos", "sentence", "weak_label"))).groupBy("weak_label", "pred").agg(F.count("*").alias("n"))
+#: Sentences that the model of mllib_scores is fitted to, about.
+MODEL_SENTENCES = 20_000
 
 
 @query()
+def mllib_scores(spark, d):
+    """Fits the model to a sample of the training set, as the stages do, and scores all sentences with a label in one pass."""
+    x = labelled(spark, d).filter("weak_label is not null").select("doc_id", "pos", "sentence", "weak_label", "call_id").cache()
+    chosen = sentences.training_sets(x, ["doc_id", "pos"], max_sentences=MODEL_SENTENCES).filter("split = 'train'")
+    model = scoring.train_mllib(chosen.select("sentence", "weak_label", "label").cache(), features=1 << 14, iterations=10)
+    return scoring.with_confidence(scoring.mllib_scorer(model)(x.select("sentence", "weak_label"))).groupBy("weak_label", "pred").agg(F.count("*").alias("n"))
+
+
+def _mask_sql(s: str) -> str:
+    for p in sorted([*_L.certainty_phrases, *_L.hedge_phrases, *_L.soft_phrases], key=len, reverse=True):
+        s = f"regexp_replace({s}, '{p}', '[MASK]', 'gi')"
+    words = ", ".join(f"'{w}'" for w in _L.cue_words())
+    return f"array_to_string(list_transform(regexp_extract_all({s}, '[A-Za-z'']+|[^A-Za-z'']+'), lambda x: CASE WHEN lower(x) IN ({words}) THEN '[MASK]' ELSE x END), '')"
+
+
+@query(rf"""WITH {SCORE_SQL}, m AS (SELECT weak_label, lower(trim(regexp_replace({_mask_sql('sentence')}, '\s+', ' ', 'g'))) AS s FROM labelled WHERE weak_label IN ('low', 'high')),
+k AS (SELECT weak_label, s, regexp_extract_all(s, '[a-z'']+') AS t FROM m),
+z AS (SELECT weak_label, (len(list_filter(t, lambda w: w = 'is')) + 0.5 * len(list_filter(t, lambda w: w IN ('and', 'will'))) + {_phr(_L.certainty_phrases)})::DOUBLE AS c,
+  (len(list_filter(t, lambda w: w IN ('of', 'for', 'to', 'that'))) + 0.5 * len(list_filter(t, lambda w: w IN ('with', 'was'))) + {_phr(_L.hedge_phrases)} + {_phr(_L.soft_phrases, 0.5)})::DOUBLE AS h FROM k),
+v AS (SELECT c, h, count(*) FILTER (weak_label = 'high') AS pos, count(*) FILTER (weak_label = 'low') AS neg FROM z GROUP BY 1, 2),
+o AS (SELECT *, exp(c) / (exp(h) + exp(0.5) + exp(c)) - exp(h) / (exp(h) + exp(0.5) + exp(c)) AS conf, 0.5 > h AND 0.5 >= c AS neutral FROM v),
+b AS (SELECT conf, sum(pos) AS pos, sum(neg) AS neg, coalesce(sum(sum(neg)) OVER (ORDER BY conf ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM o GROUP BY 1)
+SELECT (SELECT sum(pos + neg) FROM v)::BIGINT AS n, (SELECT round(sum(pos * (below + neg / 2.0)) / (sum(pos) * sum(neg))::DOUBLE, 6) FROM b) AS auc, (SELECT round((sum(pos + neg) FILTER (neutral))::DOUBLE / sum(pos + neg), 6) FROM o) AS neutral_share""")
 def masked_context_check(spark, d):
-    return scoring.context_check(labelled(spark, d).select("doc_id", "pos", "sentence", "weak_label"), scoring.lexicon_scorer(_L), _L)
+    """By the lexicon itself, so what it tells is that no cue is left: the share of neutral is 1 but for phrases that masks make."""
+    return scoring.context_check(labelled(spark, d).select("doc_id", "pos", "sentence", "weak_label"), scoring.lexicon_scorer(_L), _L).select("n", *r("auc", "neutral_share"))
+
+
+@query(f"""WITH {PRED_SQL}, c AS (SELECT quality::INT AS t, (net > 0)::INT AS p, count(*) AS n FROM pred GROUP BY 1, 2), lab AS (SELECT DISTINCT t AS label FROM c),
+f AS (SELECT label, 2.0 * coalesce((SELECT sum(n) FROM c WHERE t = label AND p = label), 0) / (coalesce((SELECT sum(n) FROM c WHERE p = label), 0) + (SELECT sum(n) FROM c WHERE t = label)) AS f1, (SELECT sum(n) FROM c WHERE t = label) AS support FROM lab)
+SELECT (SELECT sum(n) FROM c)::BIGINT AS n, round((SELECT sum(n) FILTER (t = p) / sum(n) FROM c)::DOUBLE, 6) AS accuracy, round(avg(f1)::DOUBLE, 6) AS macro_f1, round((max(support) / sum(support))::DOUBLE, 6) AS majority_baseline FROM f""")
+def overall_metrics(spark, d):
+    s = quality_scores(spark, d).withColumn("pred", (F.col("net") > 0).cast("int"))
+    return scoring.overall(scoring.confusion(s, "quality"), "quality").select("n", *r("accuracy", "macro_f1", "majority_baseline"))

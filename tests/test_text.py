@@ -40,6 +40,25 @@ def test_masking(spark):
     assert one(spark, "7 $2 \\1 could", lambda x: T.mask_cues(x, "\\1$0")) == "7 $2 \\1 \\1$0"
 
 
+@pytest.mark.parametrize("token", ["[MASK]", "e", " a ", "the"])
+def test_masking_phrase_after_phrase(spark, token):
+    """A pattern for several phrases gives what one phrase after another does, also where they overlap."""
+    import re
+
+    rng = random.Random(22)
+    phrases = ("ab", "abc", "bca", "ca", "cab b", "b a", "aa", "the a", "e ab")
+    lex = T.Lexicon(strong=(), moderate=(), weak=(), uncertainty=(), certainty_phrases=phrases, hedge_phrases=(), soft_phrases=())
+    texts = ["".join(rng.choice(["a", "b", "c", " ", "the", "A"]) for _ in range(rng.randint(0, 30))) for _ in range(500)]
+
+    def slow(t):
+        for p in sorted(phrases, key=len, reverse=True):
+            t = re.sub(re.escape(p), token, t, flags=re.I)
+        return t
+
+    got = spark.createDataFrame([(t,) for t in texts], "x string").select("x", T.mask_cues(F.col("x"), token, lex).alias("m")).collect()
+    assert all(r["m"] == slow(r["x"]) for r in got)
+
+
 def slow_sentences(text: str) -> list[str]:
     import re
 
