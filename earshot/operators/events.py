@@ -40,10 +40,13 @@ def event_returns(signals: DataFrame, prices: DataFrame, benchmark: DataFrame, h
 
 
 def winsorized(events: DataFrame, column: str, q: float = 0.01) -> DataFrame:
-    """Events with a value in column, clipped to its q and 1 - q quantiles (linear between values) over all of them."""
+    """Events with a value in column, clipped to its q and 1 - q quantiles (linear between values) over all of them.
+
+    The two quantiles are found at once, as whatever is made of the result would find them again.
+    """
     there = events.filter(F.col(column).isNotNull())
-    bounds = F.broadcast(quantiles(there.select(column), column, [q, 1 - q]))
-    return there.crossJoin(bounds).withColumn(column, F.greatest(F.least(F.col(column), F.col("q1")), F.col("q0"))).drop("q0", "q1")
+    low, high = quantiles(there.select(column), column, [q, 1 - q]).first()
+    return there.withColumn(column, F.greatest(F.least(F.col(column), F.lit(high).cast("double")), F.lit(low).cast("double")))
 
 
 def by_signal(events: DataFrame, column: str) -> DataFrame:
