@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -237,8 +238,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, pool_rows:
     """Fits both views to about `rows` labelled and `pool_rows` unlabelled documents, chosen by the id's hash.
 
     Labels of held-out documents (crc32 of the id leaves 2 modulo 4) are never used. All documents of a repeated id share
-    its label, the largest one given. What reaches the driver is at most (rows + pool_rows) * 1.1 rows of 150 numbers,
-    also where an id repeats or is null in a large part of the rows.
+    its label, the largest one given. One task fits the views, to 1.1 times `rows` and `pool_rows` at most, also where an
+    id repeats or is null in a large part of the rows; only the model reaches the driver.
     """
     docs = docs.select(id_col, text_col, lang_col, source_col, chars_col)
     known = labels.select(F.col("doc_id").alias("_id"), F.col(label_col).cast("int").alias("_label")).dropna().filter(~held_out_split(F.col("_id")))
@@ -250,13 +251,28 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, pool_rows:
     pool = sample_by_hash(docs.withColumn("_h", pool_hash), "_h", pool_rows, n_docs).drop("_h")
     pool = pool.join(F.broadcast(known), F.col(id_col) == F.col("_id"), "left_anti").withColumn("_label", F.lit(None).cast("int"))
     labelled = docs.join(F.broadcast(known), F.col(id_col) == F.col("_id"), "inner").drop("_id")
-    parts = [_features(part, text_col, [F.xxhash64(id_col).alias("h"), F.col("_label").alias("y"), *names]).limit(most + most // 10) for part, most in ((labelled, rows), (pool, pool_rows))]
-    data = parts[0].unionByName(parts[1]).toPandas().sort_values(["h", "n_chars", "source"], kind="stable")
-    text = np.array(data["x"].tolist(), np.float32).reshape(len(data), TEXT_WIDTH)
-    metadata = np.array([metadata_features(a, b, c) for a, b, c in zip(data["lang"], data["source"], data["n_chars"])], np.float32).reshape(len(data), METADATA_WIDTH)
-    y, has = data["y"].to_numpy(), data["y"].notna().to_numpy()
-    del data
-    return co_train((text[has], metadata[has]), y[has].astype(int), (text[~has], metadata[~has]))
+    keep = [F.xxhash64(id_col).alias("h"), F.col("_label").alias("y"), *names]
+    data = _features(labelled, text_col, keep).unionByName(_features(pool, text_col, keep))
+    most = (pool_rows + pool_rows // 10, rows + rows // 10)
+
+    def in_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, m, y, kept = [], [], [], [0, 0]
+        for b in batches:  # read to the end, kept up to the bounds
+            columns = b.to_pydict()
+            for i, label in enumerate(columns["y"]):
+                if kept[label is not None] < most[label is not None]:
+                    kept[label is not None] += 1
+                    x.append(np.array(columns["x"][i], np.float32))
+                    m.append(metadata_features(columns["lang"][i], columns["source"][i], columns["n_chars"][i]).astype(np.float32))
+                    y.append(-1 if label is None else label)
+        text, metadata, labels_ = np.array(x, np.float32).reshape(len(x), TEXT_WIDTH), np.array(m, np.float32).reshape(len(m), METADATA_WIDTH), np.array(y, np.int64)
+        del x, m
+        has = labels_ >= 0
+        model = co_train((text[has], metadata[has]), labels_[has], (text[~has], metadata[~has]))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    got = data.repartition(1).sortWithinPartitions("h", "n_chars", "source", "lang").mapInArrow(in_one, "model binary").collect()
+    return pickle.loads(got[0]["model"]) if got else co_train((np.zeros((0, TEXT_WIDTH)),) * 2, np.zeros(0, int), (np.zeros((0, TEXT_WIDTH)),) * 2)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", chars_col: str = "n_chars", threshold: float = 0.5) -> DataFrame:
