@@ -66,27 +66,54 @@ def _in_rounds(rounds: Column, size: Column, q: Column) -> Column:
     return F.exists(rounds, lambda x: (size > 0) & (size <= x["upper"]) & (q > x["lo"]) & F.coalesce(q <= x["hi"], F.lit(False)))
 
 
+#: Documents of a source that still fit up to which the rest of its draw is one fold.
+FOLD_ROWS = 20_000
+
+
+def _fold(left: DataFrame) -> DataFrame:
+    """(skey, room, hi, words, runs) of the rest of the draw of each source, its documents in one array by q.
+
+    The fold goes along with the room left: what fits is taken; what fitted when the run began but no longer does ends
+    the run, and the next begins behind it.
+    """
+    run = F.struct(F.col("room").cast("double").alias("upper"), F.col("lo").cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"))
+    ranks = left.groupBy("skey", "room", "lo", "q", "size").agg(F.sum("size").cast("double").alias("all"))  # equal rows go together
+    line = ranks.groupBy("skey").agg(F.any_value("room").cast("double").alias("room"), F.any_value("lo").cast("double").alias("lo"), F.array_sort(F.collect_list(F.struct("q", F.col("size").cast("double").alias("size"), "all"))).alias("line"))
+    begin = F.struct(F.col("room").alias("room"), run.alias("run"), F.array().cast("array<struct<upper:double,lo:double,hi:double>>").alias("done"))
+
+    def step(at: Column, x: Column) -> Column:
+        now = at["run"]
+        taken = F.struct((at["room"] - x["all"]).alias("room"), F.struct(now["upper"].alias("upper"), now["lo"].alias("lo"), x["q"].alias("hi")).alias("run"), at["done"].alias("done"))
+        ended = F.struct(at["room"].alias("room"), F.struct(at["room"].alias("upper"), x["q"].alias("lo"), F.lit(None).cast("double").alias("hi")).alias("run"), F.when(now["hi"].isNull(), at["done"]).otherwise(F.array_append(at["done"], now)).alias("done"))
+        return F.when(x["all"] <= at["room"], taken).when(x["size"] <= now["upper"], ended).otherwise(at)
+
+    end = F.aggregate("line", begin, step)
+    return line.select("skey", "room", end.alias("end")).select("skey", F.when(F.col("end.run.hi").isNull(), F.col("end.done")).otherwise(F.array_append("end.done", F.col("end.run"))).alias("rounds"), (F.col("room") - F.col("end.room")).alias("used"))
+
+
 def _fill(left: DataFrame, n: int) -> DataFrame:
     """(skey, rounds, used): going on in the order of q past what is larger than the room left, until nothing fits.
 
     left: skey, size, q, bucket, room. A round is (upper, lo, hi): taken are sizes up to upper with lo < q <= hi. Each
-    round takes the longest run that fits, passes over the rank that did not, and goes on with what still fits.
+    round takes the longest run that fits, passes over the rank that did not, and goes on with what still fits. Once that
+    is at most FOLD_ROWS documents of each source, as after a round or two, one fold does the rest.
     """
     done = None
     left = checkpointed(left.filter("size > 0 and size <= room").withColumn("lo", F.lit(-1.0)))
-    while not left.isEmpty():
+    while (left.groupBy("skey").count().agg(F.max("count")).first()[0] or 0) > FOLD_ROWS:
         border, cut = _cut(left, "room", n)
         marks = checkpointed(border.select("skey", F.col("bucket").alias("b")).join(cut.select("skey", F.col("c.q").alias("q_cut")), "skey", "left"))
         run = F.col("b").isNull() | (F.col("bucket") < F.col("b")) | ((F.col("bucket") == F.col("b")) & F.coalesce(F.col("q") <= F.col("q_cut"), F.lit(False)))
         judged = small_join(left, marks, ["skey"], "left", n).withColumn("run", run).drop("b", "q_cut")
         ends = judged.groupBy("skey", "room", "lo").agg(F.max(F.when(F.col("run"), F.col("q"))).alias("hi"), F.coalesce(F.sum(F.when(F.col("run"), F.col("size"))), F.lit(0)).alias("words"), F.min(F.when(~F.col("run"), F.col("q"))).alias("passed"))
         ends = checkpointed(ends)
-        done = ends if done is None else done.unionByName(ends)
+        one = ends.select("skey", F.array(F.struct(F.col("room").cast("double").alias("upper"), F.col("lo").cast("double").alias("lo"), F.col("hi").cast("double").alias("hi"))).alias("rounds"), F.col("words").cast("double").alias("used"))
+        done = one if done is None else done.unionByName(one)
         going = small_join(judged.filter(~F.col("run")).drop("room", "lo"), ends.select("skey", (F.col("room") - F.col("words")).alias("room"), F.col("passed").alias("lo")), ["skey"], "inner", n)
         left = checkpointed(going.drop("run").filter((F.col("q") > F.col("lo")) & (F.col("size") <= F.col("room"))))
-    if done is None:
-        return left.select("skey", F.array(F.struct(F.col("room").alias("upper"), "lo", F.col("q").alias("hi"))).alias("rounds"), F.col("size").alias("used"))
-    return checkpointed(done.groupBy("skey").agg(F.collect_list(F.struct(F.col("room").alias("upper"), "lo", "hi")).alias("rounds"), F.sum("words").alias("used")))
+    rest = _fold(left)
+    done = rest if done is None else done.unionByName(rest)
+    return checkpointed(done.groupBy("skey").agg(F.flatten(F.collect_list("rounds")).alias("rounds"), F.sum("used").alias("used")))
 
 
 #: Preferences count in steps of one over this number, so that their sums are exact.

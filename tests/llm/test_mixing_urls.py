@@ -74,6 +74,27 @@ def test_long_document_does_not_end_the_draw(spark, tolerance):
     assert all(abs(t - target) <= max(20, tolerance * target) for (s, target), t in by.items() if s != "rest"), dict(by)
 
 
+@pytest.mark.parametrize("fold", [0, 3, 20_000])
+def test_draw_goes_on_by_rounds_or_a_fold(spark, monkeypatch, fold):
+    """However few documents are left to a fold, taken are those that fit in the order of q, one after another."""
+    import earshot.llm.mixing as M
+
+    monkeypatch.setattr(M, "FOLD_ROWS", fold)
+    rng = random.Random(41)
+    rows = [(f"s{k}", rng.choice([1, 2, 5, 9, 30, 200]), rng.random() * 3, float(rng.choice([3, 17, 60, 400.5]))) for k in range(5) for _ in range(60)]
+    room = {k: r for k, _, _, r in rows}
+    df = spark.createDataFrame([(k, n, q, int(q * 4), room[k]) for k, n, q, _ in rows], "skey string, size long, q double, bucket long, room double")
+    for r in M._fill(df, 5).collect():
+        left, taken = room[r["skey"]], set()
+        for n, q in sorted(((n, q) for k, n, q, _ in rows if k == r["skey"]), key=lambda x: x[1]):
+            if n <= left:
+                left -= n
+                taken.add(q)
+        assert r["used"] == room[r["skey"]] - left
+        got = {q for k, n, q, _ in rows if k == r["skey"] and any(n <= x["upper"] and x["hi"] is not None and x["lo"] < q <= x["hi"] for x in r["rounds"])}
+        assert got == taken
+
+
 def test_preference_makes_inclusion_unequal(spark):
     df = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), F.when(F.col("id") < 2000, "a").otherwise("b").alias("source"), F.when(F.col("id") % 2 == 0, 3.0).otherwise(1.0).alias("w"))
     got = mix(df, weights=(1, 3), preference="w").filter("source = 'a'").groupBy((F.col("doc_id") % 2).alias("odd")).agg(F.avg("copies").alias("c")).collect()
