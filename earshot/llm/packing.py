@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from bisect import bisect_right
 from collections import Counter
@@ -21,6 +22,8 @@ from earshot.llm.tokens import word_tokenizer
 #: Decisions of the search, and twice the number of different lengths more, before the best packing so far is taken; and
 #: fillings that are looked at for each of these decisions, on the whole.
 NODES, LOOKS = 4_000, 20
+#: Decisions on the way to the present one whose fillings are kept; those of earlier ones are made again on the way back.
+KEPT = 32
 #: Pieces of one length that are numbered in one window, about.
 BUCKET_ROWS = 50_000
 
@@ -209,9 +212,12 @@ def bin_completion(hist: dict[int, int], capacity: int, nodes: int | None = None
         wasted -= sign * (capacity - sum(k * n for k, n in p.items)) * p.bins
         used -= sign * p.bins
 
-    stack = [branches()]
-    while stack and made < nodes and fewest > bound:
-        p = next(stack[-1], None)
+    stack: list[list] = [[branches(), 0]]  # the branches of each decision, and how many were tried
+    while stack and made < nodes and looks[0] > 0 and fewest > bound:
+        if stack[-1][0] is None:
+            stack[-1][0] = itertools.islice(branches(), stack[-1][1], None)
+        p = next(stack[-1][0], None)
+        stack[-1][1] += 1
         if p is None:
             stack.pop()
             if path:
@@ -232,7 +238,9 @@ def bin_completion(hist: dict[int, int], capacity: int, nodes: int | None = None
             filled = best_fit(rest, capacity)
             if used + bins_of(filled) < fewest:
                 best, fewest = [*path, *filled], used + bins_of(filled)
-        stack.append(branches())
+        stack.append([branches(), 0])
+        if len(stack) > KEPT:
+            stack[-KEPT - 1][0] = None
     return best
 
 
@@ -253,7 +261,7 @@ def slots(patterns: list[Pattern]) -> dict[int, np.ndarray]:
 
 def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Pieces (doc_id, piece, start, length, ids_crc32) of each document's ids and then end_id; with_ids adds ids, 32 bit each."""
-    python_batches(docs.sparkSession, rows=4000)
+    python_batches(docs.sparkSession, rows=2000, mb=4)
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = dict(slim.dtypes)["doc_id"]
     last = np.array([end_id], "<u4").tobytes()
@@ -275,6 +283,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int = 1,
                 columns.append(pa.array(parts, pa.binary()))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
+            pa.default_memory_pool().release_unused()
 
     return slim.mapInArrow(encode, f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
