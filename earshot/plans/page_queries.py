@@ -160,7 +160,7 @@ def filled(template: str, **by) -> F.Column:
 
 
 @query("""SELECT page_id, CASE WHEN page_id % 5 = 0 THEN '' ELSE 'T' || page_id END AS ticker, CASE WHEN page_id % 5 = 0 THEN '' ELSE 'Firm ' || page_id || ' Ltd' END AS company,
-CASE WHEN page_id % 5 = 0 THEN regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '^\\s+|\\s+$', '', 'g') ELSE 'Firm ' || page_id || ' q' || (1 + page_id % 5) || ' ' || CASE WHEN page_id % 2 = 0 THEN 'FY ' ELSE '' END || (1990 + page_id % 40) || ' results' END AS title,
+CASE WHEN page_id % 5 = 0 THEN regexp_replace(regexp_replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;?', '&', 'g'), '^\\s+|\\s+$', '', 'g') ELSE 'Firm ' || page_id || ' q' || (1 + page_id % 5) || ' ' || CASE WHEN page_id % 2 = 0 THEN 'FY ' ELSE '' END || (1990 + page_id % 40) || ' results' END AS title,
 CASE WHEN page_id % 5 IN (0, 4) THEN '' ELSE 'Q' || (1 + page_id % 5) || ' ' || (1990 + page_id % 40) END AS fiscal_quarter FROM pages""")
 def html_metadata(spark, d):
     k = F.col("page_id")
