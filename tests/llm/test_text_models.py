@@ -1,5 +1,6 @@
 import hashlib
 import itertools
+import math
 import random
 import time
 import zlib
@@ -165,6 +166,74 @@ def test_ftrl_is_sparse():
     assert len(w.at) < 2500 and dense[3] == dense.max() > 1
 
 
+def slow_ftrl(rows, labels, p):
+    """One coordinate after another: (weight by coordinate, bias)."""
+    z, n = {}, {}
+    ones = sum(labels)
+    bias, n_bias = math.log((ones + 0.5) / (len(rows) - ones + 10)), 0.0
+
+    def weight(i):
+        zi, ni = z.get(i, 0.0), n.get(i, 0.0)
+        return 0.0 if abs(zi) <= p.l1 else -(zi - math.copysign(p.l1, zi)) / ((p.beta + math.sqrt(ni)) / p.alpha + p.l2)
+
+    order = np.random.default_rng(p.seed)
+    for _ in range(p.epochs):
+        for r in order.permutation(len(rows)):
+            w = {i: weight(i) for i in rows[r].tolist()}
+            g = 1 / (1 + math.exp(-(bias + sum(w.values())))) - labels[r]
+            for i, wi in w.items():
+                old = n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / p.alpha * wi
+                n[i] = old + g * g
+            n_bias += g * g
+            bias -= p.alpha / 4 / (p.beta + math.sqrt(n_bias)) * g
+    return {i: weight(i) for i in z}, bias
+
+
+def test_ftrl_by_single_coordinates():
+    rng = np.random.default_rng(3)
+    rows = [np.unique(np.append(rng.integers(10, 200, 12), 5 if i % 4 == 0 else 6)) for i in range(200)]
+    labels = [int(i % 4 == 0) for i in range(200)]
+    p = toxicity.Ftrl(bits=8, l1=0.4)
+    got, (want, bias) = toxicity.fit(rows, labels, p), slow_ftrl(rows, labels, p)
+    assert got.bias == pytest.approx(bias) and set(got.at.tolist()) == {i for i, w in want.items() if w}
+    assert got.w.tolist() == pytest.approx([want[i] for i in got.at.tolist()], rel=1e-5)
+
+
+def slow_words(text):
+    """The words' buckets one by one."""
+    out, mask = [0.0] * quality.WORDS, (1 << 64) - 1
+    for word in text.split():
+        raw = [c | 0x20 for c in word.encode()]
+        h = len(raw) * 0x9E3779B97F4A7C15 & mask
+        for part in (raw[:8], raw[-8:]):
+            for k in range(8):
+                h = (h ^ (part[k] if k < len(raw) and k < len(part) else 0)) * 0x100000001B3 & mask
+        h ^= h >> 31
+        out[h % quality.WORDS] += -1 if h >> 20 & 1 else 1
+    out = [math.copysign(math.sqrt(abs(x)), x) for x in out]
+    size = math.sqrt(sum(x * x for x in out))
+    return [x / max(size, 1e-9) for x in out]
+
+
+def test_word_features_word_by_word():
+    texts = [prose(5, 200), "", "a", "A a  A\n", "é Ünïcödé 漢字漢字漢字漢字", "antidisestablishmentarianism", None, " x" * 300]
+    got = quality.word_features(texts)
+    for row, text in zip(got, texts):
+        assert row.tolist() == pytest.approx(slow_words(text or ""))
+
+
+def test_logistic_is_at_its_minimum():
+    """The slope of the penalised loss is 0 where the fit ends."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(2, 3, (5000, 6)) * [1, 10, 0.1, 1, 1, 0]
+    y = (rng.random(5000) < 1 / (1 + np.exp(-(x[:, 0] - x[:, 1] / 10)))).astype(float)
+    m = quality.fit_logistic(x, y, 2.0)
+    z = np.hstack([np.clip((x - m.mean) / m.scale, -8, 8), np.ones((5000, 1))])
+    slope = z.T @ (1 / (1 + np.exp(-z @ m.w)) - y) + np.array([2.0] * 6 + [1e-3]) * m.w
+    assert np.abs(slope).max() < 1e-3
+
+
 def test_feature_cache_is_exact(monkeypatch):
     text = prose(3, 400)
     want = toxicity.Features(18)(text)
