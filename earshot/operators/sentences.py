@@ -12,10 +12,10 @@ def to_sentences(turns: DataFrame, min_tokens: int = 6, boilerplate: str = T.BOI
     """Management's sentences: (call_id, all columns of turns but text, turn_id, pos, sentence).
 
     Only executives' turns; sentences below min_tokens tokens or with boilerplate are left out. turn_id is the column
-    of that name if turns has it; pos counts a turn's sentences from 0. The speaker filter precedes all text work.
+    of that name if turns has it, else a hash of the row, so that samples by it can be repeated; pos counts a turn's sentences from 0. The speaker filter precedes all text work.
     """
     if "turn_id" not in turns.columns:
-        turns = turns.withColumn("turn_id", F.monotonically_increasing_id())
+        turns = turns.withColumn("turn_id", F.xxhash64(*turns.columns))
     said = turns.filter(F.col("speaker_type") == "executive").withColumn("call_id", T.call_id(F.col("ticker"), F.col("call_date")))
     rest = [c for c in said.columns if c not in ("text", "call_id", "turn_id")]
     out = said.select("call_id", *rest, "turn_id", F.posexplode(T.split_sentences(F.col("text"))).alias("pos", "sentence"))

@@ -126,14 +126,16 @@ def price_coverage(spark, d):
     return P.to_fetch(A.prices(spark, d), wanted, "1995-01-02")
 
 
-@query(f"""WITH {A.SIGNALS_SQL}, {A.PRICES_SQL}, s AS (SELECT call_id, 'S' || substr(ticker, 2) AS ticker, call_date, signal FROM signals WHERE NOT warmup AND ticker IN ('C3', 'C7', 'C11'))
+@query(f"""WITH {A.SIGNALS_SQL}, {A.PRICES_SQL}, n AS (SELECT ticker, count(*) AS calls, list_position(['C7', 'C3', 'C11'], ticker) AS listed FROM signals GROUP BY 1),
+k AS (SELECT ticker, row_number() OVER (ORDER BY coalesce(listed, 1000000), calls DESC, ticker) AS pos FROM n WHERE (listed IS NOT NULL AND calls >= 3) OR (listed IS NULL AND calls >= 6)),
+s AS (SELECT call_id, 'S' || substr(ticker, 2) AS ticker, call_date, signal FROM signals WHERE NOT warmup AND ticker IN (SELECT ticker FROM k WHERE pos <= 9))
 SELECT call_id, s.ticker, signal, round(b.close, 6) AS price_at_call FROM s ASOF LEFT JOIN prices b ON s.ticker = b.ticker AND s.call_date >= b.date""")
 def price_panels(spark, d):
     from earshot.plans.signal_queries import made
 
-    s = made(spark, d).withColumn("ticker", F.concat(F.lit("S"), F.substring("ticker", 2, 20)))
-    chosen = spark.createDataFrame([("S3",), ("S7",), ("S11",)], "ticker string")
-    return report.price_panels(s, A.prices(spark, d), chosen).select("call_id", "ticker", "signal", *r("price_at_call"))
+    s, priced = made(spark, d), F.concat(F.lit("S"), F.substring("ticker", 2, 20)).alias("ticker")
+    chosen = report.chart_tickers(s, ["C7", "C3", "C11"]).select(priced)
+    return report.price_panels(s.withColumn("ticker", priced), A.prices(spark, d), chosen).select("call_id", "ticker", "signal", *r("price_at_call"))
 
 
 # Lots: bought and sold at events.
