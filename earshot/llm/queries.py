@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from earshot.llm import bytebpe
 from earshot.llm.common import read_table
 from earshot.llm.forest import near_vectors
 from earshot.llm.html import extract
 from earshot.llm.jaccard import jaccard_join
+from earshot.llm.kdmeans import cluster
+from earshot.llm.lexical import LOWER as _LOWER
+from earshot.llm.lexical import TERM, build_index, search
+from earshot.llm.lexical import UPPER as _UPPER
 from earshot.llm.mixing import mix
 from earshot.llm.packing import pack
 from earshot.llm.quality import quality
@@ -83,6 +89,22 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(docs, read_table(spark, sf_dir, "labels")).select("doc_id", "quality_score", "keep")
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = build_index(read_table(spark, sf_dir, "documents"))
+    return search(index, read_table(spark, sf_dir, "benchmark"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = vocabulary("byte_bpe_50k.tiktoken")
+    encoded = bytebpe.encode(read_table(spark, sf_dir, "documents"), ranks)
+    named = encoded.withColumn("ids_sha256", F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)).drop("offsets")
+    return bytebpe.decode(named, ranks).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_html_extraction": op2_html_extraction,
@@ -94,9 +116,32 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_fingerprints": op9_fingerprints,
     "op10_quality": op10_quality,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 _RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _kmeans_sql(k: int = 40, rounds: int = 5, seed: int = 2, scale: int = 256, dim: int = 64) -> str:
+    """Lloyd's rounds written out one after the other; distances by inner products, exact in doubles below 2^53."""
+    far = "(p.sq - 2 * list_inner_product(p.x, c.x) + list_inner_product(c.x, c.x))::BIGINT"
+    ctes = [f"""kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, x, list_inner_product(x, x) AS sq FROM (
+    SELECT vec_id, [floor(v::DOUBLE * {scale}) FOR v IN embedding] AS x FROM embeddings
+    WHERE len(embedding) = {dim} AND len([v FOR v IN embedding IF v IS NOT NULL AND isfinite(v)]) = {dim})),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h NULLS LAST, x) - 1 AS c, x FROM (SELECT sha256('{seed}:' || vec_id) AS h, x FROM kept) ORDER BY c LIMIT {k}),
+wide AS MATERIALIZED (SELECT r, unnest(x) AS v, generate_subscripts(x, 1) AS d FROM kept)"""]
+    for i in range(rounds + 1):
+        ctes.append(f"a{i} AS MATERIALIZED (SELECT r, b.d AS distance, b.c AS c FROM (SELECT p.r, min({{'d': {far}, 'c': c.c}}) AS b FROM kept p, c{i} c GROUP BY p.r))")
+        if i < rounds:
+            ctes.append(f"""m{i} AS (SELECT c, list(m ORDER BY d) AS x FROM (SELECT c, d, floor(sum(v) / count(*)) AS m FROM a{i} JOIN wide USING (r) GROUP BY c, d) GROUP BY c),
+c{i + 1} AS MATERIALIZED (SELECT o.c, coalesce(m.x, o.x) AS x FROM c{i} o LEFT JOIN m{i} m ON o.c = m.c)""")
+    return "WITH " + ",\n".join(ctes) + f"""
+SELECT vec_id, a.c::INTEGER AS cluster, distance, (sum(distance) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(f.x::BIGINT[], ',')) AS centroid_sha256
+FROM kept JOIN a{rounds} a USING (r) JOIN c{rounds} f ON f.c = a.c"""
+
 
 #: What the others compute (tokenizers, trained models, random trees and paths, fingerprints) is beyond SQL.
 ORACLES: dict[str, str] = {
@@ -157,4 +202,17 @@ fits AS (SELECT host, path, rh || rp AS rule, v, row_number() OVER (PARTITION BY
   FROM (SELECT DISTINCT host, path FROM parts) p JOIN rules r ON (p.host = rh OR ends_with(p.host, '.' || rh)) AND starts_with(p.path, rp))
 SELECT page_id, p.host, p.path, f.rule, coalesce(f.v, 'allow') AS verdict
 FROM parts p LEFT JOIN fits f ON p.host = f.host AND p.path = f.path AND f.k = 1""",
+    "op11_centroid_clustering": _kmeans_sql(),
+    "op12_lexical_search": f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '{TERM}') AS terms FROM documents),
+stats AS (SELECT count(*) FILTER (len(terms) > 0) AS n, sum(len(terms))::BIGINT AS l FROM docs),
+asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '{TERM}')) AS term FROM benchmark),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM docs) GROUP BY r, term),
+weights AS (SELECT term, floor(1000 * ln((2 * (SELECT n FROM stats) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf GROUP BY term),
+sized AS (SELECT r, doc_id, 50 + (50 * len(terms) * (SELECT n FROM stats)) // (SELECT l FROM stats) AS m FROM docs WHERE len(terms) > 0),
+scored AS (
+  SELECT item_id, doc_id, r, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+  FROM asked JOIN tf USING (term) JOIN weights USING (term) JOIN sized USING (r) GROUP BY item_id, doc_id, r)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0) WHERE rank <= 50""",
 }
