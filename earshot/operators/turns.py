@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from earshot.functions import text as T
-from earshot.sources.pages import TRANSCRIPT_ID
+from earshot.sources.pages import TRANSCRIPT_ID, call_columns, with_layout
 
 # Cues of the questions' start, and limits in words.
 QNA_CUE = (
@@ -71,65 +71,82 @@ def split_qna(turns: DataFrame, call: str = "call", cue: str = QNA_CUE, remarks:
     return x.drop("_w", "_kind", "_first", "_cue", "_analyst", "_start", "_key")
 
 
-def raw_turns(rows: DataFrame, call: str = "url") -> DataFrame:
-    """Turns (call, turn, section, speaker, listed_as, text) of blocks: call, layout, pos and the fields of a block.
+def role_among(people: Column, key: Column) -> Column:
+    """The role of the participant of this name key (the last listed), else of the only one with the last name; null if none.
+
+    people: an array of (key, role) in list order, as of one call. What lookup_roles finds by joins.
+    """
+    last = lambda c: F.element_at(F.split(c, " "), -1)
+    same = F.filter(people, lambda p: p["key"] == key)
+    family = F.filter(people, lambda p: last(p["key"]) == last(key))
+    only = F.when(F.size(F.array_distinct(F.transform(family, lambda p: p["key"]))) == 1, F.try_element_at(family, F.lit(-1))["role"])
+    return F.coalesce(F.try_element_at(same, F.lit(-1))["role"], only)
+
+
+def raw_turns(blocks: DataFrame, call: str = "url") -> DataFrame:
+    """Turns of pages.read_blocks: (call, turn, layout, section, speaker, listed_as, text), and in turn -1 `top`, the columns
+    of the page's first row, and `people`, the participants listed, in order.
 
     Headings set the section and the end by running windows over a call's blocks; a paragraph that opens with a strong
     name begins a turn, and what follows up to the next such is its text. Pages with headings have the role beside the
     name; in the others a name ends with a colon, section and role come later, and the text may begin beside the name.
     """
     line, headed = Window.partitionBy(call).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow), F.col("layout") == "legacy"
+    own = [c for c in blocks.columns if c not in (call, "pos", "block")]
+    x = with_layout(blocks, call).select(call, "pos", "layout", "block.*", F.when(F.col("pos") < 0, F.struct(*own)).alias("_top"))
     h2, p, title = F.col("kind") == "h2", F.col("kind") == "p", F.lower("tight")
     section = F.when(h2 & title.startswith("prepared remarks"), "prepared").when(h2 & title.startswith("questions"), "qna")
-    x = rows.withColumns({
+    x = x.withColumns({
         "section": F.last(F.when(headed, section), ignorenulls=True).over(line),
         "_over": F.coalesce(F.max(h2 & title.startswith("call participants")).over(line), F.lit(False)),
         "_begun": F.coalesce(F.max(h2 & (F.col("id") == TRANSCRIPT_ID)).over(line), F.lit(False)),
     })
     # the transcript's heading is the first one counted, and the next ends it
     x = x.withColumn("_headings", F.sum(F.when(h2 & F.col("_begun"), 1).otherwise(0)).over(line))
-    x = x.filter(p & F.when(headed, F.col("section").isNotNull() & ~F.col("_over")).otherwise(F.col("_headings") == 1))
+    # of a participant the name is what stands after the last spaced dash, the role what stands before
+    parts = F.when(F.col("listed"), F.split("tight", SEPARATOR))
+    person = F.struct("pos", T.name_key(F.element_at(parts, -1)).alias("key"), F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), " ").alias("role"))
+    x = x.withColumn("_person", F.when(F.size(parts) >= 2, person))
+    said_here = F.coalesce(p & F.when(headed, F.col("section").isNotNull() & ~F.col("_over")).otherwise(F.col("_headings") == 1), F.lit(False))
+    x = x.withColumn("_in", said_here).filter("_in or _top is not null or _person is not null")
     strong, text = F.col("strong"), F.col("text")
     begins = (strong != "") & text.startswith(strong)
     label = F.expr("substring(strong, 1, length(strong) - 1)")
     opens = F.when(headed, begins & ((text == strong) | text.contains(" -- "))).otherwise(begins & strong.endswith(":") & T.looks_like_name(label))
-    x = x.withColumn("_opens", opens).filter(~(headed & F.col("_opens") & F.lower("strong").startswith("duration")))
-    x = x.withColumn("turn", (F.sum(F.col("_opens").cast("int")).over(line) - 1).cast("int")).filter("turn >= 0")
+    x = x.withColumn("_opens", F.col("_in") & opens).filter(~F.coalesce(headed & F.col("_opens") & F.lower("strong").startswith("duration"), F.lit(False)))
+    counted = (F.sum(F.col("_opens").cast("int")).over(line) - 1).cast("int")
+    x = x.withColumn("turn", F.when(F.col("_in"), counted).otherwise(-1))
     said = F.when(~F.col("_opens"), text).when(~headed, F.trim(F.expr("substring(text, length(strong) + 1)")))
-    x = x.withColumn("_said", F.when((said != "") & ~T.is_noise(said), F.struct("pos", said.alias("s"))))
+    x = x.withColumn("_said", F.when((said != "") & ~T.is_noise(said) & (F.col("turn") >= 0), F.struct("pos", said.alias("s"))))
     role = F.coalesce("em", F.when(F.lower("strong") == "operator", "Operator").otherwise(""))
     first = lambda c: F.max(F.when(F.col("_opens"), c))
     return x.groupBy(call, "turn").agg(
-        first(F.col("section")).alias("section"), first(F.when(headed, strong).otherwise(F.trim(label))).alias("speaker"), first(F.when(headed, role)).alias("listed_as"),
+        F.max("layout").alias("layout"), first(F.col("section")).alias("section"), first(F.when(headed, strong).otherwise(F.trim(label))).alias("speaker"), first(F.when(headed, role)).alias("listed_as"),
         F.array_join(F.transform(F.array_sort(F.collect_list("_said")), lambda s: s["s"]), " ").alias("text"),
+        F.first("_top", ignorenulls=True).alias("top"), F.array_sort(F.collect_list("_person")).alias("people"),
     )
 
 
-def listed_people(rows: DataFrame, call: str = "url") -> DataFrame:
-    """(call, pos, name, role) of blocks in the list of participants: after the last spaced dash the name, the role before."""
-    parts = F.split("tight", SEPARATOR)
-    found = rows.filter("listed").withColumn("_p", parts).filter(F.size("_p") >= 2)
-    return found.select(call, "pos", F.element_at("_p", -1).alias("name"), F.array_join(F.slice("_p", F.lit(1), F.size("_p") - 1), " ").alias("role"))
-
-
-def speaker_turns(parsed: DataFrame, call: str = "url") -> DataFrame:
-    """All turns with text of parsed pages: parsed's own columns, call_date, call_time_et, layout and section, speaker, speaker_type, role, text, turn.
+def speaker_turns(blocks: DataFrame, call: str = "url") -> DataFrame:
+    """All turns with text of pages.read_blocks: the page's own columns, call_date, call_time_et, layout and section, speaker, speaker_type, role, text, turn.
 
-    parsed has one row per call and a column `parsed`. Pages with headings keep their sections, unless all are prepared.
+    Pages with headings keep their sections, unless all are prepared. Blocks are read once and shuffled once, by call:
+    what calls, participants and turns tell each other goes by windows over a call.
     """
-    own = [c for c in parsed.columns if c not in ("parsed", "html", "call_date", "call_time_et")]
-    rows = parsed.select(F.col(call), "parsed.layout", F.posexplode("parsed.blocks").alias("pos", "b")).select(call, "layout", "pos", "b.*")
-    calls = parsed.filter("parsed.error is null").select(*own, "parsed.call_date", "parsed.call_time_et", "parsed.layout")
-    flat = raw_turns(rows, call).join(calls, call)
-    current = lookup_roles(flat.filter("layout = 'current'"), listed_people(rows, call), call)
+    own = [c for c in blocks.columns if c not in (call, "head", "pos", "block", "call_date", "call_time_et")]
+    by = Window.partitionBy(call)
+    x = raw_turns(blocks, call).withColumn("_key", T.name_key(F.col("speaker")))
+    x = x.withColumns({"top": F.first("top", ignorenulls=True).over(by), "people": F.first(F.when(F.col("turn") < 0, F.col("people")), ignorenulls=True).over(by)}).filter("turn >= 0")
+    x = x.withColumns(call_columns(F.col("top.head"), F.col("layout"))).filter("error is null").drop("error")
+    current = F.col("layout") == "current"
     operator = F.lower("speaker").startswith("operator")
-    current = current.withColumn("role", F.coalesce("listed_role", F.when(operator, "Operator").otherwise("Analyst"))).drop("listed_role")
-    current = split_qna(unlisted_management(current.drop("section"), call), call)
-    legacy = flat.filter("layout = 'legacy'").withColumn("role", F.col("listed_as"))
-    legacy = legacy.withColumn("_all", F.min((F.col("section") == "prepared")).over(Window.partitionBy(call)))
-    kept, again = legacy.filter(~F.col("_all")), split_qna(legacy.filter("_all").drop("section"), call)
-    out = current.unionByName(kept.drop("_all")).unionByName(again.drop("_all")).filter("text <> ''")
-    return out.withColumn("speaker_type", T.speaker_type(F.col("speaker"), F.col("role"))).drop("listed_as")
+    found = F.coalesce(role_among(F.col("people"), F.col("_key")), F.when(operator, "Operator").otherwise("Analyst"))
+    x = x.withColumn("role", F.when(current, found).otherwise(F.col("listed_as"))).select(call, "turn", "layout", "section", "speaker", "role", "text", "call_date", "call_time_et", *(F.col("top")[c].alias(c) for c in own))
+    x = unlisted_management(x.withColumn("_role", F.col("role")), call).withColumn("role", F.when(current, F.col("role")).otherwise(F.col("_role")))
+    again = current | F.min(F.col("section") == "prepared").over(by)
+    x = split_qna(x.withColumns({"_again": again, "_section": F.col("section"), "_role": F.col("role")}), call)
+    x = x.withColumns({"section": F.when(F.col("_again"), F.col("section")).otherwise(F.col("_section")), "role": F.when(F.col("_again"), F.col("role")).otherwise(F.col("_role"))})
+    return x.drop("_again", "_section", "_role").filter("text <> ''").withColumn("speaker_type", T.speaker_type(F.col("speaker"), F.col("role")))
 
 
 def parse_stats(records: DataFrame, turns: DataFrame, call: str = "url", min_words: int = 500) -> DataFrame:

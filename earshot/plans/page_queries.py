@@ -206,8 +206,8 @@ UNION ALL SELECT id, day, '08:00', unnest([
   {{turn: 3, section: 'qna', speaker: 'Erik Nord', speaker_type: 'executive', role: 'Head of Sales', text: 'As planned. No name. At all: so.'}}], recursive := true) FROM p WHERE id % 2 = 1)""")
 def html_extract(spark, d):
     html = F.when(F.col("page_id") % 2 == 0, dated(HEADED)).otherwise(dated(LISTED))
-    p = pages.with_parsed(A.table(spark, d, "pages").select("page_id", html.alias("html")))
-    return U.speaker_turns(p, "page_id").select("page_id", "turn", "section", "speaker", "speaker_type", "role", "text", "call_date", "call_time_et")
+    blocks = pages.read_blocks(A.table(spark, d, "pages").select("page_id", html.alias("html")), "page_id")
+    return U.speaker_turns(blocks, "page_id").select("page_id", "turn", "section", "speaker", "speaker_type", "role", "text", "call_date", "call_time_et")
 
 
 @query(f"""SELECT page_id, CASE WHEN page_id % 7 IN (1, 5) THEN NULL ELSE 'ValueError' END AS error, CASE page_id % 7 WHEN 1 THEN 'legacy' WHEN 5 THEN 'current' END AS layout,
@@ -219,8 +219,8 @@ def html_robustness(spark, d):
         F.when(k == 0, F.col("html")).when(k == 1, dated(HEADED)).when(k == 3, day("Feb. 29, 2021")).when(k == 4, day("Mai 3, 2021"))
         .when(k == 5, F.replace(F.lit(LISTED), F.lit("{date}"), F.lit("a day in June"))).when(k == 6, "<div class='article-body'><h2>Remarks</h2><p>x</p></div>")
     )
-    p = pages.with_parsed(A.table(spark, d, "pages").select("page_id", html.alias("html")))
-    return p.select("page_id", "parsed.error", "parsed.layout", "parsed.call_date", F.coalesce(F.size("parsed.blocks"), F.lit(0)).alias("blocks"))
+    blocks = pages.read_blocks(A.table(spark, d, "pages").select("page_id", html.alias("html")), "page_id")
+    return pages.page_records(blocks, "page_id").select("page_id", "error", "layout", "call_date", "blocks")
 
 
 @query(f"""WITH {INDEX_SQL}, l AS (SELECT url, arg_max(status, seq) AS status FROM idx GROUP BY 1) SELECT c_custkey, url, CASE WHEN c_nationkey IN (3, 7) THEN 'ok' ELSE 'skipped' END AS status FROM

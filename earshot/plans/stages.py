@@ -16,7 +16,7 @@ from earshot.sources import crawl, pages, tables
 from earshot.sources.lexicon import load_lexicon, read_dictionary
 from earshot.streaming import incremental
 
-_INDEX, _PAGES, _TURNS, _STATS = "raw/index", "raw", "interim/turns", "interim/parse_stats"
+_INDEX, _PAGES, _BLOCKS, _TURNS, _STATS = "raw/index", "raw", "interim/blocks", "interim/turns", "interim/parse_stats"
 _SENTENCES, _SPLITS, _MODEL, _SCORED, _CALLS = "processed/sentences", "processed/splits", "models/scorer", "processed/scored", "processed/calls"
 
 
@@ -78,13 +78,13 @@ def parse(spark: SparkSession, cfg: Config) -> DataFrame:
     raw = f"{cfg.data}/{_PAGES}"
     if tables.exists(spark, f"{raw}/bodies"):
         files = spark.read.parquet(f"{raw}/bodies").groupBy("file").agg(F.max_by("body", "read").cast("string").alias("html"))
-        parsed = pages.with_parsed(records.join(files, "file", "left"))
     else:
-        files = pages.read_gzip_pages(spark, f"{raw}/pages").withColumn("file", F.concat(F.lit("pages/"), F.regexp_extract("path", r"pages/(.*)$", 1)))
-        parsed = pages.with_parsed(records.join(files.drop("path"), "file", "left"))
-    parsed = parsed.select("url", "ticker", "company", "fiscal_quarter", "published", F.col("first_seq").alias("seq"), "parsed").cache()
-    said = turns.speaker_turns(parsed, "url")
-    stats = turns.parse_stats(parsed.select("url", "ticker", "published", "seq", "parsed.call_date", "parsed.error"), said, "url", cfg.parse.min_section_words)
+        files = pages.read_gzip_pages(spark, f"{raw}/pages").withColumn("file", F.concat(F.lit("pages/"), F.regexp_extract("path", r"pages/(.*)$", 1))).drop("path")
+    found = records.join(files, "file", "left").select("url", "ticker", "company", "fiscal_quarter", "published", F.col("first_seq").alias("seq"), "html")
+    pages.read_blocks(found).write.mode("overwrite").parquet(f"{cfg.data}/{_BLOCKS}")  # read twice below, but Python reads pages once
+    blocks = spark.read.parquet(f"{cfg.data}/{_BLOCKS}")
+    said = turns.speaker_turns(blocks, "url")
+    stats = turns.parse_stats(pages.page_records(blocks).select("url", "ticker", "published", "seq", "call_date", "error"), said, "url", cfg.parse.min_section_words)
     stats = turns.first_published(stats)
     stats.write.mode("overwrite").parquet(f"{cfg.data}/{_STATS}")
     kept = spark.read.parquet(f"{cfg.data}/{_STATS}").filter("ok").select("url")

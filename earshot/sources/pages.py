@@ -8,8 +8,10 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 # Patterns and names in transcript pages.
 BODY_ID, BODY_CLASS = "article-body-transcript", "article-body"
@@ -27,7 +29,11 @@ _BLOCKS = frozenset("address article aside blockquote div dl fieldset footer for
 #: A heading, paragraph or list item of the article in page order: its id, its text with a space between elements and
 #: without, its first strong and em text, and whether it stands in the list of participants.
 BLOCK = "struct<kind: string, id: string, text: string, tight: string, strong: string, em: string, listed: boolean>"
-READ = f"struct<error: string, stamps: array<string>, blocks: array<{BLOCK}>>"
+#: What a page's first row has beside the page's own columns.
+HEAD = "struct<error: string, stamps: array<string>>"
+_BLOCK_FIELDS = ("kind", "id", "text", "tight", "strong", "em", "listed")
+#: Pages whose rows make a batch.
+PAGES = 128
 
 
 def clean(text: str) -> str:
@@ -163,23 +169,79 @@ def blocks(body: Node) -> Iterator[dict]:
             }
 
 
-def read_page(source: str | bytes | None) -> dict:
-    """READ of one page, packed by gzip or not. Raises ValueError if there is none or it has no article."""
+def read_page(source: str | bytes | None) -> tuple[list[str], list[dict]]:
+    """Stamps and blocks of one page, packed by gzip or not. Raises ValueError if there is none or it has no article."""
     if isinstance(source, (bytes, bytearray)):
         source = gzip.decompress(source).decode()
     if source is None:
         raise ValueError("no page")
     page = tree(source)
-    return {"error": None, "stamps": stamps(page), "blocks": list(blocks(article_body(page)))}
+    return stamps(page), list(blocks(article_body(page)))
 
 
-def _parsed(read: Column) -> Column:
-    """error, layout, call_date, call_time_et and blocks of what was read.
+def read_blocks(pages: DataFrame, call: str = "url", html_col: str = "html") -> DataFrame:
+    """Each page, one for each value of `call`, as rows: one at pos -1 with the page's other columns and `head`, then one
+    for each block, with call, pos and `block`; the rest is null in them.
+
+    Python reads a page here once, and what follows are windows and groups by call. Pages that can't be read have an
+    error in head and no blocks. Gzipped bytes are unpacked.
+    """
+    own = [c for c in pages.columns if c not in (call, html_col)]
+    slim = pages.select(F.col(call).alias("call"), F.col(html_col).alias("html"), *(F.col(c).alias(f"own{i}") for i, c in enumerate(own)))
+    types = dict(slim.dtypes)
+    schema = ", ".join([f"call {types['call']}", f"head {HEAD}", "pos int", f"block {BLOCK}", *(f"own{i} {types[f'own{i}']}" for i in range(len(own)))])
+    text = pa.string()
+    block_type = pa.struct([(f, pa.bool_() if f == "listed" else text) for f in _BLOCK_FIELDS])
+    head_type = pa.struct([("error", text), ("stamps", pa.list_(text))])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, PAGES):
+                part = batch.slice(at, PAGES)
+                page, head, pos, found = [], [], [], []
+                for i, source in enumerate(part.column(1).to_pylist()):
+                    try:
+                        (when, rows), error = read_page(source), None
+                    except (ValueError, OSError, AttributeError, EOFError) as e:
+                        when, rows, error = [], [], type(e).__name__
+                    page += [i] * (1 + len(rows))
+                    head += [{"error": error, "stamps": when}, *[None] * len(rows)]
+                    pos += range(-1, len(rows))
+                    found += [None, *rows]
+                first = pa.array([i if k < 0 else None for i, k in zip(page, pos)], pa.int32())
+                columns = [part.column(0).take(pa.array(page, pa.int32())), pa.array(head, head_type), pa.array(pos, pa.int32()), pa.array(found, block_type)]
+                yield pa.RecordBatch.from_arrays([*columns, *(c.take(first) for c in part.columns[2:])], ["call", "head", "pos", "block", *part.schema.names[2:]])
+
+    out = slim.mapInArrow(read, schema)
+    return out.select(F.col("call").alias(call), "head", "pos", "block", *(F.col(f"own{i}").alias(c) for i, c in enumerate(own)))
+
+
+def _title() -> Column:
+    return F.when(F.col("block.kind") == "h2", F.lower("block.tight"))
+
+
+#: Whether a row of read_blocks is a heading of the one layout or the other.
+def _headed() -> Column:
+    return F.coalesce(_title().startswith("prepared remarks"), F.lit(False))
+
+
+def _titled() -> Column:
+    return F.coalesce((F.col("block.kind") == "h2") & (F.col("block.id") == TRANSCRIPT_ID), F.lit(False))
+
+
+def with_layout(blocks: DataFrame, call: str = "url") -> DataFrame:
+    """blocks with the layout of their page: legacy with a heading of prepared remarks, current with one of the transcript only, else null."""
+    by = Window.partitionBy(call)
+    return blocks.withColumn("layout", F.when(F.max(_headed()).over(by), "legacy").when(F.max(_titled()).over(by), "current"))
+
+
+def call_columns(head: Column, layout: Column) -> dict[str, Column]:
+    """error, layout, call_date and call_time_et of a page by its head and the layout that its headings show.
 
     The first stamp with a date counts. A date that isn't one, as of an unknown month or a 31st of February, makes the
     page unreadable (ValueError), as does a page without the headings of either layout. Without a date both are null.
     """
-    stamp = F.try_element_at(F.filter(read["stamps"], lambda s: s.rlike(DATE)), F.lit(1))
+    stamp = F.try_element_at(F.filter(head["stamps"], lambda s: s.rlike(DATE)), F.lit(1))
     month = F.array_position(F.array(*map(F.lit, MONTHS)), F.substring(F.regexp_extract(stamp, DATE, 1), 1, 3)).cast("int")
     day, year = F.regexp_extract(stamp, DATE, 2).try_cast("int"), F.regexp_extract(stamp, DATE, 3).try_cast("int")
     first = F.when((month > 0) & year.between(FIRST_YEAR, LAST_YEAR), F.make_date(year, month, F.lit(1)))
@@ -187,35 +249,23 @@ def _parsed(read: Column) -> Column:
     hour = F.pmod(F.regexp_extract(stamp, TIME, 1).try_cast("int"), F.lit(12)) + F.when(F.lower(F.regexp_extract(stamp, TIME, 3)) == "p", 12).otherwise(0)
     minute = F.regexp_extract(stamp, TIME, 2)
     clock = F.when(stamp.rlike(TIME), F.concat(F.lpad(hour.cast("string"), 2, "0"), F.lit(":"), F.when(minute == "", "00").otherwise(minute)))
-    heading = lambda test: F.exists(read["blocks"], lambda b: (b["kind"] == "h2") & test(b))
-    headed = heading(lambda b: F.lower(b["tight"]).startswith("prepared remarks"))
-    whole = headed | heading(lambda b: F.coalesce(b["id"] == TRANSCRIPT_ID, F.lit(False)))
-    error = F.coalesce(read["error"], F.when(~whole | (stamp.isNotNull() & date.isNull()), F.lit("ValueError")))
+    error = F.coalesce(head["error"], F.when(layout.isNull() | (stamp.isNotNull() & date.isNull()), F.lit("ValueError")))
     good = lambda c: F.when(error.isNull(), c)
-    return F.struct(
-        error.alias("error"), good(F.when(headed, "legacy").otherwise("current")).alias("layout"), good(date).alias("call_date"), good(F.when(date.isNotNull(), clock)).alias("call_time_et"),
-        good(read["blocks"]).alias("blocks"),
-    )
+    return {"error": error, "layout": good(layout), "call_date": good(date), "call_time_et": good(F.when(date.isNotNull(), clock))}
 
 
-def with_parsed(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """pages with `parsed`; pages that can't be read have an error and no blocks. Gzipped bytes are unpacked."""
-
-    @F.pandas_udf(READ)
-    def read(html: pd.Series) -> pd.DataFrame:
-        rows = []
-        for h in html:
-            try:
-                rows.append(read_page(h))
-            except (ValueError, OSError, AttributeError, EOFError) as e:
-                rows.append({"error": type(e).__name__, "stamps": [], "blocks": []})
-        return pd.DataFrame(rows, columns=["error", "stamps", "blocks"])
-
-    return pages.withColumn("_read", read(html_col)).withColumn("parsed", _parsed(F.col("_read"))).drop("_read")
+def page_records(blocks: DataFrame, call: str = "url") -> DataFrame:
+    """A row for each page of read_blocks: its own columns, call_columns and the number of its blocks (0 if unreadable)."""
+    own = [c for c in blocks.columns if c not in (call, "head", "pos", "block")]
+    top = F.first(F.when(F.col("pos") < 0, F.struct("head", *own)), ignorenulls=True)
+    per = blocks.groupBy(call).agg(top.alias("_top"), F.max(_headed()).alias("_headed"), F.max(_titled()).alias("_titled"), F.count("block").alias("_n"))
+    found = call_columns(F.col("_top.head"), F.when(F.col("_headed"), "legacy").when(F.col("_titled"), "current"))
+    out = per.select(call, *(F.col("_top")[c].alias(c) for c in own), *(c.alias(k) for k, c in found.items()), "_n")
+    return out.withColumn("blocks", F.when(F.col("error").isNull(), F.col("_n")).otherwise(0)).drop("_n")
 
 
 def read_gzip_pages(spark: SparkSession, path: str) -> DataFrame:
-    """(path, html) of gzipped page files, as bytes; with_parsed unpacks them."""
+    """(path, html) of gzipped page files, as bytes; read_blocks unpacks them."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.col("content").alias("html"))
 
 

@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from earshot.functions import text as T
 from earshot.operators import turns as U
 from earshot.sources import crawl, pages
 
@@ -20,7 +21,7 @@ def headed(body: str) -> str:
 
 def turns(spark, source: str | None):
     df = spark.createDataFrame([(source,)], "html string").withColumn("url", F.lit("u"))
-    return U.speaker_turns(pages.with_parsed(df)).orderBy("turn").collect()
+    return U.speaker_turns(pages.read_blocks(df)).orderBy("turn").collect()
 
 
 def test_people_of_a_list(spark):
@@ -61,8 +62,8 @@ def test_unreadable_pages(spark, tmp_path):
     for name, data in files.items():
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / f"{name}.html.gz").write_bytes(data)
-    got = pages.with_parsed(pages.read_gzip_pages(spark, str(tmp_path))).select(F.regexp_extract("path", r"(\w/\w+)\.html", 1).alias("f"), "parsed.error", F.size("parsed.blocks").alias("n")).collect()
-    assert {r["f"]: (r["error"], r["n"]) for r in got} == {"a/ok": (None, 8), "a/plain": ("BadGzipFile", None), "b/cut": ("EOFError", None), "b/none": ("ValueError", None), "b/no_words": ("ValueError", None)}
+    got = pages.page_records(pages.read_blocks(pages.read_gzip_pages(spark, str(tmp_path)), "path"), "path").select(F.regexp_extract("path", r"(\w/\w+)\.html", 1).alias("f"), "error", F.col("blocks").alias("n")).collect()
+    assert {r["f"]: (r["error"], r["n"]) for r in got} == {"a/ok": (None, 8), "a/plain": ("BadGzipFile", 0), "b/cut": ("EOFError", 0), "b/none": ("ValueError", 0), "b/no_words": ("ValueError", 0)}
 
 
 @pytest.mark.parametrize("date, want", [
@@ -72,8 +73,8 @@ def test_unreadable_pages(spark, tmp_path):
     ("<span id=date>Feb 29, 2023</span>", "ValueError"), ("<span id=date>Juin 3, 2023</span>", "ValueError"), ("<span id=date>Jun 0, 2023</span>", "ValueError"), ("<span id=date>Jun 31, 2023</span>", "ValueError"),
 ])
 def test_day_and_time(spark, date, want):
-    df = spark.createDataFrame([(listed(("Runa", "Yes."), date=date),)], "html string")
-    r = pages.with_parsed(df).select("parsed.*").first()
+    df = spark.createDataFrame([("u", listed(("Runa", "Yes."), date=date))], "url string, html string")
+    r = pages.page_records(pages.read_blocks(df)).first()
     assert (r["error"] if r["error"] else (r["call_date"], r["call_time_et"])) == want
 
 
@@ -93,8 +94,23 @@ def test_roles_by_search(spark):
     people = [(name(), f"role {i}") for i in range(9)]
     said = sorted({name() for _ in range(60)} | {"Nobody", "Fox"})
     df = spark.createDataFrame([("c", i, n, r) for i, (n, r) in enumerate(people)], "call string, pos int, name string, role string")
-    got = {r["speaker"]: r["listed_role"] for r in U.lookup_roles(spark.createDataFrame([("c", n) for n in said], "call string, speaker string"), df).collect()}
+    asked = spark.createDataFrame([("c", n) for n in said], "call string, speaker string")
+    got = {r["speaker"]: r["listed_role"] for r in U.lookup_roles(asked, df).collect()}
     assert got == {n: slow_role(people, n) for n in said}
+    listed_ = asked.withColumns({"key": T.name_key(F.col("speaker")), "people": F.array(*(F.struct(T.name_key(F.lit(n)).alias("key"), F.lit(r).alias("role")) for n, r in people))})
+    assert {r["speaker"]: r["role"] for r in listed_.select("speaker", U.role_among(F.col("people"), F.col("key")).alias("role")).collect()} == got
+
+
+def test_pages_are_read_once_and_keep_their_own_columns(spark):
+    """Many pages at once, their columns named like the reader's; one Python node and one shuffle in the plan."""
+    rows = [(i, listed(("Runa", f"Yes {i}."), ("Operator", "The next question."), ("Tor", "No.")) if i % 3 else None, f"k{i}", i, "x") for i in range(300)]
+    df = spark.createDataFrame(rows, "no long, html string, kind string, turn_no long, own0 string")
+    out = U.speaker_turns(pages.read_blocks(df, "no"), "no")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    got = {(r["no"], r["turn"]): (r["speaker"], r["text"], r["kind"], r["turn_no"], r["own0"]) for r in out.collect()}
+    assert len(got) == 600 and all(got[i, 0] == ("Runa", f"Yes {i}.", f"k{i}", i, "x") for i in range(300) if i % 3)
+    assert U.speaker_turns(pages.read_blocks(df.limit(0), "no"), "no").count() == 0
 
 
 def slow_split(rows: list[tuple]) -> str:
