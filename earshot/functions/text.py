@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from earshot.functions.phrases import layers, mask_phrases, reaches, trie_pattern, weighted_count
+
 # Patterns and word lists that decide results.
 SENTENCE_BREAK = r"""(?U)(?<=[.!?])\s+(?=[A-Z"'(\[$0-9])"""
 BRACKETED = r"\[[^\]]*\]"
@@ -115,11 +117,6 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("([a-z']+)"))
 
 
-def phrase_count(text: Column, phrase: str) -> Column:
-    """How often phrase occurs in text without overlap, inside words too."""
-    return ((F.length(text) - F.length(F.replace(text, F.lit(phrase), F.lit("")))) / F.lit(len(phrase))).cast("double")
-
-
 def _total(parts: list[Column]) -> Column:
     out = F.lit(0.0)
     for p in parts:
@@ -137,17 +134,25 @@ def _hits(lower: Column, among) -> Column:
     return F.size(F.filter(words(lower), lambda t: t.isin(among))).cast("double")
 
 
+def _weights(*lists: tuple[tuple[str, ...], float]) -> dict[str, float]:
+    out: dict[str, float] = {}
+    for phrases, weight in lists:
+        for p in phrases:
+            out[p] = out.get(p, 0.0) + weight
+    return out
+
+
 def certainty(sentence: Column, lexicon: Lexicon = Lexicon()) -> Column:
     s = F.lower(sentence)
     plain = _hits(s, set(lexicon.strong) - set(lexicon.strong_weights))
     weighted = [_hits(s, [w]) * x for w, x in sorted(lexicon.strong_weights.items()) if w in lexicon.strong]
-    return _total([plain, *weighted, *(phrase_count(s, p) for p in lexicon.certainty_phrases)])
+    return _total([plain, *weighted, weighted_count(s, _weights((lexicon.certainty_phrases, 1.0)))])
 
 
 def hedging(sentence: Column, lexicon: Lexicon = Lexicon()) -> Column:
     s = F.lower(sentence)
     tokens = _hits(s, {*lexicon.weak, *lexicon.uncertainty}) + _hits(s, lexicon.moderate) * lexicon.moderate_weight
-    return _total([tokens, *(phrase_count(s, p) for p in lexicon.hedge_phrases), *(phrase_count(s, p) * lexicon.soft_weight for p in lexicon.soft_phrases)])
+    return _total([tokens, weighted_count(s, _weights((lexicon.hedge_phrases, 1.0), (lexicon.soft_phrases, lexicon.soft_weight)))])
 
 
 def weak_label(certain: Column, hedged: Column) -> Column:
@@ -155,32 +160,19 @@ def weak_label(certain: Column, hedged: Column) -> Column:
     return F.when((certain == 0) & (hedged == 0), "neutral").when(certain - hedged >= 1, "high").when(certain - hedged <= -1, "low")
 
 
-def _together(phrases: list[str]) -> list[list[str]]:
-    """phrases, in the order in which they are replaced, in groups that one pattern replaces just as one after another.
-
-    A pattern takes what begins first. So a phrase starts a new group if it can begin before one of the group and reach
-    into it, that is, if an end of it is a beginning of that one.
-    """
-    groups: list[list[str]] = []
-    for p in phrases:
-        if groups and not any(q.startswith(p[-k:]) for q in groups[-1] for k in range(1, len(p))):
-            groups[-1].append(p)
-        else:
-            groups.append([p])
-    return groups
-
-
 def mask_cues(sentence: Column, token: str, lexicon: Lexicon = Lexicon()) -> Column:
     """sentence with every cue phrase, longest first, and then every cue word replaced by token."""
     mask = re.sub(r"([\\$])", r"\\\1", token)
-    out = sentence
-    phrases = sorted([*lexicon.certainty_phrases, *lexicon.hedge_phrases, *lexicon.soft_phrases], key=len, reverse=True)
-    t = token.lower()
-    alone = not any(p in t or t in p or any(p.startswith(t[-k:]) or t.startswith(p[-k:]) for k in range(1, min(len(p), len(t)))) for p in phrases)  # no phrase reaches into a mask
-    for group in _together(phrases) if alone else [[p] for p in phrases]:
-        out = F.regexp_replace(out, "(?i)(?:" + "|".join(map(re.escape, group)) + ")", mask)
+    phrases = [*lexicon.certainty_phrases, *lexicon.hedge_phrases, *lexicon.soft_phrases]
+    if reaches(phrases, token):
+        out = sentence
+        for p in sorted(phrases, key=len, reverse=True):
+            out = F.regexp_replace(out, f"(?i){re.escape(p)}", mask)
+    else:
+        out = mask_phrases(sentence, phrases, token)
     if lexicon.cue_words():
-        out = F.regexp_replace(out, "(?i)(?<![A-Za-z'])(?:" + "|".join(map(re.escape, lexicon.cue_words())) + ")(?![A-Za-z'])", mask)
+        words = "|".join(trie_pattern(layer) for layer in layers(lexicon.cue_words()))
+        out = F.regexp_replace(out, f"(?i)(?<![A-Za-z'])(?:{words})(?![A-Za-z'])", mask)
     return out
 
 

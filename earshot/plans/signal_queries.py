@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from earshot.functions import text as T
+from earshot.functions.phrases import mask_phrases, weighted_count
 from earshot.operators import report, scoring, sentences, signals
 from earshot.plans import analogues as A
 
@@ -199,6 +200,24 @@ def mask_cues(spark, d):
     return sents(spark, d).select("doc_id", "pos", F.md5(T.mask_cues(F.col("sentence"), "[MASK]", _L)).alias("masked_md5"))
 
 
+#: Word pairs of the benchmark that many_phrases counts and masks: the most frequent ones, a list like a dictionary's.
+PAIRS = 1000
+
+
+@query(f"""WITH {SENT_SQL}, w AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z'']+') AS t FROM benchmark),
+p AS (SELECT pair FROM (SELECT unnest([t[i] || ' ' || t[i + 1] FOR i IN range(1, len(t))]) AS pair FROM w) GROUP BY pair ORDER BY count(*) DESC, pair LIMIT {PAIRS}),
+g AS (SELECT list(pair ORDER BY length(pair) DESC, pair) AS pairs FROM p)
+SELECT doc_id, pos::INT AS pos, list_sum([(length(lower(sentence)) - length(replace(lower(sentence), p, ''))) // length(p) FOR p IN pairs])::DOUBLE AS hits,
+  md5(list_reduce(pairs, lambda s, p: replace(s, p, '[#]'), lower(sentence))) AS masked_md5 FROM sents, g""")
+def many_phrases(spark, d):
+    """A thousand phrases counted and masked in each sentence, in a pass each."""
+    words = A.table(spark, d, "benchmark").select(T.words(F.col("text")).alias("w"))
+    pairs = words.select(F.explode(F.zip_with(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, 1 << 30), lambda a, b: F.concat(a, F.lit(" "), b))).alias("pair"))
+    chosen = sorted(r["pair"] for r in pairs.groupBy("pair").count().orderBy(F.desc("count"), "pair").limit(PAIRS).collect())
+    s = F.lower("sentence")
+    return sents(spark, d).select("doc_id", "pos", weighted_count(s, dict.fromkeys(chosen, 1.0)).alias("hits"), F.md5(mask_phrases(s, chosen, "[#]")).alias("masked_md5"))
+
+
 @query("""WITH h AS (SELECT o_orderkey, md5(o_orderkey::VARCHAR) AS m FROM orders), f AS (SELECT o_orderkey, (((((('0x' || substr(m, 1, 8))::BIGINT % 100) * 96 + ('0x' || substr(m, 9, 8))::BIGINT) % 100 * 96 + ('0x' || substr(m, 17, 8))::BIGINT) % 100) * 96 + ('0x' || substr(m, 25, 8))::BIGINT) % 100 AS p FROM h)
 SELECT o_orderkey AS call_id, CASE WHEN p < 70 THEN 'train' WHEN p < 85 THEN 'val' ELSE 'test' END AS split FROM f""")
 def hash_split(spark, d):
