@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from earshot.functions.statistics import spearman_p, t_test_p
+from earshot.functions.statistics import spearman_p_value, t_p_value
 from earshot.operators.prices import asof_forward, is_premarket, with_bars
 from earshot.operators.ranks import average_ranks, quantiles
 
@@ -82,20 +82,21 @@ def monthly_spread(events: DataFrame, column: str, long: Column, short: Column,
 
 
 def clustered_spread(events: DataFrame, column: str, long: Column, short: Column, by: list[str] = [], least: int = 3) -> DataFrame:  # noqa: B006
-    """(by, months, spread, t_stat): mean monthly spread and its t; null below `least` months."""
+    """(by, months, spread, t_stat, p_value): mean monthly spread, its t and two-sided p; null below `least` months."""
     m = monthly_spread(events, column, long, short, by)
     enough = F.count("*") >= least
     sd = F.stddev_samp("spread")
-    return m.groupBy(*by).agg(F.count("*").alias("months"), F.when(enough, F.avg("spread")).alias("spread"), F.when(enough & (sd > 0), F.avg("spread") / (sd / F.sqrt(F.count("*").cast("double")))).alias("t_stat"))
+    out = m.groupBy(*by).agg(F.count("*").alias("months"), F.when(enough, F.avg("spread")).alias("spread"), F.when(enough & (sd > 0), F.avg("spread") / (sd / F.sqrt(F.count("*").cast("double")))).alias("t_stat"))
+    return out.withColumn("p_value", t_p_value(F.col("t_stat"), F.col("months") - 1))
 
 
 def rank_ic(events: DataFrame, column: str, features: tuple[str, ...] = FEATURES, least: int = 10) -> DataFrame:
-    """(feature, n, spearman) for features with at least `least` values; all features in one pass over the events."""
+    """(feature, n, spearman, p_value) for features with at least `least` values; all features in one pass over the events."""
     pairs = F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("_x"), F.col(column).alias("_y")) for f in features))
     d = events.select(F.inline(pairs)).dropna()
 
     ranked = d.join(average_ranks(d, "_x", "_rx", ["feature"]), ["feature", "_x"]).join(average_ranks(d, "_y", "_ry", ["feature"]), ["feature", "_y"])
-    return ranked.groupBy("feature").agg(F.count("*").alias("n"), F.corr("_rx", "_ry").alias("spearman")).filter(F.col("n") >= least)
+    return ranked.groupBy("feature").agg(F.count("*").alias("n"), F.corr("_rx", "_ry").alias("spearman")).filter(F.col("n") >= least).withColumn("p_value", spearman_p_value(F.col("spearman"), F.col("n")))
 
 
 def summarize(events: DataFrame, horizons: tuple[int, ...] = HORIZONS, winsorize: float = 0.01, least: int = 30) -> dict:
@@ -105,13 +106,14 @@ def summarize(events: DataFrame, horizons: tuple[int, ...] = HORIZONS, winsorize
     for f in ("confidence", "gap"):
         events = with_quintiles(events, f)
 
+    rounded = lambda x, k: None if x is None else round(x, k)
+
     def spread(df: DataFrame, c: str, long: Column, short: Column) -> dict:
         r = clustered_spread(df, c, long, short).first()
         if r is None or r["spread"] is None:
             return {"spread": None, "t_stat": None, "p_value": None, "months": r["months"] if r else 0}
-        return {"spread": round(r["spread"], 5), "t_stat": None if r["t_stat"] is None else round(r["t_stat"], 3), "p_value": None if r["t_stat"] is None else round(t_test_p(r["t_stat"], r["months"] - 1), 4), "months": r["months"]}
+        return {"spread": round(r["spread"], 5), "t_stat": None if r["t_stat"] is None else round(r["t_stat"], 3), "p_value": rounded(r["p_value"], 4), "months": r["months"]}
 
-    rounded = lambda x, k: None if x is None else round(x, k)
     for h in horizons:
         c = f"excess_{h}d"
         if events.filter(F.col(c).isNotNull()).count() < least:
@@ -123,7 +125,7 @@ def summarize(events: DataFrame, horizons: tuple[int, ...] = HORIZONS, winsorize
         for f in ("confidence", "gap"):
             means = {r["quintile"]: rounded(r["mean"], 5) for r in quintile_means(d, c, f).orderBy("quintile").collect()}
             res[f"quintiles_{f}"] = {"mean_by_quintile": means, "q5_minus_q1": spread(d, c, F.col(f"q_{f}") == 5, F.col(f"q_{f}") == 1)}
-        res["rank_ic"] = {r["feature"]: {"spearman": rounded(r["spearman"], 4), "p_value": rounded(spearman_p(r["spearman"], r["n"]), 4)} for r in rank_ic(d, c).collect() if r["spearman"] is not None}
+        res["rank_ic"] = {r["feature"]: {"spearman": rounded(r["spearman"], 4), "p_value": rounded(r["p_value"], 4)} for r in rank_ic(d, c).collect() if r["spearman"] is not None}
         years = {r["year"]: {"n": r["n"]} for r in d.groupBy("year").agg(F.count("*").alias("n")).orderBy("year").collect()}
         for name, long, short in (("buy_minus_sell", buy, sell), ("confidence_q5_minus_q1", F.col("q_confidence") == 5, F.col("q_confidence") == 1)):
             got = {r["year"]: r["spread"] for r in clustered_spread(d, c, long, short, ["year"]).collect()}

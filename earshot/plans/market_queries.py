@@ -100,9 +100,20 @@ def quintile_means(spark, d):
 SPREAD_SQL = "m AS (SELECT {by} month, avg(excess_5d) FILTER (signal = 'BUY') - avg(excess_5d) FILTER (signal = 'SELL') AS spread FROM wins GROUP BY ALL), k AS (SELECT * FROM m WHERE spread IS NOT NULL)"
 
 
-@query(f"WITH {WINSOR_SQL}, {SPREAD_SQL.format(by='')} SELECT count(*) AS months, round(CASE WHEN count(*) >= 3 THEN avg(spread) END, 6) AS spread, round(CASE WHEN count(*) >= 3 THEN avg(spread) / (stddev_samp(spread) / sqrt(count(*))) END, 6) AS t_stat FROM k")
+#: Two-sided p-values of t(id, t, df) as p(id, p_value): the finite sums for whole degrees of freedom, whose terms a recursion makes.
+P_SQL = """q AS (SELECT id, df, atan(abs(t) / sqrt(df)) AS angle, df / (df + t * t) AS c2 FROM t WHERE df > 0),
+terms AS (
+  SELECT id, df, angle, c2, (2 - df % 2)::BIGINT AS j, CASE WHEN df % 2 = 0 THEN 1 ELSE sqrt(c2) END AS term, CASE WHEN df % 2 = 0 THEN 1 ELSE sqrt(c2) END AS total FROM q
+  UNION ALL SELECT id, df, angle, c2, j + 2, term * c2 * (CASE WHEN df % 2 = 0 THEN (j - 1)::DOUBLE / j ELSE (j + 1)::DOUBLE / (j + 2) END), total + term * c2 * (CASE WHEN df % 2 = 0 THEN (j - 1)::DOUBLE / j ELSE (j + 1)::DOUBLE / (j + 2) END)
+  FROM terms WHERE j + 2 <= df - 2 * (df % 2) AND term > 1e-18),
+p AS (SELECT id, 1 - CASE WHEN df % 2 = 0 THEN sin(any_value(angle)) * max(total) WHEN df = 1 THEN any_value(angle) * 2 / pi() ELSE 2 / pi() * (any_value(angle) + sin(any_value(angle)) * max(total)) END AS p_value FROM terms GROUP BY id, df)"""
+
+
+@query(f"""WITH RECURSIVE {WINSOR_SQL}, {SPREAD_SQL.format(by='')}, one AS (SELECT count(*) AS months, CASE WHEN count(*) >= 3 THEN avg(spread) END AS spread, CASE WHEN count(*) >= 3 THEN avg(spread) / (stddev_samp(spread) / sqrt(count(*))) END AS t_stat FROM k),
+t AS (SELECT 0 AS id, t_stat AS t, months - 1 AS df FROM one WHERE t_stat IS NOT NULL), {P_SQL}
+SELECT months, round(spread, 6) AS spread, round(t_stat, 6) AS t_stat, round(p_value, 6) AS p_value FROM one LEFT JOIN p ON true""")
 def clustered_spread(spark, d):
-    return E.clustered_spread(clipped(spark, d), "excess_5d", F.col("signal") == "BUY", F.col("signal") == "SELL").select("months", *r("spread", "t_stat"))
+    return E.clustered_spread(clipped(spark, d), "excess_5d", F.col("signal") == "BUY", F.col("signal") == "SELL").select("months", *r("spread", "t_stat", "p_value"))
 
 
 @query(f"WITH {WINSOR_SQL}, {SPREAD_SQL.format(by='year,')} SELECT year, count(*) AS months, round(CASE WHEN count(*) >= 3 THEN avg(spread) END, 6) AS spread FROM k GROUP BY 1")
@@ -110,9 +121,14 @@ def by_year_spread(spark, d):
     return E.clustered_spread(clipped(spark, d), "excess_5d", F.col("signal") == "BUY", F.col("signal") == "SELL", ["year"]).select(F.col("year").cast("long").alias("year"), "months", *r("spread"))
 
 
-@query("WITH " + WINSOR_SQL + "," + ",".join(f"r_{f} AS (SELECT rank() OVER (ORDER BY {f}) + (count(*) OVER (PARTITION BY {f}) - 1) / 2 AS x, rank() OVER (ORDER BY excess_5d) + (count(*) OVER (PARTITION BY excess_5d) - 1) / 2 AS y FROM wins)" for f in E.FEATURES) + " UNION ALL ".join(f" SELECT '{f}' AS feature, count(*) AS n, round(corr(x, y), 6) AS spearman FROM r_{f}" for f in E.FEATURES))
+_IC_SQL = " UNION ALL ".join(f"SELECT '{f}' AS feature, count(*) AS n, corr(x, y) AS spearman FROM r_{f}" for f in E.FEATURES)
+
+
+@query("WITH RECURSIVE " + WINSOR_SQL + "," + ",".join(f"r_{f} AS (SELECT rank() OVER (ORDER BY {f}) + (count(*) OVER (PARTITION BY {f}) - 1) / 2 AS x, rank() OVER (ORDER BY excess_5d) + (count(*) OVER (PARTITION BY excess_5d) - 1) / 2 AS y FROM wins)" for f in E.FEATURES) + f""",
+ic AS MATERIALIZED ({_IC_SQL}), t AS (SELECT feature AS id, spearman * sqrt((n - 2) / (1 - spearman * spearman)) AS t, n - 2 AS df FROM ic WHERE abs(spearman) < 1), {P_SQL}
+SELECT feature, n, round(spearman, 6) AS spearman, round(CASE WHEN abs(spearman) >= 1 THEN 0 ELSE p_value END, 6) AS p_value FROM ic LEFT JOIN p ON feature = id""")
 def rank_ic(spark, d):
-    return E.rank_ic(clipped(spark, d), "excess_5d").select("feature", "n", *r("spearman"))
+    return E.rank_ic(clipped(spark, d), "excess_5d").select("feature", "n", *r("spearman", "p_value"))
 
 
 @query(f"WITH {A.EVENTS_SQL} SELECT count(*) AS events, count(DISTINCT ticker) AS tickers, min(entry_date) AS first_entry, max(entry_date) AS last_entry FROM events_")

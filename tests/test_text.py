@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from earshot.functions import text as T
-from earshot.functions.statistics import incomplete_beta, spearman_p, t_test_p
+from earshot.functions.statistics import incomplete_beta, log_gamma, spearman_p_value, t_p_value
 from earshot.operators import scoring, sentences
 from earshot.sources import lexicon, tables
 
@@ -129,15 +129,24 @@ def test_dictionary(spark, tmp_path):
     assert lex.cue_words() == ("may", "risk", "should", "will")
 
 
-def test_p_values():
-    for t in (0.0, 0.3, -1.7, 2.0, 40.0):  # closed forms for one, two and four degrees of freedom
-        assert t_test_p(t, 1) == pytest.approx(1 - 2 / math.pi * math.atan(abs(t)), abs=1e-9)
-        assert t_test_p(t, 2) == pytest.approx(1 - abs(t) / math.sqrt(2 + t * t), abs=1e-9)
-        u = abs(t) / math.sqrt(4 + t * t)
-        assert t_test_p(t, 4) == pytest.approx(1 - u * (3 - u * u) / 2, abs=1e-9)
-    assert all(incomplete_beta(a, 1, x) == pytest.approx(x**a) for a in (1, 2.5, 9) for x in (0.1, 0.9))
+def test_p_values(spark):
+    def at(column, *values):
+        schema = ", ".join(f"{n} double" for n in "abx"[: len(values[0])])
+        return [r[0] for r in spark.createDataFrame(values, schema).select(column(*(F.col(n) for n in "abx"[: len(values[0])]))).collect()]
+
+    ts = (0.0, 0.3, -1.7, 2.0, 40.0)
+    for df, want in ((1, lambda t: 1 - 2 / math.pi * math.atan(abs(t))), (2, lambda t: 1 - abs(t) / math.sqrt(2 + t * t)), (4, lambda t: 1 - (u := abs(t) / math.sqrt(4 + t * t)) * (3 - u * u) / 2)):
+        assert at(lambda t, n: t_p_value(t, n), *((t, float(df)) for t in ts)) == pytest.approx([want(t) for t in ts], abs=1e-10)  # closed forms
+    normal = [math.erfc(t / math.sqrt(2)) for t in (0.1, 1.0, 2.5, 6.0)]  # that of many degrees of freedom
+    assert at(t_p_value, *((t, 1e9) for t in (0.1, 1.0, 2.5, 6.0))) == pytest.approx(normal, rel=1e-5)
+    assert at(t_p_value, (1.0, 0.0), (None, 4.0)) == [None, None]
+    powers = [(a, 1.0, x) for a in (1.0, 2.5, 9.0, 400.0) for x in (0.0, 0.1, 0.9, 1.0)]
+    assert at(incomplete_beta, *powers) == pytest.approx([x**a for a, _, x in powers], abs=1e-12)
+    both = [(3.5, 0.7, x) for x in (0.01, 0.5, 0.99)]
+    assert at(incomplete_beta, *both) == pytest.approx([1 - v for v in at(incomplete_beta, *((b, a, 1 - x) for a, b, x in both))], abs=1e-12)
+    assert at(log_gamma, *((x,) for x in (0.5, 1.0, 3.25, 200.0, 1e6))) == pytest.approx([math.lgamma(x) for x in (0.5, 1.0, 3.25, 200.0, 1e6)], rel=1e-13, abs=1e-13)
     r = 0.3
-    assert spearman_p(-1.0, 9) == 0 and spearman_p(r, 30) == pytest.approx(t_test_p(r * math.sqrt(28 / (1 - r * r)), 28))
+    assert at(spearman_p_value, (-1.0, 9.0), (r, 30.0), (r, 2.0)) == [0.0, pytest.approx(at(t_p_value, (r * math.sqrt(28 / (1 - r * r)), 28.0))[0]), None]
 
 
 def test_metrics(spark):
