@@ -36,8 +36,10 @@ class Label:
 @dataclass
 class Train:
     features: int = 1 << 16
-    regularization: float = 1e-4
-    iterations: int = 50
+    steps: int = 40
+    rate: float = 0.5
+    warmup: float = 0.1
+    decay: float = 0.01
 
 
 @dataclass

@@ -156,8 +156,11 @@ def hedging(sentence: Column, lexicon: Lexicon = Lexicon()) -> Column:
 
 
 def weak_label(certain: Column, hedged: Column) -> Column:
-    """neutral without any cue, high or low from a difference of 1 on, else null (mixed)."""
-    return F.when((certain == 0) & (hedged == 0), "neutral").when(certain - hedged >= 1, "high").when(certain - hedged <= -1, "low")
+    """neutral without any cue, high or low from a difference of 1 on, else null (mixed).
+
+    Both counts are bound first, as they are long expressions that a filter would else compute for each test anew."""
+    test = lambda x: F.when((x["c"] == 0) & (x["h"] == 0), "neutral").when(x["c"] - x["h"] >= 1, "high").when(x["c"] - x["h"] <= -1, "low")
+    return F.transform(F.array(F.struct(certain.alias("c"), hedged.alias("h"))), test)[0]
 
 
 def mask_cues(sentence: Column, token: str, lexicon: Lexicon = Lexicon()) -> Column:

@@ -1,4 +1,4 @@
-"""Sentence scoring: a scorer interface, the lexicon's and MLlib's scorers, and how well a scorer does."""
+"""Sentence scoring: a scorer interface, the lexicon's scorer and one for models of Python, and how well a scorer does."""
 
 from __future__ import annotations
 
@@ -7,18 +7,12 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, HashingTF, NGram, RegexTokenizer, SQLTransformer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from earshot.functions import text as T
+from earshot.operators.linear import PROBABILITIES
 from earshot.operators.ranks import with_before
-from earshot.operators.sentences import class_weights
-
-PROBABILITIES = ("p_low", "p_neutral", "p_high")
 
 
 class Scorer(Protocol):
@@ -80,34 +74,6 @@ def lexicon_scorer(lexicon: T.Lexicon = T.Lexicon()) -> Scorer:
     return run
 
 
-def train_mllib(training: DataFrame, features: int = 1 << 16, regularization: float = 1e-4, iterations: int = 50) -> PipelineModel:
-    """Multinomial logistic regression on words and pairs of words, weighted by class. training: sentence, weak_label, label.
-
-    Sentences become counts of hashed terms once; these, not the sentences, are kept while the rest is fitted.
-    """
-    weights = class_weights(training).select(F.col("label").alias("weak_label"), "weight")
-    rows = training.join(F.broadcast(weights), "weak_label").select("sentence", "weight", F.col("label").cast("double").alias("label"))
-    counted = [
-        RegexTokenizer(inputCol="sentence", outputCol="w1", pattern="[a-z']+", gaps=False), NGram(n=2, inputCol="w1", outputCol="w2"),
-        SQLTransformer(statement="SELECT *, concat(w1, w2) AS terms FROM __THIS__"), HashingTF(inputCol="terms", outputCol="tf", numFeatures=features),
-    ]
-    tf = PipelineModel(counted).transform(rows).select("tf", "weight", "label").persist()
-    idf = IDF(inputCol="tf", outputCol="features", minDocFreq=2).fit(tf)
-    fitted = LogisticRegression(family="multinomial", weightCol="weight", regParam=regularization, maxIter=iterations).fit(idf.transform(tf))
-    tf.unpersist()
-    return PipelineModel([*counted, idf, fitted])
-
-
-def mllib_scorer(model: PipelineModel) -> Scorer:
-    def run(sentences: DataFrame) -> DataFrame:
-        p = vector_to_array("probability")
-        n = model.stages[-1].numClasses
-        out = model.transform(sentences).withColumns({c: p[i] if i < n else F.lit(0.0) for i, c in enumerate(PROBABILITIES)})
-        return out.select(*sentences.columns, *PROBABILITIES)
-
-    return run
-
-
 def confusion(scored: DataFrame, truth: str = "weak_label", pred: str = "pred") -> DataFrame:
     return scored.groupBy(truth, pred).agg(F.count("*").alias("n"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from earshot.functions import text as T
 from earshot.functions.phrases import mask_phrases, weighted_count
-from earshot.operators import report, scoring, sentences, signals
+from earshot.operators import linear, report, scoring, sentences, signals
 from earshot.plans import analogues as A
 
 Q: dict = {}
@@ -284,17 +284,54 @@ def roc_auc(spark, d):
     return scoring.roc_auc(quality_scores(spark, d), "net", F.col("quality") == 1).select("n", *r("auc"))
 
 
-#: Sentences that the model of mllib_scores is fitted to, about.
-MODEL_SENTENCES = 20_000
-
-
-@query()
-def mllib_scores(spark, d):
-    """Fits the model to a sample of the training set, as the stages do, and scores all sentences with a label in one pass."""
-    x = labelled(spark, d).filter("weak_label is not null").select("doc_id", "pos", "sentence", "weak_label", "call_id").cache()
-    chosen = sentences.training_sets(x, ["doc_id", "pos"], max_sentences=MODEL_SENTENCES).filter("split = 'train'")
-    model = scoring.train_mllib(chosen.select("sentence", "weak_label", "label").cache(), features=1 << 14, iterations=10)
-    return scoring.with_confidence(scoring.mllib_scorer(model)(x.select("sentence", "weak_label"))).groupBy("weak_label", "pred").agg(F.count("*").alias("n"))
+#: The model of model_weights and model_scores: buckets, and gradient steps over all of the training set.
+FEATURES, STEPS, RATE, WARMUP, DECAY = 1 << 12, 6, 0.5, 0.1, 0.01
+
+
+def _fit_sql() -> str:
+    """The training set, and s{STEPS}: the weights, step by step as linear.fit takes them."""
+    u, labels, states = f"{linear.UNIT}::DOUBLE", range(3), ("w0", "w1", "w2", "a0", "a1", "a2")
+    fold = "0"
+    for i in range(4):
+        fold = f"(({fold}) * 96 + ('0x' || substr(md5(source), {8 * i + 1}, 8))::BIGINT) % 100"
+    ctes = [f"""{FRAC_SQL.replace("5000.0", "860000.0")},
+known AS MATERIALIZED (SELECT row_number() OVER () AS id, doc_id, pos, source, sentence, weak_label, list_position(['low', 'neutral', 'high'], weak_label) - 1 AS label FROM labelled WHERE weak_label IS NOT NULL),
+tokens AS (SELECT id, regexp_extract_all(lower(sentence), '[a-z'']+') AS t FROM known),
+found AS MATERIALIZED (SELECT id, ('0x' || substr(md5(unnest(list_concat(t, [t[i] || ' ' || t[i + 1] FOR i IN range(1, len(t))]))), 1, 8))::BIGINT % {FEATURES} AS bucket FROM tokens UNION ALL SELECT id, {FEATURES} FROM known),
+chosen AS MATERIALIZED (SELECT id, known.label, weak_label FROM known JOIN fractions f ON weak_label = f.label WHERE ('0x' || substr(md5(doc_id || '|' || pos), 1, 8))::BIGINT / 4294967296.0 < frac AND {fold} < 70),
+weighed AS MATERIALIZED (SELECT id, label, (SELECT count(*) FROM chosen) / (3.0::DOUBLE * count(*) OVER (PARTITION BY label)) AS weight FROM chosen),
+s0 AS MATERIALIZED (SELECT range AS bucket, {', '.join(f'0::DOUBLE AS {c}' for c in states)} FROM range({FEATURES + 1}))"""]
+    for k, rate in enumerate(linear.rates(STEPS, RATE, WARMUP), 1):
+        last = f"s{k - 1}"
+        off = ", ".join(f"floor(weight * (exp(z{i} - m) / (exp(z0 - m) + exp(z1 - m) + exp(z2 - m)) - (label = {i})::INT) * {u} + 0.5)::BIGINT AS e{i}" for i in labels)
+        sums = ", ".join(f"sum(w{i}) / {u} AS z{i}" for i in labels)
+        new = ", ".join(f"floor((w{i} / {u} - {rate!r}::DOUBLE * (g{i} / (sqrt(b{i}) + {linear.LEAST!r}::DOUBLE) + {DECAY!r}::DOUBLE * (w{i} / {u}))) * {u} + 0.5) AS w{i}, b{i} AS a{i}" for i in labels)
+        ctes.append(f"""z{k} AS (SELECT *, greatest(z0, z1, z2) AS m FROM (SELECT id, {sums} FROM found JOIN {last} USING (bucket) WHERE id IN (SELECT id FROM weighed) GROUP BY id) JOIN weighed USING (id)),
+e{k} AS MATERIALIZED (SELECT id, {off} FROM z{k}),
+g{k} AS (SELECT bucket, {', '.join(f"sum(e{i})::DOUBLE / ({u} * (SELECT count(*) FROM weighed)) AS g{i}" for i in labels)} FROM found JOIN e{k} USING (id) GROUP BY bucket),
+b{k} AS (SELECT *, {', '.join(f'a{i} + g{i} * g{i} AS b{i}' for i in labels)} FROM (SELECT s.*, {', '.join(f'coalesce(g{i}, 0::DOUBLE) AS g{i}' for i in labels)} FROM {last} s LEFT JOIN g{k} USING (bucket))),
+s{k} AS MATERIALIZED (SELECT bucket, {new} FROM b{k})""")
+    return ",\n".join(ctes)
+
+
+def fitted(spark, d) -> tuple[linear.LinearModel, DataFrame]:
+    """The model, fitted to the whole training set, and all sentences with a label."""
+    x = labelled(spark, d).filter("weak_label is not null").select("doc_id", "pos", "sentence", "weak_label", "call_id").cache()  # read for shares, class weights, the fit and the scores
+    training = sentences.training_sets(x, ["doc_id", "pos"]).filter("split = 'train'")
+    return linear.fit(training, FEATURES, STEPS, RATE, WARMUP, DECAY), x
+
+
+@query(f"WITH {_fit_sql()} SELECT bucket::INT AS bucket, w0::BIGINT AS w_low, w1::BIGINT AS w_neutral, w2::BIGINT AS w_high FROM s{STEPS}")
+def model_weights(spark, d):
+    return fitted(spark, d)[0].table(spark)
+
+
+@query(f"""WITH {_fit_sql()}, z AS (SELECT id, sum(w0) AS z0, sum(w1) AS z1, sum(w2) AS z2 FROM found JOIN s{STEPS} USING (bucket) GROUP BY id)
+SELECT weak_label, CASE WHEN z0 >= z1 AND z0 >= z2 THEN 'low' WHEN z1 >= z2 THEN 'neutral' ELSE 'high' END AS pred, count(*) AS n FROM z JOIN known USING (id) GROUP BY 1, 2""")
+def model_scores(spark, d):
+    """Fits the model as the stages do and scores all sentences with a label."""
+    model, x = fitted(spark, d)
+    return scoring.confusion(scoring.with_confidence(model(x.select("sentence", "weak_label"))))
 
 
 def _mask_sql(s: str) -> str:

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from earshot.config import Config
 from earshot.functions import text as T
-from earshot.operators import events, inventory, report, scoring, sentences, signals, turns
+from earshot.operators import events, inventory, linear, report, scoring, sentences, signals, turns
 from earshot.sources import crawl, pages, tables
 from earshot.sources.lexicon import load_lexicon, read_dictionary
 from earshot.streaming import incremental
@@ -107,9 +106,8 @@ def train(spark: SparkSession, cfg: Config) -> dict:
     """Fits the scorer to the training set; its measures on the others go to metrics.json."""
     sets = spark.read.parquet(f"{cfg.data}/{_SPLITS}")
     part = lambda s: sets.filter(F.col("split") == s)
-    model = scoring.train_mllib(part("train").cache(), cfg.train.features, cfg.train.regularization, cfg.train.iterations)
-    model.write().overwrite().save(f"{cfg.data}/{_MODEL}")
-    run = scoring.mllib_scorer(model)
+    run = linear.fit(part("train"), cfg.train.features, cfg.train.steps, cfg.train.rate, cfg.train.warmup, cfg.train.decay)
+    run.save(spark, f"{cfg.data}/{_MODEL}")
     out: dict = {"train_sentences": part("train").count(), "train_calls": part("train").select("call_id").distinct().count()}
     for s in ("val", "test"):
         counts = scoring.confusion(scoring.with_confidence(run(part(s)))).cache()
@@ -126,9 +124,9 @@ def score(spark: SparkSession, cfg: Config) -> DataFrame:
     goes on where it was; a new model, or sentences labelled anew, start anew. With sentiment set, scores have it too.
     """
     model = f"{cfg.data}/{_MODEL}"
-    run = scoring.mllib_scorer(PipelineModel.load(model))
+    run = linear.load(spark, model)
     sentences_path = f"{cfg.data}/{_SENTENCES}"
-    of = f"{tables.modified(spark, f'{model}/metadata')}-{tables.modified(spark, f'{sentences_path}/_SUCCESS')}"
+    of = f"{tables.modified(spark, f'{model}/_SUCCESS')}-{tables.modified(spark, f'{sentences_path}/_SUCCESS')}"
     scored, seen = f"{cfg.data}/{_SCORED}/{of}", f"{cfg.data}/{_SCORED}_files/{of}"
     incremental.score_new_files(spark, sentences_path, spark.read.parquet(sentences_path).schema, run, scored, seen, scoring.lexicon_sentiment(_lexicon(spark, cfg)) if cfg.score.sentiment else None)
     calls = signals.call_features(spark.read.parquet(scored).drop("speaker", "role", "turn_id"))

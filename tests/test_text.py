@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from earshot.functions import text as T
 from earshot.functions.statistics import incomplete_beta, log_gamma, spearman_p_value, t_p_value
-from earshot.operators import scoring, sentences
+from earshot.operators import linear, scoring, sentences
 from earshot.sources import lexicon, tables
 
 
@@ -162,7 +162,7 @@ def test_scorers(spark):
     good, bad, plain = "we will definitely deliver confident growth", "it may be unclear and risk could hurt", "revenue was ten dollars in total"
     rows = [(f"{s} {w}", label, i) for s, label, i in ((good, "high", 2), (bad, "low", 0), (plain, "neutral", 1)) for w in ("now", "today", "again", "here", "there", "then")]
     df = spark.createDataFrame(rows, "sentence string, weak_label string, label int")
-    for scorer in (scoring.lexicon_scorer(), scoring.mllib_scorer(scoring.train_mllib(df, 1 << 10))):
+    for scorer in (scoring.lexicon_scorer(), linear.fit(df, 1 << 10)):
         got = scoring.with_confidence(scorer(df))
         assert scoring.overall(scoring.confusion(got)).first()["accuracy"] == 1
         assert got.filter("abs(p_low + p_neutral + p_high - 1) > 1e-9").count() == 0
