@@ -22,6 +22,7 @@ class Scrape:
 @dataclass
 class Parse:
     min_section_words: int = 500
+    part_rows: int = 200_000
     title_suffix: str = ""
 
 

@@ -15,7 +15,7 @@ from earshot.sources import crawl, pages, tables
 from earshot.sources.lexicon import load_lexicon, read_dictionary
 from earshot.streaming import incremental
 
-_INDEX, _PAGES, _BLOCKS, _TURNS, _STATS = "raw/index", "raw", "interim/blocks", "interim/turns", "interim/parse_stats"
+_INDEX, _FETCHED, _PAGES, _BLOCKS, _TURNS, _STATS = "raw/index", "raw/fetched", "raw", "interim/blocks", "interim/turns", "interim/parse_stats"
 _SENTENCES, _SPLITS, _MODEL, _SCORED, _CALLS = "processed/sentences", "processed/splits", "models/scorer", "processed/scored", "processed/calls"
 
 
@@ -23,6 +23,13 @@ def _lexicon(spark: SparkSession, cfg: Config) -> T.Lexicon:
     return load_lexicon(read_dictionary(spark, cfg.label.lexicon)) if cfg.label.lexicon else T.Lexicon()
 
 
+def _index(spark: SparkSession, cfg: Config) -> DataFrame:
+    """All records of pages fetched: those of an index that was given, and those of this crawl's batches."""
+    given, columns = f"{cfg.data}/{_INDEX}", [c.split()[0] for c in crawl.INDEX.split(", ")]
+    ours = crawl.read_batches(spark, f"{cfg.data}/{_FETCHED}").select(*columns)
+    return crawl.read_index(spark, given).unionByName(ours) if tables.exists(spark, given) else ours
+
+
 def scrape(spark: SparkSession, cfg: Config, today: datetime.date | None = None, fetched=None) -> DataFrame:
     """Fetches sitemaps of all months and pending pages, batch by batch, into the raw folder; counts by status.
 
@@ -48,21 +55,20 @@ def scrape(spark: SparkSession, cfg: Config, today: datetime.date | None = None,
         maps.select("month", F.col("body").cast("string").alias("xml"), F.current_timestamp().alias("read")).write.mode("append").parquet(f"{raw}/sitemaps")
     maps = spark.read.parquet(f"{raw}/sitemaps").groupBy("month").agg(F.max_by("xml", "read").alias("xml"))
     urls = crawl.discover(maps, cfg.scrape.url_pattern, order="month")
-    index_path = f"{cfg.data}/{_INDEX}"
-    index = crawl.read_index(spark, index_path) if tables.exists(spark, index_path) else spark.createDataFrame([], crawl.INDEX)
+    index, fetched_path = _index(spark, cfg), f"{cfg.data}/{_FETCHED}"
     seen = index.agg(F.max("seq")).first()[0] or 0
+    batch = max(crawl.committed_batches(spark, fetched_path), default=-1) + 1
     counts: dict[str, int] = {}
 
     def store(got: DataFrame) -> None:
-        nonlocal seen
+        nonlocal seen, batch
         info = pages.extract_metadata(got.withColumn("html", F.col("body").cast("string")), title_suffix=cfg.parse.title_suffix)
         empty = (F.col("status") == "ok") & ~F.col("has_article")
         info = info.withColumns({"status": F.when(empty, "missing").otherwise(F.col("status")), "error": F.when(empty, "ValueError").when(F.col("status") != "ok", F.col("status"))})
         info = crawl.only_tickers(info, cfg.scrape.tickers).withColumn("file", T.page_path(F.col("url"))).persist()
-        info.filter("status = 'ok'").select("file", "body", F.current_timestamp().alias("read")).write.mode("append").parquet(f"{raw}/bodies")
         order = Window.orderBy(F.desc("published"), "url")  # of one batch
-        crawl.append_index(info.select((F.row_number().over(order) + seen).cast("long").alias("seq"), "url", "published", "status", "ticker", "company", "title", "fiscal_quarter", "file", "error"), index_path)
-        seen += cfg.scrape.batch
+        crawl.write_batch(info.select((F.row_number().over(order) + seen).cast("long").alias("seq"), "url", "published", "status", "ticker", "company", "title", "fiscal_quarter", "file", "error", "body"), fetched_path, batch)
+        seen, batch = seen + cfg.scrape.batch, batch + 1
         for r in crawl.status_counts(info).collect():
             counts[r["status"]] = counts.get(r["status"], 0) + r["n"]
         info.unpersist()
@@ -72,15 +78,18 @@ def scrape(spark: SparkSession, cfg: Config, today: datetime.date | None = None,
 
 
 def parse(spark: SparkSession, cfg: Config) -> DataFrame:
-    """Index and pages to speaker turns of kept calls, and statistics of all pages. Pages are gzipped files at the index's paths."""
-    records = crawl.latest_records(crawl.read_index(spark, f"{cfg.data}/{_INDEX}")).filter("status = 'ok'")
+    """Index and pages to speaker turns of kept calls, and statistics of all pages. Pages are this crawl's batches, or gzipped files at the index's paths."""
+    records = crawl.latest_records(_index(spark, cfg)).filter("status = 'ok'")
     raw = f"{cfg.data}/{_PAGES}"
-    if tables.exists(spark, f"{raw}/bodies"):
-        files = spark.read.parquet(f"{raw}/bodies").groupBy("file").agg(F.max_by("body", "read").cast("string").alias("html"))
+    bodies = crawl.read_batches(spark, f"{cfg.data}/{_FETCHED}").filter("status = 'ok'").groupBy("file").agg(F.max_by("body", "seq").cast("string").alias("html"))
+    records = records.select("url", "ticker", "company", "fiscal_quarter", "published", F.col("first_seq").alias("seq"), "file")
+    if tables.exists(spark, f"{raw}/pages"):  # gzipped files of a crawl before
+        given = pages.read_gzip_pages(spark, f"{raw}/pages").withColumn("file", F.concat(F.lit("pages/"), F.regexp_extract("path", r"pages/(.*)$", 1))).drop("path")
+        others = records.join(bodies, "file", "left_anti").join(given, "file", "left")
+        found = pages.read_blocks(records.join(bodies, "file")).unionByName(pages.read_blocks(others))
     else:
-        files = pages.read_gzip_pages(spark, f"{raw}/pages").withColumn("file", F.concat(F.lit("pages/"), F.regexp_extract("path", r"pages/(.*)$", 1))).drop("path")
-    found = records.join(files, "file", "left").select("url", "ticker", "company", "fiscal_quarter", "published", F.col("first_seq").alias("seq"), "html")
-    pages.read_blocks(found).write.mode("overwrite").parquet(f"{cfg.data}/{_BLOCKS}")  # read twice below, but Python reads pages once
+        found = pages.read_blocks(records.join(bodies, "file", "left"))
+    found.write.mode("overwrite").parquet(f"{cfg.data}/{_BLOCKS}")  # read twice below, but Python reads pages once
     blocks = spark.read.parquet(f"{cfg.data}/{_BLOCKS}")
     said = turns.speaker_turns(blocks, "url")
     stats = turns.parse_stats(pages.page_records(blocks).select("url", "ticker", "published", "seq", "call_date", "error"), said, "url", cfg.parse.min_section_words)
@@ -88,7 +97,7 @@ def parse(spark: SparkSession, cfg: Config) -> DataFrame:
     stats.write.mode("overwrite").parquet(f"{cfg.data}/{_STATS}")
     kept = spark.read.parquet(f"{cfg.data}/{_STATS}").filter("ok").select("url")
     out = said.join(kept, "url", "left_semi").withColumn("call_id", T.call_id(F.col("ticker"), F.col("call_date")))
-    tables.write_by_call(out, f"{cfg.data}/{_TURNS}", parts=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tables.write_by_call(out, f"{cfg.data}/{_TURNS}", rows=cfg.parse.part_rows)
     return turns.parse_summary(spark.read.parquet(f"{cfg.data}/{_STATS}"))
 
 
@@ -118,18 +127,13 @@ def train(spark: SparkSession, cfg: Config) -> dict:
 
 
 def score(spark: SparkSession, cfg: Config) -> DataFrame:
-    """Scores sentences and sums them up by call: only files of sentences that this model hasn't scored yet.
-
-    The files scored are remembered beside the scores, in a folder for this model and these sentences, so a stopped run
-    goes on where it was; a new model, or sentences labelled anew, start anew. With sentiment set, scores have it too.
-    """
+    """Scores sentences and sums them up by call: only files of sentences that are new, have changed since, or were scored
+    by another model. Scores of files that are gone go; a stopped run goes on where it was. With sentiment set, scores have it too."""
     model = f"{cfg.data}/{_MODEL}"
     run = linear.load(spark, model)
-    sentences_path = f"{cfg.data}/{_SENTENCES}"
-    of = f"{tables.modified(spark, f'{model}/_SUCCESS')}-{tables.modified(spark, f'{sentences_path}/_SUCCESS')}"
-    scored, seen = f"{cfg.data}/{_SCORED}/{of}", f"{cfg.data}/{_SCORED}_files/{of}"
-    incremental.score_new_files(spark, sentences_path, spark.read.parquet(sentences_path).schema, run, scored, seen, scoring.lexicon_sentiment(_lexicon(spark, cfg)) if cfg.score.sentiment else None)
-    calls = signals.call_features(spark.read.parquet(scored).drop("speaker", "role", "turn_id"))
+    scored = f"{cfg.data}/{_SCORED}"
+    incremental.score_changed_files(spark, f"{cfg.data}/{_SENTENCES}", run, scored, tables.modified(spark, f"{model}/_SUCCESS"), scoring.lexicon_sentiment(_lexicon(spark, cfg)) if cfg.score.sentiment else None)
+    calls = signals.call_features(spark.read.parquet(f"{scored}/parts").drop("speaker", "role", "turn_id", "part"))
     signals.lag_change(calls, "conf_qna", "delta_qoq").write.mode("overwrite").parquet(f"{cfg.data}/{_CALLS}")
     return scoring.score_summary(spark.read.parquet(f"{cfg.data}/{_CALLS}"))
 

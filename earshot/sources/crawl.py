@@ -16,9 +16,36 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.window import Window
 
+from earshot.sources.tables import store_of
+
 INDEX = "seq long, url string, published string, status string, ticker string, company string, title string, fiscal_quarter string, file string, error string"
 
 
+FETCHED = f"{INDEX}, body binary"
+
+
+def committed_batches(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the batches in path that were written to the end, in order."""
+    p, store = store_of(spark, path)
+    found = store.listStatus(p) if store.exists(p) else []
+    names = [f.getPath().getName() for f in found if f.getPath().getName().startswith("batch=")]
+    return sorted(int(n.removeprefix("batch=")) for n in names if store.exists(store_of(spark, f"{path}/{n}/_SUCCESS")[0]))
+
+
+def write_batch(records: DataFrame, path: str, number: int) -> None:
+    """Records of status ok, missing or error with their bodies, all or none: a batch counts once Spark has marked it
+    complete. What a stopped run left under this number is written over. Skipped records are never logged."""
+    kept = records.filter(F.col("status").isin("ok", "missing", "error"))
+    kept.withColumn("body", F.when(F.col("status") == "ok", F.col("body"))).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+
+def read_batches(spark: SparkSession, path: str) -> DataFrame:
+    """(batch, FETCHED) of the batches written to the end. A record and its page are one row, so neither is there without the other."""
+    schema = f"{FETCHED}, batch long"
+    whole = [f"{path}/batch={n}" for n in committed_batches(spark, path)]
+    return spark.read.schema(schema).option("basePath", path).parquet(*whole) if whole else spark.createDataFrame([], schema)
+
+
 def months(spark: SparkSession, start: str, end: str) -> DataFrame:
     """(month): first days of all months from start to end (YYYY-MM), both included; none if end is earlier."""
     one = spark.range(1).select(F.to_date(F.lit(f"{start}-01")).alias("a"), F.to_date(F.lit(f"{end}-01")).alias("b")).filter("a <= b")

@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 PRICES = "ticker string, date date, open double, close double, volume double"
 SIGNALS = (
@@ -14,20 +15,21 @@ SIGNALS = (
 )
 
 
-def _path(spark: SparkSession, path: str):
+def store_of(spark: SparkSession, path: str):
+    """The path, and the store it is in, as Hadoop knows them."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether any store that Spark reads has this path."""
-    p, store = _path(spark, path)
+    p, store = store_of(spark, path)
     return store.exists(p)
 
 
 def modified(spark: SparkSession, path: str) -> int:
     """When this path of any store was written, in milliseconds."""
-    p, store = _path(spark, path)
+    p, store = store_of(spark, path)
     return store.getFileStatus(p).getModificationTime()
 
 
@@ -36,9 +38,35 @@ def read_columns(spark: SparkSession, path: str, columns: list[str] | None = Non
     return df if columns is None else df.select(*columns)
 
 
-def write_by_call(df: DataFrame, path: str, call: str = "call_id", parts: int = 200) -> None:
-    """Parquet with all rows of a call in one file."""
-    df.repartition(parts, call).write.mode("overwrite").parquet(path)
+#: Rows of a part, give or take a call; and calls that share a bucket when parts are numbered.
+PART_ROWS, BUCKET_CALLS = 200_000, 20_000
+
+
+def call_parts(df: DataFrame, call: str = "call_id", rows: int = PART_ROWS) -> DataFrame:
+    """(call, n, part): for each call its rows and its part of the table, so that parts have about `rows` rows and no call is cut.
+
+    Calls are dealt to buckets by a hash and, in the order of buckets and names, numbered by how many rows come before:
+    part k has the calls that begin between row k * rows and the next multiple. A call of `rows` rows or more is a part of
+    its own. Prefix sums go by buckets, then over the buckets' sums, so no task has all calls. A null call is one, too.
+    """
+    sizes = df.groupBy(call).agg(F.count("*").alias("n")).withColumn("_key", F.md5(F.coalesce(F.concat(F.lit("="), F.col(call).cast("string")), F.lit(""))))
+    buckets = max(1, sizes.count() // BUCKET_CALLS)
+    sizes = sizes.withColumn("_bucket", F.pmod(F.conv(F.substring("_key", 1, 8), 16, 10).cast("long"), F.lit(buckets))).withColumn("_small", F.when(F.col("n") < rows, F.col("n")).otherwise(0))
+    earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # over a row a bucket
+    before = sizes.groupBy("_bucket").agg(F.sum("_small").alias("_sum")).select("_bucket", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_bucket").orderBy("_key").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sizes.withColumn("_in", F.coalesce(F.sum("_small").over(inside), F.lit(0))).join(before, "_bucket")
+    number = F.floor((F.col("_before") + F.col("_in")) / rows)
+    return placed.select(call, "n", F.when(F.col("n") < rows, F.lpad(number.cast("string"), 9, "0")).otherwise(F.concat(F.lit("call-"), "_key")).alias("part"))
+
+
+def write_by_call(df: DataFrame, path: str, call: str = "call_id", rows: int = PART_ROWS) -> None:
+    """Parquet in a folder for each part of call_parts, so all rows of a call are together and parts are alike in size.
+
+    What is in path is replaced whole. Calls are put in order within a part."""
+    parts = call_parts(df, call, rows).withColumnRenamed(call, "_call").drop("n")
+    placed = df.join(parts, F.col(call).eqNullSafe(F.col("_call"))).drop("_call")
+    placed.repartition("part").sortWithinPartitions("part", call).write.mode("overwrite").partitionBy("part").parquet(path)
 
 
 def write_splits(df: DataFrame, path: str) -> None:
@@ -63,7 +91,7 @@ def read_signals(spark: SparkSession, path: str) -> DataFrame:
 
 def write_json(spark: SparkSession, value: dict, path: str) -> None:
     """A small result of the driver's as one JSON file, in any store that Spark writes."""
-    p, store = _path(spark, path)
+    p, store = store_of(spark, path)
     out = store.create(p, True)
     try:
         out.write(bytearray(json.dumps(value, indent=2, default=str).encode()))

@@ -89,12 +89,37 @@ def test_crawl_resumes_filters_and_stores_each_batch(spark, tmp_path):
     stop_at[0] = 0
     counts = {r["status"]: r["n"] for r in stages.scrape(spark, cfg, today, fetched).collect()}
     assert counts == {"ok": 2, "skipped": 1, "error": 1}  # d is missing, and final; e is asked for again
-    index = {r["url"][-1]: (r["status"], r["ticker"]) for r in crawl.latest_records(crawl.read_index(spark, f"{tmp_path}/raw/index")).collect()}
+    log = f"{tmp_path}/raw/fetched"
+    index = {r["url"][-1]: (r["status"], r["ticker"]) for r in crawl.latest_records(crawl.read_batches(spark, log)).collect()}
     assert index == {"a": ("ok", "KST"), "c": ("ok", "KST"), "d": ("missing", ""), "e": ("error", "")}
     assert [len(x) for x in asked[3:]] == [1, 2, 2] and asked[3] == ["https://s.org/2024/02"]
-    assert spark.read.parquet(f"{tmp_path}/raw/bodies").count() == 2
+    bodies = lambda: sorted(r["url"][-1] for r in crawl.read_batches(spark, log).filter("body is not null").collect())
+    assert bodies() == ["a", "c"]
+    # A run that stopped while it wrote: files of a batch without Spark's mark. It is neither read nor kept.
+    last = crawl.committed_batches(spark, log)[-1]
+    crawl.read_batches(spark, log).limit(1).drop("batch").write.parquet(f"{log}/batch={last + 1}")
+    (tmp_path / "raw" / "fetched" / f"batch={last + 1}" / "_SUCCESS").unlink()
+    assert crawl.committed_batches(spark, log)[-1] == last and bodies() == ["a", "c"]
     cfg.scrape.tickers = []
     assert {r["status"]: r["n"] for r in stages.scrape(spark, cfg, today, fetched).collect()} == {"ok": 1, "error": 1}  # b and e
+    assert bodies() == ["a", "b", "c"] and crawl.committed_batches(spark, log)[-1] == last + 1
+    seen = [r["seq"] for r in crawl.read_batches(spark, log).collect()]
+    assert len(set(seen)) == len(seen)
+    parsed = stages.parse(spark, cfg).first()
+    assert (parsed["pages"], parsed["calls"]) == (3, 0)  # all are read, none is a call
+
+
+def test_a_batch_that_fails_leaves_nothing(spark, tmp_path):
+    """A record and its page are one row: a batch that breaks off has neither, and the next run asks for it again."""
+    schema, path = "seq long, url string, published string, status string, ticker string, company string, title string, fiscal_quarter string, file string, error string, body binary", f"{tmp_path}/f"
+    rows = [(i, f"u{i}", "2024-01-01", ("ok", "missing", "error", "skipped")[i % 4], "T", None, None, None, f"f{i}", None, b"x") for i in range(8)]
+    df = spark.createDataFrame(rows, schema).repartition(4)
+    with pytest.raises(Exception, match="stopped"):
+        crawl.write_batch(df.withColumn("error", F.when(F.col("seq") == 5, F.raise_error(F.lit("stopped"))).otherwise(F.col("error"))), path, 0)
+    assert crawl.committed_batches(spark, path) == [] and crawl.read_batches(spark, path).count() == 0
+    crawl.write_batch(df, path, 0)
+    got = crawl.read_batches(spark, path).collect()
+    assert sorted((r["url"], r["status"], r["body"] is not None, r["batch"]) for r in got) == [(f"u{i}", r[3], r[3] == "ok", 0) for i, r in enumerate(rows) if r[3] != "skipped"]
 
 
 def test_price_store(spark, tmp_path):

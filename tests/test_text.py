@@ -176,9 +176,12 @@ def test_tables_round_trip(spark, tmp_path):
     back = spark.read.option("header", True).schema("ticker string, confidence double").csv(f"{tmp_path}/c")
     assert {(r[0], r[1]) for r in back.collect()} == {("NA", 0.1234), ("B", None)} or {(r[0], r[1]) for r in back.collect()} == {("NA", 0.1235), ("B", None)}
     parts = spark.createDataFrame([(f"c{i % 20}", i) for i in range(400)], "call_id string, i int")
-    tables.write_by_call(parts, f"{tmp_path}/p", parts=5)
-    files = tables.read_columns(spark, f"{tmp_path}/p", ["call_id"]).select("call_id", F.input_file_name().alias("f")).distinct()
-    assert files.count() == 20
+    many = parts.unionByName(spark.range(900).selectExpr("'hot' AS call_id", "cast(id AS int) AS i")).unionByName(spark.createDataFrame([(None, 1)], "call_id string, i int"))
+    tables.write_by_call(many, f"{tmp_path}/p", rows=100)
+    back = spark.read.parquet(f"{tmp_path}/p").select("call_id", "part", F.input_file_name().alias("f"))
+    sizes = {r["part"]: (r["n"], r["calls"], r["files"]) for r in back.groupBy("part").agg(F.count("*").alias("n"), F.countDistinct(F.coalesce("call_id", F.lit(""))).alias("calls"), F.countDistinct("f").alias("files")).collect()}
+    assert back.count() == 1301 and back.select("call_id", "f").distinct().count() == 22
+    assert sorted(sizes.values())[-1] == (900, 1, 1) and all(80 < n < 120 and files == 1 for n, calls, files in sizes.values() if calls > 1 and n > 1) and len(sizes) == 5
     tables.write_splits(parts.withColumn("split", T.split_of(F.col("call_id"))), f"{tmp_path}/s")
     assert spark.read.parquet(f"{tmp_path}/s").count() == 400
 
