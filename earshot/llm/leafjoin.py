@@ -83,14 +83,14 @@ def leaf_sizes(paths: DataFrame) -> DataFrame:
     return paths.groupBy("leaf").agg(F.count("*").alias("members"), (F.sum("bytes") / 1e6).alias("mb")).filter("members > 1")
 
 
-def link_leaves(members: Callable[[DataFrame], DataFrame], paths: DataFrame, linked: Linked) -> DataFrame:
+def link_leaves(members: Callable[[DataFrame], DataFrame], paths: DataFrame, linked: Linked, block: int | None = None) -> DataFrame:
     """(rep, links, component) of all items with a link to another one.
 
     paths: (leaf, rep, bytes), each pair once, checkpointed. members: gives (rep, cnt, payload) for a table of the reps
-    that share a leaf, each once. Each leaf's members are compared in blocks of about BLOCK: a leaf of n members makes
-    (n / BLOCK)^2 / 2 groups of two blocks, however alike they are. A link found in several leaves counts in the least.
+    that share a leaf, each once. Each leaf's members are compared in blocks of about `block` (BLOCK): a leaf of n members
+    makes (n / block)^2 / 2 groups of two blocks, however alike they are. A link found in several leaves counts in the least.
     """
-    sizes = leaf_sizes(paths).withColumn("blocks", F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("mb") / BLOCK_MB)).cast("int"))
+    sizes = leaf_sizes(paths).withColumn("blocks", F.greatest(F.ceil(F.col("members") / (block or BLOCK)), F.ceil(F.col("mb") / BLOCK_MB)).cast("int"))
     shared = weighted_join(paths.select("leaf", "rep"), checkpointed(sizes.select("leaf", "blocks", "members")), "leaf", "members")
     lists = checkpointed(shared.groupBy("rep").agg(F.collect_list(F.struct("leaf", "blocks")).alias("at")))
     rows = members(lists.select("rep")).join(lists, "rep").withColumn("leaves", F.col("at.leaf"))

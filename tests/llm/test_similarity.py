@@ -162,6 +162,64 @@ def test_vectors_recall(spark):
     assert 0.9 * 3000 <= found <= 3000
 
 
+def near_pairs(n: int, dim: int, cos: float, seed: int) -> np.ndarray:
+    """2n unit vectors, of which the i-th and the n + i-th have this cosine."""
+    rng = np.random.default_rng(seed)
+    base, noise = rng.normal(size=(n, dim)), rng.normal(size=(n, dim))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    noise -= (noise * base).sum(1, keepdims=True) * base
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    return np.vstack([base, base * cos + noise * np.sqrt(1 - cos**2)])
+
+
+def test_forest_of_a_million_vectors_is_small():
+    """Bytes sent out, leaves a vector and recall at the threshold, as planned and as measured in trees as deep as those
+    of 1,000,000 vectors with leaves of LEAF, by the splits that the driver and the tables make."""
+    for dim, n in ((64, 16_000), (1024, 4096)):
+        x = forest.normed(np.random.default_rng(dim).normal(size=(n, dim)))
+        trees, loss, leaves = forest.forest_plan(10**6, 0.9)
+        each = forest.Tree(x, max(16, forest.LEAF * n // 10**6), 0, loss, np.sqrt(0.2 / dim))
+        assert leaves < 8 and trees * each.nbytes < 1 << 20 and len(each.children) > 200
+    shrink, dim = 25, 64
+    leaf, n = forest.LEAF // shrink, 10**6 // shrink
+    trees, loss, leaves = forest.forest_plan(n, 0.9, leaf, forest.RECALL)
+    x = near_pairs(n // 2, dim, 0.9, 3)
+    met, members = np.zeros(n // 2, bool), 0
+    for t in range(trees):
+        todo, rng = [np.arange(n)], np.random.default_rng(t)
+        while todo:
+            r = todo.pop()
+            if len(r) <= 2 * leaf:
+                there = np.zeros(n, bool)
+                there[r] = True
+                met |= there[: n // 2] & there[n // 2 :]
+                members += len(r)
+                continue
+            p = x[r] @ (d := rng.standard_normal(dim)) / np.linalg.norm(d)
+            at, near = np.median(p), forest.spill(loss, p.std(), np.sqrt(0.2 / dim))
+            todo += [r[p < at + near], r[p > at - near]]
+    assert met.mean() > 0.93 and members / n < 8
+
+
+@pytest.mark.parametrize("levels, cos", [(8, 0.905), (1, 0.905)])
+def test_recall_in_deep_trees(spark, monkeypatch, levels, cos):
+    """As deep as for 250,000 vectors: split by the driver's trees, or mostly by tables."""
+    monkeypatch.setattr(forest, "LEVELS", levels)
+    monkeypatch.setattr(forest.Tree.__init__, "__defaults__", (levels,))
+    rows = [(i, v.tolist()) for i, v in enumerate(near_pairs(2000, 64, cos, levels))]
+    got = forest.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), leaf=80)
+    assert 0.9 * 4000 <= got.filter("n_links > 0").count() <= 4000
+
+
+def test_a_tight_group_is_not_split_apart(spark):
+    """Vectors as near each other as linked ones: the spill takes all, and the blocks find every link."""
+    rng = np.random.default_rng(8)
+    v = forest.normed(rng.normal(size=(1, 16)) + 0.06 * rng.normal(size=(700, 16)))
+    rows = [(i, x.tolist()) for i, x in enumerate(np.vstack([v, rng.normal(size=(300, 16))]))]
+    got = forest.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), leaf=50)
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got.collect()) == brute_vectors(rows)
+
+
 def test_vectors_odd_and_empty(spark):
     inf, nan = float("inf"), float("nan")
     rows = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [1.0, nan]), (5, [1.0, inf]), (6, [1.0, None]), (7, [1.0, 0.0]), (8, [2.0, -0.0]), (9, [1.0, 0.0, 0.0]), (10, [1.0]), (11, [-1.0]), (12, [3.0]), (7, [1.0, 0.0]), (13, [1e-30, 1e-30])]
