@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from earshot.functions.statistics import spearman_p_value, t_p_value
 from earshot.operators.prices import asof_forward, is_premarket, with_bars
-from earshot.operators.ranks import average_ranks, quantiles
+from earshot.operators.ranks import average_ranks, quantiles, with_before
 
 HORIZONS = (1, 5, 20, 60)
 FEATURES = ("confidence", "gap", "conf_qna", "conf_prepared")
@@ -59,16 +59,22 @@ def by_signal(events: DataFrame, column: str) -> DataFrame:
     return F.broadcast(spine).join(got, "signal", "left").join(middle, "signal", "left").select("signal", F.coalesce("n", F.lit(0)).alias("n"), "mean", "median", "hit_rate")
 
 
-def quintile(value: Column, order: list, by: list[Column], least: int = 25) -> Column:
-    """1 to 5 by rank within a group of at least `least` rows: the edges are those of equal parts of the ranks' range."""
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(value, *order))
-    n = F.count("*").over(Window.partitionBy(*by))
-    return F.when(n >= least, F.greatest(F.lit(1), F.ceil(F.lit(5) * (rank - 1) / F.greatest(n - 1, F.lit(1)))).cast("int"))
-
-
 def with_quintiles(events: DataFrame, feature: str, order: tuple[str, ...] = ("ticker", "call_date"), least: int = 25) -> DataFrame:
-    """Adds q_{feature}: quintiles within the quarter of the call."""
-    return events.withColumn(f"q_{feature}", quintile(F.col(feature), list(order), [F.trunc(F.to_date("call_date"), "quarter")], least))
+    """Adds q_{feature}: 1 to 5 by rank within the quarter of the call, of at least `least` rows; the edges are those of
+    equal parts of the ranks' range.
+
+    Rows of equal values are ranked in `order`. How many rows of the quarter have a smaller value comes from counts of
+    values in ranges; only rows of one quarter and one value are numbered in a window.
+    """
+    x = events.withColumn("_quarter", F.trunc(F.to_date("call_date"), "quarter"))
+    counts = x.groupBy("_quarter", F.col(feature).alias("_value")).agg(F.count("*").alias("_n"))
+    before = with_before(counts, "_value", ["_n"], ["_quarter"]).select(F.col("_quarter").alias("_q2"), "_value", "_n_before")
+    sizes = counts.groupBy(F.col("_quarter").alias("_q3")).agg(F.sum("_n").alias("_all"))
+    tied = F.row_number().over(Window.partitionBy("_quarter", feature).orderBy(*order))
+    placed = x.withColumn("_tied", tied).join(before, F.col("_quarter").eqNullSafe(F.col("_q2")) & F.col(feature).eqNullSafe(F.col("_value"))).join(F.broadcast(sizes), F.col("_quarter").eqNullSafe(F.col("_q3")))
+    rank = F.col("_n_before") + F.col("_tied")
+    fifth = F.greatest(F.lit(1), F.ceil(F.lit(5) * (rank - 1) / F.greatest(F.col("_all") - 1, F.lit(1)))).cast("int")
+    return placed.withColumn(f"q_{feature}", F.when(F.col("_all") >= least, fifth)).select(*events.columns, f"q_{feature}")
 
 
 def quintile_means(events: DataFrame, column: str, feature: str) -> DataFrame:

@@ -102,18 +102,27 @@ def trade_log(events: DataFrame, prices: DataFrame, benchmark: DataFrame, lot_do
 def daily_book(trades: DataFrame, prices: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per benchmark day from the first trade on: values, cash, profit and returns of both legs.
 
-    Shares stay long (day, ticker); only the sums by day go through a window over days.
+    What a ticker is worth changes on days of its trades and prices only. These changes are summed up by day, and then
+    along the days: no table of days times tickers. Values are kept as decimals of ten places, so that what is sold
+    leaves nothing behind, whatever the order of the sums.
     """
     real = trades.filter(F.col("action").isin("BUY", "SELL"))
-    first = real.agg(F.min("date").alias("_first"))
-    days = benchmark.select(F.to_date("date").alias("date"), F.col("close").alias("_spy")).crossJoin(F.broadcast(first)).filter(F.col("date") >= F.col("_first")).drop("_first")
-    moves = real.groupBy("ticker", "date").agg(F.sum("shares").alias("_m"))
-    close = prices.select("ticker", F.to_date("date").alias("date"), F.col("close").alias("_c"))
-    spine = days.select("date").crossJoin(F.broadcast(real.select("ticker").distinct()))
-    w = Window.partitionBy("ticker").orderBy("date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    held = spine.join(moves, ["ticker", "date"], "left").join(close, ["ticker", "date"], "left")
-    held = held.withColumns({"_sh": F.greatest(F.sum(F.coalesce("_m", F.lit(0.0))).over(w), F.lit(0.0)), "_cl": F.last("_c", ignorenulls=True).over(w)})
-    value = held.groupBy("date").agg(F.coalesce(F.sum(F.col("_sh") * F.col("_cl")), F.lit(0.0)).alias("market_value"), F.count_if(F.col("_sh") > 1e-9).alias("stocks_held"))
+    all_days = benchmark.select(F.to_date("date").alias("date"), F.col("close").alias("_spy"))
+    days = all_days.filter(F.col("date") >= real.agg(F.min("date")).scalar())
+    moves = real.select("ticker", "date", F.col("shares").alias("_m"), F.lit(None).cast("double").alias("_c"))
+    close = prices.select("ticker", F.to_date("date").alias("date"), F.lit(None).cast("double").alias("_m"), F.col("close").alias("_c"))
+    close = close.join(real.select("ticker").distinct(), "ticker", "left_semi")
+    points = moves.unionByName(close).join(days.select("date"), "date", "left_semi").groupBy("ticker", "date").agg(F.coalesce(F.sum("_m"), F.lit(0.0)).alias("_m"), F.max("_c").alias("_c"))
+    along = Window.partitionBy("ticker").orderBy("date")
+    w = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = points.withColumns({"_sh": F.greatest(F.sum("_m").over(w), F.lit(0.0)), "_cl": F.last("_c", ignorenulls=True).over(w)})
+    held = held.withColumns({"_v": F.coalesce(F.col("_sh") * F.col("_cl"), F.lit(0.0)).cast("decimal(28,10)"), "_n": (F.col("_sh") > 1e-9).cast("long")})
+    step = lambda c: F.col(c) - F.coalesce(F.lag(c).over(along), F.lit(0).cast(dict(held.dtypes)[c]))
+    changes = held.select("date", step("_v").alias("_v"), step("_n").alias("_n")).groupBy("date").agg(F.sum("_v").alias("_v"), F.sum("_n").alias("_n"))
+    by_day = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    value = days.select("date").join(changes, "date", "left").select(
+        "date", F.coalesce(F.sum("_v").over(by_day), F.lit(0)).cast("double").alias("market_value"), F.coalesce(F.sum("_n").over(by_day), F.lit(0)).alias("stocks_held")
+    )
     flows = real.groupBy("date").agg(*(F.sum(c).alias(f"_{c}") for c in ("dollars", "spy_dollars", "spy_shares", "cost")), F.sum(F.when(F.col("action") == "BUY", F.col("cost")).otherwise(0.0)).alias("_buys"))
     book = days.join(flows, "date", "left").join(value, "date")
     run = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, Window.currentRow)

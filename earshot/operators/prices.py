@@ -1,8 +1,8 @@
-"""Long price tables and as-of lookups by union and window."""
+"""Long price tables and as-of lookups of the days that are asked for."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -31,27 +31,34 @@ def is_premarket(time_col: str = "call_time_et"):
     return F.coalesce((F.col(time_col) > "") & (F.col(time_col) < PREMARKET_END), F.lit(False))
 
 
-def asof_forward(left: DataFrame, bars: DataFrame, by: str, left_date: str, bar_date: str, same_day) -> DataFrame:
-    """left with `bar`, the first row of bars (a struct) of its key on or after left_date, or after it unless same_day.
+def _asof(left: DataFrame, bars: DataFrame, by: str | None, left_date: str, bar_date: str, tag: Column, bar_tag: int, backward: bool) -> DataFrame:
+    """left with `bar`, the nearest row of bars in the order of dates and tags, before it or else after it.
 
-    Rows are put in one order with the bars (key, date, then rows that may take the same day, bars, and the other rows),
-    and each takes the next bar: linear, with one shuffle, and no range join. The order is read backwards, as only frames
-    that end at the row run along.
+    What bar a row gets hangs on its key, day and tag only, so it is looked up once for each of these that occurs: they
+    are put in one order with the bars, and each takes the last bar passed (the order is read backwards where the next is
+    wanted, as only frames that end at the row run along). So a window has a few rows a day of a key, however many rows
+    ask for them; these meet the answers by a join, which splits a frequent key.
     """
-    l_ = left.select(F.col(by).alias("_k"), F.to_date(left_date).alias("_d"), F.when(same_day, 0).otherwise(2).alias("_tag"), F.struct(*left.columns).alias("_l"), F.lit(None).cast(bars.schema).alias("_b"))
-    b_ = bars.select(F.col(by).alias("_k"), F.to_date(bar_date).alias("_d"), F.lit(1).alias("_tag"), F.lit(None).cast(left.schema).alias("_l"), F.struct(*bars.columns).alias("_b"))
-    w = Window.partitionBy("_k").orderBy(F.desc("_d"), F.desc("_tag")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = l_.unionByName(b_).withColumn("bar", F.last("_b", ignorenulls=True).over(w)).filter("_tag <> 1")
-    return found.select("_l.*", "bar")
+    key = F.lit(0) if by is None else F.col(by)
+    asked = left.select(key.alias("_k"), F.to_date(left_date).alias("_d"), tag.alias("_tag"), F.struct(*left.columns).alias("_l"))
+    points = asked.select("_k", "_d", "_tag").distinct().withColumn("_b", F.lit(None).cast(bars.schema))
+    b_ = bars.select(key.alias("_k"), F.to_date(bar_date).alias("_d"), F.lit(bar_tag).alias("_tag"), F.struct(*bars.columns).alias("_b"))
+    order = ["_d", "_tag"] if backward else [F.desc("_d"), F.desc("_tag")]
+    w = Window.partitionBy("_k").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = points.unionByName(b_).withColumn("bar", F.last("_b", ignorenulls=True).over(w)).filter(F.col("_tag") != bar_tag)
+    found = found.select(F.col("_k").alias("_k2"), F.col("_d").alias("_d2"), F.col("_tag").alias("_tag2"), "bar")
+    same = F.col("_k").eqNullSafe(F.col("_k2")) & F.col("_d").eqNullSafe(F.col("_d2")) & (F.col("_tag") == F.col("_tag2"))
+    return asked.join(found, same).select("_l.*", "bar")
+
+
+def asof_forward(left: DataFrame, bars: DataFrame, by: str, left_date: str, bar_date: str, same_day) -> DataFrame:
+    """left with `bar`, the first row of bars (a struct) of its key on or after left_date, or after it unless same_day; null if none."""
+    return _asof(left, bars, by, left_date, bar_date, F.when(same_day, 0).otherwise(2), 1, backward=False)
 
 
 def asof_backward(left: DataFrame, bars: DataFrame, by: str | None, left_date: str, bar_date: str) -> DataFrame:
-    """left with `bar`, the last row of bars of its key on or before left_date; by None: bars are of one series."""
-    key = F.lit(0) if by is None else F.col(by)
-    l_ = left.select(key.alias("_k"), F.to_date(left_date).alias("_d"), F.lit(1).alias("_tag"), F.struct(*left.columns).alias("_l"), F.lit(None).cast(bars.schema).alias("_b"))
-    b_ = bars.select(key.alias("_k"), F.to_date(bar_date).alias("_d"), F.lit(0).alias("_tag"), F.lit(None).cast(left.schema).alias("_l"), F.struct(*bars.columns).alias("_b"))
-    w = Window.partitionBy("_k").orderBy("_d", "_tag").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return l_.unionByName(b_).withColumn("bar", F.last("_b", ignorenulls=True).over(w)).filter("_tag = 1").select("_l.*", "bar")
+    """left with `bar`, the last row of bars of its key on or before left_date, null if none; by None: bars are of one series."""
+    return _asof(left, bars, by, left_date, bar_date, F.lit(1), 0, backward=True)
 
 
 def covered(prices: DataFrame, wanted: DataFrame, start: str, grace_days: int = 10) -> DataFrame:

@@ -62,6 +62,24 @@ def asof_backward(spark, d):
     return P.asof_backward(A.price_signals(spark, d), A.prices(spark, d), "ticker", "call_date", "date").select("call", F.round("bar.close", 6).alias("price_at_call"))
 
 
+def hot_signals(spark, d):
+    """price_signals, half of them of one ticker."""
+    s = A.price_signals(spark, d)
+    return s.withColumn("ticker", F.when(F.col("call") % 2 == 0, F.lit("S7")).otherwise(F.col("ticker"))).withColumn("call_time_et", F.when(F.col("call") % 3 == 0, "08:00").otherwise("17:00"))
+
+
+HOT_SQL = f"{A.PRICES_SQL}, {A.PRICE_SIGNALS_SQL}, hot AS (SELECT call, CASE WHEN call % 2 = 0 THEN 'S7' ELSE ticker END AS ticker, call_date, call_date + CASE WHEN call % 3 = 0 THEN 0 ELSE 1 END AS least FROM psignals)"
+
+
+@query(f"""WITH {HOT_SQL} SELECT call, f.date AS entry_date, round(f.open, 6) AS entry_price, round(b.close, 6) AS price_at_call FROM hot h
+ASOF LEFT JOIN (SELECT ticker, date, open FROM prices) f ON h.ticker = f.ticker AND h.least <= f.date ASOF LEFT JOIN (SELECT ticker, date, close FROM prices) b ON h.ticker = b.ticker AND h.call_date >= b.date""")
+def asof_hot_key(spark, d):
+    """Both as-of joins with half of all rows on one key."""
+    prices = A.prices(spark, d)
+    found = P.asof_forward(hot_signals(spark, d), prices, "ticker", "call_date", "date", P.is_premarket()).withColumnRenamed("bar", "entry")
+    return P.asof_backward(found, prices, "ticker", "call_date", "date").select("call", F.col("entry.date").alias("entry_date"), F.round("entry.open", 6).alias("entry_price"), F.round("bar.close", 6).alias("price_at_call"))
+
+
 @query(f"WITH {A.EVENTS_SQL} SELECT ticker, call_date, entry_date, signal, {rsql('entry_price', 'dollar_volume', 'confidence')}, month, year FROM events_")
 def tradeable_filter(spark, d):
     return study(spark, d).select("ticker", "call_date", "entry_date", "signal", *r("entry_price", "dollar_volume", "confidence"), "month", F.col("year").cast("long").alias("year"))

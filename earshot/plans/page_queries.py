@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from earshot.functions import text as T
 from earshot.operators import turns as U
 from earshot.plans import analogues as A
-from earshot.sources import crawl, lexicon, pages
+from earshot.sources import crawl, lexicon, pages, tables
 from earshot.streaming import incremental
 
 Q: dict = {}
@@ -119,14 +119,25 @@ def pending_anti_join(spark, d):
     return crawl.pending(urls, index(spark, d))
 
 
+@query("""WITH c AS (SELECT CASE WHEN l_suppkey % 7 = 0 THEN 'HOT' ELSE 'K' || l_partkey END AS call FROM lineitem), s AS (SELECT call, count(*) AS n, md5('=' || call) AS key FROM c GROUP BY 1),
+b AS (SELECT *, ('0x' || substr(key, 1, 8))::BIGINT % greatest(1, (SELECT count(*) FROM s) // 100) AS bucket, CASE WHEN n < 500 THEN n ELSE 0 END AS small FROM s)
+SELECT call, n, CASE WHEN n < 500 THEN lpad((coalesce(sum(small) OVER (ORDER BY bucket, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 500)::BIGINT::VARCHAR, 9, '0') ELSE 'call-' || key END AS part FROM b""")
+def part_numbers(spark, d):
+    """Parts of about 500 rows; a call with a seventh of all rows has one to itself."""
+    call = F.when(F.col("l_suppkey") % 7 == 0, F.lit("HOT")).otherwise(F.concat(F.lit("K"), F.col("l_partkey").cast("string")))
+    return tables.call_parts(A.table(spark, d, "lineitem").select(call.alias("call")), "call", rows=500, bucket_calls=100)
+
+
 @query(f"WITH {INDEX_SQL} SELECT status, count(*) AS n FROM idx GROUP BY 1")
 def status_counts(spark, d):
     return crawl.status_counts(index(spark, d))
 
 
-@query("SELECT unnest(generate_series(DATE '2017-01-01', DATE '2019-03-01', INTERVAL 1 MONTH))::DATE AS month")
+@query("SELECT unnest(generate_series((SELECT date_trunc('month', min(o_orderdate)) FROM orders), (SELECT date_trunc('month', max(o_orderdate)) FROM orders), INTERVAL 1 MONTH))::DATE AS month")
 def month_range(spark, d):
-    return crawl.months(spark, "2017-01", "2019-03")
+    """All months from the first to the last order."""
+    a, b = A.table(spark, d, "orders").agg(*(F.date_format(f("o_orderdate"), "yyyy-MM") for f in (F.min, F.max))).first()
+    return crawl.months(spark, a, b)
 
 
 @query(r"""WITH m AS (SELECT page_id AS seq, 'x https://example.com/t/' || (2017 + page_id % 3) || '/0' || (1 + page_id % 9) || '/1' || (page_id % 10) || '/' || (page_id % 40) || '-a < y' AS xml FROM pages),

@@ -42,7 +42,7 @@ def read_columns(spark: SparkSession, path: str, columns: list[str] | None = Non
 PART_ROWS, BUCKET_CALLS = 200_000, 20_000
 
 
-def call_parts(df: DataFrame, call: str = "call_id", rows: int = PART_ROWS) -> DataFrame:
+def call_parts(df: DataFrame, call: str = "call_id", rows: int = PART_ROWS, bucket_calls: int = BUCKET_CALLS) -> DataFrame:
     """(call, n, part): for each call its rows and its part of the table, so that parts have about `rows` rows and no call is cut.
 
     Calls are dealt to buckets by a hash and, in the order of buckets and names, numbered by how many rows come before:
@@ -50,7 +50,7 @@ def call_parts(df: DataFrame, call: str = "call_id", rows: int = PART_ROWS) -> D
     its own. Prefix sums go by buckets, then over the buckets' sums, so no task has all calls. A null call is one, too.
     """
     sizes = df.groupBy(call).agg(F.count("*").alias("n")).withColumn("_key", F.md5(F.coalesce(F.concat(F.lit("="), F.col(call).cast("string")), F.lit(""))))
-    buckets = max(1, sizes.count() // BUCKET_CALLS)
+    buckets = max(1, sizes.count() // bucket_calls)
     sizes = sizes.withColumn("_bucket", F.pmod(F.conv(F.substring("_key", 1, 8), 16, 10).cast("long"), F.lit(buckets))).withColumn("_small", F.when(F.col("n") < rows, F.col("n")).otherwise(0))
     earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # over a row a bucket
     before = sizes.groupBy("_bucket").agg(F.sum("_small").alias("_sum")).select("_bucket", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))

@@ -248,6 +248,58 @@ def test_book_reconciles(spark):
     assert same.filter("abs(excess_pnl) > 1e-6").count() == 0
 
 
+def test_book_by_loops_without_days_times_tickers(spark):
+    """Prices that begin late, have gaps or none at all; lots sold whole, on days of the benchmark only."""
+    rng, days = random.Random(12), business(50)
+    trades, prices = [], []
+    for t in "ABCD":
+        held = 0.0
+        for d in sorted(rng.sample(days[3:], 8)):
+            sell = held > 0 and rng.random() < 0.5
+            trades.append((d, t, "SELL" if sell else "BUY", -held if sell else 7.3, 1.0))
+            held = 0.0 if sell else held + 7.3
+        prices += [(t, d, rng.uniform(1, 9)) for d in days if t != "D" and rng.random() < 0.6]
+    trades.append((days[0] - datetime.timedelta(2), "A", "HOLD", 5.0, 1.0))
+    log = spark.createDataFrame(trades, "date date, ticker string, action string, shares double, x double").selectExpr("*", "-x AS dollars", "-x AS spy_dollars", "x AS spy_shares", "x AS cost")
+    bench = spark.createDataFrame([(d, 10.0, 10.0) for d in days], "date date, open double, close double")
+    book = I.daily_book(log, spark.createDataFrame(prices, "ticker string, date date, close double"), bench)
+    plan = book._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+    first = min(d for d, _, a, _, _ in trades if a != "HOLD")
+    got = {r["date"]: (r["market_value"], r["stocks_held"]) for r in book.collect()}
+    assert sorted(got) == [d for d in days if d >= first]
+    for day in got:
+        value = n = 0
+        for t in "ABCD":
+            sh = max(0.0, sum(s for d, k, a, s, _ in trades if k == t and a != "HOLD" and d <= day))
+            cl = [c for k, d, c in sorted(prices) if k == t and first <= d <= day]
+            value, n = value + (sh * cl[-1] if cl else 0), n + (sh > 1e-9)
+        assert got[day] == (pytest.approx(value, abs=1e-6), n)
+
+
+def test_quintiles_of_equal_values_go_by_order(spark):
+    rng = random.Random(2)
+    rows = [(f"T{rng.randrange(99)}", DAY(2024, rng.choice([1, 5]), 1 + i % 28), rng.choice([0.0, 0.0, 1.5, None, rng.random()]), i) for i in range(400)]
+    df = spark.createDataFrame(rows, "ticker string, call_date date, gap double, i int")
+    got = {r["i"]: r["q_gap"] for r in E.with_quintiles(df, "gap", ("ticker", "call_date", "i")).collect()}
+    for half in (1, 5):
+        mine = sorted((r for r in rows if r[1].month == half), key=lambda r: (r[2] is not None, r[2] or 0.0, r[0], r[1], r[3]))
+        assert [got[r[3]] for r in mine] == [max(1, -(-5 * k // (len(mine) - 1))) for k in range(len(mine))]
+    assert len(got) == 400 and E.with_quintiles(df.limit(0), "gap").count() == 0
+
+
+def test_asof_of_a_hot_key_numbers_days_not_rows(spark):
+    """5,000 rows of one key on 20 days: the window has one row a day and bar, and every row gets its bar."""
+    left = spark.range(5000).selectExpr("'H' AS k", "date_add(date'2024-01-01', cast(id % 20 AS int)) AS d", "id AS i")
+    bars = spark.range(5).selectExpr("'H' AS k", "date_add(date'2024-01-03', cast(id * 4 AS int)) AS date", "id AS n")
+    for r in P.asof_backward(left, bars, "k", "d", "date").collect():
+        day = r["i"] % 20
+        assert (r["bar"] and r["bar"]["n"]) == (None if day < 2 else min(4, (day - 2) // 4))
+    odd = spark.createDataFrame([("H", None, 1), (None, DAY(2024, 1, 9), 2)], "k string, d date, i int")
+    assert {r["i"]: r["bar"] for r in P.asof_forward(odd.filter("i = 2"), bars, "k", "d", "date", F.lit(True)).collect()} == {2: None}
+    assert P.asof_backward(odd, bars, "k", "d", "date").count() == 2
+
+
 def test_business_days(spark):
     import numpy as np
 
