@@ -109,8 +109,10 @@ def summarize(events: DataFrame, horizons: tuple[int, ...] = HORIZONS, winsorize
     """All statistics as a nested dict for JSON; only aggregates are collected."""
     top = events.agg(F.count("*").alias("events"), F.countDistinct("ticker").alias("tickers"), F.min("entry_date").alias("a"), F.max("entry_date").alias("b")).first()
     out: dict = {"events": top["events"], "tickers": top["tickers"], "first_entry": str(top["a"]), "last_entry": str(top["b"])}
+    kept = []  # what several statistics read, and what is made of it again; let go at the end
     for f in ("confidence", "gap"):
-        events = with_quintiles(events, f)
+        events = with_quintiles(events, f).persist()
+        kept.append(events)
 
     rounded = lambda x, k: None if x is None else round(x, k)
 
@@ -124,7 +126,8 @@ def summarize(events: DataFrame, horizons: tuple[int, ...] = HORIZONS, winsorize
         c = f"excess_{h}d"
         if events.filter(F.col(c).isNotNull()).count() < least:
             continue
-        d = winsorized(events, c, winsorize)
+        d = winsorized(events, c, winsorize).persist()
+        kept.append(d)
         buy, sell = F.col("signal") == "BUY", F.col("signal") == "SELL"
         res: dict = {"by_signal": {r["signal"]: {"n": r["n"], "mean": rounded(r["mean"], 5), "median": rounded(r["median"], 5), "hit_rate": rounded(r["hit_rate"], 4)} for r in by_signal(d, c).collect()}}
         res["buy_minus_sell"] = spread(d, c, buy, sell)
@@ -139,4 +142,6 @@ def summarize(events: DataFrame, horizons: tuple[int, ...] = HORIZONS, winsorize
                 years[y][name] = rounded(got.get(y), 5)
         res["by_year"] = years
         out[f"{h}d"] = res
+    for df in kept:
+        df.unpersist()
     return out
