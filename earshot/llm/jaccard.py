@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from earshot.llm.common import checkpointed, python_batches, unused, weighted_join
+from earshot.llm.common import BROADCAST_ROWS, checkpointed, python_batches, unused, weighted_join
 from earshot.llm.leafjoin import link_leaves, split_large
 
 #: Words of a shingle, least similarity, and the probability with which a pair just as similar is to be met.
@@ -142,6 +142,19 @@ def jaccard_links(similarity: float):
     return linked
 
 
+def texts_of(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """(rep, cnt, text) of the row that each item names by id and hash of its text, once for each copy of that row.
+
+    rows: row, text_hash, text; items: rep, cnt, of (row, text_hash). So no more texts come than there are rows, also if
+    one id repeats. An item's count is at least its row's, so that a row that repeats often is not shuffled to one task.
+    """
+    wanted = checkpointed(items.select(F.xxhash64("of.row", "of.text_hash").alias("source"), "rep", "cnt"))
+    there = rows.select(F.xxhash64("row", "text_hash").alias("source"), "text")
+    if wanted.count() <= BROADCAST_ROWS:
+        return there.join(F.broadcast(wanted), "source").select("rep", "cnt", "text")
+    return weighted_join(there, wanted.withColumn("w", F.col("cnt")), "source", "w").select("rep", "cnt", "text")
+
+
 def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text", with_hash: bool = False) -> DataFrame:
     """(doc_id, class_id, n_links) of each row of docs; with_hash adds text_hash, xxhash64 of the text.
 
@@ -178,7 +191,7 @@ def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, words: int = W
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sampled, pa.list_(pa.int64()))], ["doc_id", "text_hash", "row", "rep", "bytes", "samples"])
 
     described = checkpointed(slim.mapInArrow(describe, "doc_id long, text_hash long, row long, rep long, bytes long, samples array<long>"))
-    items = checkpointed(described.filter("rep is not null").groupBy("rep").agg(F.min("doc_id").alias("first"), F.min("row").alias("row"), F.count("*").alias("cnt"), F.any_value("bytes").alias("bytes"), F.any_value("samples").alias("samples")))
+    items = checkpointed(described.filter("rep is not null").groupBy("rep").agg(F.min("doc_id").alias("first"), F.min(F.struct("row", "text_hash")).alias("of"), F.count("*").alias("cnt"), F.any_value("bytes").alias("bytes"), F.any_value("samples").alias("samples")))
     first = F.array(*(F.xxhash64(F.lit(r), F.col("samples")[r]) for r in range(runs)))
     paths = items.select(F.explode(F.array_distinct(first)).alias("leaf"), "rep", "bytes")
 
@@ -194,20 +207,15 @@ def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, words: int = W
     paths = split_large(paths, SMALL, split, len(pools))
 
     def payloads(reps: DataFrame) -> DataFrame:
-        # any one row of an item gives its set; rows of the same id with another text are told by the set's key
-        wanted = items.join(reps, "rep", "left_semi").select("row", "rep", "cnt")
-
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             make = Shingles(words)
             for b in batches:
                 payload = [make(t).astype("<u8").tobytes() for t in b.column(2).to_pylist()]
+                # a text of another set under the same source, two in 2^64, goes
                 right = [int.from_bytes(hashlib.blake2b(p, digest_size=8).digest(), "little", signed=True) == r for p, r in zip(payload, b.column(0).to_pylist())]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(payload, pa.binary())], ["rep", "cnt", "payload"]).filter(pa.array(right))
 
-        wanted = checkpointed(wanted)
-        few = wanted.count() <= 100_000
-        texts = slim.select("row", "text").join(F.broadcast(wanted) if few else wanted, "row").select("rep", "cnt", "text")
-        return texts.mapInArrow(sets, "rep long, cnt long, payload binary").dropDuplicates(["rep"])
+        return texts_of(slim, items.join(reps, "rep", "left_semi")).mapInArrow(sets, "rep long, cnt long, payload binary").dropDuplicates(["rep"])
 
     found = link_leaves(payloads, paths, jaccard_links(similarity))
     classes = items.select("rep", "first", "cnt").join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep"))

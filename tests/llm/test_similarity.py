@@ -82,6 +82,20 @@ def test_jaccard_by_brute_force(spark, monkeypatch, small, block):
     assert sorted(((r["doc_id"], r["class_id"], r["n_links"]) for r in got.collect()), key=str) == brute_join(table)
 
 
+@pytest.mark.parametrize("rows", [100_000, 0])
+def test_jaccard_of_one_repeated_id(spark, monkeypatch, rows):
+    """Texts of one id are joined to none but their own: as many are cut into sets as there are rows, not their square."""
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", rows)
+    rng, made = random.Random(8), []
+    base = [prose(i, 30) for i in range(60)]
+    table = [(7, t) for t in base] + [(7, edited(rng, t, 1)) for t in base[:30]] + [(7, base[0])] * 20 + [(None, base[1]), (9, base[2])]
+    plain = jaccard.texts_of
+    monkeypatch.setattr(jaccard, "texts_of", lambda *a: made.append(plain(*a)) or made[-1])
+    got = jaccard.jaccard_join(spark.createDataFrame(table, "doc_id long, text string"))
+    assert sorted(((r["doc_id"], r["class_id"], r["n_links"]) for r in got.collect()), key=str) == brute_join(table)
+    assert made and all(m.count() <= len(table) for m in made)
+
+
 def test_jaccard_odd_and_empty(spark, odd_docs, no_docs):
     rows = [(r["doc_id"], r["text"]) for r in odd_docs.collect()]
     got = sorted(((r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard.jaccard_join(odd_docs).collect()), key=str)
