@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import html
 import itertools
 import math
@@ -42,6 +43,8 @@ SECTION_WORDS = frozenset(
     "notice notices alert promotion promotions related recommended recommendations social share sharing discussion responses replies respond announcement announcements notification notifications "
     "navigation advertising subscription copyright disclaimer menu trending rail banner overlay header head".split()
 )
+#: Those of them that also name prose; the others name boxes, unless the part has a heading of its own.
+PROSE_WORDS = frozenset("related discussion responses replies respond head header".split())
 #: Elements whose class or id does not put them out, and those that may be the article's own heading.
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 KEPT = frozenset("html body main article p".split()) | HEADINGS
@@ -58,6 +61,10 @@ _TAG = re.compile(
 _OPEN_END = re.compile(r"<!--.*\Z|<!\[CDATA\[.*\Z", re.S)
 _ATTR = re.compile(r"([a-zA-Z:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+#: What a reader's comment says of itself beside its author: a date, a time, an age, a way to answer.
+_SAID = re.compile(r"\b(?:19|20)\d\d\b|\b\d{1,2}[:.]\d\d\b|\b(?:ago|says|said|wrote|reply|yesterday|today)\b", re.I)
+#: Most characters of a comment's author; elements that lists of comments are made of.
+AUTHOR, COMMENT_TAGS = 60, frozenset("div li article section dd".split())
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -169,6 +176,7 @@ class _Page:
     @staticmethod
     def _is_out(name: str, attributes: str, by_words: bool):
         """True: out whatever it holds. 1: out unless it holds the article or its heading. 2: or is a section of text.
+        3: as 2, named like a box.
 
         by_words False: words of class and id count for nothing."""
         if name in OUT_TAGS:
@@ -197,35 +205,87 @@ class _Page:
             named = words & (OUT_WORDS | HEADER_WORDS)
             clear = named - SECTION_WORDS or any(w.startswith(OUT_STARTS) for w in words) or found
             by_class = name != "section" and len(classes) > 1 and named & set(classes)
-            return 1 if clear or by_class else 2
+            return 1 if clear or by_class else 2 if named <= PROSE_WORDS else 3
         return 1 if name == "article" and words & {"comment", "comments", "reply"} else found
 
 
-def _sections(p: _Page, end: list[int]) -> set[int]:
-    """Nodes named like a part that is no article (2) which are sections of text: a section or with a heading of its
-    own, or in the article with a paragraph, or with more than half of the page's characters outside links; and no more
-    than half of its characters in links."""
+def _like_comments(p: _Page, part: int, end: list[int], children: list[list[int]], words: list[tuple[int, int, str]]) -> bool:
+    """Whether a part is a list of two or more like elements that mostly begin with a short name and tell when it was said.
+
+    words: (node, place in the page, text) of the part by node, without blanks."""
+    at = part
+    while True:
+        kids = [c for c in children[at] if p.tag[c] not in HEADINGS]
+        if len(kids) != 1:
+            break
+        at = kids[0]
+    for name in COMMENT_TAGS:
+        like = [c for c in kids if p.tag[c] == name]
+        told = 0
+        for c in like:
+            own = words[bisect.bisect_left(words, (c,)) : bisect.bisect_left(words, (end[c],))]
+            said = [t for _, t in sorted((place, t) for _, place, t in own)]
+            told += len(said) > 1 and len(said[0]) <= AUTHOR and ("time" in p.tag[c : end[c]] or any(_SAID.search(x) for x in said[:3] if len(x) <= AUTHOR))
+        if told > 1 and 2 * told >= len(like):
+            return True
+    return False
+
+
+def _sections(p: _Page, end: list[int], holds: list[bool]) -> set[int]:
+    """Nodes named like a part that is no article (2, 3) which are sections of text all the same.
+
+    No more than half of its characters are in links, and it has more than half of the page's; or it begins not before
+    the page's one h1 and has as much text as half of a usual paragraph (the median of those outside such parts) and a
+    heading of its own, or, if its name is not a box's, two paragraphs or more, on average as long as that. A list of
+    readers' comments is none if there are other paragraphs (asked of outermost parts, so that the work stays linear).
+    """
     n = len(p.tag)
-    gone = [False] * n  # in what is out whatever it holds
+    gone, named = [False] * n, [False] * n  # in what is out whatever it holds; in what has such a name
+    children: list[list[int]] = [[] for _ in range(n)]
+    link, sums = [False] * n, [[0] * (n + 1) for _ in range(6)]
     for i in range(1, n):
-        gone[i] = p.out[i] is True or gone[p.parent[i]]
-    link, inside, sums = [False] * n, [False] * n, [[0] * (n + 1) for _ in range(3)]
+        up = p.parent[i]
+        gone[i] = p.out[i] is True or gone[up]
+        named[i] = p.out[i] in (1, 2, 3) and not holds[i] or named[up]
+        link[i] = p.tag[i] == "a" or link[up]
+        sums[2][i + 1] = p.tag[i] in HEADINGS
+        children[up].append(i)
+    heading, paragraph = [False] * n, [0] * n
     for i in range(1, n):
-        link[i] = p.tag[i] == "a" or link[p.parent[i]]
-        inside[i] = p.tag[i] in HOLDERS and not p.out[i] or inside[p.parent[i]]
-        sums[2][i + 1] = p.tag[i] in HEADINGS or p.tag[i] == "p" and inside[i]
-    for i, text in p.pieces:
-        if text and not gone[i]:
-            c = len(text.strip())
-            sums[0][i + 1] += c
-            sums[1][i + 1] += c * link[i]
-    chars, links, headings = (list(itertools.accumulate(x)) for x in sums)
-    half = (chars[n] - links[n]) / 2
-    return {
-        i for i in range(1, n)
-        if p.out[i] == 2 and (p.tag[i] == "section" or headings[end[i]] > headings[i] or chars[end[i]] - chars[i] - links[end[i]] + links[i] > half)
-        and chars[end[i]] > chars[i] and 2 * (links[end[i]] - links[i]) <= chars[end[i]] - chars[i]
-    }
+        heading[i] = p.tag[i] in HEADINGS or heading[p.parent[i]]
+        paragraph[i] = i if p.tag[i] == "p" else paragraph[p.parent[i]]
+    texts = sorted((i, place, t) for place, (i, x) in enumerate(p.pieces) if x and not gone[i] and (t := x.strip()))
+    for i, _, t in texts:
+        sums[0][i + 1] += len(t)
+        sums[1][i + 1] += len(t) * link[i]
+        sums[3][i + 1] += len(t) * heading[i]
+        sums[4][i + 1] += len(t) * (paragraph[i] > 0)
+        sums[5][paragraph[i] + 1] = int(paragraph[i] > 0)
+    totals = [list(itertools.accumulate(x)) for x in sums]
+
+    def chars(i: int, k: int = 0) -> int:
+        return totals[k][end[i]] - totals[k][i]
+
+    lengths = sorted(chars(i) for i in range(1, n) if p.tag[i] == "p" and not gone[i] and not named[i] and chars(i))
+    usual = lengths[len(lengths) // 2] if lengths else 0
+    half = (totals[0][n] - totals[1][n]) / 2
+    titles = [i for i in range(1, n) if p.tag[i] == "h1" and not gone[i]]
+    title = titles[0] if len(titles) == 1 else 0
+    found: set[int] = set()
+    inside = 0  # end of the last part asked for comments
+    for i in range(1, n):
+        if p.out[i] not in (2, 3) or gone[i] or not chars(i) or 2 * chars(i, 1) > chars(i):
+            continue
+        if usual and i >= inside:
+            inside = end[i]
+            if _like_comments(p, i, end, children, texts[bisect.bisect_left(texts, (i,)) : bisect.bisect_left(texts, (end[i],))]):
+                continue
+        if chars(i) - chars(i, 1) > half:
+            found.add(i)
+        elif end[i] > title and 2 * (chars(i) - chars(i, 3)) >= usual:
+            if chars(i, 2) or p.out[i] == 2 and chars(i, 5) > 1 and 2 * chars(i, 4) >= usual * chars(i, 5):
+                found.add(i)
+    return found
 
 
 def _main_nodes(p: _Page) -> tuple[list[bool], list[tuple[int, int]]]:
@@ -239,9 +299,9 @@ def _main_nodes(p: _Page) -> tuple[list[bool], list[tuple[int, int]]]:
         if end[i] > end[parent[i]]:
             end[parent[i]] = end[i]
     out = [False] * n
-    texts = _sections(p, end) if 2 in p.out else ()
+    texts = _sections(p, end, holds) if 2 in p.out or 3 in p.out else ()
     for i in range(1, n):
-        out[i] = out[parent[i]] or p.out[i] is True or (p.out[i] in (1, 2) and not holds[i] and i not in texts)
+        out[i] = out[parent[i]] or p.out[i] is True or (p.out[i] in (1, 2, 3) and not holds[i] and i not in texts)
 
     chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
     for i, text in p.pieces:

@@ -54,6 +54,31 @@ def test_html_sections_named_like_parts(wrap):
     assert html.main_text(page) == "\n".join(want)
 
 
+BOXES = "notice alert banner overlay promotion recommended announcement disclaimer copyright subscription social trending".split()
+
+
+@pytest.mark.parametrize("name", [*BOXES, "related", "discussion", "responses", "replies"])
+@pytest.mark.parametrize("wrap", ["<article>%s</article>", "<main>%s</main>"])
+def test_html_parts_in_an_article_by_evidence(name, wrap):
+    """A part named so goes before the heading, with little text, or as readers' comments; a section of the article stays."""
+    first, last = f"<h1>Head</h1><p>{prose(1, 40)}</p><p>{prose(2, 40)}</p>", f"<p>{prose(5, 40)}</p>"
+    plain = ["Head", prose(1, 40), prose(2, 40), prose(5, 40)]
+
+    def lines(before, within, after=""):
+        return html.main_text("<body><nav><a href=/>Home</a></nav>" + wrap % (before + first + within + last + after) + "<footer>foot</footer></body>").split("\n")
+
+    for tag in ("div", "section"):
+        small = f"<{tag} class={name}><p>We use cookies here.</p></{tag}>"
+        assert lines(small, "") == lines("", small) == lines("", "", small) == plain
+        assert lines(f"<{tag} class={name}><h2>Take note</h2><p>{prose(3, 40)}</p></{tag}>", "") == plain
+        said = "".join(f"<div><b>Reader {i}</b> <i>{i + 2} days ago</i><p>{prose(60 + i, 50)}</p></div>" for i in range(5))
+        assert lines("", "", f"<{tag} class={name}><h3>What you think</h3>{said}</{tag}>") == plain
+        own = f"<{tag} class={name}><h2>Further work</h2><p>{prose(3, 40)}</p><p>{prose(4, 40)}</p></{tag}>"
+        assert lines("", own) == [*plain[:3], "Further work", prose(3, 40), prose(4, 40), plain[3]]
+        bare = f"<{tag} class={name}><p>{prose(3, 40)}</p><p>{prose(4, 40)}</p></{tag}>"
+        assert lines("", bare) == (plain if name in BOXES else [*plain[:3], prose(3, 40), prose(4, 40), plain[3]])
+
+
 def test_html_odd(spark):
     odd = [None, "", "  ", "plain &lt;text", "<p>a<p>b", "<div><script>x", "<<<>>>", "<a title=\"x>y</a><p>q", "<p>" * 3000 + "deep" + "</div>" * 10, "<b>" * 2000 + "x", "<html></html>", "<p>" + "word " * 200_000 + "</p>", "<![CDATA[raw]]>", "<!-- open", "</p></p>z"]
     want = [html.main_text(x) for x in odd]
