@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,6 +11,7 @@ from pyspark.sql.window import Window
 from earshot.functions.statistics import spearman_p_value, t_p_value
 from earshot.operators.prices import asof_forward, is_premarket, with_bars
 from earshot.operators.ranks import average_ranks, quantiles, with_before
+from earshot.sources.tables import cut
 
 HORIZONS = (1, 5, 20, 60)
 FEATURES = ("confidence", "gap", "conf_qna", "conf_prepared")
@@ -87,13 +90,22 @@ def monthly_spread(events: DataFrame, column: str, long: Column, short: Column,
     return m.filter("l is not null and s is not null").select(*by, "month", (F.col("l") - F.col("s")).alias("spread"))
 
 
-def clustered_spread(events: DataFrame, column: str, long: Column, short: Column, by: list[str] = [], least: int = 3) -> DataFrame:  # noqa: B006
-    """(by, months, spread, t_stat, p_value): mean monthly spread, its t and two-sided p; null below `least` months."""
+def spread_t(events: DataFrame, column: str, long: Column, short: Column, by: list[str] = [], least: int = 3) -> DataFrame:  # noqa: B006
+    """(by, months, spread, t_stat): mean monthly spread and its t; null below `least` months."""
     m = monthly_spread(events, column, long, short, by)
     enough = F.count("*") >= least
     sd = F.stddev_samp("spread")
-    out = m.groupBy(*by).agg(F.count("*").alias("months"), F.when(enough, F.avg("spread")).alias("spread"), F.when(enough & (sd > 0), F.avg("spread") / (sd / F.sqrt(F.count("*").cast("double")))).alias("t_stat"))
-    return out.withColumn("p_value", t_p_value(F.col("t_stat"), F.col("months") - 1))
+    return m.groupBy(*by).agg(F.count("*").alias("months"), F.when(enough, F.avg("spread")).alias("spread"), F.when(enough & (sd > 0), F.avg("spread") / (sd / F.sqrt(F.count("*").cast("double")))).alias("t_stat"))
+
+
+def with_p_value(spreads: DataFrame) -> DataFrame:
+    """Adds p_value, two-sided. Its expression is long: many spreads get theirs by one call, not by one each."""
+    return spreads.withColumn("p_value", t_p_value(F.col("t_stat"), F.col("months") - 1))
+
+
+def clustered_spread(events: DataFrame, column: str, long: Column, short: Column, by: list[str] = [], least: int = 3) -> DataFrame:  # noqa: B006
+    """(by, months, spread, t_stat, p_value): what spread_t gives, with the p of t."""
+    return with_p_value(spread_t(events, column, long, short, by, least))
 
 
 def rank_ic(events: DataFrame, column: str, features: tuple[str, ...] = FEATURES, least: int = 10) -> DataFrame:
@@ -109,39 +121,37 @@ def summarize(events: DataFrame, horizons: tuple[int, ...] = HORIZONS, winsorize
     """All statistics as a nested dict for JSON; only aggregates are collected."""
     top = events.agg(F.count("*").alias("events"), F.countDistinct("ticker").alias("tickers"), F.min("entry_date").alias("a"), F.max("entry_date").alias("b")).first()
     out: dict = {"events": top["events"], "tickers": top["tickers"], "first_entry": str(top["a"]), "last_entry": str(top["b"])}
-    kept = []  # what several statistics read, and what is made of it again; let go at the end
     for f in ("confidence", "gap"):
-        events = with_quintiles(events, f).persist()
-        kept.append(events)
+        events = with_quintiles(events, f)
+    events = cut(events)
 
     rounded = lambda x, k: None if x is None else round(x, k)
 
-    def spread(df: DataFrame, c: str, long: Column, short: Column) -> dict:
-        r = clustered_spread(df, c, long, short).first()
-        if r is None or r["spread"] is None:
-            return {"spread": None, "t_stat": None, "p_value": None, "months": r["months"] if r else 0}
-        return {"spread": round(r["spread"], 5), "t_stat": None if r["t_stat"] is None else round(r["t_stat"], 3), "p_value": rounded(r["p_value"], 4), "months": r["months"]}
+    def as_dict(r) -> dict:
+        if r["spread"] is None:
+            return {"spread": None, "t_stat": None, "p_value": None, "months": r["months"]}
+        return {"spread": round(r["spread"], 5), "t_stat": rounded(r["t_stat"], 3), "p_value": rounded(r["p_value"], 4), "months": r["months"]}
 
+    buy, sell = F.col("signal") == "BUY", F.col("signal") == "SELL"
+    sides = {"buy_minus_sell": (buy, sell)} | {f"{f}_q5_minus_q1": (F.col(f"q_{f}") == 5, F.col(f"q_{f}") == 1) for f in ("confidence", "gap")}
     for h in horizons:
         c = f"excess_{h}d"
         if events.filter(F.col(c).isNotNull()).count() < least:
             continue
-        d = winsorized(events, c, winsorize).persist()
-        kept.append(d)
-        buy, sell = F.col("signal") == "BUY", F.col("signal") == "SELL"
+        d = cut(winsorized(events, c, winsorize))
         res: dict = {"by_signal": {r["signal"]: {"n": r["n"], "mean": rounded(r["mean"], 5), "median": rounded(r["median"], 5), "hit_rate": rounded(r["hit_rate"], 4)} for r in by_signal(d, c).collect()}}
-        res["buy_minus_sell"] = spread(d, c, buy, sell)
+        spreads = [spread_t(d, c, *side).select(F.lit(name).alias("of"), "*") for name, side in sides.items()]
+        p = {r["of"]: as_dict(r) for r in with_p_value(functools.reduce(DataFrame.unionByName, spreads)).collect()}
+        res["buy_minus_sell"] = p["buy_minus_sell"]
         for f in ("confidence", "gap"):
             means = {r["quintile"]: rounded(r["mean"], 5) for r in quintile_means(d, c, f).orderBy("quintile").collect()}
-            res[f"quintiles_{f}"] = {"mean_by_quintile": means, "q5_minus_q1": spread(d, c, F.col(f"q_{f}") == 5, F.col(f"q_{f}") == 1)}
+            res[f"quintiles_{f}"] = {"mean_by_quintile": means, "q5_minus_q1": p[f"{f}_q5_minus_q1"]}
         res["rank_ic"] = {r["feature"]: {"spearman": rounded(r["spearman"], 4), "p_value": rounded(r["p_value"], 4)} for r in rank_ic(d, c).collect() if r["spearman"] is not None}
         years = {r["year"]: {"n": r["n"]} for r in d.groupBy("year").agg(F.count("*").alias("n")).orderBy("year").collect()}
-        for name, long, short in (("buy_minus_sell", buy, sell), ("confidence_q5_minus_q1", F.col("q_confidence") == 5, F.col("q_confidence") == 1)):
-            got = {r["year"]: r["spread"] for r in clustered_spread(d, c, long, short, ["year"]).collect()}
+        for name in ("buy_minus_sell", "confidence_q5_minus_q1"):
+            got = {r["year"]: r["spread"] for r in spread_t(d, c, *sides[name], ["year"]).collect()}
             for y in years:
                 years[y][name] = rounded(got.get(y), 5)
         res["by_year"] = years
         out[f"{h}d"] = res
-    for df in kept:
-        df.unpersist()
     return out

@@ -157,11 +157,11 @@ def backtest(spark: SparkSession, cfg: Config) -> dict:
     all_prices = spark.read.parquet(cfg.prices).select("ticker", F.to_date("date").alias("date"), "open", "close", "volume").dropna()
     bench = all_prices.filter(F.col("ticker") == b.benchmark).drop("ticker", "volume")
     mine = all_prices.join(F.broadcast(live.select(T.symbol(F.col("ticker")).alias("ticker")).distinct()), "ticker", "left_semi")
-    ev = events.event_returns(live.withColumn("ticker", T.symbol(F.col("ticker"))), mine, bench, b.horizons, b.min_price, b.min_dollar_volume, b.min_bars).cache()
+    ev = tables.cut(events.event_returns(live.withColumn("ticker", T.symbol(F.col("ticker"))), mine, bench, b.horizons, b.min_price, b.min_dollar_volume, b.min_bars))
     lot_events = ev.withColumn("seq", F.datediff("call_date", F.lit("1970-01-01").cast("date")).cast("long"))
-    log = inventory.trade_log(lot_events, mine, bench, i.lot_dollars, i.max_lots).cache()
-    book = inventory.daily_book(log, mine, bench).cache()
-    held = inventory.holdings(inventory.lots(lot_events, mine, bench, i.lot_dollars, i.max_lots), mine, bench)
+    log = tables.cut(inventory.trade_log(lot_events, mine, bench, i.lot_dollars, i.max_lots))
+    book = tables.cut(inventory.daily_book(log, mine, bench))
+    held = tables.cut(inventory.holdings(inventory.lots(lot_events, mine, bench, i.lot_dollars, i.max_lots), mine, bench))
     for df, name in ((ev, "events"), (log, "trades"), (book, "book")):
         tables.write_csv(df, f"{cfg.results}/{name}", digits=6, gzip=True)
     tables.write_csv(held, f"{cfg.results}/inventory", digits=4)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,3 +98,16 @@ def write_json(spark: SparkSession, value: dict, path: str) -> None:
         out.write(bytearray(json.dumps(value, indent=2, default=str).encode()))
     finally:
         out.close()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the shared checkpoint folder and read back: neither its plan nor its work is repeated by what reads it.
+
+    The folder is spark.checkpoint.dir; one of this machine only if that is unset and the master is local, as in tests."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {sc.master} share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="earshot-"))
+    return df.checkpoint(eager=True)
