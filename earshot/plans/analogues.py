@@ -9,14 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earshot.functions.text import Lexicon
+from earshot.functions.text import Lexicon, whole_words
 
 LEXICON = Lexicon(
     strong=("is", "will", "and"), moderate=("with", "was"), weak=("of", "for"), uncertainty=("to", "that"),
     certainty_phrases=("the th", "on the"), hedge_phrases=("in the", "of a"), soft_phrases=("re an", "a the"), strong_weights={"will": 0.5, "and": 0.5},
 )
 BOILERPLATE = "licensed under|the of|and the"
-CUE, REMARKS, HANDOFF, MONOLOGUE, FIRST = r"(?i)\bthe\b|\bder\b|\bles\b|\bque\b", 20, 40, 60, r"(?i)\bthe\b|\bdie\b|\bdes\b"
+CUE, REMARKS, HANDOFF, MONOLOGUE, FIRST = whole_words("the", "der", "les", "que"), 20, 40, 60, r"(?i)\bthe\b|\bdie\b|\bdes\b"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

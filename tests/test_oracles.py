@@ -1,3 +1,4 @@
+import duckdb
 import pytest
 from oracle import connect, difference
 
@@ -22,3 +23,22 @@ def test_query_has_rows(spark, sf_dir, name):
 def test_surrogate_words_give_every_label(spark, sf_dir):
     got = {r["label"] for r in catalog.QUERIES["label_counts"](spark, sf_dir).collect()}
     assert got == {"low", "neutral", "high", "mixed"}
+
+
+def differs_on_turns(spark, path, name, calls) -> str:
+    """What a query over these calls, lists of (role, text), has else than its SQL."""
+    rows = [(c, t, role, text) for c, turns in enumerate(calls) for t, (role, text) in enumerate(turns)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{path}/conversations.parquet/*.parquet')")
+    return difference(catalog.QUERIES[name](spark, str(path)), con, catalog.ORACLES[name])
+
+
+#: Beside cue words, letters beyond ASCII, which end a word in SQL; and s as a long s, which is one in any case.
+BESIDE = ("{}", "\u00f1{}", "{}\u00f1", "\u00e9{}\u00e9", "x{}", "{}_", "\u65e5{}", "\u0301{}", "\u00a0{}\u00a0", "({})")
+
+
+def test_questions_start_at_words_as_in_sql(spark, tmp_path):
+    words = ("que", "DER", "le\u017f", "le\u017fx", "The")
+    calls = [[("assistant", "mm " * 25), ("user", "mm"), ("assistant", f"mm {b.format(w)} mm"), ("user", "mm"), ("user", "mm")] for w in words for b in BESIDE]
+    assert differs_on_turns(spark, tmp_path, "qna_split", calls) == ""
