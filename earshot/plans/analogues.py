@@ -16,7 +16,7 @@ LEXICON = Lexicon(
     certainty_phrases=("the th", "on the"), hedge_phrases=("in the", "of a"), soft_phrases=("re an", "a the"), strong_weights={"will": 0.5, "and": 0.5},
 )
 BOILERPLATE = "licensed under|the of|and the"
-CUE, REMARKS, HANDOFF, MONOLOGUE, FIRST = whole_words("the", "der", "les", "que"), 20, 40, 60, r"(?i)\bthe\b|\bdie\b|\bdes\b"
+CUE, REMARKS, HANDOFF, MONOLOGUE, FIRST = whole_words("the", "der", "les", "que"), 20, 40, 60, whole_words("the", "die", "des")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -42,3 +42,9 @@ def test_questions_start_at_words_as_in_sql(spark, tmp_path):
     words = ("que", "DER", "le\u017f", "le\u017fx", "The")
     calls = [[("assistant", "mm " * 25), ("user", "mm"), ("assistant", f"mm {b.format(w)} mm"), ("user", "mm"), ("user", "mm")] for w in words for b in BESIDE]
     assert differs_on_turns(spark, tmp_path, "qna_split", calls) == ""
+
+
+def test_first_questions_are_words_as_in_sql(spark, tmp_path):
+    words = ("die", "DES", "deſ", "deſx", "The")
+    calls = [[("assistant", "mm"), ("assistant", f"mm {b.format(w)} mm"), ("user", "mm " * 9)] for w in words for b in BESIDE]
+    assert differs_on_turns(spark, tmp_path, "unlisted_mgmt", calls) == ""
