@@ -1,7 +1,8 @@
 """Ranks and exact quantiles over all rows without a task that holds them all.
 
 Values are counted first. The counts are dealt by value to BUCKETS ranges with approximate quantiles for bounds, summed up
-within each range, and set off by the sums of the ranges before. Where the bounds lie changes only how even tasks are.
+within each range, and set off by the sums of the ranges before. Where the bounds lie changes only how even tasks are,
+but a plan makes them more than once, so they hang on the values alone and not on the order in which rows come.
 """
 
 from __future__ import annotations
@@ -11,13 +12,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 BUCKETS = 64
+#: Values of a group that bounds are taken from, at most: of each class of hashes the one with the least.
+SAMPLED = 4096
+
+
+def bounds(counts: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """(by, _bounds): approximate quantiles of the values, the same ones for the same values however rows are dealt and ordered."""
+    h = F.xxhash64(value)
+    least = counts.groupBy(*by, F.pmod(h, F.lit(SAMPLED)).alias("_class")).agg(F.min_by(value, h).alias("_least"))
+    inner = F.transform(F.sequence(F.lit(1), F.lit(BUCKETS - 1)), lambda i: F.get("_sample", F.floor(i * F.size("_sample") / BUCKETS).cast("int")))
+    return least.groupBy(*by).agg(F.array_sort(F.collect_list("_least")).alias("_sample")).select(*by, inner.alias("_bounds"))
 
 
 def with_before(counts: DataFrame, value: str, weights: list[str], by: list[str]) -> DataFrame:
     """counts (by, value, weights; each value of a group once) with {weight}_before: the sum over smaller values of the group."""
-    shares = [i / BUCKETS for i in range(1, BUCKETS)]
-    bounds = F.broadcast(counts.groupBy(*by).agg(F.percentile_approx(value, shares, 1000).alias("_bounds")))
-    dealt = counts.join(bounds, by) if by else counts.crossJoin(bounds)
+    found = F.broadcast(bounds(counts, value, by))
+    dealt = counts.join(found, by) if by else counts.crossJoin(found)
     dealt = dealt.withColumn("_bucket", F.size(F.filter("_bounds", lambda b: b < F.col(value)))).drop("_bounds")
     earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = dealt.groupBy(*by, "_bucket").agg(*(F.sum(w).alias(f"_{w}") for w in weights))

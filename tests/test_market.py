@@ -327,3 +327,19 @@ def test_price_coverage(spark):
     prices = history(spark).unionByName(late)
     assert [r[0] for r in P.to_fetch(prices, wanted, "2024-01-01").collect()] == ["GONE"]
     assert {r[0] for r in P.to_fetch(prices, wanted.drop("listed_later"), "2024-01-01").collect()} == {"GONE", "NEW"}
+
+
+def test_ranges_are_the_same_each_time_they_are_made(spark):
+    n = 120_000
+    counts = spark.range(0, n, 1, 3).select(F.pmod(F.col("id") * 7919, F.lit(n)).cast("double").alias("v"), F.lit("g").alias("g"), F.lit(1).alias("w"))
+    mixed = counts.mapInPandas(lambda parts: (x.sample(frac=1, random_state=random.SystemRandom().randrange(1 << 32)) for x in parts), counts.schema)  # as rows come from other machines: in another order each time
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.exchange.reuse", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(n))
+    try:
+        assert R.bounds(mixed, "v", ["g"]).first() == R.bounds(mixed.repartition(5), "v", ["g"]).first()
+        assert R.with_before(mixed, "v", ["w"], ["g"]).filter("w_before <> v").count() == 0
+        assert R.with_before(mixed.drop("g"), "v", ["w"], []).filter("w_before <> v").count() == 0
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
