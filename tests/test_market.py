@@ -343,3 +343,8 @@ def test_ranges_are_the_same_each_time_they_are_made(spark):
     finally:
         for k, v in kept.items():
             spark.conf.set(k, v)
+
+
+def test_ranges_of_a_group_without_values(spark):
+    counts = spark.createDataFrame([("a", None, 2), ("b", None, 3), ("b", 1.0, 4), ("b", 2.0, 5)], "g string, v double, w int")
+    assert {(r["g"], r["v"]): r["w_before"] for r in R.with_before(counts, "v", ["w"], ["g"]).collect()} == {("a", None): 0, ("b", None): 0, ("b", 1.0): 3, ("b", 2.0): 7}
