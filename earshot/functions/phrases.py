@@ -53,6 +53,22 @@ def doubled(phrase: str) -> list[str]:
     return [phrase + phrase[k:] for k in range(1, len(phrase)) if phrase[:k] == phrase[-k:]]
 
 
+def _places(text: Column, first: list[str], size: int) -> Column:
+    """An array of (at, seen): each place at which a phrase of the first layer begins, in any case, and the `size` characters from there on.
+
+    Every other phrase begins with one of the first layer, so one pass over the text finds where any can begin. It is cut at these places;
+    what is seen from one is joined of the beginnings of the pieces there, not taken from the whole text.
+    """
+    begins = trie_pattern(first)
+    pieces = F.regexp_extract_all(text, F.lit(f"(?is)(.+?)(?={begins}|\\z)"), 1)
+    some = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("ats"))
+    ends = lambda p: F.aggregate(p, some, lambda a, x: F.struct((a["at"] + F.length(x)).alias("at"), F.array_append(a["ats"], a["at"]).alias("ats")), lambda a: a["ats"])
+    head = lambda p: F.transform(p, lambda x: F.substr(x, F.lit(1), F.lit(size)))
+    seen = lambda h: F.transform(h, lambda _, i: F.substr(F.array_join(F.slice(h, i + 1, F.lit(size)), ""), F.lit(1), F.lit(size)))
+    made = F.transform(F.array(pieces), lambda p: F.arrays_zip(ends(p).alias("at"), F.transform(F.array(head(p)), seen)[0].alias("seen")))[0]
+    return F.filter(made, lambda x: (x["at"] > 0) | x["seen"].rlike(f"(?is)^{begins}"))  # the first piece need not begin with one
+
+
 def count_phrase(text: Column, phrase: Column) -> Column:
     """How often a phrase occurs in text without overlap, inside words too."""
     return ((F.length(text) - F.length(F.replace(text, phrase, F.lit("")))) / F.length(phrase)).cast("double")
@@ -96,23 +112,25 @@ def mask_phrases(text: Column, phrases: Iterable[str], token: str) -> Column:
         for p in sorted(given, key=len, reverse=True):
             text = F.regexp_replace(text, f"(?i){re.escape(p)}", re.sub(r"([\\$])", r"\\\1", token))
         return text
-    found = [F.regexp_extract_all(text, F.lit(f"(?is)(?:(?=({trie_pattern(layer)}))|)."), 1) for layer in layers(given)]
-    at = [F.filter(F.transform(f, lambda m, i: F.struct((-F.length(m)).alias("rank"), F.lit(0).alias("given"), i.alias("at"))), lambda x: x["rank"] < 0) for f in found]
+    every = layers(given)
+    tied = _tied(given)  # which of two equally long phrases comes first is told by their order
+    by_length = sorted(given, key=len)
+    in_order = all(p < q for p, q in zip(by_length, by_length[1:]) if len(p) == len(q))  # given in the order of the phrases themselves
     order = F.array(*map(F.lit, given))
-    if _tied(given):  # which of two equally long phrases comes first is told by their order
-        at = [F.transform(a, lambda x: F.struct(x["rank"].alias("rank"), F.array_position(order, F.lower(F.substr(text, x["at"] + 1, -x["rank"]))).cast("int").alias("given"), x["at"].alias("at"))) for a in at]
-    places = F.array_sort(F.concat(*at)) if len(at) > 1 else F.array_sort(at[0])
+    rank_of = lambda m: (F.lower(m) if in_order else F.lpad(F.array_position(order, F.lower(m)).cast("string"), 12, "0")) if tied else F.lit("")
+    matches = lambda x: F.array(*(F.regexp_extract(x["seen"], f"(?is)^(?:{trie_pattern(layer)})", 0) for layer in every))
+    entry = lambda x: F.transform(F.filter(matches(x), lambda m: m != ""), lambda m: F.struct((-F.length(m)).alias("rank"), rank_of(m).alias("given"), x["at"].alias("at")))
+    places = F.array_sort(F.flatten(F.transform(_places(text, every[0], max(map(len, given))), entry)))
     free = lambda taken, x: ~F.exists(taken, lambda t: (t["at"] < x["at"] - x["rank"]) & (x["at"] < t["at"] - t["rank"]))
-    none = F.expr("cast(array() as array<struct<rank:int,given:int,at:int>>)")
+    none = F.expr("cast(array() as array<struct<rank:int,given:string,at:int>>)")
     taken = F.aggregate(places, none, lambda t, x: F.when(free(t, x), F.array_append(t, x)).otherwise(t))
-    in_order = F.array_sort(F.transform(taken, lambda x: F.struct(x["at"].alias("at"), (x["at"] - x["rank"]).alias("to"))))
+    by_place = F.array_sort(F.transform(taken, lambda x: F.struct(x["at"].alias("at"), (x["at"] - x["rank"]).alias("to"))))
     begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
     joined = F.aggregate(
-        in_order, begin, lambda b, x: F.struct(F.concat(b["out"], F.substr(text, b["at"] + 1, x["at"] - b["at"]), F.lit(token)).alias("out"), x["to"].alias("at")),
+        by_place, begin, lambda b, x: F.struct(F.concat(b["out"], F.substr(text, b["at"] + 1, x["at"] - b["at"]), F.lit(token)).alias("out"), x["to"].alias("at")),
         lambda b: F.concat(b["out"], F.substr(text, b["at"] + 1)),
     )
-    every = "|".join(trie_pattern(layer) for layer in layers(given)[:1])  # the others begin with one of these
-    return F.when(text.rlike(f"(?i){every}"), joined).otherwise(text)
+    return joined
 
 
 def _tied(phrases: list[str]) -> bool:

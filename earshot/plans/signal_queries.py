@@ -215,7 +215,8 @@ def many_phrases(spark, d):
     pairs = words.select(F.explode(F.zip_with(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, 1 << 30), lambda a, b: F.concat(a, F.lit(" "), b))).alias("pair"))
     chosen = sorted(r["pair"] for r in pairs.groupBy("pair").count().orderBy(F.desc("count"), "pair").limit(PAIRS).collect())
     s = F.lower("sentence")
-    return sents(spark, d).select("doc_id", "pos", weighted_count(s, dict.fromkeys(chosen, 1.0)).alias("hits"), F.md5(mask_phrases(s, chosen, "[#]")).alias("masked_md5"))
+    dealt = sents(spark, d).repartition("doc_id", "pos")  # a few row groups of documents would keep a few cores busy only
+    return dealt.select("doc_id", "pos", weighted_count(s, dict.fromkeys(chosen, 1.0)).alias("hits"), F.md5(mask_phrases(s, chosen, "[#]")).alias("masked_md5"))
 
 
 @query("""WITH h AS (SELECT o_orderkey, md5(o_orderkey::VARCHAR) AS m FROM orders), f AS (SELECT o_orderkey, (((((('0x' || substr(m, 1, 8))::BIGINT % 100) * 96 + ('0x' || substr(m, 9, 8))::BIGINT) % 100 * 96 + ('0x' || substr(m, 17, 8))::BIGINT) % 100) * 96 + ('0x' || substr(m, 25, 8))::BIGINT) % 100 AS p FROM h)

@@ -47,3 +47,10 @@ def test_patterns_do_not_grow_with_phrases():
     pattern = re.compile("(?:" + "|".join(P.trie_pattern(layer) for layer in reversed(P.layers(many))) + ")")
     assert all(pattern.fullmatch(p) for p in many) and not pattern.fullmatch("abcd")
     assert P.layers(["a", "ab", "abc", "b", ""]) == [["a", "b"], ["ab"], ["abc"]] and P.doubled("abab") == ["ababab"]
+
+
+def test_places_are_few_and_seen_from_the_text(spark):
+    text = "xab abab" + "z" * 500 + "AB"
+    df = spark.createDataFrame([(text,), ("",), ("zz",), ("a\nb ab",), (None,)], "s string")
+    got = [r[0] and [tuple(x) for x in r[0]] for r in df.select(P._places(F.col("s"), ["ab", "a\nb"], 4)).collect()]
+    assert got == [[(i, text[i : i + 4]) for i in (1, 4, 6, 508)], [], [], [(0, "a\nb "), (4, "ab")], None]
