@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from earshot.llm.common import BROADCAST_ROWS, checkpointed, python_batches, unused, weighted_join
+from earshot.llm.common import BROADCAST_ROWS, checkpointed, give_back, python_batches, unused, weighted_join
 from earshot.llm.leafjoin import link_leaves, split_large
 
 #: Words of a shingle, least similarity, and the probability with which a pair just as similar is to be met.
@@ -24,7 +24,7 @@ WORDS, SIMILARITY, RECALL = 5, 0.8, 0.9999
 #: many of them each bucket draws. More of both for other similarities and recalls: see pools_for.
 SMALL, POOLS = 256, ((10, 4), (8, 3), (8, 3), (8, 3))
 #: Words whose hashes a worker remembers.
-CACHE = 400_000
+CACHE = 170_000
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -189,6 +189,7 @@ def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, words: int = W
                 sizes.append(8 * len(s))
                 sampled.append(samples(s, coordinates) if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sampled, pa.list_(pa.int64()))], ["doc_id", "text_hash", "row", "rep", "bytes", "samples"])
+            give_back()
 
     described = checkpointed(slim.mapInArrow(describe, "doc_id long, text_hash long, row long, rep long, bytes long, samples array<long>"))
     items = checkpointed(described.filter("rep is not null").groupBy("rep").agg(F.min("doc_id").alias("first"), F.min(F.struct("row", "text_hash")).alias("of"), F.count("*").alias("cnt"), F.any_value("bytes").alias("bytes"), F.any_value("samples").alias("samples")))
@@ -214,6 +215,7 @@ def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, words: int = W
                 # a text of another set under the same source, two in 2^64, goes
                 right = [int.from_bytes(hashlib.blake2b(p, digest_size=8).digest(), "little", signed=True) == r for p, r in zip(payload, b.column(0).to_pylist())]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(payload, pa.binary())], ["rep", "cnt", "payload"]).filter(pa.array(right))
+                give_back()
 
         return texts_of(slim, items.join(reps, "rep", "left_semi")).mapInArrow(sets, "rep long, cnt long, payload binary").dropDuplicates(["rep"])
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from earshot.llm.common import checkpointed, python_batches
+from earshot.llm.common import checkpointed, give_back, python_batches
 from earshot.llm.tokens import word_tokenizer
 
 #: Decisions of the search, and twice the number of different lengths more, before the best packing so far is taken; and
@@ -283,7 +283,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int = 1,
                 columns.append(pa.array(parts, pa.binary()))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     return slim.mapInArrow(encode, f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from earshot.llm.common import python_batches, sample_by_hash, unused
+from earshot.llm.common import give_back, python_batches, sample_by_hash, unused
 from earshot.llm.toxicity import held_out_split
 
 #: Labelled rows, and rows without a label, that the classifiers are fitted to, about: those with the smallest hashes.
@@ -230,6 +230,7 @@ def _features(docs: DataFrame, text_col: str, keep: list) -> DataFrame:
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for t in texts:
             yield pd.Series(list(text_features(t.tolist()).astype(np.float32)), dtype=object)
+            give_back()
 
     return docs.select(*keep, of(F.col(text_col)).alias("x"))
 
@@ -287,6 +288,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             x = text_features(text.tolist())
             m = np.array([metadata_features(a, b, c) for a, b, c in zip(lang, source, chars)], float).reshape(len(text), METADATA_WIDTH)
             yield pd.Series(sent.value.score(x, m))
+            give_back()
 
     (s,) = unused(docs, "s")
     out = docs.withColumn(s, of(F.col(text_col), F.col(lang_col).cast("string"), F.col(source_col).cast("string"), F.col(chars_col).cast("double")))

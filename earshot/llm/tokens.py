@@ -53,10 +53,10 @@ class WordTokenizer:
         self._tokenizer = Tokenizer.from_file(path)
         self._merges = self._tokenizer.model.tokenize
         self._words, self._ids = pa.array([], pa.string()), pa.array([], pa.binary())
-        with open(path, encoding="utf-8") as f:
-            described = json.load(f)
-        splits = (described.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
-        self._by_words = described.get("normalizer") == LOWER_NFC and splits[0].get("pattern") == {"Regex": WORDS_AND_MARKS}
+        # Not from the file, which is mostly merges: read by json, they take as much memory as the tokenizer.
+        normalizer, splits = (x and json.loads(x.__getstate__()) for x in (self._tokenizer.normalizer, self._tokenizer.pre_tokenizer))
+        first = ((splits or {}).get("pretokenizers") or [{}])[0]
+        self._by_words = normalizer == LOWER_NFC and first.get("pattern") == {"Regex": WORDS_AND_MARKS}
 
     def _slow(self, text: str) -> bytes:
         ids = self._tokenizer.encode(text, add_special_tokens=False).ids

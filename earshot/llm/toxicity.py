@@ -14,13 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from earshot.llm.common import python_batches, sample_by_hash, unused
+from earshot.llm.common import give_back, python_batches, sample_by_hash, unused
 
 #: Rows of labels that the weights are fitted to, about: those with the smallest hashes of the id; and coordinates of
 #: all of them together: rows after the one that reaches this number are left out, in the order of the hashes.
 TRAIN_ROWS, TRAIN_COORDINATES = 16_000, 1 << 26
-#: Words whose hashes a worker remembers.
-WORDS = 500_000
+#: Words whose hashes a worker remembers: they and their dictionary take some 200 bytes a word. Most words of a large corpus
+#: occur once, so it is filled anew now and then, which costs little for those that recur.
+WORDS = 170_000
 
 
 @dataclass(frozen=True)
@@ -152,6 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, params: Ftrl = Ftrl(), rows: int =
         for b in batches:
             x = [np.unique(make(t)).astype("<i4").tobytes() for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.binary())], ["h", "y", "x"])
+            give_back()
 
     def in_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x: list[np.ndarray] = []
@@ -188,6 +190,7 @@ def score(docs: DataFrame, weights: Weights, text_col: str = "text", threshold:
         dense = m.dense()
         for t in texts:
             yield pd.Series([score_of(make(x), dense, m.bias) for x in t], dtype="float64")
+            give_back()
 
     (s,) = unused(docs, "s")
     out = docs.withColumn(s, of(F.col(text_col)))

@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -187,6 +188,12 @@ def test_word_ids_with_little_memory_and_long_texts(monkeypatch):
     assert t.encode(pa.array([], pa.string())) == []
 
 
+def test_a_vocabulary_is_read_once(monkeypatch):
+    """By its tokenizer only: read by json as well, its merges double what a worker takes."""
+    monkeypatch.setattr(json, "load", lambda f: pytest.fail("the whole file was read by json"))
+    assert WordTokenizer(WORD)._by_words
+
+
 def test_another_vocabulary_goes_by_its_own_rules(tmp_path):
     described = json.load(open(WORD, encoding="utf-8"))
     described["normalizer"]["normalizers"].pop()  # keeps upper case

@@ -466,3 +466,30 @@ def test_edits_of_null_and_repeated_ids(spark, monkeypatch, bucket):
         want.append((i, len(t), hashlib.sha256((t[: len(t) - m] + after[:m]).encode()).hexdigest()))
     got = [(r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in syncmers.fingerprint_edits(df).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_workers_keep_no_memory_of_batches(spark):
+    """What Arrow keeps of a stage's batches stays with Spark's workers in all later stages."""
+
+    def kept(batches):
+        import pyarrow as pa
+
+        def mb():
+            with open("/proc/self/smaps_rollup") as f:
+                return sum(int(x.split()[1]) for x in f if x.startswith("Private_Dirty")) / 1024
+
+        for b in batches:
+            time.sleep(0.1)  # so that all workers have a part
+            before = mb()
+            pa.default_memory_pool().release_unused()
+            yield pa.RecordBatch.from_arrays([pa.array([before - mb()])], ["mb"])
+
+    def most():
+        return max(r["mb"] for r in spark.range(32).repartition(32).mapInArrow(kept, "mb double").collect())
+
+    most()
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.expr("concat_ws(' ', transform(sequence(1, 600), i -> concat('w', hash(id, i))))").alias("text"), F.lit("en").alias("lang"), F.lit("a").alias("source"), F.lit(6000).alias("n_chars"))
+    model = quality.co_train((np.zeros((0, quality.TEXT_WIDTH)), np.zeros((0, quality.METADATA_WIDTH))), np.zeros(0, int), (np.zeros((0, quality.TEXT_WIDTH)), np.zeros((0, quality.METADATA_WIDTH))))
+    assert quality.score(docs.repartition(8), model).filter("quality_score >= 0").count() == 4000
+    held = most()
+    assert held < 25, held
