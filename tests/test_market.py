@@ -348,3 +348,21 @@ def test_ranges_are_the_same_each_time_they_are_made(spark):
 def test_ranges_of_a_group_without_values(spark):
     counts = spark.createDataFrame([("a", None, 2), ("b", None, 3), ("b", 1.0, 4), ("b", 2.0, 5)], "g string, v double, w int")
     assert {(r["g"], r["v"]): r["w_before"] for r in R.with_before(counts, "v", ["w"], ["g"]).collect()} == {("a", None): 0, ("b", None): 0, ("b", 1.0): 3, ("b", 2.0): 7}
+
+
+def test_quintile_means_of_rows_in_another_order_each_time(spark):
+    n = 300_000
+    rows = spark.range(0, n, 1, 2).select(F.lit("T").alias("ticker"), F.lit("2024-02-01").alias("call_date"), F.pmod(F.col("id") * 7919, F.lit(n)).cast("double").alias("x"))
+    mixed = rows.mapInPandas(lambda parts: (x.sample(frac=1, random_state=random.SystemRandom().randrange(1 << 32)) for x in parts), rows.schema)
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.exchange.reuse", "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.shuffle.partitions")}
+    for k, v in zip(kept, ("false", str(n), "1")):
+        spark.conf.set(k, v)
+    try:
+        got = {r["quintile"]: (r["n"], r["mean"]) for r in E.quintile_means(E.with_quintiles(mixed, "x"), "x", "x").collect()}
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    fifths = {}
+    for i in range(n):
+        fifths.setdefault(max(1, -(-5 * i // (n - 1))), []).append(i)
+    assert got == {q: (len(v), pytest.approx(sum(v) / len(v))) for q, v in fifths.items()}
