@@ -23,6 +23,8 @@ WORDS, SIMILARITY, RECALL = 5, 0.8, 0.9999
 #: Members of a bucket that is not split further; for each round that splits larger ones, its further samples and how
 #: many of them each bucket draws. More of both for other similarities and recalls: see pools_for.
 SMALL, POOLS = 256, ((10, 4), (8, 3), (8, 3), (8, 3))
+#: Pairs for each set, on average, that are compared one by one; more of them are by one matrix of all sets.
+FEW = 4
 #: Words whose hashes a worker remembers.
 CACHE = 170_000
 
@@ -111,33 +113,61 @@ def samples(tokens: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def shared(a: np.ndarray, b: np.ndarray) -> int:
+    """How many tokens two sets have in common."""
+    both = np.concatenate((a, b))
+    both.sort()
+    return np.count_nonzero(both[1:] == both[:-1])
+
+
+def shared_by_all(a: list[np.ndarray], b: list[np.ndarray] | None) -> np.ndarray:
+    """How many tokens each set of a has in common with each of b; None: with each of a."""
+    sets = a if b is None else a + b
+    which = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    tokens, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    several = count[column] > 1
+    which, column = which[several], column[several]
+    place = np.cumsum(count > 1) - 1
+    column = place[column]
+    n_columns = int(place[-1] + 1) if len(place) else 0
+    n_a = len(a)
+    both = np.zeros((n_a, n_a if b is None else len(b)), np.float64)
+    order = np.argsort(column, kind="stable")
+    which, column = which[order], column[order]
+    width = 16_384
+    for c in range(0, n_columns, width):
+        lo, hi = np.searchsorted(column, (c, c + width))
+        m = np.zeros((len(sets), min(width, n_columns - c)), np.float32)
+        m[which[lo:hi], column[lo:hi] - c] = 1
+        both += m[:n_a] @ (m if b is None else m[n_a:]).T
+    if b is None:
+        np.fill_diagonal(both, [len(s) for s in a])
+    return both
+
+
 def jaccard_links(similarity: float):
     """Which sets (payloads of ascending 64-bit hashes) have at least this Jaccard similarity, exactly."""
 
+    def enough(both: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+        # Integers below 2^53, so that a similarity of just 0.8 counts.
+        return both * (1 + similarity) >= similarity * (size_a + size_b) * (1 - 1e-12)
+
     def linked(a: list[bytes], b: list[bytes]) -> np.ndarray:
         same = b is a or a == b
-        sets = [np.frombuffer(x, "<u8") for x in (a if same else a + b)]
-        size = np.array([len(s) for s in sets], np.float64)
-        which = np.repeat(np.arange(len(sets)), size.astype(np.int64))
-        tokens, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        several = count[column] > 1
-        which, column = which[several], column[several]
-        place = np.cumsum(count > 1) - 1
-        column = place[column]
-        n_columns = int(place[-1] + 1) if len(place) else 0
-        n_a = len(a)
-        both = np.zeros((n_a, len(b)), np.float64)
-        order = np.argsort(column, kind="stable")
-        which, column = which[order], column[order]
-        width = 16_384
-        for c in range(0, n_columns, width):
-            lo, hi = np.searchsorted(column, (c, c + width))
-            m = np.zeros((len(sets), min(width, n_columns - c)), np.float32)
-            m[which[lo:hi], column[lo:hi] - c] = 1
-            both += m[:n_a] @ (m if same else m[n_a:]).T
-        size_a, size_b = size[:n_a], size if same else size[n_a:]
-        # Integers below 2^53, so that a similarity of just 0.8 counts.
-        return both * (1 + similarity) >= similarity * (size_a[:, None] + size_b[None, :]) * (1 - 1e-12)
+        a = [np.frombuffer(x, "<u8") for x in a]
+        b = a if same else [np.frombuffer(x, "<u8") for x in b]
+        size_a = np.array([len(s) for s in a], np.float64)
+        size_b = size_a if same else np.array([len(s) for s in b], np.float64)
+        # Two sets share no more than the smaller one has, so most pairs are told apart by their sizes.
+        out = enough(np.minimum(size_a[:, None], size_b[None, :]), size_a[:, None], size_b[None, :])
+        at, bt = np.nonzero(np.triu(out, 1) if same else out)
+        if len(at) <= FEW * max(len(a), len(b)):
+            both = np.array([shared(a[i], b[j]) for i, j in zip(at.tolist(), bt.tolist())], np.float64)
+            out[at, bt] = hit = enough(both, size_a[at], size_b[bt])
+            if same:
+                out[bt, at] = hit
+            return out
+        return enough(shared_by_all(a, None if same else b), size_a[:, None], size_b[None, :])
 
     return linked
 

@@ -300,3 +300,38 @@ def test_recall_of_buckets_split_in_all_rounds(spark, monkeypatch):
     missed = sum(int(n) - got[i] for i, n in enumerate(want))
     assert missed == 0, missed
     assert jaccard.split_loss(0.8, jaccard.runs_for(), jaccard.pools_for()) <= 1 - jaccard.RECALL
+
+
+def test_leaves_compared_together_as_each_alone():
+    """The leaves of a group, in any order of rows, give what each gives by a call of its own."""
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 40, (12, 60)).astype("<u8")
+    sets = [np.unique(np.concatenate((base[i % 12, : 60 - i % 7], rng.integers(0, 1 << 40, i % 5).astype("<u8")))) for i in range(90)]
+    leaves = [sorted({int(i % 12), int(20 + rng.integers(0, 9)), int(40 + i % 4)}) for i in range(90)]
+    linked = jaccard.jaccard_links(0.8)
+    rows = pd.DataFrame([(leaf, i, 1 + i % 3, sets[i].tobytes(), leaves[i]) for i in range(90) for leaf in leaves[i]], columns=["leaf", "rep", "cnt", "payload", "leaves"])
+    alone = pd.concat([leafjoin.compare(linked, int(leaf), of, None) for leaf, of in rows.groupby("leaf")])
+    together = leafjoin.compare_each(linked, rows.sample(frac=1, random_state=1))
+    assert len(alone) > 50 and Counter(map(tuple, together.to_numpy().tolist())) == Counter(map(tuple, alone.to_numpy().tolist()))
+    assert leafjoin.compare_each(linked, rows[rows["rep"] == 0]).empty
+
+
+@pytest.mark.parametrize("few", [0, 4, 1000])
+def test_pairs_one_by_one_and_by_a_matrix(monkeypatch, few):
+    """Sets at, over and under 0.8 of each other and the empty set, however many pairs are left by their sizes."""
+    monkeypatch.setattr(jaccard, "FEW", few)
+    rng = random.Random(6)
+    sets = [set(range(8)), set(range(10)), set(), set(), set(range(1000, 1100))] + [set(rng.sample(range(40), rng.randrange(28, 40))) for _ in range(40)]
+    payload = [np.array(sorted(s), "<u8").tobytes() for s in sets]
+    want = [[5 * len(a & b) >= 4 * len(a | b) for b in sets] for a in sets]
+    assert jaccard.jaccard_links(0.8)(payload, payload).tolist() == want
+    assert jaccard.jaccard_links(0.8)(payload[:20], payload[7:]).tolist() == [x[7:] for x in want[:20]]
+
+
+def test_pairs_of_other_sizes_are_not_looked_at(monkeypatch):
+    monkeypatch.setattr(jaccard, "shared", None)
+    monkeypatch.setattr(jaccard, "shared_by_all", None)
+    payload = [np.arange(n, dtype="<u8").tobytes() for n in (10, 20, 40)]
+    assert jaccard.jaccard_links(0.8)(payload, payload).tolist() == np.eye(3, dtype=bool).tolist()
