@@ -23,9 +23,9 @@ def event_returns(signals: DataFrame, prices: DataFrame, benchmark: DataFrame, h
 
     Entry is at the open of the first bar on the call's day for premarket calls and after it for others. It must be a
     day of the benchmark, the ticker must have min_bars bars and min_before of them before, and price and mean dollar
-    volume reach their minima. benchmark: date, open, close of one series.
+    volume reach their minima. benchmark: date, open, close of one series. A null ticker is none.
     """
-    bars = with_bars(prices, horizons, min_before).filter(F.col("bars") >= min_bars)
+    bars = with_bars(prices.filter(F.col("ticker").isNotNull()), horizons, min_before).filter(F.col("bars") >= min_bars)
     days = with_bars(benchmark.select(F.lit("").alias("ticker"), "date", "open", "close", F.lit(0.0).alias("volume")), horizons)
     days = days.select(F.col("date").alias("entry_date"), F.col("open").alias("_open"), *(F.col(f"close_{h}").alias(f"_close_{h}") for h in horizons))
     found = asof_forward(signals, bars, "ticker", "call_date", "date", is_premarket()).filter("bar is not null")
@@ -62,20 +62,23 @@ def by_signal(events: DataFrame, column: str) -> DataFrame:
     return F.broadcast(spine).join(got, "signal", "left").join(middle, "signal", "left").select("signal", F.coalesce("n", F.lit(0)).alias("n"), "mean", "median", "hit_rate")
 
 
-def with_quintiles(events: DataFrame, feature: str, order: tuple[str, ...] = ("ticker", "call_date"), least: int = 25) -> DataFrame:
+def with_quintiles(events: DataFrame, feature: str, order: tuple[str, ...] = ("ticker", "call_date"), least: int = 25, nulls_last: bool = False) -> DataFrame:
     """Adds q_{feature}: 1 to 5 by rank within the quarter of the call, of at least `least` rows; the edges are those of
     equal parts of the ranks' range.
 
-    Rows of equal values are ranked in `order`. How many rows of the quarter have a smaller value comes from counts of
-    values in ranges; only rows of one quarter and one value are numbered in a window.
+    Rows of equal values are ranked in `order`; rows without a value come before all others, or by nulls_last after them.
+    How many rows of the quarter have a smaller value comes from counts of values in ranges; only rows of one quarter and
+    one value are numbered in a window.
     """
     x = events.withColumn("_quarter", F.trunc(F.to_date("call_date"), "quarter"))
     counts = x.groupBy("_quarter", F.col(feature).alias("_value")).agg(F.count("*").alias("_n"))
     before = with_before(counts, "_value", ["_n"], ["_quarter"]).select(F.col("_quarter").alias("_q2"), "_value", "_n_before")
-    sizes = counts.groupBy(F.col("_quarter").alias("_q3")).agg(F.sum("_n").alias("_all"))
+    sizes = counts.groupBy(F.col("_quarter").alias("_q3")).agg(F.sum("_n").alias("_all"), F.sum(F.when(F.col("_value").isNull(), F.col("_n")).otherwise(0)).alias("_nulls"))
     tied = F.row_number().over(Window.partitionBy("_quarter", feature).orderBy(*order))
     placed = x.withColumn("_tied", tied).join(before, F.col("_quarter").eqNullSafe(F.col("_q2")) & F.col(feature).eqNullSafe(F.col("_value"))).join(F.broadcast(sizes), F.col("_quarter").eqNullSafe(F.col("_q3")))
     rank = F.col("_n_before") + F.col("_tied")
+    if nulls_last:
+        rank = rank - F.col("_nulls") + F.when(F.col(feature).isNull(), F.col("_all")).otherwise(0)
     fifth = F.greatest(F.lit(1), F.ceil(F.lit(5) * (rank - 1) / F.greatest(F.col("_all") - 1, F.lit(1)))).cast("int")
     return placed.withColumn(f"q_{feature}", F.when(F.col("_all") >= least, fifth)).select(*events.columns, f"q_{feature}")
 

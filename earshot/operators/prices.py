@@ -13,9 +13,9 @@ def with_bars(prices: DataFrame, horizons: tuple[int, ...] = (1, 5, 20, 60), tra
     """prices (ticker, date, open, close, volume) with bar (from 0), bars, dollar_volume and close_{h}, date_{h}.
 
     dollar_volume is the mean of close * volume of the `trailing` bars before; close_{h} the close h - 1 bars on. All are
-    windows over one partitioning and order.
+    windows over one partitioning and order, in which bars without a date come last.
     """
-    w = Window.partitionBy("ticker").orderBy("date")
+    w = Window.partitionBy("ticker").orderBy(F.asc_nulls_last("date"))
     out = {
         "bar": F.row_number().over(w) - 1,
         "bars": F.count("*").over(Window.partitionBy("ticker")),

@@ -73,7 +73,8 @@ _KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
 
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
-    price, key = F.col("l_extendedprice") / F.col("l_quantity"), F.struct(*_KEY)
+    key = F.struct(*(x for c in _KEY for x in (F.col(c).isNull().alias(f"no_{c}"), F.col(c))))  # nulls last
+    price = F.col("l_extendedprice") / F.col("l_quantity")
     return li.groupBy(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("ticker"), F.to_date("l_shipdate").alias("date")).agg(
         F.min_by(price, key).alias("open"), F.max_by(price, key).alias("close"), F.sum("l_quantity").alias("volume")
     )

@@ -105,14 +105,18 @@ def winsorized_by_signal(spark, d):
 QUINT_SQL = "ranked AS (SELECT *, row_number() OVER (PARTITION BY date_trunc('quarter', call_date) ORDER BY confidence, ticker, call_date, entry_date) AS rn, count(*) OVER (PARTITION BY date_trunc('quarter', call_date)) AS cnt FROM events_), q AS (SELECT *, CASE WHEN cnt >= 25 THEN greatest(1, ceil(5 * (rn - 1) / (cnt - 1)))::INT END AS q_confidence FROM ranked)"
 
 
+def ranked(spark, d):
+    return E.with_quintiles(study(spark, d), "confidence", ("ticker", "call_date", "entry_date"), nulls_last=True)
+
+
 @query(f"WITH {A.EVENTS_SQL}, {QUINT_SQL} SELECT ticker, call_date, entry_date, {rsql('confidence')}, q_confidence FROM q")
 def quarter_quintiles(spark, d):
-    return E.with_quintiles(study(spark, d), "confidence", ("ticker", "call_date", "entry_date")).select("ticker", "call_date", "entry_date", *r("confidence"), "q_confidence")
+    return ranked(spark, d).select("ticker", "call_date", "entry_date", *r("confidence"), "q_confidence")
 
 
 @query(f"WITH {A.EVENTS_SQL}, {QUINT_SQL} SELECT q_confidence AS quintile, round(avg(excess_5d), 6) AS mean, count(*) AS n FROM q WHERE q_confidence IS NOT NULL GROUP BY 1")
 def quintile_means(spark, d):
-    return E.quintile_means(E.with_quintiles(study(spark, d), "confidence", ("ticker", "call_date", "entry_date")), "excess_5d", "confidence").select("quintile", *r("mean"), "n")
+    return E.quintile_means(ranked(spark, d), "excess_5d", "confidence").select("quintile", *r("mean"), "n")
 
 
 SPREAD_SQL = "m AS (SELECT {by} month, avg(excess_5d) FILTER (signal = 'BUY') - avg(excess_5d) FILTER (signal = 'SELL') AS spread FROM wins GROUP BY ALL), k AS (SELECT * FROM m WHERE spread IS NOT NULL)"

@@ -48,3 +48,25 @@ def test_first_questions_are_words_as_in_sql(spark, tmp_path):
     words = ("die", "DES", "deſ", "deſx", "The")
     calls = [[("assistant", "mm"), ("assistant", f"mm {b.format(w)} mm"), ("user", "mm " * 9)] for w in words for b in BESIDE]
     assert differs_on_turns(spark, tmp_path, "unlisted_mgmt", calls) == ""
+
+
+#: Columns of orders and of lineitem, some of whose values are taken away.
+WITHOUT = {
+    "confidence": (["o_totalprice"], []),
+    "dates of bars": ([], ["l_shipdate"]),
+    "order of prices": ([], ["l_orderkey"]),
+    "tickers": (["o_custkey"], ["l_suppkey"]),
+}
+
+
+@pytest.mark.parametrize("orders, lineitem", WITHOUT.values(), ids=WITHOUT)
+def test_quintile_means_of_tables_with_nulls_as_in_sql(spark, sf_dir, tmp_path, orders, lineitem):
+    con = duckdb.connect()
+    for table, key, columns in (("orders", "o_orderkey", orders), ("lineitem", "l_orderkey", lineitem)):
+        few = "* REPLACE (o_custkey % 10 AS o_custkey)" if table == "orders" else "*"  # as many tickers as have prices
+        nulls = "".join(f" REPLACE (CASE WHEN hash({key}, '{c}') % 4 > 0 THEN {c} END AS {c})" for c in columns)
+        path = f"{tmp_path}/{table}.parquet"
+        con.execute(f"COPY (SELECT *{nulls} FROM (SELECT {few} FROM read_parquet('{sf_dir}/{table}.parquet'))) TO '{path}'")
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{path}')")
+    sql = catalog.ORACLES["quintile_means"]
+    assert len(con.execute(sql).fetchall()) == 5 and difference(catalog.QUERIES["quintile_means"](spark, str(tmp_path)), con, sql) == ""
